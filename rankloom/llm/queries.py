@@ -5,10 +5,12 @@ from __future__ import annotations
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .mixing import OP10_SQL, op10_source_mix
 from .packing import op2_pack
+from .simhash import op1_simhash
 
 
 def queries():
     return {
+        "op1_simhash": op1_simhash,
         "op2_pack": op2_pack,
         "op4_exact_dedup": op4_exact_dedup,
         "op10_source_mix": op10_source_mix,
