@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .line_dedup import op6_line_dedup
 from .mixing import OP10_SQL, op10_source_mix
 from .packing import op2_pack
 from .simhash import op1_simhash
+from .toxicity import op5_toxicity
 
 
 def queries():
@@ -13,6 +15,8 @@ def queries():
         "op1_simhash": op1_simhash,
         "op2_pack": op2_pack,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_toxicity": op5_toxicity,
+        "op6_line_dedup": op6_line_dedup,
         "op10_source_mix": op10_source_mix,
     }
 
