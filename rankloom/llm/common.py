@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Blank characters of the query contracts: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -13,16 +13,21 @@ BLANKS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's shared checkpoint folder and read it back.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder.
 
-    The folder is the one in ``spark.checkpoint.dir``. Only where a session names
-    none, as in tests on one machine, a temporary folder is set.
+    It is the one in ``spark.checkpoint.dir``. Only where a session names none, as in
+    tests on one machine, a temporary folder is set.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rankloom-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back, which cuts its lineage."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -40,15 +45,6 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def lower_ascii(data: bytes) -> bytes:
-    """bytes.lower changes A-Z only, and bytes.split cuts at the six blanks of WORD."""
-    return data.lower()
-
-
-def compiled(pattern: str) -> re.Pattern:
-    return re.compile(pattern)
-
-
 def rank_in_order(df: DataFrame, group: str, order: list[str], weight: Column, block_rows: int = 10_000) -> DataFrame:
     """Adds ``before``: the sum of ``weight`` over the rows of the same ``group`` that come earlier in ``order``.
 
@@ -57,8 +53,6 @@ def rank_in_order(df: DataFrame, group: str, order: list[str], weight: Column, b
     rows, block sums are accumulated, and only rows of one block meet in a window.
     The result is the same for any block size. Null groups form a group.
     """
-    from pyspark.sql import Window as W
-
     sizes = df.groupBy(group).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_rows)).cast("long").alias("_blocks"))
     cut = salted_join(df, sizes, group, "_blocks").withColumn("_block", F.floor(F.col(order[0]) * F.col("_blocks")).cast("long"))
     sums = cut.groupBy(group, "_block").agg(F.sum(weight).alias("_sum"))

@@ -6,6 +6,7 @@ from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .line_dedup import op6_line_dedup
 from .mixing import OP10_SQL, op10_source_mix
 from .packing import op2_pack
+from .pii import op9_pii
 from .simhash import op1_simhash
 from .toxicity import op5_toxicity
 
@@ -17,6 +18,7 @@ def queries():
         "op4_exact_dedup": op4_exact_dedup,
         "op5_toxicity": op5_toxicity,
         "op6_line_dedup": op6_line_dedup,
+        "op9_pii": op9_pii,
         "op10_source_mix": op10_source_mix,
     }
 
