@@ -8,6 +8,7 @@ from .mixing import OP10_SQL, op10_source_mix
 from .packing import op2_pack
 from .pii import op9_pii
 from .simhash import op1_simhash
+from .suffix_tree_lm import op3_suffix_tree_lm
 from .toxicity import op5_toxicity
 
 
@@ -15,6 +16,7 @@ def queries():
     return {
         "op1_simhash": op1_simhash,
         "op2_pack": op2_pack,
+        "op3_suffix_tree_lm": op3_suffix_tree_lm,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_toxicity": op5_toxicity,
         "op6_line_dedup": op6_line_dedup,
