@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .code_search import OP8_SQL, op8_code_search
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .line_dedup import op6_line_dedup
 from .mixing import OP10_SQL, op10_source_mix
 from .packing import op2_pack
 from .pii import op9_pii
+from .secrets import op7_secrets
 from .simhash import op1_simhash
 from .suffix_tree_lm import op3_suffix_tree_lm
 from .toxicity import op5_toxicity
@@ -20,6 +22,8 @@ def queries():
         "op4_exact_dedup": op4_exact_dedup,
         "op5_toxicity": op5_toxicity,
         "op6_line_dedup": op6_line_dedup,
+        "op7_secrets": op7_secrets,
+        "op8_code_search": op8_code_search,
         "op9_pii": op9_pii,
         "op10_source_mix": op10_source_mix,
     }
@@ -28,5 +32,6 @@ def queries():
 def oracle_sql():
     return {
         "op4_exact_dedup": OP4_SQL,
+        "op8_code_search": OP8_SQL,
         "op10_source_mix": OP10_SQL,
     }
