@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, table
+from .common import BLANKS, checkpoint, table
 
-#: Bits of the survivor filter and the bits that one bitmap row of Spark holds.
-FILTER_BITS, BUCKET_BITS = 1 << 25, 32768
+#: Bits of the survivor filter.
+FILTER_BITS = 1 << 25
+#: A group is hot if it has at least one in so many rows; so there are at most so many hot groups.
+HOT_GROUPS = 1000
 
 
 def normalise(text: Column) -> Column:
@@ -42,8 +44,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``text_sha256`` is null for rows that needed none; ``hash_all`` fills it in the
     same scan for callers that want every digest, and changes no decision.
 
-    A hot group is reduced by map-side aggregation, and rows find their group by a
-    join of narrow rows that AQE splits where a key is hot.
+    A hot group is reduced by map-side aggregation. Its rows find their group by a
+    broadcast of the groups that hold at least 1 / HOT_GROUPS of all rows, of which
+    there are at most HOT_GROUPS; all other rows find theirs by a join on the key.
 
     Null text counts as empty; all empty texts form one group. Rows that repeat an
     id share its fate: all rows with the smallest id of a group are kept. A null id
@@ -63,14 +66,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full_hash = F.sha2(F.col("t").cast("binary"), 256)
     shared = F.when(_set_in(F.col("bitmap"), F.col("pos")), full_hash)
     full = probed.select("doc_id", "n", "p", shared.alias("sha"), (full_hash if hash_all else shared).alias("digest"))
+    full = checkpoint(full)
     groups = full.where("sha is not null").groupBy("n", "p", "sha").agg(F.min("doc_id").alias("keep"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    g = groups.select(F.col("n").alias("gn"), F.col("p").alias("gp"), F.col("sha").alias("gs"), "keep", "rows")
-    joined = full.join(g, (full["n"] == g["gn"]) & (full["p"] == g["gp"]) & (full["sha"] == g["gs"]), "left")
-    keep = F.when(F.col("rows").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
+    groups = groups.select(F.col("n").alias("gn"), F.col("p").alias("gp"), F.col("sha").alias("gs"), "keep", "rows")
+    n = full.count()
+    hot = groups.where(F.col("rows") * HOT_GROUPS >= n).toDF("hn", "hp", "hs", "hot_keep", "hot_rows")
+    cold = groups.where(F.col("rows") * HOT_GROUPS < n)
+    joined = full.join(F.broadcast(hot), (full["n"] == hot["hn"]) & (full["p"] == hot["hp"]) & (full["sha"] == hot["hs"]), "left")
+    # Rows of hot groups have their answer; a spread key keeps them from meeting in the second join.
+    joined = joined.withColumn("key", F.when(F.col("hot_rows").isNotNull(), F.xxhash64("doc_id", "digest")).otherwise(F.col("p")))
+    joined = joined.join(cold, (joined["n"] == cold["gn"]) & (joined["key"] == cold["gp"]) & (joined["sha"] == cold["gs"]), "left")
+    rows = F.coalesce("hot_rows", "rows")
+    keep = F.when(rows.isNull(), F.col("doc_id")).when(F.col("hot_rows").isNotNull(), F.col("hot_keep")).otherwise(F.col("keep"))
     return joined.select(
         "doc_id",
         keep.alias("keep_id"),
-        F.coalesce("rows", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce(rows, F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
