@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("recode", "reshape_joins", "aggregates", "windows_sets")
+_MODULES = ("recode", "reshape_joins", "aggregates", "windows_sets", "estimates", "regressions", "pairs_compare", "checks")
 
 
 def query(name: str, sql: str | None = None, d: str = "", i: str = ""):
