@@ -180,7 +180,7 @@ def line_links(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN
     A key that more than ``crowd`` lines have as a segment would pair quadratically
     many. Its lines go another way that is exact as well: they are cut into
     threshold + 2 segments, of which two survive, and two must be shared; where that is
-    crowded, three of threshold + 3.
+    crowded, three of threshold + 3. These pairs are verified within the join.
     """
     columns = ["line_id", "key", "own"]
     schema = "line_id long, key long, own boolean"
@@ -214,17 +214,29 @@ def line_links(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN
         if rest.isEmpty():
             break
         rows = checkpoint(rest.mapInArrow(_combined(threshold, shared), schema).distinct())
-        pairs, crowded = _paired(rows, None if shared == 3 else crowd)
+        live = rows.groupBy("key").agg(F.max("own").alias("own"), F.min("line_id").alias("lo"), F.max("line_id").alias("hi")).where("own and lo <> hi")
+        rows = checkpoint(rows.join(live.select("key"), "key", "left_semi"))
+        pairs, crowded = _paired(rows, None if shared == 3 else crowd, lines, threshold)
         links = links.unionByName(_verified(pairs, lines, threshold))
     return links.distinct()
 
 
-def _paired(rows: DataFrame, crowd: int | None) -> tuple[DataFrame, DataFrame]:
-    """Pairs that share a key which one of them has as its own, and the lines of crowded keys (checkpointed both)."""
+def _paired(rows: DataFrame, crowd: int | None, lines: DataFrame | None = None, threshold: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Pairs that share a key which one of them has as its own, and the lines of crowded keys (checkpointed both).
+
+    With ``lines``, pairs beyond the threshold are dropped inside the join by Spark's banded
+    edit distance, so that what a large group of similar lines makes is its links alone.
+    """
     own = rows.where("own")
     sizes = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     fit = own if crowd is None else own.join(sizes.where(F.col("n") <= crowd), "key", "left_semi")
-    joined = rows.select(F.col("line_id").alias("b"), "key").join(fit.select(F.col("line_id").alias("a"), "key"), "key").where("a <> b")
+    b, a = rows.select(F.col("line_id").alias("b"), "key"), fit.select(F.col("line_id").alias("a"), F.col("key").alias("key_a"))
+    on = (F.col("key") == F.col("key_a")) & (F.col("a") != F.col("b"))
+    if lines is not None:
+        b = b.join(lines.select(F.col("line_id").alias("b"), F.col("line").alias("lb")), "b")
+        a = a.join(lines.select(F.col("line_id").alias("a"), F.col("line").alias("la")), "a")
+        on = on & (F.levenshtein("la", "lb", threshold) >= 0)
+    joined = b.join(a, on)
     pairs = checkpoint(joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if crowd is None:
         return pairs, rows.where("false").select("line_id")
