@@ -278,10 +278,10 @@ def score(docs: DataFrame, model: DataFrame, n_tokens: int, n_words: int, id_col
                 maybe = marked(h["bits"], keys)
                 keys, whose = keys[maybe].view(np.int64), whose[maybe]
                 hit, at = looked_up(keys)
-                more = np.bincount(whose[hit], h["term"][at[hit]], len(tokens))
+                more = np.bincount(whose[hit], h["term"][at[hit]], len(tokens)).astype(float)
                 found, where = looked_up(t.view(np.int64))
-                base = np.bincount(who[found], h["term"][where[found]], len(tokens))
-                known = np.bincount(who[found], minlength=len(tokens))
+                base = np.bincount(who[found], h["term"][where[found]], len(tokens)).astype(float)
+                known = np.bincount(who[found], minlength=len(tokens)).astype(np.int64)
                 lone = [(t.view(np.int64)[~found], who[~found], True), (keys[~hit], whose[~hit], False)]
                 out = {n: [c] for n, c in zip(names, (np.arange(len(tokens)), None, np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64), sizes, known, base, more))}
                 for k, w, is_word in lone:
