@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, fresh, table
 from .components import components
 
 THRESHOLD = 2
@@ -324,11 +324,12 @@ def without_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_char
     A document of which nothing is left stays with an empty text; null texts stay null.
     """
     gone = line_classes(docs, threshold, min_chars, id_col, text_col).where("not kept")
-    lists = gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).select(F.col("doc_id").alias("_doc"), "_gone")
-    text = F.col(text_col).cast("string")
-    rest = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    joined = docs.join(lists, docs[id_col] == lists["_doc"], "left")
-    return joined.select(*[F.when(F.col("_gone").isNull(), F.col(c)).otherwise(rest).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    doc, numbers = fresh("_doc", docs), fresh("_gone", docs)
+    lists = gone.groupBy("doc_id").agg(F.collect_set("line_no").alias(numbers)).withColumnRenamed("doc_id", doc)
+    joined = docs.join(lists, docs[id_col] == lists[doc], "left")
+    rest = F.array_join(F.filter(F.split(F.col(text_col).cast("string"), "\n"), lambda _, i: ~F.array_contains(F.col(numbers), i)), "\n")
+    text = F.when(F.col(numbers).isNull(), F.col(text_col)).otherwise(rest).alias(text_col)
+    return joined.select(*[text if c == text_col else F.col(c) for c in docs.columns])
 
 
 def op6_line_dedup(spark, sf_dir):
