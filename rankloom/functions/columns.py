@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Legal words that a company key drops (v1, lower case) and suffixes (v2, upper case).
 LEGAL_WORDS = ("inc", "incorporated", "corp", "corporation", "co", "company", "companies", "ltd", "limited", "llc", "lp", "plc", "group", "holdings", "holding", "the")
@@ -178,7 +179,7 @@ def positive_part_sql(estimate: str, se: str) -> str:
     return f"CASE WHEN {se} > 0 AND {z} > -6 THEN {estimate} + {se} * {normal_pdf_sql(z)} / ({normal_cdf_sql(z)}) END"
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi_square_tail(x: pd.Series, df: pd.Series) -> pd.Series:
     """P(X > x) of a chi-square variable: series below the mean, continued fraction above."""
     from .tails import gamma_tail
@@ -186,7 +187,7 @@ def chi_square_tail(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([gamma_tail(k / 2.0, v / 2.0) for v, k in zip(x, df)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided P(|T| > |t|) of a Student variable."""
     from .tails import beta_share
