@@ -143,3 +143,18 @@ def _(s, d):
     k = X.ratings(s, d).groupBy("entity_id").agg(F.avg((F.col("value") == -1).cast("double")).alias("dk"))
     low = k.join(F.broadcast(k.agg(F.median("dk").alias("m")))).where("dk <= m").select("entity_id")
     return R.eiv(noisy(s, d).join(F.broadcast(low), "entity_id", "left_semi"), ["item"], "y", "x", "w", "noise").select("item", "b", "se", "n")
+
+
+@query("st_28_positive_signal")
+def _(s, d):
+    """Noise matrix of both items after the positivity correction, and the regression that uses it."""
+    from rankloom.operators import positivity as P
+
+    from .estimates import recentred
+
+    est, cov = recentred(s, d)
+    signal, vech, total = P.item_moments(est, cov, ["a", "b"])
+    noise, accepted = P.positive_signal(s, signal, vech, total, draws=20_000)
+    dt = data(s, d).groupBy("entity_id").agg(F.max(F.when(F.col("item") == "a", F.col("x"))).alias("a"), F.max(F.when(F.col("item") == "b", F.col("x"))).alias("b"), F.max("y").alias("y"), F.max("w").alias("w")).dropna()
+    fit = R.eiv_many(dt.withColumn("spec", F.lit("ab")), ["spec"], "y", ["a", "b"], "w", {("a", "a"): float(noise[0, 0]), ("a", "b"): float(noise[0, 1]), ("b", "b"): float(noise[1, 1])})
+    return fit.select("spec", "name", F.round("b", 4).alias("b"), F.lit(accepted).alias("accepted"))
