@@ -5,7 +5,7 @@ unigram model. A longer context becomes a state if what follows it in training
 diverges from what its suffix predicts. A token is scored by the longest suffix of its
 history that is a state.
 
-Below a state, symbols are listed that followed it at least twice and whose log
+Below a state, symbols are listed that followed it at least MIN_COUNT times and whose log
 likelihood ratio against the parent is large; they get probability (c - 1/2) / (n + 1).
 All others share what is left in proportion to the parent's distribution, so every
 state is a proper distribution. Hence a text's log probability is a sum of
@@ -25,12 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, crc_rest, table
+from .common import crc_rest, table, written
 
 #: Entries of the model that are broadcast, those met most often; the others are joined.
 HOT_ENTRIES = 1 << 18
 #: Bits of the filters that tell which keys matter: 8 MB.
 FILTER_BITS = 1 << 26
+#: A pair or triple of words counts if it is met so often.
+MIN_COUNT = 3
 #: Least log likelihood ratio (nats) of a listed symbol, and of a state.
 SYMBOL_GAIN, STATE_GAIN = 4.0, 10.0
 END = b"\x00end"
@@ -47,6 +49,11 @@ def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+def triple_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Key of three words from the keys of their two pairs; a plain expression in Spark as well."""
+    return first ^ (second << np.uint64(1))
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -122,15 +129,15 @@ def count_words_and_pairs(texts: DataFrame, held: int = 3_000_000) -> DataFrame:
                     yield from out()
         yield from out()
 
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n < 0 or n >= 2")
+    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(f"n < 0 or n >= {MIN_COUNT}")
 
 
 def count_triples(texts: DataFrame, bits: np.ndarray, held: int = 1_000_000) -> DataFrame:
-    """``level, key, context, other, n`` of what the filter ``bits`` of recurring pairs lets through.
+    """``key, context, other, n`` of what the filter ``bits`` of recurring pairs lets through, if it recurs.
 
-    Level 1: a pair with its first word as ``context`` and its second as ``other``. Level 2: a word after a
-    pair, with the pair as ``context`` and the pair of the last two words as ``other``; both pairs
-    recur, as they must if the three words do.
+    A pair has its own ``key``, its first word as ``context`` and its second as ``other``. A word after a pair has
+    no key, as ``triple_key`` gives it, the pair as ``context`` and the pair of the last two words as
+    ``other``; both pairs recur, as they must if the three words do.
     """
     sent = texts.sparkSession.sparkContext.broadcast(bits)
 
@@ -141,15 +148,14 @@ def count_triples(texts: DataFrame, bits: np.ndarray, held: int = 1_000_000) ->
 
         def out():
             nonlocal rows, size
-            for level, found in enumerate(rows, 1):
+            for own, found in zip((True, False), rows):
                 if found:
                     k, c, o = (np.concatenate([f[i] for f in found]) for i in range(3))
                     key, first, n = np.unique(k, return_index=True, return_counts=True)
                     for cut in _cuts(len(key)):
                         at = first[cut]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(at), level, np.int8)), signed(key[cut]), signed(c[at]), signed(o[at]), pa.array(n[cut].astype(np.int64))], names=["level", "key", "context", "other", "n"]
-                        )
+                        keys = signed(key[cut]) if own else pa.nulls(len(at), pa.int64())
+                        yield pa.RecordBatch.from_arrays([keys, signed(c[at]), signed(o[at]), pa.array(n[cut].astype(np.int64))], names=["key", "context", "other", "n"])
             rows, size = [[], []], 0
 
         for batch in batches:
@@ -162,20 +168,20 @@ def count_triples(texts: DataFrame, bits: np.ndarray, held: int = 1_000_000) ->
                     if len(at):
                         rows[0].append((pairs[at], t[at], t[at + 1]))
                         both = np.flatnonzero(hit[:-1] & hit[1:])
-                        rows[1].append((pair_key(pairs[both], t[both + 2]), pairs[both], pairs[both + 1]))
+                        rows[1].append((triple_key(pairs[both], pairs[both + 1]), pairs[both], pairs[both + 1]))
                         size += len(at) + len(both)
                 if size >= held:
                     yield from out()
         yield from out()
 
-    found = texts.mapInArrow(run, "level tinyint, key long, context long, other long, n long")
-    return found.groupBy("level", "key").agg(F.first("context").alias("context"), F.first("other").alias("other"), F.sum("n").alias("n"))
+    found = texts.mapInArrow(run, "key long, context long, other long, n long")
+    return found.groupBy("key", "context", "other").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
 
 
 def states(followed: DataFrame, totals: DataFrame, symbol_gain: float, state_gain: float) -> DataFrame:
     """Listed symbols of the contexts that pass the divergence test: ``context, key, n, p, parent_p, rest, total``.
 
-    ``followed``: ``context, key, n, parent_p`` with n >= 2; ``totals``: ``context, total``. ``rest`` is the
+    ``followed``: ``context, key, n, parent_p`` ; ``totals``: ``context, total``. ``rest`` is the
     factor of symbols that are not listed. The test adds up n times the log of p over the
     parent's probability of the listed symbols, and the log of ``rest`` for the other occurrences.
     """
@@ -184,11 +190,11 @@ def states(followed: DataFrame, totals: DataFrame, symbol_gain: float, state_gai
     sums = rows.groupBy("context").agg(F.sum("p").alias("ps"), F.sum("parent_p").alias("qs"), F.sum("gain").alias("gains"), (F.first("total") - F.sum("n")).alias("others"))
     sums = sums.where("ps < 1 and qs < 1").withColumn("rest", (1.0 - F.col("ps")) / (1.0 - F.col("qs")))
     kept = sums.where(F.col("gains") + F.col("others") * F.log("rest") >= state_gain)
-    return checkpoint(rows.drop("gain").join(kept.select("context", "rest"), "context"))
+    return written(rows.drop("gain").join(kept.select("context", "rest"), "context"))
 
 
 def train(docs: DataFrame, usable: Column, text_col: str = "text", symbol_gain: float = SYMBOL_GAIN, state_gain: float = STATE_GAIN) -> tuple[DataFrame, int, int]:
-    """The model as ``key, term, seen, word`` (checkpointed), the number of training tokens, and of distinct ones.
+    """The model as ``key, term, seen, word`` (a written table), the number of training tokens, and of distinct ones.
 
     ``term`` is what a key adds to a log10 probability: for a word, its root probability; for a
     state, the factor of what is not listed; for a listed symbol, what it has beyond that
@@ -197,22 +203,23 @@ def train(docs: DataFrame, usable: Column, text_col: str = "text", symbol_gain:
     Counts cover all usable rows, in two passes: words and pairs, then triples of recurring pairs.
     """
     texts = docs.where(usable).select(F.col(text_col).cast("string").alias("text"))
-    counted = checkpoint(count_words_and_pairs(texts))
+    counted = written(count_words_and_pairs(texts))
     words = counted.where("n < 0").select("key", (-F.col("n")).alias("m"))
     pairs = counted.where("n > 0")
     n_tokens, n_words = (int(x or 0) for x in words.agg(F.sum("m"), F.count(F.lit(1))).first())
     root_p = (F.col("m") + 1) / F.lit(float(n_tokens + n_words + 1))
-    longer = checkpoint(count_triples(texts, bitmap(pairs, "key")))
+    longer = written(count_triples(texts, bitmap(pairs, "key")))
 
-    first = longer.where("level = 1 and n >= 2").select("key", "context", "other", "n")
-    first = checkpoint(first.join(words.select(F.col("key").alias("other"), root_p.alias("root_p")), "other").select("context", "key", "n", "root_p"))
+    first = longer.where("key is not null").select("key", "context", "other", "n")
+    first = written(first.join(words.select(F.col("key").alias("other"), root_p.alias("root_p")), "other").select("context", "key", "n", "root_p"))
     one = states(first.withColumnRenamed("root_p", "parent_p"), words.select(F.col("key").alias("context"), F.col("m").alias("total")), symbol_gain, state_gain)
 
     # What the parent of a two-word context says: listed below its last word's state, or the root's share times that state's factor.
     factors = one.select("context", "rest").distinct()
     parents = first.join(factors, "context", "left").join(one.select("key", "p"), "key", "left")
     parents = parents.select(F.col("key").alias("other"), F.coalesce("p", F.col("root_p") * F.coalesce("rest", F.lit(1.0))).alias("parent_p"))
-    second = longer.where("level = 2 and n >= 2").join(parents, "other").select("context", "key", "n", "parent_p")
+    second = longer.where("key is null").withColumn("key", F.col("context").bitwiseXOR(F.shiftleft("other", 1)))
+    second = second.join(parents, "other").select("context", "key", "n", "parent_p")
     two = states(second, pairs.select(F.col("key").alias("context"), F.col("n").alias("total")), symbol_gain, state_gain)
 
     model = words.select("key", F.log10(root_p).alias("term"), F.col("m").alias("seen"), F.lit(True).alias("word"))
@@ -220,7 +227,7 @@ def train(docs: DataFrame, usable: Column, text_col: str = "text", symbol_gain:
         state = level.select("context", "rest", "total").distinct()
         model = model.unionByName(state.select(F.col("context").bitwiseXOR(F.lit(STATE_MARK)).alias("key"), F.log10("rest").alias("term"), F.col("total").alias("seen"), F.lit(False).alias("word")))
         model = model.unionByName(level.select("key", (F.log10(F.col("p") / F.col("parent_p")) - F.log10("rest")).alias("term"), F.col("n").alias("seen"), F.lit(False).alias("word")))
-    return checkpoint(model), n_tokens, n_words
+    return written(model), n_tokens, n_words
 
 
 def hot_entries(model: DataFrame, most: int = HOT_ENTRIES) -> DataFrame:
@@ -273,7 +280,7 @@ def score(docs: DataFrame, model: DataFrame, n_tokens: int, n_words: int, id_col
                 pairs[1:] = pair_key(t[:-1], t[1:])
                 i1, i2 = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
                 mark = np.uint64(STATE_MARK)
-                keys = np.concatenate([t[i1 - 1] ^ mark, pairs[i1], pairs[i2 - 1] ^ mark, pair_key(pairs[i2 - 1], t[i2])])
+                keys = np.concatenate([t[i1 - 1] ^ mark, pairs[i1], pairs[i2 - 1] ^ mark, triple_key(pairs[i2 - 1], pairs[i2])])
                 whose = np.concatenate([who[i1], who[i1], who[i2], who[i2]])
                 maybe = marked(h["bits"], keys)
                 keys, whose = keys[maybe].view(np.int64), whose[maybe]

@@ -264,7 +264,7 @@ def test_suffix_tree(spark, odd, empty):
             p += terms.get(one(keys[at - 1] ^ mark), 0.0) + terms.get(one(pair(keys[at - 1], keys[at])), 0.0)
         if at >= 2:
             c = pair(keys[at - 2], keys[at - 1])
-            p += terms.get(one(c ^ mark), 0.0) + terms.get(one(pair(c, keys[at])), 0.0)
+            p += terms.get(one(c ^ mark), 0.0) + terms.get(one(suffix_tree_lm.triple_key(c, pair(keys[at - 1], keys[at]))), 0.0)
         return p
 
     hasher = suffix_tree_lm.Hasher()
