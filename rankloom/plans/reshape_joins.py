@@ -157,7 +157,7 @@ def _(s, d):
     return J.cascade_one_to_one(dirty(s, d), "p_partkey", keys, names_dim(s, d), "id", keys)
 
 
-@query("jn_10_alternative_fields", "SELECT c_custkey, CASE WHEN c_custkey < 100 THEN c_custkey WHEN c_custkey < 200 THEN c_custkey - 100 END AS s_suppkey, CASE WHEN c_custkey < 100 THEN 'first' WHEN c_custkey < 200 THEN 'second' END AS field FROM customer WHERE c_custkey < 300")
+@query("jn_10_alternative_fields", "SELECT c_custkey, coalesce(a.s_suppkey, b.s_suppkey) AS s_suppkey, CASE WHEN a.s_suppkey IS NOT NULL THEN 'first' WHEN b.s_suppkey IS NOT NULL THEN 'second' END AS field FROM customer LEFT JOIN supplier a ON a.s_suppkey = c_custkey AND a.s_suppkey < 100 LEFT JOIN supplier b ON b.s_suppkey + 100 = c_custkey AND b.s_suppkey < 100 WHERE c_custkey < 300")
 def _(s, d):
     dim = table(s, d, "supplier").where("s_suppkey < 100").select("s_suppkey", F.col("s_suppkey").alias("first"), (F.col("s_suppkey") + 100).alias("second"))
     return J.alternative_match(table(s, d, "customer").where("c_custkey < 300").select("c_custkey"), "c_custkey", dim, "s_suppkey", ["first", "second"])
