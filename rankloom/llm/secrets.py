@@ -100,7 +100,7 @@ def labelled_findings(found: DataFrame) -> DataFrame:
     """Findings whose label is beyond doubt, with ``label``: 1 for keys of a known format and assignments to a
     secret's name; 0 for plain numbers, tokens made of the text's words, path parts, and values of other names.
 
-    The forest sees none of these rules, only the features, and so learns to judge the rest.
+    The forest learns from the features alone, which overlap with these rules, to judge the rest.
     """
     known = F.lit(False)
     for pattern in KNOWN_KEYS:
