@@ -69,7 +69,7 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def rank_in_order(df: DataFrame, group: str, order: list[str], weight: Column, block_rows: int = 10_000) -> DataFrame:
+def rank_in_order(df: DataFrame, group: str, order: list[str], weight: Column, block_rows: int = 1_000) -> DataFrame:
     """Adds ``before``: the sum of ``weight`` over the rows of the same ``group`` that come earlier in ``order``.
 
     A running sum over one window would put a whole group in one task. Here
