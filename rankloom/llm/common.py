@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -36,15 +35,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared checkpoint folder and read it back: smaller than a checkpoint of many rows.
 
-    Shuffle files of what went into it are of no more use. Spark removes them once the driver's
-    garbage is collected, which a large heap may put off for long, so that is asked for here.
+    Shuffle files of what went into it are of no more use, so Spark is asked to remove them right after the write.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    path, setting = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.parquet(path)
 
 

@@ -28,30 +28,51 @@ from pyspark.sql import functions as F
 from .common import crc_rest, table, written
 
 #: Entries of the model that are broadcast, those met most often; the others are joined.
-HOT_ENTRIES = 1 << 18
+HOT_ENTRIES = 1 << 20
+#: Places of the table in which a task finds them: 16 MB.
+PLACES = 1 << 22
 #: Bits of the filters that tell which keys matter: 8 MB.
 FILTER_BITS = 1 << 26
 #: A pair or triple of words counts if it is met so often.
 MIN_COUNT = 3
 #: Least log likelihood ratio (nats) of a listed symbol, and of a state.
 SYMBOL_GAIN, STATE_GAIN = 4.0, 10.0
-END = b"\x00end"
 #: Sets the key of a context's state apart from the key of the context.
 STATE_MARK = 0x1B87359351ED270B
+#: Bytes of text that are handled at a time, and the length from which a word is hashed by itself.
+SLICE = 1 << 20
+#: Fixed odd numbers of the key of a pair, and what undoes them.
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9)
+INVERSES = tuple(pow(f, -1, 1 << 64) for f in FACTORS)
+ADDED = (0x51ED270B, 0x2545F491)
 
 
 def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash of context ``a`` (a word or again such a hash) with the word ``b`` after it."""
     with np.errstate(over="ignore"):
-        x = (a + np.uint64(0x51ED270B)) * np.uint64(0x9E3779B97F4A7C15) ^ (b + np.uint64(0x2545F491)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        x = (a + np.uint64(ADDED[0])) * np.uint64(FACTORS[0]) ^ (b + np.uint64(ADDED[1])) * np.uint64(FACTORS[1])
         x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x *= np.uint64(FACTORS[2])
         return x ^ (x >> np.uint64(32))
 
 
+def second_of_pair(key: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The ``b`` of ``pair_key(a, b)``."""
+    with np.errstate(over="ignore"):
+        x = (key ^ (key >> np.uint64(32))) * np.uint64(INVERSES[2])
+        x ^= (x >> np.uint64(29)) ^ (x >> np.uint64(58))
+        return (x ^ (a + np.uint64(ADDED[0])) * np.uint64(FACTORS[0])) * np.uint64(INVERSES[1]) - np.uint64(ADDED[1])
+
+
 def triple_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Key of three words from the keys of their two pairs; a plain expression in Spark as well."""
-    return first ^ (second << np.uint64(1))
+    """Key of three words from the keys of their two pairs."""
+    return first ^ (second << np.uint64(1) | second >> np.uint64(63))
+
+
+def second_of_triple(key: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The ``second`` of ``triple_key(first, second)``."""
+    x = key ^ first
+    return x >> np.uint64(1) | x << np.uint64(63)
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -59,21 +80,77 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 class Hasher:
-    """Word hashes with a cache per Python worker."""
+    """Hashes of lower-cased (A-Z) words, for many texts at a time.
+
+    A word's hash is the sum of a fixed random number for each byte times a power that its place in the
+    word gives, modulo 2^64, and then mixed. So differences of one running sum give all words.
+    """
 
     def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+        rng = np.random.default_rng(7)
+        self.of_byte = rng.integers(0, 1 << 64, 256, np.uint64)
+        self.of_byte[65:91] = self.of_byte[97:123]
+        base = int(rng.integers(0, 1 << 63)) * 2 + 1
+        with np.errstate(over="ignore"):
+            self.up, self.down = (np.cumprod(np.append(np.uint64(1), np.full(2 * SLICE, x, np.uint64))) for x in (base, pow(base, -1, 1 << 64)))
+        self.end = np.uint64(rng.integers(0, 1 << 64, dtype=np.uint64))
+
+    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the words that start and end at the given places of ``data``."""
+        out, low = np.empty(len(starts), np.uint64), 0
+        while low < len(starts):
+            first = starts[low]
+            high = low + int(np.searchsorted(ends[low:], first + SLICE, "right"))
+            if high == low:  # one word of over SLICE bytes
+                out[low] = xxhash.xxh64_intdigest(data[first : ends[low]].tobytes().lower(), 7)
+                low += 1
+                continue
+            with np.errstate(over="ignore"):
+                sums = self.of_byte[data[first : ends[high - 1]]]
+                sums *= self.up[: len(sums)]
+                sums = np.cumsum(sums)
+                at, to = starts[low:high] - first, ends[low:high] - first
+                h = (sums[to - 1] - np.where(at > 0, sums[at - 1], np.uint64(0))) * self.down[at]
+                h ^= h >> np.uint64(31)
+                h *= np.uint64(FACTORS[2])
+                out[low:high] = h ^ (h >> np.uint64(29))
+            low = high
+        return out
+
+    def of_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of the texts that lie in ``data`` between ``offsets``, one after the other, and their numbers: words, then one end each."""
+        solid = (data != 32) & ((data < 9) | (data > 13))
+        opens, closes = solid.copy(), solid.copy()
+        opens[1:] &= ~solid[:-1]
+        closes[:-1] &= ~solid[1:]
+        edges = offsets[(offsets > 0) & (offsets < len(data))]
+        opens[edges] = solid[edges]
+        closes[edges - 1] = solid[edges - 1]
+        starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        upto = np.searchsorted(starts, offsets)
+        sizes = np.diff(upto)
+        tokens = np.full(len(starts) + len(sizes), self.end, np.uint64)
+        tokens[np.arange(len(starts)) + np.repeat(np.arange(len(sizes)), sizes)] = self.words(data, starts, ends)
+        return tokens, sizes + 1
 
     def tokens(self, text: str | None) -> np.ndarray:
-        """Hashes of the lower-cased (A-Z) words and of the end."""
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        words.append(END)
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w, 7)
-        return np.array([known[w] for w in words], np.uint64)
+        data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+        return self.of_bytes(data, np.array([0, len(data)]))[0]
+
+    def of_column(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Parts of a column, each of about SLICE bytes or one longer text: number of the first row, tokens, tokens of each row."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        _, offsets, data = texts.buffers()
+        if not len(texts):
+            return
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+        low = 0
+        while low < len(texts):
+            high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + SLICE, "right")) - 1)
+            part = data[offsets[low] : offsets[high]]
+            yield low, *self.of_bytes(part, offsets[low : high + 1] - offsets[low])
+            low = high
 
 
 _hasher = Hasher()
@@ -94,88 +171,136 @@ def marked(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def _batched(batch: pa.RecordBatch, rows: int = 256) -> Iterator[list[str | None]]:
-    for low in range(0, batch.num_rows, rows):
-        yield batch.column(0).slice(low, rows).to_pylist()
+def buckets_for(texts: DataFrame, share: int = 1 << 22, least: int = 256) -> int:
+    """Number of shares, a power of two, into which keys are dealt: one for each ``share`` bytes of text, so that a share fits in a task."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(least, 1 << (size // share).bit_length())
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of numbers, all lowest ones first, which compresses well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
 
+def _numbers(raw: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
-def _cuts(n: int, size: int = 100_000) -> Iterator[slice]:
-    return (slice(low, low + size) for low in range(0, n, size))
 
+DEALT = "share long, keys binary, counts binary, contexts binary"
 
-def count_words_and_pairs(texts: DataFrame, held: int = 3_000_000) -> DataFrame:
-    """``key, n``: counts of pairs of neighbours, and of words with a minus sign. Each task adds up about ``held`` tokens at a time."""
+
+def dealt(buckets: int, kind: int, keys: np.ndarray, n: np.ndarray, contexts: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of ``DEALT``: sorted distinct keys of one kind (0 or 1) with counts, cut by their first bits, as differences."""
+    cuts = np.searchsorted(keys, (np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - buckets.bit_length() + 1)))
+    cuts = [0, *cuts.tolist(), len(keys)]
+    rows: list[tuple] = []
+    held = 0
+    for share, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        if low < high:
+            own = keys[low:high]
+            rows.append((2 * share + kind, _planes(np.diff(own, prepend=np.uint64(0))), _planes(n[low:high].astype(np.uint32)), b"" if contexts is None else _planes(contexts[low:high])))
+            held += high - low
+        if rows and (held > 200_000 or high == len(keys)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["share", "keys", "counts", "contexts"])
+            rows, held = [], 0
+
+
+def added_up(shares: pa.Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Kind, distinct keys, their counts, and their contexts, of the rows of one share."""
+    cols = {c: shares.column(c).to_pylist() for c in ("keys", "counts", "contexts")}
+    keys = np.concatenate([np.cumsum(_numbers(k, np.uint64), dtype=np.uint64) for k in cols["keys"]])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    n = np.add.reduceat(np.concatenate([_numbers(c, np.uint32) for c in cols["counts"]]).astype(np.int64)[order], first)
+    contexts = np.concatenate([_numbers(c, np.uint64) for c in cols["contexts"]])
+    return shares.column("share")[0].as_py() & 1, keys[first], n, contexts[order[first]] if len(contexts) else None
+
+
+def count_words_and_pairs(texts: DataFrame, buckets: int, held: int = 3_000_000) -> DataFrame:
+    """``key, n``: counts of recurring pairs of neighbours, and of words with a minus sign. Each task adds up about ``held`` tokens at a time.
+
+    Keys travel in shares by their first bits, sorted and as differences, which takes about a fifth of the room of rows. A
+    share is a fixed part of all keys, and a task meets a key once for each time it adds up, so hot words are not heavy.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[np.ndarray] = []
+        found: list[list[np.ndarray]] = [[], []]
         size = 0
 
         def out():
-            nonlocal words, size
-            pairs = [pair_key(t[:-1], t[1:]) for t in words]
-            for keys, sign in ((words, -1), (pairs, 1)):
-                if keys:
-                    key, n = np.unique(np.concatenate(keys), return_counts=True)
-                    for cut in _cuts(len(key)):
-                        yield pa.RecordBatch.from_arrays([signed(key[cut]), pa.array((sign * n[cut]).astype(np.int64))], names=["key", "n"])
-            words, size = [], 0
+            nonlocal found, size
+            for kind in (0, 1):
+                if found[kind]:
+                    yield from dealt(buckets, kind, *np.unique(np.concatenate(found[kind]), return_counts=True))
+            found, size = [[], []], 0
 
         for batch in batches:
-            for part in _batched(batch):
-                for text in part:
-                    words.append(_hasher.tokens(text))
-                    size += len(words[-1])
+            for _, t, sizes in _hasher.of_column(batch.column(0)):
+                within = np.ones(len(t), bool)
+                within[np.cumsum(sizes) - 1] = False
+                found[0].append(t)
+                found[1].append(pair_key(t[:-1], t[1:])[within[:-1]])
+                size += len(t)
                 if size >= held:
                     yield from out()
         yield from out()
 
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(f"n < 0 or n >= {MIN_COUNT}")
+    def add(shares: pa.Table) -> pa.Table:
+        kind, keys, n, _ = added_up(shares)
+        if kind:
+            keys, n = keys[n >= MIN_COUNT], n[n >= MIN_COUNT]
+        return pa.table({"key": signed(keys), "n": pa.array(n if kind else -n)})
+
+    return texts.mapInArrow(run, DEALT).groupBy("share").applyInArrow(add, "key long, n long")
 
 
-def count_triples(texts: DataFrame, bits: np.ndarray, held: int = 1_000_000) -> DataFrame:
-    """``key, context, other, n`` of what the filter ``bits`` of recurring pairs lets through, if it recurs.
+def count_triples(texts: DataFrame, bits: np.ndarray, buckets: int, held: int = 2_000_000) -> DataFrame:
+    """``key, context, other, n, pair`` of what the filter ``bits`` of recurring pairs lets through, if it recurs.
 
-    A pair has its own ``key``, its first word as ``context`` and its second as ``other``. A word after a pair has
-    no key, as ``triple_key`` gives it, the pair as ``context`` and the pair of the last two words as
-    ``other``; both pairs recur, as they must if the three words do.
+    A ``pair`` has its first word as ``context`` and its second as ``other``. A word after a pair has the
+    pair as ``context`` and the pair of the last two words as ``other``; both pairs recur, as they must if
+    the three words do. ``other`` follows from the key and the context, so it does not travel.
     """
     sent = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
-        rows: list[list[tuple]] = [[], []]
+        found: list[list[tuple]] = [[], []]
         size = 0
 
         def out():
-            nonlocal rows, size
-            for own, found in zip((True, False), rows):
-                if found:
-                    k, c, o = (np.concatenate([f[i] for f in found]) for i in range(3))
+            nonlocal found, size
+            for kind in (0, 1):
+                if found[kind]:
+                    k, c = (np.concatenate([f[i] for f in found[kind]]) for i in range(2))
                     key, first, n = np.unique(k, return_index=True, return_counts=True)
-                    for cut in _cuts(len(key)):
-                        at = first[cut]
-                        keys = signed(key[cut]) if own else pa.nulls(len(at), pa.int64())
-                        yield pa.RecordBatch.from_arrays([keys, signed(c[at]), signed(o[at]), pa.array(n[cut].astype(np.int64))], names=["key", "context", "other", "n"])
-            rows, size = [[], []], 0
+                    yield from dealt(buckets, kind, key, n, c[first])
+            found, size = [[], []], 0
 
         for batch in batches:
-            for part in _batched(batch):
-                for text in part:
-                    t = _hasher.tokens(text)
-                    pairs = pair_key(t[:-1], t[1:])
-                    hit = marked(bits, pairs)
-                    at = np.flatnonzero(hit)
-                    if len(at):
-                        rows[0].append((pairs[at], t[at], t[at + 1]))
-                        both = np.flatnonzero(hit[:-1] & hit[1:])
-                        rows[1].append((triple_key(pairs[both], pairs[both + 1]), pairs[both], pairs[both + 1]))
-                        size += len(at) + len(both)
+            for _, t, sizes in _hasher.of_column(batch.column(0)):
+                pairs = pair_key(t[:-1], t[1:])
+                hit = marked(bits, pairs)
+                hit[np.cumsum(sizes)[:-1] - 1] = False
+                at = np.flatnonzero(hit)
+                both = np.flatnonzero(hit[:-1] & hit[1:])
+                found[0].append((triple_key(pairs[both], pairs[both + 1]), pairs[both]))
+                found[1].append((pairs[at], t[at]))
+                size += len(at) + len(both)
                 if size >= held:
                     yield from out()
         yield from out()
 
-    found = texts.mapInArrow(run, "key long, context long, other long, n long")
-    return found.groupBy("key", "context", "other").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
+    def add(shares: pa.Table) -> pa.Table:
+        kind, keys, n, contexts = added_up(shares)
+        often = n >= MIN_COUNT
+        keys, n, contexts = keys[often], n[often], contexts[often]
+        other = (second_of_pair if kind else second_of_triple)(keys, contexts)
+        return pa.table({"key": signed(keys), "context": signed(contexts), "other": signed(other), "n": pa.array(n), "pair": pa.array(np.full(len(n), kind > 0))})
+
+    return texts.mapInArrow(run, DEALT).groupBy("share").applyInArrow(add, "key long, context long, other long, n long, pair boolean")
 
 
 def states(followed: DataFrame, totals: DataFrame, symbol_gain: float, state_gain: float) -> DataFrame:
@@ -203,14 +328,15 @@ def train(docs: DataFrame, usable: Column, text_col: str = "text", symbol_gain:
     Counts cover all usable rows, in two passes: words and pairs, then triples of recurring pairs.
     """
     texts = docs.where(usable).select(F.col(text_col).cast("string").alias("text"))
-    counted = written(count_words_and_pairs(texts))
+    buckets = buckets_for(texts)
+    counted = written(count_words_and_pairs(texts, buckets))
     words = counted.where("n < 0").select("key", (-F.col("n")).alias("m"))
     pairs = counted.where("n > 0")
     n_tokens, n_words = (int(x or 0) for x in words.agg(F.sum("m"), F.count(F.lit(1))).first())
     root_p = (F.col("m") + 1) / F.lit(float(n_tokens + n_words + 1))
-    longer = written(count_triples(texts, bitmap(pairs, "key")))
+    longer = written(count_triples(texts, bitmap(pairs, "key"), buckets))
 
-    first = longer.where("key is not null").select("key", "context", "other", "n")
+    first = longer.where("pair").select("key", "context", "other", "n")
     first = written(first.join(words.select(F.col("key").alias("other"), root_p.alias("root_p")), "other").select("context", "key", "n", "root_p"))
     one = states(first.withColumnRenamed("root_p", "parent_p"), words.select(F.col("key").alias("context"), F.col("m").alias("total")), symbol_gain, state_gain)
 
@@ -218,8 +344,7 @@ def train(docs: DataFrame, usable: Column, text_col: str = "text", symbol_gain:
     factors = one.select("context", "rest").distinct()
     parents = first.join(factors, "context", "left").join(one.select("key", "p"), "key", "left")
     parents = parents.select(F.col("key").alias("other"), F.coalesce("p", F.col("root_p") * F.coalesce("rest", F.lit(1.0))).alias("parent_p"))
-    second = longer.where("key is null").withColumn("key", F.col("context").bitwiseXOR(F.shiftleft("other", 1)))
-    second = second.join(parents, "other").select("context", "key", "n", "parent_p")
+    second = longer.where("not pair").join(parents, "other").select("context", "key", "n", "parent_p")
     two = states(second, pairs.select(F.col("key").alias("context"), F.col("n").alias("total")), symbol_gain, state_gain)
 
     model = words.select("key", F.log10(root_p).alias("term"), F.col("m").alias("seen"), F.lit(True).alias("word"))
@@ -252,9 +377,8 @@ def score(docs: DataFrame, model: DataFrame, n_tokens: int, n_words: int, id_col
     frequent keys are gone, none of them is hot.
     """
     sc = docs.sparkSession.sparkContext
-    rows = hot_entries(model).orderBy("key").toArrow()
+    rows = hot_entries(model).orderBy("seen", "key").select("key", "term").toArrow()
     hot = {c: rows.column(c).to_numpy() for c in ("key", "term")}
-    hot["word"] = np.array(rows.column("word").to_pylist(), bool)
     hot["bits"] = bitmap(model.where("not word"), "key")
     sent = sc.broadcast(hot)
     unknown = float(np.log10(1.0 / (n_tokens + n_words + 1)))
@@ -264,48 +388,56 @@ def score(docs: DataFrame, model: DataFrame, n_tokens: int, n_words: int, id_col
         h = sent.value
         number = (TaskContext.get().partitionId() << 33) if TaskContext.get() else 0
 
+        known_keys = np.append(h["key"], 0).view(np.uint64)
+        places = np.full(PLACES, len(h["key"]), np.int32)
+        shift = np.uint64(64 - PLACES.bit_length() + 1)
+        # Where two entries want a place, the one met more often gets it; the other is left to the join.
+        places[known_keys[:-1] >> shift] = np.arange(len(h["key"]), dtype=np.int32)
+
         def looked_up(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.minimum(np.searchsorted(h["key"], keys), max(0, len(h["key"]) - 1))
-            return (h["key"][at] == keys, at) if len(h["key"]) else (np.zeros(len(keys), bool), at)
+            at = places[keys >> shift]
+            return (known_keys[at] == keys) & (at < len(h["key"])), at
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 128):
-                part = batch.slice(low, 128)
-                tokens = [_hasher.tokens(t) for t in part.column(1).to_pylist()]
-                sizes = np.array([len(t) for t in tokens])
-                who = np.repeat(np.arange(len(tokens)), sizes)
-                t = np.concatenate(tokens)
+            for low, t, sizes in _hasher.of_column(batch.column(1)):
+                who = np.repeat(np.arange(len(sizes)), sizes)
                 place = np.arange(len(t)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 pairs = np.zeros(len(t), np.uint64)
                 pairs[1:] = pair_key(t[:-1], t[1:])
                 i1, i2 = np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
                 mark = np.uint64(STATE_MARK)
-                keys = np.concatenate([t[i1 - 1] ^ mark, pairs[i1], pairs[i2 - 1] ^ mark, triple_key(pairs[i2 - 1], pairs[i2])])
-                whose = np.concatenate([who[i1], who[i1], who[i2], who[i2]])
-                maybe = marked(h["bits"], keys)
-                keys, whose = keys[maybe].view(np.int64), whose[maybe]
+                ones, twos = t[i1 - 1] ^ mark, pairs[i2 - 1] ^ mark
+                listed = [pairs[i1], triple_key(pairs[i2 - 1], pairs[i2])]
+                # A symbol can be listed only below a state.
+                met = [marked(h["bits"], ones), marked(h["bits"], twos)]
+                also = [m & marked(h["bits"], k) for m, k in zip(met, listed)]
+                keys = np.concatenate([ones[met[0]], listed[0][also[0]], twos[met[1]], listed[1][also[1]]])
+                whose = np.concatenate([who[i1[met[0]]], who[i1[also[0]]], who[i2[met[1]]], who[i2[also[1]]]])
                 hit, at = looked_up(keys)
-                more = np.bincount(whose[hit], h["term"][at[hit]], len(tokens)).astype(float)
-                found, where = looked_up(t.view(np.int64))
-                base = np.bincount(who[found], h["term"][where[found]], len(tokens)).astype(float)
-                known = np.bincount(who[found], minlength=len(tokens)).astype(np.int64)
-                lone = [(t.view(np.int64)[~found], who[~found], True), (keys[~hit], whose[~hit], False)]
-                out = {n: [c] for n, c in zip(names, (np.arange(len(tokens)), None, np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64), sizes, known, base, more))}
+                more = np.bincount(whose[hit], h["term"][at[hit]], len(sizes)).astype(float)
+                found, where = looked_up(t)
+                base = np.bincount(who[found], h["term"][where[found]], len(sizes)).astype(float)
+                known = np.bincount(who[found], minlength=len(sizes)).astype(np.int64)
+                lone = [(t[~found].view(np.int64), who[~found], True), (keys[~hit].view(np.int64), whose[~hit], False)]
+                out = {n: [c] for n, c in zip(names, (np.arange(len(sizes)), None, np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool), np.zeros(len(sizes), np.int64), sizes, known, base, more))}
                 for k, w, is_word in lone:
-                    both, n = np.unique(np.stack([w, k]), axis=1, return_counts=True) if len(k) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+                    order = np.lexsort((k, w))
+                    k, w = k[order], w[order]
+                    first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (w[1:] != w[:-1]))[: len(k)])
+                    n = np.diff(first, append=len(k))
                     m = len(n)
-                    for name, c in (("row", both[0]), ("key", both[1]), ("word", np.full(m, is_word)), ("times", n), *((x, np.zeros(m, out[x][0].dtype)) for x in ("n_tokens", "n_known", "base", "more"))):
+                    for name, c in (("row", w[first]), ("key", k[first]), ("word", np.full(m, is_word)), ("times", n), *((x, np.zeros(m, out[x][0].dtype)) for x in ("n_tokens", "n_known", "base", "more"))):
                         out[name].append(c)
                 cols = {n: np.concatenate(c) for n, c in out.items() if n != "doc_id"}
-                ids = part.column(0).take(pa.array(cols["row"]))
+                ids = batch.column(0).take(pa.array(cols["row"] + low))
                 cols["row"] = cols["row"] + number
-                number += len(tokens)
+                number += len(sizes)
                 arrays = [ids if n == "doc_id" else pa.array(cols[n]) for n in names]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = texts.mapInArrow(run, "row long, doc_id long, key long, word boolean, times long, n_tokens long, n_known long, base double, more double")
-    entries = model.select(F.col("key").alias("_key"), "term", F.col("word").alias("_word"))
+    entries = model.select(F.col("key").alias("_key"), "term", F.col("word").alias("_word")).hint("shuffle_hash")
     # Rows that only carry sums ask for no key.
     asks = F.when(F.col("times") > 0, F.col("key")).otherwise(F.xxhash64("row"))
     joined = parts.withColumn("key", asks).join(entries, (F.col("key") == F.col("_key")) & (F.col("word") == F.col("_word")) & (F.col("times") > 0), "left")
