@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_rest, table, written
+from .common import crc_rest, removed, table, written
 
 #: Entries of the model that are broadcast, those met most often; the others are joined.
 HOT_ENTRIES = 1 << 20
@@ -33,6 +33,8 @@ HOT_ENTRIES = 1 << 20
 PLACES = 1 << 22
 #: Bits of the filters that tell which keys matter: 8 MB.
 FILTER_BITS = 1 << 26
+#: From which bits of a key its two places in a filter are taken.
+FILTER_SHIFTS = (0, 26)
 #: A pair or triple of words counts if it is met so often.
 MIN_COUNT = 3
 #: Least log likelihood ratio (nats) of a listed symbol, and of a state.
@@ -157,8 +159,8 @@ _hasher = Hasher()
 
 
 def bitmap(ids: DataFrame, column: str) -> np.ndarray:
-    """FILTER_BITS bits with the ids of a column: the size does not depend on their number."""
-    at = F.pmod(F.col(column), F.lit(FILTER_BITS)) + 1
+    """FILTER_BITS bits, two of them set for each id of a column: the size does not depend on their number."""
+    at = F.explode(F.array(*(F.pmod(F.shiftright(column, by), F.lit(FILTER_BITS)) + 1 for by in FILTER_SHIFTS)))
     rows = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in rows:
@@ -167,8 +169,11 @@ def bitmap(ids: DataFrame, column: str) -> np.ndarray:
 
 
 def marked(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = (ids & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+    found = np.ones(len(ids), np.uint8)
+    for by in FILTER_SHIFTS:
+        at = (ids >> np.uint64(by) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+        found &= bits[at >> 3] >> (at & 7).astype(np.uint8)
+    return found > 0
 
 
 def buckets_for(texts: DataFrame, share: int = 1 << 22, least: int = 256) -> int:
@@ -218,7 +223,7 @@ def added_up(shares: pa.Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray
     return shares.column("share")[0].as_py() & 1, keys[first], n, contexts[order[first]] if len(contexts) else None
 
 
-def count_words_and_pairs(texts: DataFrame, buckets: int, held: int = 3_000_000) -> DataFrame:
+def count_words_and_pairs(texts: DataFrame, buckets: int, held: int = 2_000_000) -> DataFrame:
     """``key, n``: counts of recurring pairs of neighbours, and of words with a minus sign. Each task adds up about ``held`` tokens at a time.
 
     Keys travel in shares by their first bits, sorted and as differences, which takes about a fifth of the room of rows. A
@@ -256,7 +261,7 @@ def count_words_and_pairs(texts: DataFrame, buckets: int, held: int = 3_000_000)
     return texts.mapInArrow(run, DEALT).groupBy("share").applyInArrow(add, "key long, n long")
 
 
-def count_triples(texts: DataFrame, bits: np.ndarray, buckets: int, held: int = 2_000_000) -> DataFrame:
+def count_triples(texts: DataFrame, bits: np.ndarray, buckets: int, held: int = 1_500_000) -> DataFrame:
     """``key, context, other, n, pair`` of what the filter ``bits`` of recurring pairs lets through, if it recurs.
 
     A ``pair`` has its first word as ``context`` and its second as ``other``. A word after a pair has the
@@ -352,7 +357,9 @@ def train(docs: DataFrame, usable: Column, text_col: str = "text", symbol_gain:
         state = level.select("context", "rest", "total").distinct()
         model = model.unionByName(state.select(F.col("context").bitwiseXOR(F.lit(STATE_MARK)).alias("key"), F.log10("rest").alias("term"), F.col("total").alias("seen"), F.lit(False).alias("word")))
         model = model.unionByName(level.select("key", (F.log10(F.col("p") / F.col("parent_p")) - F.log10("rest")).alias("term"), F.col("n").alias("seen"), F.lit(False).alias("word")))
-    return written(model), n_tokens, n_words
+    model = written(model)
+    removed(counted, longer, first, one, two)
+    return model, n_tokens, n_words
 
 
 def hot_entries(model: DataFrame, most: int = HOT_ENTRIES) -> DataFrame:
