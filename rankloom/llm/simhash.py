@@ -8,6 +8,9 @@ and e2 of them lie in the blocks, the second one lies within 3 + e1 and 3 + e2 o
 first one's home. So each fingerprint is replicated to every anchor within the
 covering radius plus threshold, where the excess over 3 of both blocks sums to at
 most t, and any linked pair meets at the home of either.
+
+Few bits stand for near identity. Where texts must be found that share most but not all of
+their shingles, ``similar_links`` adds links by the Jaccard similarity of their sets of shingles.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, table
 from .components import components
+from .line_dedup import _bitmap, _marked
 
 BLOCK, PARITY, RADIUS = 23, 11, 3
 #: Generator polynomial of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -32,11 +36,17 @@ GENERATOR = 0b110001110101
 CROWD = 64
 
 
-def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
-    """Signed 64-bit SimHash of the lower-cased (A-Z) word shingles of a text; no words give 0."""
+#: Bands and rows of the MinHash keys: a pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^30 < 7e-6.
+BANDS, ROWS = 30, 5
+_draws = np.random.default_rng(20).integers(0, 1 << 64, (2, BANDS * ROWS + ROWS), np.uint64)
+MASKS, MULTIPLIERS, MIXERS = _draws[0, : BANDS * ROWS, None], _draws[1, : BANDS * ROWS, None] | np.uint64(1), _draws[1, BANDS * ROWS :] | np.uint64(1)
+
+
+def shingle_hashes(text: str, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """Hashes of the lower-cased (A-Z) word shingles of a text, in its order; a shorter text is one shingle, no words give none."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
@@ -45,13 +55,23 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         hashes = [digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
-    h = np.array(hashes, dtype="<u8")
+    return np.array(hashes, dtype="<u8")
+
+
+def _majority(h: np.ndarray) -> int:
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for low in range(0, len(h), 1 << 14):
         ones += np.unpackbits(h[low : low + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
+    """Signed 64-bit SimHash of the lower-cased (A-Z) word shingles of a text; no words give 0."""
+    return _majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp`` of whole texts; null and blank texts have fingerprint 0."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -177,7 +197,102 @@ def fingerprint_links(fps: DataFrame, threshold: int = 2, crowd: int = CROWD) ->
     return pairs.unionByName(hub).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 2, shingle: int = 3, seed: int = 42, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def band_keys(members: np.ndarray) -> np.ndarray:
+    """One key for each band of the MinHash values of a set of hashes."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for low in range(0, len(members), 512):
+        np.minimum(least, ((members[low : low + 512] ^ MASKS) * MULTIPLIERS).min(axis=1), out=least)
+    keys = (least.reshape(BANDS, ROWS) * MIXERS).sum(axis=1, dtype=np.uint64)
+    keys = (keys ^ (keys >> np.uint64(31))) * MULTIPLIERS[:BANDS, 0]
+    return keys ^ np.arange(BANDS, dtype=np.uint64)
+
+
+def _set_id(members: np.ndarray) -> int:
+    return int(np.array([xxhash.xxh64_intdigest(members.tobytes(), 7)], np.uint64).view(np.int64)[0])
+
+
+def _sketched(docs: DataFrame, shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, fp, sid, keys``: with the fingerprint, the hash of the set of shingles and its band keys; null without words."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, sids, keys = [], [], []
+            for t in batch.column(1):
+                h = shingle_hashes(t.as_py(), shingle, seed)
+                members = np.unique(h)
+                fps.append(_majority(h))
+                sids.append(_set_id(members) if len(h) else None)
+                keys.append(band_keys(members).view(np.int64) if len(h) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "sid", "keys"])
+
+    return rows.mapInArrow(hashed, "doc_id long, fp long, sid long, keys array<bigint>")
+
+
+def similar_trees(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of positions that connect all sets whose Jaccard similarity reaches ``similarity``, each such a pair itself.
+
+    A set is compared with all others at once. Of two sets that are not connected at least one is not in the largest
+    class, so those of the largest class need no turn.
+    """
+    sizes = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    classes, used, links = np.arange(len(sets)), np.zeros(len(sets), bool), []
+    while True:
+        largest = np.bincount(classes).argmax()
+        rest = np.flatnonzero(~used & (classes != largest))
+        if not len(rest):
+            return links
+        i = int(rest[0])
+        used[i] = True
+        here = np.zeros(ids.max() + 1, bool)
+        here[ids[starts[i] : starts[i] + sizes[i]]] = True
+        both = np.add.reduceat(here[ids], starts, dtype=np.int64)
+        near = np.flatnonzero(both >= similarity * (sizes + sizes[i] - both) - 1e-9)
+        for j in near.tolist():
+            if classes[j] != classes[i]:
+                links.append((i, j))
+                classes[classes == classes[j]] = classes[i]
+
+
+def similar_links(docs: DataFrame, sketches: DataFrame, similarity: float, shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """Edges ``a, b`` between the ``sid`` of texts that connect all whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Sets that share a band key are candidates. Keys are linked as stars, which are linear in
+    the rows; classes of candidates then get their sets of shingles, and the exact similarity decides.
+    Only sets of candidates are shuffled, each once.
+    """
+    sets = checkpoint(sketches.where("doc_id is not null and sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
+    bands = sets.select("sid", F.explode("keys").alias("key"))
+    stars = bands.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"), "lo")
+    met = components(bands.join(stars, F.col("key") == F.col("k")).where("sid <> lo").select(F.col("sid").alias("a"), F.col("lo").alias("b")))
+    known = sets.select("sid", "rep")
+    found = checkpoint(met.join(known, met["node"] == known["sid"]).select("sid", F.col("component").alias("cluster"), "rep"))
+    wanted = _bitmap(found, "rep")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = pa.array(_marked(wanted.value, batch.column(0).to_numpy(zero_copy_only=False)))
+            part = batch.filter(hit)
+            members = [np.unique(shingle_hashes(t, shingle, seed)) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_set_id(m) for m in members], pa.int64()), pa.array([m.tobytes() for m in members], pa.binary())], names=["doc_id", "id", "members"])
+
+    def linked(group: pa.Table) -> pa.Table:
+        unique = dict(zip(group.column("sid").to_pylist(), group.column("members").to_pylist()))
+        ids = list(unique)
+        pairs = similar_trees([np.frombuffer(m, "<u8") for m in unique.values()], similarity)
+        return pa.table({"a": pa.array([ids[i] for i, _ in pairs], pa.int64()), "b": pa.array([ids[j] for _, j in pairs], pa.int64())})
+
+    read = rows.mapInArrow(again, "doc_id long, id long, members binary")
+    joined = read.join(found, (read["id"] == found["sid"]) & (read["doc_id"] == found["rep"])).select("cluster", "sid", "members")
+    return joined.groupBy("cluster").applyInArrow(linked, "a long, b long")
+
+
+def near_duplicates(
+    docs: DataFrame, threshold: int = 2, shingle: int = 3, seed: int = 42, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None
+) -> DataFrame:
     """One row per document: ``doc_id, fp, component_id`` (the smallest id of its class).
 
     Documents are read once. From then on only distinct fingerprints travel, each with the
@@ -187,13 +302,26 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, shingle: int = 3, seed:
     class. A null id stays null and does not name a class unless no other id has
     its fingerprint; then the class of that fingerprint is null if it is alone.
     Repeated rows give repeated rows; an empty table gives none.
+
+    With ``similarity``, 0.8 or more, texts whose sets of shingles have that Jaccard similarity are linked as well.
     """
-    hashed = checkpoint(fingerprints(docs, shingle, seed, id_col, text_col))
+    if similarity is not None and similarity < 0.8:
+        raise ValueError("the bands are made for a similarity of 0.8 or more")
+    hashed = checkpoint(fingerprints(docs, shingle, seed, id_col, text_col) if similarity is None else _sketched(docs, shingle, seed, id_col, text_col))
     reps = checkpoint(hashed.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     links = fingerprint_links(reps.where("rep is not null").select("fp"), threshold, crowd)
     a = reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra"))
     b = reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
     edges = links.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    if similarity is not None:
+        # A set stands for the least document of its fingerprints: the same set with other repeats has another one.
+        nodes = checkpoint(hashed.where("sid is not null").select("sid", F.col("fp").alias("_fp")).distinct().join(reps.where("rep is not null"), F.col("_fp") == reps["fp"]).select("sid", "rep"))
+        of = nodes.groupBy("sid").agg(F.min("rep").alias("least"))
+        same = nodes.join(of.withColumnRenamed("sid", "s"), F.col("sid") == F.col("s")).where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+        near = checkpoint(similar_links(docs, hashed, similarity, shingle, seed, id_col, text_col))
+        sa, sb = (of.select(F.col("sid").alias(f"_{c}"), F.col("least").alias(f"r{c}")) for c in "ab")
+        near = near.join(sa, F.col("a") == F.col("_a")).join(sb, F.col("b") == F.col("_b")).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        edges = edges.unionByName(same).unionByName(near)
     found = components(edges)
     named = reps.join(found, reps["rep"] == found["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
     return hashed.join(named, hashed["fp"] == named["_fp"], "left").select("doc_id", "fp", "component_id")

@@ -367,3 +367,37 @@ def test_pipeline_stages(spark, odd):
             want = {r.doc_id: r.copies for r in mixing.mix(before).collect()}
             assert collections.Counter(kept) == collections.Counter({i: c for i, c in want.items() if c})
     assert docs.count() > 0
+
+
+def test_near_dedup_reaches_a_jaccard_similarity(spark):
+    """Copies with some words changed go; classes are those of all pairs, by sets of five words."""
+    import corpus_pipeline
+
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    texts, parent = {}, {}
+    for _ in range(40):
+        base = [word() for _ in range(rnd.randint(60, 200))]
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(rnd.randint(0, 6)):
+                copy[rnd.randrange(len(copy))] = word()
+            texts[len(texts)] = " ".join(copy)
+    texts |= {1000: "", 1001: " ", 1002: "one two", 1003: "One  two", 1004: "one two three"}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.lower().split()) for i, t in texts.items())}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    beyond = 0
+    for a, b in itertools.combinations(texts, 2):
+        both = len(sets[a] & sets[b])
+        bits = ((simhash.fingerprint(texts[a], 5) ^ simhash.fingerprint(texts[b], 5)) & (1 << 64) - 1).bit_count()
+        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) or bits <= 2:
+            beyond += bits > 2
+            parent[max(top(a), top(b))] = min(top(a), top(b))
+    assert beyond > 50
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect()) == sorted({top(i) for i in texts})
