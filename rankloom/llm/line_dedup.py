@@ -20,12 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh, table
+from .common import WORD, checkpoint, fresh, table
 from .components import components
 
 THRESHOLD = 2
-#: Lines shorter than this are left alone: a sentence of a word or two repeats by chance.
-MIN_CHARS = 40
+#: The shortest line of the edit join: five segments of three characters. Shorter ones are the same only if they are equal.
+MIN_CHARS = 3 * (THRESHOLD + 3)
 #: A segment that more lines share than this is refined, see ``line_links``.
 CROWD = 32
 #: Bits of the filters that tell which keys and lines matter: 4 MB.
@@ -286,13 +286,14 @@ def _verified(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line of at least ``min_chars`` characters: ``doc_id, line_no, line_id, class_id, links, kept``.
+    """One row per line that is not blank: ``doc_id, line_no, line_id, class_id, links, kept``.
 
     Lines are what line feeds separate; ``line_id`` is a hash of the text, and
     ``class_id`` the least one that a chain of links reaches; ``links`` counts the different
     texts within ``threshold`` edits. The first line of a class by (document id, line
-    number) is kept. ``min_chars`` is at least 3 (threshold + 3), so that segments are
-    not too short to tell lines apart.
+    number) is kept. Lines of less than ``min_chars`` characters have no links, so their class is
+    the equal ones. ``min_chars`` is at least 3 (threshold + 3), so that segments are
+    not too short to tell lines apart. Blank lines part paragraphs and have no row.
 
     Null and empty texts have no lines. Lines of documents with a null id are always kept and
     never come first. Rows that repeat an id are one document: if it holds the first
@@ -300,7 +301,7 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     """
     least = max(min_chars, 3 * (threshold + 3))
     split = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
-    rows = checkpoint(split.where(F.length("line") >= least).select("doc_id", "line_no", F.xxhash64("line").alias("line_id")))
+    rows = checkpoint(split.where(F.col("line").rlike(WORD)).select("doc_id", "line_no", F.xxhash64("line").alias("line_id")))
     links = checkpoint(line_links(docs, threshold, least, text_col=text_col))
     degree = links.select(F.explode(F.array("a", "b")).alias("_line")).groupBy("_line").agg(F.count(F.lit(1)).alias("links"))
     linked = checkpoint(degree.join(components(links), F.col("_line") == F.col("node")).select("_line", "links", F.col("component").alias("class_id")))

@@ -401,3 +401,12 @@ def test_near_dedup_reaches_a_jaccard_similarity(spark):
     assert beyond > 50
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect()) == sorted({top(i) for i in texts})
+
+
+def test_short_lines_that_repeat(spark):
+    """Equal lines of any length have a class; from 15 characters on two edits link them; blank lines stay."""
+    rows = [(1, "All rights reserved.\n\nend\nLicensed by A.B. Co."), (2, "first\n\nend\nAll rights reserved."), (3, "Licensed by A.C. Co.\n \nends"), (4, "all right, reserve it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(docs).collect()}
+    assert got == {1: rows[0][1], 2: "first\n", 3: " \nends", 4: rows[3][1]}
+    assert line_dedup.line_classes(docs).count() == 9
