@@ -24,18 +24,10 @@ def halves(s, d):
     return out
 
 
-def small(df, *cols):
-    """The first eight entities, so that every arm has ratings of each."""
-    test = F.lit(True)
-    for c in cols:
-        test = test & (F.col(c) < 8)
-    return df.where(test)
-
-
 @query("st_38_39_vector_tests")
 def _(s, d):
     (_, ea, ca), (_, eb, cb) = halves(s, d)
-    out = K.vector_tests(small(ea, "entity_id"), small(eb, "entity_id"), small(ca, "entity_i", "entity_j"), small(cb, "entity_i", "entity_j"))
+    out = K.vector_tests(ea, eb, ca, cb)
     return out.select("item", "J", *[F.round(c, 4).alias(c) for c in ("wald", "wald_p", "cmd", "cmd_p", "a", "b")])
 
 

@@ -76,3 +76,12 @@ def test_checks_raise(spark):
     df = spark.createDataFrame([(1,), (1,)], "k int")
     with pytest.raises(Q.ContractError):
         Q.require_empty(Q.repeated_keys(df, ["k"]), "keys repeat")
+
+
+def test_vector_tests_take_all_common_entities(spark):
+    from rankloom.plans import pairs_compare, registry
+
+    d = "/root/testdata/sf0.001"
+    (_, a, _), (_, b, _) = pairs_compare.halves(spark, d)
+    common = a.select("entity_id").intersect(b.select("entity_id")).count()
+    assert common > 8 and [r.J for r in registry.queries()["st_38_39_vector_tests"](spark, d).collect()] == [common]
