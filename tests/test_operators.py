@@ -85,3 +85,13 @@ def test_vector_tests_take_all_common_entities(spark):
     (_, a, _), (_, b, _) = pairs_compare.halves(spark, d)
     common = a.select("entity_id").intersect(b.select("entity_id")).count()
     assert common > 8 and [r.J for r in registry.queries()["st_38_39_vector_tests"](spark, d).collect()] == [common]
+
+
+def test_identity_looks_at_every_cell(rows):
+    from rankloom.plans.checks import cross_product_holds
+
+    infl = E.influences(E.mean_scores(rows))
+    cov = E.robust_covariance(infl)
+    wrong = cov.withColumn("rcov", F.when((F.col("entity_i") == 3) & (F.col("entity_j") == 4), 9.0).otherwise(F.col("rcov")))
+    assert [r.holds for r in cross_product_holds(infl, cov).collect()] == [True]
+    assert [r.holds for r in cross_product_holds(infl, wrong).collect()] == [False]
