@@ -41,10 +41,14 @@ def _(s, d):
     return K.signal_correlation(ea, eb, ["item"], sa, sb)
 
 
+#: Bootstrap replicates, as in the reference.
+REPLICATES = 499
+
+
 @query("st_41_bootstrap")
 def _(s, d):
     (sa, ea, _), (sb, eb, _) = halves(s, d)
-    boots = [K.bootstrap_means(sc, K.bootstrap_weights(sc.select("resp_id").distinct(), 19, seed)) for sc, seed in ((sa, 123), (sb, 42))]
+    boots = [K.bootstrap_means(sc, K.bootstrap_weights(sc.select("resp_id").distinct(), REPLICATES, seed)) for sc, seed in ((sa, 123), (sb, 42))]
 
     def distance(a, b, keys):
         j = a.select(*keys, "entity_id", F.col("estimate").alias("x")).join(b.select(*keys, "entity_id", F.col("estimate").alias("y")), [*keys, "entity_id"])

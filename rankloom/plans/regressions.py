@@ -154,7 +154,7 @@ def _(s, d):
 
     est, cov = recentred(s, d)
     signal, vech, total = P.item_moments(est, cov, ["a", "b"])
-    noise, accepted = P.positive_signal(s, signal, vech, total, draws=20_000)
+    noise, accepted = P.positive_signal(s, signal, vech, total)
     dt = data(s, d).groupBy("entity_id").agg(F.max(F.when(F.col("item") == "a", F.col("x"))).alias("a"), F.max(F.when(F.col("item") == "b", F.col("x"))).alias("b"), F.max("y").alias("y"), F.max("w").alias("w")).dropna()
     fit = R.eiv_many(dt.withColumn("spec", F.lit("ab")), ["spec"], "y", ["a", "b"], "w", {("a", "a"): float(noise[0, 0]), ("a", "b"): float(noise[0, 1]), ("b", "b"): float(noise[1, 1])})
     return fit.select("spec", "name", F.round("b", 4).alias("b"), F.lit(accepted).alias("accepted"))

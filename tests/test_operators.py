@@ -95,3 +95,19 @@ def test_identity_looks_at_every_cell(rows):
     wrong = cov.withColumn("rcov", F.when((F.col("entity_i") == 3) & (F.col("entity_j") == 4), 9.0).otherwise(F.col("rcov")))
     assert [r.holds for r in cross_product_holds(infl, cov).collect()] == [True]
     assert [r.holds for r in cross_product_holds(infl, wrong).collect()] == [False]
+
+
+def test_replicates_and_draws_are_those_of_the_reference(spark, monkeypatch):
+    from rankloom.operators import positivity
+    from rankloom.plans import registry
+
+    d, drawn, plain = "/root/testdata/sf0.001", [], positivity.positive_signal
+
+    def seen(*args, draws=positivity.positive_signal.__defaults__[0], **options):
+        drawn.append(draws)
+        return plain(*args, draws=draws, **options)
+
+    monkeypatch.setattr(positivity, "positive_signal", seen)
+    assert [r.reps for r in registry.queries()["st_41_bootstrap"](spark, d).collect()] == [499]
+    registry.queries()["st_28_positive_signal"](spark, d)
+    assert drawn == [50_000]
