@@ -36,7 +36,7 @@ FILTER_BITS = 1 << 26
 #: From which bits of a key its two places in a filter are taken.
 FILTER_SHIFTS = (0, 26)
 #: A pair or triple of words counts if it is met so often.
-MIN_COUNT = 3
+MIN_COUNT = 2
 #: Least log likelihood ratio (nats) of a listed symbol, and of a state.
 SYMBOL_GAIN, STATE_GAIN = 4.0, 10.0
 #: Sets the key of a context's state apart from the key of the context.

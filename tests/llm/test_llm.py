@@ -410,3 +410,13 @@ def test_short_lines_that_repeat(spark):
     got = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(docs).collect()}
     assert got == {1: rows[0][1], 2: "first\n", 3: " \nends", 4: rows[3][1]}
     assert line_dedup.line_classes(docs).count() == 9
+
+
+def test_pairs_met_twice_are_listed(spark):
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice("abcdefgh") for _ in range(40)) for _ in range(50)] + ["zebra quark a b", "c zebra quark"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, _, _ = suffix_tree_lm.train(docs, F.lit(True))
+    zebra, quark = suffix_tree_lm.Hasher().tokens("zebra quark")[:2]
+    key = suffix_tree_lm.pair_key(np.array([zebra]), np.array([quark])).view(np.int64)[0]
+    assert model.where(F.col("key") == int(key)).count() == 1
