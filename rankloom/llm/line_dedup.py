@@ -5,7 +5,8 @@ them. A line of length l is cut into threshold + 1 segments; by the pigeonhole
 principle a line within the threshold has one of them unchanged, starting at one of
 a few places. So segments are indexed by (length, segment number, content), other
 lines probe with the substrings that can match, and candidates are verified with a
-banded bit-parallel edit distance.
+banded bit-parallel edit distance. Groups of very many similar lines are compared
+block by block, and return counts and trees of links instead of pairs.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,55 +30,108 @@ THRESHOLD = 2
 MIN_CHARS = 3 * (THRESHOLD + 3)
 #: A segment that more lines share than this is refined, see ``line_links``.
 CROWD = 32
-#: Bits of the filters that tell which keys and lines matter: 4 MB.
-FILTER_BITS = 1 << 25
+#: Most bits of the filters that tell which keys and lines matter: 64 MB.
+FILTER_BITS = 1 << 29
+#: Lines of 64 characters that a task compares with as many others.
+BLOCK_LINES = 512
+
+
+def _common_prefix(a: np.ndarray, b: np.ndarray) -> int:
+    n = min(len(a), len(b))
+    low = 0
+    while low < n:  # in growing steps, so that an early difference costs little
+        high = min(n, low + max(64, low))
+        differs = a[low:high] != b[low:high]
+        if differs.any():
+            return low + int(differs.argmax())
+        low = high
+    return n
+
+
+def _code_points(line: str) -> np.ndarray:
+    return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
 def edit_distance_within(a: str, b: str, most: int) -> int | None:
     """Edit distance of ``a`` and ``b`` if it is at most ``most``, else None.
 
-    Bit-parallel after Myers: a row of the table is a few words of bits. Common ends are
-    cut off, which leaves the part near the edits, and the loop stops once the
-    band around the diagonal cannot come back under ``most``.
+    Only the 2 most + 1 diagonals around the main one can hold so small a distance. Each column of
+    that band is a few bits that say where a step down the rows costs one more or one less
+    (Myers, in the banded form of Hyyro). Common ends are cut off first, and the
+    loop stops once the distance cannot come back under ``most``.
     """
     if abs(len(a) - len(b)) > most:
         return None
     if a == b:
         return 0
-    low, high_a, high_b = 0, len(a), len(b)
-    while low < min(high_a, high_b) and a[low] == b[low]:
-        low += 1
-    while high_a > low and high_b > low and a[high_a - 1] == b[high_b - 1]:
-        high_a, high_b = high_a - 1, high_b - 1
-    a, b = a[low:high_a], b[low:high_b]
-    m, n = len(a), len(b)
-    if not m or not n:
-        return m + n if m + n <= most else None
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    full, last = (1 << m) - 1, 1 << (m - 1)
-    plus, minus, found = full, 0, m
-    for j, c in enumerate(b):
-        eq = where.get(c, 0)
-        x = eq | minus
-        d = (((eq & plus) + plus) ^ plus) | x
-        hp = minus | ~(d | plus) & full
-        hm = plus & d
-        if hp & last:
-            found += 1
-        elif hm & last:
-            found -= 1
-        # The last row can fall by one a column at most.
-        if found - (n - 1 - j) > most:
+    x, y = _code_points(a), _code_points(b)
+    low = _common_prefix(x, y)
+    high = _common_prefix(x[low:][::-1], y[low:][::-1])
+    pattern, text = sorted((x[low : len(x) - high].tolist(), y[low : len(y) - high].tolist()), key=len)
+    m, n = len(pattern), len(text)
+    # In column j, bit k stands for row j - most + k, rows counted from 1; ``where`` tells the rows of a character.
+    width = 2 * most + 1
+    full, corner, base = (1 << width) - 1, 1 << (width - 1), 0
+    where: dict[int, int] = {}
+    for i in range(min(most, m)):
+        where[pattern[i]] = where.get(pattern[i], 0) | 1 << (i + most)
+    plus, minus, found = full & ~((1 << most) - 1), 0, min(most, m)
+    for j in range(1, n + 1):
+        if j - 1 - base >= 64:  # rows above the band are of no more use
+            where = {c: bits >> 64 for c, bits in where.items() if bits >> 64}
+            base += 64
+        if j + most <= m:
+            c = pattern[j + most - 1]
+            where[c] = where.get(c, 0) | 1 << (j + 2 * most - 1 - base)
+        eq = where.get(text[j - 1], 0) >> (j - 1 - base) & full
+        d = (((eq & plus) + plus) ^ plus | eq | minus) & full
+        hp, hm = (minus | ~(d | plus)) & full, d & plus
+        if j + most <= m:  # down the lowest diagonal, then along the last row
+            found += not d & corner
+        else:
+            bit = 1 << (m - j + most)
+            found += bool(hp & bit) - bool(hm & bit)
+        if found - (n - max(j, m - most)) > most:
             return None
-        hp = (hp << 1 | 1) & full
-        hm = hm << 1 & full
-        plus = hm | ~(x | hp) & full
-        minus = hp & x
+        d >>= 1
+        plus, minus = (hm | ~(d | hp)) & full, d & hp
     return found if found <= most else None
 
 
+def within_matrix(short: list[str], long: list[str], most: int) -> np.ndarray:
+    """Whether each of ``short`` (all of one length) is within ``most`` edits of each of ``long`` (all of one length, at most ``most`` more): the same band for all pairs at once."""
+    if len(short) * len(long) < 32:
+        return np.array([[edit_distance_within(a, b, most) is not None for b in long] for a in short], bool).reshape(len(short), len(long))
+    m, n, width = len(short[0]), len(long[0]), 2 * most + 1
+    codes = np.unique(_code_points("".join(short) + "".join(long)), return_inverse=True)[1]
+    codes = codes.astype(np.uint8 if codes.max() < 256 else np.uint32)
+    rows = np.ascontiguousarray(codes[: m * len(short)].reshape(-1, m).T)
+    columns = np.ascontiguousarray(codes[m * len(short) :].reshape(-1, n).T)
+    kind = np.uint8 if width < 8 else np.uint64
+    shape = (len(short), len(long))
+    full = kind((1 << width) - 1)
+    plus, minus = np.full(shape, full & ~kind((1 << most) - 1), kind), np.zeros(shape, kind)
+    found = np.full(shape, min(most, m), np.int32)
+    for j in range(1, n + 1):
+        eq = np.zeros(shape, kind)
+        for k in range(width):
+            i = j - most - 1 + k
+            if 0 <= i < m:
+                eq |= (rows[i][:, None] == columns[j - 1]).astype(kind) << kind(k)
+        d = (((eq & plus) + plus) ^ plus | eq | minus) & full
+        hp, hm = (minus | ~(d | plus)) & full, d & plus
+        if j + most <= m:
+            found += (d >> kind(width - 1)) == 0
+        else:
+            at = kind(m - j + most)
+            found += (hp >> at & kind(1)).astype(np.int8) - (hm >> at & kind(1)).astype(np.int8)
+        if j % 16 == 0 and (found - (n - max(j, m - most)) > most).all():
+            return np.zeros(shape, bool)
+        d >>= kind(1)
+        plus, minus = (hm | ~(d | hp)) & full, d & hp
+    return found <= most
+
+
 def segments(length: int, parts: int) -> list[tuple[int, int]]:
     """Start and length of ``parts`` even segments, the longer ones last."""
     short, longer = divmod(length, parts)
@@ -143,17 +198,18 @@ def _scan(docs: DataFrame, text_col: str, min_chars: int, make, schema: str, nam
 
 
 def _bitmap(ids: DataFrame, column: str):
-    """A bitmap of FILTER_BITS bits with the ids of a column, broadcast: its size does not depend on their number."""
-    at = F.pmod(F.col(column), F.lit(FILTER_BITS)) + 1  # Spark's buckets and bits count from 1
+    """A bitmap of the ids of a column, broadcast: 16 bits for each row, from 128 KB up to 64 MB, whatever the number of rows."""
+    bits = min(FILTER_BITS, 1 << max(20, (16 * ids.count()).bit_length()))
+    at = F.pmod(F.col(column), F.lit(bits)) + 1  # Spark's buckets and bits count from 1
     rows = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    marks = np.zeros(bits // 8, np.uint8)
     for r in rows:
-        bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return ids.sparkSession.sparkContext.broadcast(bits)
+        marks[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(marks)
 
 
 def _marked(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = np.mod(ids, FILTER_BITS)
+    at = ids & (8 * len(bits) - 1)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
@@ -170,24 +226,25 @@ def _keys_of(lines: Iterable[str], threshold: int) -> tuple[np.ndarray, np.ndarr
 
 
 def line_links(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, crowd: int = CROWD, text_col: str = "text") -> DataFrame:
-    """Pairs ``a < b`` of line ids within ``threshold`` edits, each once.
+    """Links of lines within ``threshold`` edits, in parts: ``line_id, other, links``.
+
+    ``links`` summed up by ``line_id`` is the number of different lines within the threshold. The pairs
+    of ``line_id`` and ``other``, where that is not null, are links that connect all that are linked.
 
     A first pass finds the keys that two different lines share, a second one the
     lines that have them, a third the texts of the candidates. In between a bitmap
-    of fixed size tells which keys or lines matter; its errors are removed by
+    tells which keys or lines matter; its errors are removed by
     joins. So beyond hashes only candidate lines are shuffled.
 
     A key that more than ``crowd`` lines have as a segment would pair quadratically
     many. Its lines go another way that is exact as well: they are cut into
-    threshold + 2 segments, of which two survive, and two must be shared; where that is
-    crowded, three of threshold + 3. These pairs are verified within the join.
+    threshold + 2 segments, of which two survive, and two must be shared. Lines for which
+    that is crowded too are compared group by group, see ``_crowd_links``.
     """
     columns = ["line_id", "key", "own"]
     schema = "line_id long, key long, own boolean"
     keys = _scan(docs, text_col, min_chars, lambda lines: _keys_of(lines, threshold), schema, columns)
-    live = keys.groupBy("key").agg(F.max("own").alias("own"), F.min("line_id").alias("lo"), F.max("line_id").alias("hi"))
-    live = checkpoint(live.where("own and lo <> hi").select("key"))
-    known = _bitmap(live, "key")
+    known = _bitmap(live := checkpoint(_live(keys)), "key")
 
     def again(lines):
         ids, keys, own = _keys_of(lines, threshold)
@@ -209,37 +266,104 @@ def line_links(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN
     found = _scan(docs, text_col, min_chars, texts, "line_id long, line string", ["line_id", "line"])
     lines = checkpoint(found.join(need, "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line")))
     links = _verified(pairs, lines, threshold)
-    for shared in (2, 3):
-        rest = lines.join(crowded, "line_id", "left_semi")
-        if rest.isEmpty():
-            break
-        rows = checkpoint(rest.mapInArrow(_combined(threshold, shared), schema).distinct())
-        live = rows.groupBy("key").agg(F.max("own").alias("own"), F.min("line_id").alias("lo"), F.max("line_id").alias("hi")).where("own and lo <> hi")
-        rows = checkpoint(rows.join(live.select("key"), "key", "left_semi"))
-        pairs, crowded = _paired(rows, None if shared == 3 else crowd, lines, threshold)
-        links = links.unionByName(_verified(pairs, lines, threshold))
-    return links.distinct()
-
-
-def _paired(rows: DataFrame, crowd: int | None, lines: DataFrame | None = None, threshold: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Pairs that share a key which one of them has as its own, and the lines of crowded keys (checkpointed both).
-
-    With ``lines``, pairs beyond the threshold are dropped inside the join by Spark's banded
-    edit distance, so that what a large group of similar lines makes is its links alone.
+    rest = lines.join(crowded, "line_id", "left_semi")
+    if rest.isEmpty():
+        return _both_ends(links)
+    rows = _combined_rows(rest, threshold, 2)
+    pairs, crowded = _paired(rows, crowd)
+    links = links.unionByName(_verified(pairs, lines, threshold)).distinct()
+    rest = checkpoint(lines.join(crowded, "line_id", "left_semi"))
+    if rest.isEmpty():
+        return _both_ends(links)
+    # Links between two of the rest are found, and counted, below.
+    for end in "ab":
+        links = links.join(crowded.select(F.col("line_id").alias(end), F.lit(True).alias(f"in_{end}")), end, "left")
+    links = links.where("in_a is null or in_b is null").select("a", "b")
+    return _both_ends(links).unionByName(_crowd_links(rest, threshold))
+
+
+def _live(keys: DataFrame) -> DataFrame:
+    """Keys that two different lines share and one has as a segment."""
+    return keys.groupBy("key").agg(F.max("own").alias("own"), F.min("line_id").alias("lo"), F.max("line_id").alias("hi")).where("own and lo <> hi").select("key")
+
+
+def _both_ends(links: DataFrame) -> DataFrame:
+    ends = F.array(F.struct(F.col("a").alias("line_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("line_id"), F.lit(None).cast("long").alias("other")))
+    return links.distinct().select(F.explode(ends).alias("e")).select("e.*", F.lit(1).cast("long").alias("links"))
+
+
+def _combined_rows(lines: DataFrame, threshold: int, shared: int) -> DataFrame:
+    rows = checkpoint(lines.select("line_id", "line").mapInArrow(_combined(threshold, shared), "line_id long, key long, own boolean").distinct())
+    return checkpoint(rows.join(_live(rows), "key", "left_semi"))
+
+
+def _crowd_links(lines: DataFrame, threshold: int) -> DataFrame:
+    """``line_id, other, links`` of crowded lines, without a row for each pair.
+
+    Lines that share three of threshold + 3 segments, as all within the threshold do, fall into groups. The lines of a
+    group and length are dealt into blocks, and a task compares one block with another of a length that is
+    at most ``threshold`` away. It returns how many of the other block each line links to, and a tree of links for
+    each set of connected lines: a row for each line at most.
     """
+    rows = _combined_rows(lines, threshold, 3)
+    least = rows.groupBy("key").agg(F.min("line_id").alias("lo")).select(F.col("key").alias("k"), "lo")
+    group = components(rows.join(least, F.col("key") == F.col("k")).where("line_id <> lo").select(F.col("line_id").alias("a"), F.col("lo").alias("b")))
+    members = checkpoint(lines.select("line_id", F.length("line").alias("n")).join(group, F.col("line_id") == F.col("node")).select("component", "line_id", "n"))
+    sizes = members.groupBy("component", "n").agg(F.count(F.lit(1)).alias("lines"))
+    sizes = checkpoint(sizes.select("component", "n", "lines", F.ceil(F.col("lines") * F.greatest(F.lit(1.0), F.col("n") / 64) / BLOCK_LINES).alias("blocks")))
+    own = sizes.select(F.col("component").alias("c"), F.col("n").alias("l"), F.col("blocks").alias("own_blocks"))
+    dealt = members.join(own, (F.col("component") == F.col("c")) & (F.col("n") == F.col("l"))).withColumn("at", F.pmod(F.xxhash64("line_id"), F.col("own_blocks")))
+    dealt = dealt.select("component", "line_id", "n", "at", F.explode(F.sequence(F.lit(-threshold), F.lit(threshold))).alias("d"))
+    others = sizes.select(F.col("component").alias("c"), F.col("n").alias("l"), "lines", "blocks")
+    met = dealt.join(others, (F.col("component") == F.col("c")) & (F.col("n") + F.col("d") == F.col("l"))).where("d <> 0 or lines > 1")
+    met = met.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    first = (F.col("d") > 0) | (F.col("d") == 0) & (F.col("at") <= F.col("with"))
+    pick = lambda x, y: F.when(first, x).otherwise(y)
+    tasks = met.select("component", pick(F.col("n"), F.col("n") + F.col("d")).alias("short"), pick(F.col("at"), F.col("with")).alias("i"), pick(F.col("n") + F.col("d"), F.col("n")).alias("long"), pick(F.col("with"), F.col("at")).alias("j"), "line_id", first.alias("first"))
+
+    def compare(block: pa.Table) -> pa.Table:
+        first = block.column("first")
+        a, b = block.filter(first), block.filter(pc.invert(first))
+        same = block.column("short")[0] == block.column("long")[0] and block.column("i")[0] == block.column("j")[0]
+        b = a if same else b
+        ids = np.concatenate([x.column("line_id").to_numpy() for x in ((a,) if same else (a, b))])
+        near = within_matrix(a.column("line").to_pylist(), b.column("line").to_pylist(), threshold) if len(a) and len(b) else np.zeros((len(a), len(b)), bool)
+        if same:
+            np.fill_diagonal(near, False)
+            linked = near
+        else:
+            linked = np.zeros((len(ids), len(ids)), bool)
+            linked[: len(a), len(a) :], linked[len(a) :, : len(a)] = near, near.T
+        count, parent = linked.sum(axis=1), spanning_parents(linked)
+        keep = np.flatnonzero(count)
+        other = pa.array(ids[np.maximum(parent[keep], 0)], mask=parent[keep] < 0)
+        return pa.table({"line_id": pa.array(ids[keep]), "other": other, "links": pa.array(count[keep])})
+
+    return tasks.join(lines, "line_id").groupBy("component", "short", "i", "long", "j").applyInArrow(compare, "line_id long, other long, links long")
+
+
+def spanning_parents(linked: np.ndarray) -> np.ndarray:
+    """For each node its parent in a tree that spans its connected part, -1 for roots."""
+    parent, seen = np.full(len(linked), -1), np.zeros(len(linked), bool)
+    for root in np.flatnonzero(linked.any(axis=1)).tolist():
+        stack = [] if seen[root] else [root]
+        seen[root] = True
+        while stack:
+            node = stack.pop()
+            new = np.flatnonzero(linked[node] & ~seen)
+            seen[new], parent[new] = True, node
+            stack += new.tolist()
+    return parent
+
+
+def _paired(rows: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs that share a key which one of them has as its own, and the lines of crowded keys (checkpointed both)."""
     own = rows.where("own")
     sizes = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    fit = own if crowd is None else own.join(sizes.where(F.col("n") <= crowd), "key", "left_semi")
+    fit = own.join(sizes.where(F.col("n") <= crowd), "key", "left_semi")
     b, a = rows.select(F.col("line_id").alias("b"), "key"), fit.select(F.col("line_id").alias("a"), F.col("key").alias("key_a"))
-    on = (F.col("key") == F.col("key_a")) & (F.col("a") != F.col("b"))
-    if lines is not None:
-        b = b.join(lines.select(F.col("line_id").alias("b"), F.col("line").alias("lb")), "b")
-        a = a.join(lines.select(F.col("line_id").alias("a"), F.col("line").alias("la")), "a")
-        on = on & (F.levenshtein("la", "lb", threshold) >= 0)
-    joined = b.join(a, on)
+    joined = b.join(a, (F.col("key") == F.col("key_a")) & (F.col("a") != F.col("b")))
     pairs = checkpoint(joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if crowd is None:
-        return pairs, rows.where("false").select("line_id")
     return pairs, checkpoint(rows.join(sizes.where(F.col("n") > crowd), "key", "left_semi").select("line_id").distinct())
 
 
@@ -303,8 +427,9 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     split = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line_no", "line"))
     rows = checkpoint(split.where(F.col("line").rlike(WORD)).select("doc_id", "line_no", F.xxhash64("line").alias("line_id")))
     links = checkpoint(line_links(docs, threshold, least, text_col=text_col))
-    degree = links.select(F.explode(F.array("a", "b")).alias("_line")).groupBy("_line").agg(F.count(F.lit(1)).alias("links"))
-    linked = checkpoint(degree.join(components(links), F.col("_line") == F.col("node")).select("_line", "links", F.col("component").alias("class_id")))
+    degree = links.groupBy(F.col("line_id").alias("_line")).agg(F.sum("links").alias("links"))
+    edges = links.where("other is not null").select(F.col("line_id").alias("a"), F.col("other").alias("b"))
+    linked = checkpoint(degree.join(components(edges), F.col("_line") == F.col("node")).select("_line", "links", F.col("component").alias("class_id")))
     place = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "line_no")))
     firsts = rows.groupBy("line_id").agg(place.alias("at"), F.count(F.lit(1)).alias("copies"))
     firsts = firsts.join(linked, F.col("line_id") == F.col("_line"), "left").select("line_id", "at", "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("class_id", "line_id").alias("class_id"))

@@ -176,7 +176,20 @@ def test_components_of_a_chain(spark):
     assert all(found[i] == 0 for i in range(41)) and found[101] == 100
 
 
-def test_line_dedup(spark, odd, empty):
+def _classes(edges):
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[root(a)] = root(b)
+    return {frozenset(g) for g in _groups(parent, root)}
+
+
+def test_line_dedup(spark, odd, empty, monkeypatch):
     rnd = random.Random(2)
 
     def distance(a, b):
@@ -206,8 +219,19 @@ def test_line_dedup(spark, odd, empty):
     ids = {x: xxhash.xxh64_intdigest(x, 42) for x in pool}
     ids = {x: v - (1 << 64) if v >> 63 else v for x, v in ids.items()}
     want = {tuple(sorted((ids[a], ids[b]))) for a, b in itertools.combinations(pool, 2) if distance(a, b) <= 2}
-    for crowd in (32, 3):
-        assert {(r.a, r.b) for r in line_dedup.line_links(docs, crowd=crowd).collect()} == want
+    degree = collections.Counter(itertools.chain.from_iterable(want))
+    classes = _classes(want)
+    for crowd, block in ((32, 512), (3, 512), (0, 2)):
+        monkeypatch.setattr(line_dedup, "BLOCK_LINES", block)
+        got = line_dedup.line_links(docs, crowd=crowd).collect()
+        assert sum((collections.Counter({r.line_id: r.links}) for r in got), collections.Counter()) == degree
+        edges = {tuple(sorted((r.line_id, r.other))) for r in got if r.other is not None}
+        assert edges <= want and _classes(edges) == classes
+    a = "".join(rnd.choice("abcdefgh ") for _ in range(100_000))
+    assert line_dedup.edit_distance_within(a, "x" + a[1:-1] + "y", 2) == 2 and line_dedup.edit_distance_within(a, a[1:] + "y", 1) is None
+    for most in (1, 2, 4):
+        short, long = (["".join(rnd.choice("ab") for _ in range(n)) for _ in range(9)] for n in (12, 12 + most))
+        assert line_dedup.within_matrix(short, long, most).tolist() == [[distance(a, b) <= most for b in long] for a in short]
     clean = line_dedup.without_repeated_lines(odd)
     assert clean.columns == odd.columns and clean.count() == len(ODD)
     assert line_dedup.line_classes(empty).count() == 0
