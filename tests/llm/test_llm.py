@@ -315,6 +315,66 @@ def test_pii(spark, odd, empty):
     assert pii.find_pii(odd).count() == len(ODD) and pii.find_pii(empty).count() == 0
 
 
+def test_pii_contract_columns(spark, tmp_path):
+    """Counts, digest and spans of the query by the plain expressions of its contract, on strings that stress them."""
+    import re
+
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+
+    def keeps(kind, m):
+        digits = re.sub("[^0-9]", "", m)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in m.split("."))
+        return kind == "email" or (12 <= len(digits) <= 19 and pii.luhn(digits) if kind == "card" else 9 <= len(digits) <= 15)
+
+    rnd = random.Random(6)
+    texts = {i: "".join(rnd.choice(a) for _ in range(rnd.randint(0, 80))) for i, a in enumerate(["a.@1-_", "0123456789. ", "0123456789- +()", "ab@.+%é1"] * 60)}
+    texts |= {i: t for i, t in enumerate(["4111 1111 1111 1111", "+1 555 222 33 44", "x@y.z.@w.v", "0" * 3000 + ".1.1.1", "a@b.c%d@e.f", None, ""], 1000)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in llm_queries.queries()["op9_pii"](spark, str(tmp_path)).collect():
+        found = {k: [(m.start(), i, m.end(), k) for m in re.finditer(e, texts[r.doc_id] or "") if keeps(k, m[0])] for i, (k, e) in enumerate(plain.items())}
+        base = [f"{k}:{a}:{b}" for a, _, b, k in sorted(itertools.chain.from_iterable(found.values()))]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(x) for x in found.values()]
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert not set(base) - set(r.spans.split(","))
+
+
+def test_pii_takes_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("0" * 5000 + ".1.1.1", "a" * 1_000_000, "1" * 1_000_000, "a.b@" * 250_000, "1." * 500_000, "+1 " * 300_000):
+        spans = pii.base_spans(text)
+        list(pii.loose_spans(text, spans))
+        pii._CUES.findall(text)
+        pii._cue(text, len(text))
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [(0, 1, 5006)]
+    assert time.time() - began < 12
+
+
+def test_pii_cues_agree():
+    rnd = random.Random(9)
+    for _ in range(300):
+        text = "".join(rnd.choice("ab1 _:+(é²") for _ in range(30))
+        found = {m.end(): pii._hash(f"{m[1].lower()} {m[2]}") for m in pii._CUES.finditer(text)}
+        for at in range(len(text)):
+            if text[at].isalnum() or text[at] in "_+(":
+                assert pii._cue(text, at) == found.get(at)
+
+
+def test_discovered_identifiers_induce_patterns(spark):
+    """``ring`` is never followed by a regular number, but by those that ``call me`` discovers; then it discovers one itself."""
+    rows = [(i, f"call me: +1 (555) 222-33{i:02d} ok") for i in range(30)]
+    rows += [(100 + i, f"call me: 66622233{i:02d} or so. ring 66622233{i:02d} now") for i in range(5)] + [(200, "ring 7772223399 now")]
+    got = {r.doc_id: [(pii.KINDS[s.kind], s.start, s.end) for s in r.spans if s.found] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[200] == [("phone", 5, 15)] and len(got[100]) == 2
+
+
 def test_secrets(spark, odd, empty):
     rnd = random.Random(4)
     key = lambda n, a: "".join(rnd.choice(a) for _ in range(n))
