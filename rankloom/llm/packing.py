@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint, table
 
 END_ID = 2
-#: Entries after which a Python worker forgets the words it has met; this bounds memory only.
-CACHE_ENTRIES = 400_000
+#: Entries after which a Python worker forgets the words it has not met since it last did; this bounds memory only.
+CACHE_ENTRIES = 500_000
 # Chunks of these characters are in NFC, and lower-casing them is a map of single characters.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
@@ -28,21 +29,43 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+#: What the file of a vocabulary must say for the short way of ``ChunkTokenizer`` to be right.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class ChunkTokenizer:
     """Token ids of a text, as little-endian 32-bit numbers, with a cache of its blank-free chunks.
 
-    The vocabulary drops white space and never joins across it, so the ids of a text are
-    those of its chunks in order, and a chunk is tokenised once however often it is met.
+    Where the vocabulary drops white space and never joins across it, the ids of a text are
+    those of its chunks in order, and a chunk is tokenised once however often it is met. Whether it does is
+    read from its file; texts of any other vocabulary are tokenised whole.
+
+    The string of a special token in a text becomes that token, as the library has it by
+    default; with ``plain_specials`` it is ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            says = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_specials
         self.model = self.tokenizer.model
+        added = says.get("added_tokens") or []
+        self.specials = [t["content"] for t in added if not plain_specials or not t["special"]]
+        self.by_chunk = says.get("normalizer") == _NORMALIZER and says.get("pre_tokenizer") == _PRE_TOKENIZER and says["model"]["type"] == "BPE"
+        self.by_chunk &= not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or t["content"].split() != [t["content"]] for t in added)
         self.letters = _byte_letters()
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _part(self, part: str) -> bytes:
@@ -54,11 +77,16 @@ class ChunkTokenizer:
         return found
 
     def _learn(self, chunks: set[str]) -> None:
+        known = {c: ids for c in chunks if (ids := self.older.get(c)) is not None}
+        self.chunks |= known
+        chunks = chunks.difference(known)
         if len(self.parts) > CACHE_ENTRIES:
             self.parts.clear()
         odd = []
         for chunk in chunks:
-            if _PLAIN.fullmatch(chunk):
+            if chunk.isascii() and chunk.isalpha():  # one word: nothing to normalise or to cut
+                self.chunks[chunk] = np.array([t.id for t in self.model.tokenize(chunk.lower())], dtype="<u4").tobytes()
+            elif _PLAIN.fullmatch(chunk) and not any(s in chunk for s in self.specials):
                 self.chunks[chunk] = b"".join([self._part(p) for p in _PARTS.findall(chunk.lower())])
             else:
                 odd.append(chunk)
@@ -67,13 +95,18 @@ class ChunkTokenizer:
                 self.chunks[chunk] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
+        if not self.by_chunk:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         words = _split(text)
-        if len(self.chunks) > CACHE_ENTRIES:
-            self.chunks.clear()
-        missing = set(words).difference(self.chunks)
-        if missing:
+        found = list(map(self.chunks.get, words))
+        if None in found:
+            missing = {w for w, ids in zip(words, found) if ids is None}
+            if len(self.chunks) > CACHE_ENTRIES:
+                self.older, self.chunks = self.chunks, {}
+                missing = set(words)
             self._learn(missing)
-        return b"".join([self.chunks[w] for w in words])
+            found = list(map(self.chunks.get, words))
+        return b"".join(found)
 
 
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -87,22 +120,23 @@ def _split(text: str) -> list[str]:
     return text.split()
 
 
-_tokenizers: dict[str, ChunkTokenizer] = {}
+_tokenizers: dict[tuple[str, bool], ChunkTokenizer] = {}
 
 
-def chunk_tokenizer(path: str) -> ChunkTokenizer:
+def chunk_tokenizer(path: str, plain_specials: bool = False) -> ChunkTokenizer:
     """One per Python worker and vocabulary, kept from task to task."""
-    if path not in _tokenizers:
-        _tokenizers[path] = ChunkTokenizer(path)
-    return _tokenizers[path]
+    if (path, plain_specials) not in _tokenizers:
+        _tokenizers[path, plain_specials] = ChunkTokenizer(path, plain_specials)
+    return _tokenizers[path, plain_specials]
 
 
-def tokenise(docs: DataFrame, window: int = 4096, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenise(docs: DataFrame, window: int = 4096, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", plain_specials: bool = False) -> DataFrame:
     """Pieces of at most ``window`` tokens: ``doc_id, start, length, doc_tokens, ids``.
 
     A document's ids are its tokens and then END_ID; ``ids`` holds them as
     little-endian 32-bit numbers. Documents longer than a window are cut into full
-    windows and a rest. Null and empty texts give the one id END_ID. The rows of an
+    windows and a rest. The string of a special token in a text is that token, unless
+    ``plain_specials``. Null and empty texts give the one id END_ID. The rows of an
     input batch are handled one by one, so memory is bounded by a batch.
     """
     path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
@@ -111,7 +145,7 @@ def tokenise(docs: DataFrame, window: int = 4096, vocabulary: str | None = None,
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = chunk_tokenizer(path).encode
+        encode = chunk_tokenizer(path, plain_specials).encode
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
@@ -186,17 +220,18 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 def pack(pieces: DataFrame, window: int = 4096, shard_rows: int = 50_000) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to ``pieces`` (columns ``doc_id, start, length`` and any others).
 
-    Pieces are dealt by hash into shards of about ``shard_rows``, and each shard is
+    Pieces are dealt into shards of about ``shard_rows``, and each shard is
     packed by itself: longest first, each into the open window with the least room
     that holds it. A shard leaves a few windows part full, one in thousands at this
-    size, and takes the same time and memory however many shards there are. Equal
-    pieces are told apart by hash and by order alone; the result is the same on a rerun.
+    size, and takes the same time and memory however many shards there are.
+    Rows are dealt by their place, so that repeated or null ids are spread like
+    others; ``pieces`` must be checkpointed, so that places stay as they are.
     Columns beside the three are carried along and cost memory, so send ids only if
     they are wanted in the result.
     """
     n = pieces.count()
     shards = max(1, -(-n // shard_rows))
-    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
+    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
 
     def one(shard: pa.Table) -> pa.Table:

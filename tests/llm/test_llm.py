@@ -85,8 +85,8 @@ def test_mixing(odd, empty, docs):
 def test_tokenizer_and_packing(spark, odd, empty, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    texts = {r.doc_id: r.text for r in docs.limit(60).collect()} | {-1: "it's I'LL 12 34á é <|endoftext|> \x1cx\x1d y À İI ŉ × ﬁ Σας 日本", -2: ""}
+    texts = {r.doc_id: r.text for r in docs.limit(60).collect()}
+    texts |= {-1: "it's I'LL 12 34á é <|endoftext|> a<|endoftext|>B <|ENDOFTEXT|> \x1cx\x1d y À İI ŉ × ﬁ Σας 日本", -2: ""}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = collections.defaultdict(dict)
     for r in packing.tokenise(df, 256).collect():
@@ -95,6 +95,14 @@ def test_tokenizer_and_packing(spark, odd, empty, docs):
         ids = plain.encode(text, add_special_tokens=False).ids + [2]
         assert list(itertools.chain.from_iterable(got[i][k] for k in sorted(got[i]))) == ids
         assert all(len(p) == min(256, len(ids) - k) for k, p in got[i].items())
+    for name, options in (("word_bpe_49k.json", {"plain_specials": True}), ("byte_bpe_50k.json", {})):  # ordinary text, and another vocabulary
+        other = Tokenizer.from_file(public_tokenizers.path(name))
+        other.encode_special_tokens = bool(options)
+        ids = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in packing.tokenise(df, 1 << 20, public_tokenizers.path(name), **options).collect()}
+        assert ids == {i: other.encode(t, add_special_tokens=False).ids + [2] for i, t in texts.items()}
+    often = spark.createDataFrame([(None if i % 2 else 3, "a b c") for i in range(2000)], "doc_id long, text string")
+    spread = packing.pack(packing.checkpoint(packing.tokenise(often).drop("ids")), shard_rows=100).groupBy((F.col("sequence_id") / (1 << 32)).cast("int").alias("shard")).count().collect()
+    assert len(spread) == 20 and max(r["count"] for r in spread) < 200
     packed = packing.pack_documents(odd).collect()
     spans = collections.defaultdict(list)
     for r in packed:
