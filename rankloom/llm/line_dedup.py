@@ -361,8 +361,9 @@ def _paired(rows: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
     own = rows.where("own")
     sizes = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     fit = own.join(sizes.where(F.col("n") <= crowd), "key", "left_semi")
-    b, a = rows.select(F.col("line_id").alias("b"), "key"), fit.select(F.col("line_id").alias("a"), F.col("key").alias("key_a"))
-    joined = b.join(a, (F.col("key") == F.col("key_a")) & (F.col("a") != F.col("b")))
+    b, a = rows.select(F.col("line_id").alias("b"), "key", "own"), fit.select(F.col("line_id").alias("a"), F.col("key").alias("key_a"))
+    # Two lines that both have the key as their own meet once, not in both orders.
+    joined = b.join(a, (F.col("key") == F.col("key_a")) & (F.col("a") != F.col("b")) & (~F.col("own") | (F.col("a") < F.col("b"))))
     pairs = checkpoint(joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return pairs, checkpoint(rows.join(sizes.where(F.col("n") > crowd), "key", "left_semi").select("line_id").distinct())
 
