@@ -17,6 +17,7 @@ is one join and a sum.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ MIN_COUNT = 2
 SYMBOL_GAIN, STATE_GAIN = 4.0, 10.0
 #: Sets the key of a context's state apart from the key of the context.
 STATE_MARK = 0x1B87359351ED270B
+#: Texts are scored, and triples counted, in so many parts, one after the other, each of which clears its shuffle files: this bounds disk alone.
+SCORE_PARTS, TRIPLE_PARTS = 4, 2
 #: Bytes of text that are handled at a time, and the length from which a word is hashed by itself.
 SLICE = 1 << 20
 #: Fixed odd numbers of the key of a pair, and what undoes them.
@@ -261,9 +264,11 @@ def count_words_and_pairs(texts: DataFrame, buckets: int, held: int = 2_000_000)
     return texts.mapInArrow(run, DEALT).groupBy("share").applyInArrow(add, "key long, n long")
 
 
-def count_triples(texts: DataFrame, bits: np.ndarray, buckets: int, held: int = 1_500_000) -> DataFrame:
+def count_triples(texts: DataFrame, bits: np.ndarray, buckets: int, part: int = 0, parts: int = 1, held: int = 1_500_000) -> DataFrame:
     """``key, context, other, n, pair`` of what the filter ``bits`` of recurring pairs lets through, if it recurs.
 
+    Of the keys only every ``parts``-th is counted, those that leave a rest of ``part``.
+
     A ``pair`` has its first word as ``context`` and its second as ``other``. A word after a pair has the
     pair as ``context`` and the pair of the last two words as ``other``; both pairs recur, as they must if
     the three words do. ``other`` follows from the key and the context, so it does not travel.
@@ -291,9 +296,10 @@ def count_triples(texts: DataFrame, bits: np.ndarray, buckets: int, held: int =
                 hit[np.cumsum(sizes)[:-1] - 1] = False
                 at = np.flatnonzero(hit)
                 both = np.flatnonzero(hit[:-1] & hit[1:])
-                found[0].append((triple_key(pairs[both], pairs[both + 1]), pairs[both]))
-                found[1].append((pairs[at], t[at]))
-                size += len(at) + len(both)
+                for kind, keys, contexts in ((0, triple_key(pairs[both], pairs[both + 1]), pairs[both]), (1, pairs[at], t[at])):
+                    own = keys % np.uint64(parts) == part
+                    found[kind].append((keys[own], contexts[own]))
+                    size += int(own.sum())
                 if size >= held:
                     yield from out()
         yield from out()
@@ -339,7 +345,9 @@ def train(docs: DataFrame, usable: Column, text_col: str = "text", symbol_gain:
     pairs = counted.where("n > 0")
     n_tokens, n_words = (int(x or 0) for x in words.agg(F.sum("m"), F.count(F.lit(1))).first())
     root_p = (F.col("m") + 1) / F.lit(float(n_tokens + n_words + 1))
-    longer = written(count_triples(texts, bitmap(pairs, "key"), buckets))
+    bits = bitmap(pairs, "key")
+    sliced = [written(count_triples(texts, bits, buckets, i, TRIPLE_PARTS)) for i in range(TRIPLE_PARTS)]
+    longer = reduce(DataFrame.unionByName, sliced)
 
     first = longer.where("pair").select("key", "context", "other", "n")
     first = written(first.join(words.select(F.col("key").alias("other"), root_p.alias("root_p")), "other").select("context", "key", "n", "root_p"))
@@ -358,7 +366,7 @@ def train(docs: DataFrame, usable: Column, text_col: str = "text", symbol_gain:
         model = model.unionByName(state.select(F.col("context").bitwiseXOR(F.lit(STATE_MARK)).alias("key"), F.log10("rest").alias("term"), F.col("total").alias("seen"), F.lit(False).alias("word")))
         model = model.unionByName(level.select("key", (F.log10(F.col("p") / F.col("parent_p")) - F.log10("rest")).alias("term"), F.col("n").alias("seen"), F.lit(False).alias("word")))
     model = written(model)
-    removed(counted, longer, first, one, two)
+    removed(counted, *sliced, first, one, two)
     return model, n_tokens, n_words
 
 
@@ -381,7 +389,8 @@ def score(docs: DataFrame, model: DataFrame, n_tokens: int, n_words: int, id_col
     Frequent entries of the model are broadcast, and what they contribute is added up in
     place. Words that are not among them, and contexts that a filter of fixed size
     does not rule out, leave as keys with counts and meet the model in a join; as
-    frequent keys are gone, none of them is hot.
+    frequent keys are gone, none of them is hot. Texts are scored in SCORE_PARTS parts by a hash of
+    their ids, so that the keys of one part are on disk at a time; the result is written.
     """
     sc = docs.sparkSession.sparkContext
     rows = hot_entries(model).orderBy("seen", "key").select("key", "term").toArrow()
@@ -443,6 +452,11 @@ def score(docs: DataFrame, model: DataFrame, n_tokens: int, n_words: int, id_col
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    of_part = F.pmod(F.xxhash64("doc_id"), F.lit(SCORE_PARTS))
+    return reduce(DataFrame.unionByName, [written(_scored_part(texts.where(of_part == i), run, model, unknown)) for i in range(SCORE_PARTS)])
+
+
+def _scored_part(texts: DataFrame, run, model: DataFrame, unknown: float) -> DataFrame:
     parts = texts.mapInArrow(run, "row long, doc_id long, key long, word boolean, times long, n_tokens long, n_known long, base double, more double")
     entries = model.select(F.col("key").alias("_key"), "term", F.col("word").alias("_word")).hint("shuffle_hash")
     # Rows that only carry sums ask for no key.
