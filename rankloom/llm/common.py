@@ -78,16 +78,16 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def rank_in_order(df: DataFrame, group: str, order: list[str], weight: Column, block_rows: int = 1_000) -> DataFrame:
+def rank_in_order(df: DataFrame, group: str, order: list[str], weight: Column, position: str, block_rows: int = 1_000) -> DataFrame:
     """Adds ``before``: the sum of ``weight`` over the rows of the same ``group`` that come earlier in ``order``.
 
     A running sum over one window would put a whole group in one task. Here
-    ``order[0]``, a number in [0, 1), is cut into blocks of about ``block_rows``
-    rows, block sums are accumulated, and only rows of one block meet in a window.
-    The result is the same for any block size. Null groups form a group.
+    ``position``, a number in [0, 1) that never falls as ``order[0]`` grows, is cut into blocks of about ``block_rows``
+    rows, block sums are accumulated, and only rows of one block meet in a window. The more evenly positions are spread,
+    the more even are the blocks. The result is the same for any block size. Null groups form a group.
     """
     sizes = df.groupBy(group).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_rows)).cast("long").alias("_blocks"))
-    cut = salted_join(df, sizes, group, "_blocks").withColumn("_block", F.floor(F.col(order[0]) * F.col("_blocks")).cast("long"))
+    cut = salted_join(df, sizes, group, "_blocks").withColumn("_block", F.floor(F.col(position) * F.col("_blocks")).cast("long"))
     sums = cut.groupBy(group, "_block").agg(F.sum(weight).alias("_sum"))
     upto = W.partitionBy(group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select(F.col(group).alias("_g"), F.col("_block").alias("_b"), F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_start"))
@@ -101,9 +101,10 @@ def salted_join(df: DataFrame, stats: DataFrame, key: str, *values: str, salts:
     """Left join of ``df`` with one row of ``stats`` per ``key``; null keys match.
 
     ``key`` may be hot, as one source may hold a third of all rows, so both sides
-    carry a salt: ``stats`` is small and is repeated ``salts`` times.
+    carry a salt: ``stats`` is small and is repeated ``salts`` times. The salt is a row's
+    place, so that equal rows are spread as well; ``df`` must come from a checkpoint, so that places stay as they are.
     """
     right = stats.select(F.col(key).alias("_k"), *values, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s"))
-    left = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+    left = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     on = left[key].eqNullSafe(right["_k"]) & (left["_salt"] == right["_s"])
     return left.join(right, on, "left").drop("_k", "_s", "_salt")

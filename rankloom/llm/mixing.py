@@ -71,8 +71,8 @@ def mix(
 
     Null text has size 0, empty texts too; their ``taken`` is 0. A null source is
     a source, the last one. Rows with equal ids are taken alike or, at the cut, in
-    the order of their size. Null or negative importance counts as 0. Without rows
-    there is no result.
+    the order of their size. Null or negative importance counts as 0. Other columns of
+    ``docs`` are ignored, whatever their names. Without rows there is no result.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -95,10 +95,12 @@ def mix(
     rows = rows.withColumn("u", u).withColumn("at", F.when(chance > 0, ratio / (1.0 + ratio)).otherwise(F.lit(None)))
     rows = rows.withColumn("at", F.when(F.col("certain") >= cap, None).otherwise(F.least(F.col("at"), F.lit(1.0 - 2.0**-53))))
     ranked = checkpoint(rows)
-    taken = ranked.groupBy("source").agg(F.sum(F.col("certain") * F.col("size")).alias("sure"), F.max("target").alias("t2"))
-    left = taken.select("source", (F.col("t2") - F.col("sure")).alias("left_over"))
-    open_rows = rank_in_order(ranked.where("at is not null"), "source", ["at", "doc_id", "size"], F.col("size"))
-    open_rows = salted_join(open_rows, left, "source", "left_over")
+    taken = ranked.groupBy("source").agg(F.sum(F.col("certain") * F.col("size")).alias("sure"), F.max("target").alias("t2"), F.avg(F.when(F.col("at").isNotNull(), F.col("times") - F.col("certain"))).alias("mean"))
+    # Where all chances of a source are equal, the odds times those of the chance are those of the uniform number again.
+    means = taken.select("source", (F.col("t2") - F.col("sure")).alias("left_over"), F.greatest(F.least(F.coalesce("mean", F.lit(0.5)), F.lit(1.0 - 1e-9)), F.lit(1e-9)).alias("mean"))
+    odds = F.col("at") / (1.0 - F.col("at")) * F.col("mean") / (1.0 - F.col("mean"))
+    open_rows = salted_join(ranked.where("at is not null"), means, "source", "mean", "left_over").withColumn("position", F.least(odds / (1.0 + odds), F.lit(1.0 - 2.0**-53)))
+    open_rows = rank_in_order(checkpoint(open_rows), "source", ["at", "doc_id", "size"], F.col("size"), "position")
     extra = (F.col("before") + F.col("size") / 2.0 <= F.col("left_over")).cast("long")
     both = open_rows.withColumn("copies", F.col("certain") + extra).select("doc_id", "source", "size", "source_size", "target", "copies")
     rest = ranked.where("at is null").withColumn("copies", F.col("certain")).select("doc_id", "source", "size", "source_size", "target", "copies")

@@ -67,6 +67,13 @@ def test_exact_dedup(odd, empty):
         assert by[3][0].group_size == 4 and not by[None][0].kept and by[9][0].keep_id == 9
         if every:
             assert by[2][0].text_sha256 == hashlib.sha256(b"Hello world again").hexdigest()
+    assert [r.kept for r in by[5]] == [False, False]
+    twice = odd.where("doc_id is null or doc_id > 5").union(odd.where("doc_id = 8"))  # an id and its text repeated
+    kept = [(r.doc_id, r.kept) for r in exact_dedup.exact_dedup(twice).collect()]
+    assert sorted(x for x in kept if x[0] == 8) == [(8, False), (8, True)]
+    for df in (odd, twice):
+        left = exact_dedup.deduplicated(df)
+        assert left.columns == odd.columns and sorted(r.doc_id for r in left.collect() if r.doc_id) == ([1, 3, 7, 8, 9] if df is odd else [7, 8, 9])
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
