@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpoint, rank_in_order, salted_join, table, words_in
+from .common import checkpoint, fresh, rank_in_order, salted_join, table, words_in, written
 
 #: Size of the grid of the uniform numbers: 52 bits of an md5.
 GRID = float(1 << 52)
@@ -53,8 +53,9 @@ def mix(
     weights: Sequence[float] = (1.0, 2.0, 3.0),
     cap: int = 3,
     seed: int = 20,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per document: ``doc_id, source, size, source_size, target, copies, taken``.
+    """One row per document: ``doc_id, source, size, source_size, target, copies, taken``, and ``row`` if there is a ``row_col``.
 
     A document of a source with target t and size s is wanted m = t / s times, times
     its ``importance`` over the source's mean by words. It gets floor(m) certain copies, and
@@ -79,7 +80,9 @@ def mix(
         F.col(source_col).cast("string").alias("source"),
         words_in(F.col(text_col).cast("string")).alias("size"),
         (F.lit(1.0) if importance is None else F.greatest(F.coalesce(importance.cast("double"), F.lit(0.0)), F.lit(0.0))).alias("imp"),
+        *([] if row_col is None else [F.col(row_col).alias("row")]),
     )
+    kept = ["doc_id", "source", "size", "source_size", "target", "copies"] + ([] if row_col is None else ["row"])
     rows = checkpoint(rows)
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("imp")).alias("imp_size"))
     targets = source_targets(sums.select("source", "source_size"), weights, float(cap))
@@ -100,13 +103,26 @@ def mix(
     means = taken.select("source", (F.col("t2") - F.col("sure")).alias("left_over"), F.greatest(F.least(F.coalesce("mean", F.lit(0.5)), F.lit(1.0 - 1e-9)), F.lit(1e-9)).alias("mean"))
     odds = F.col("at") / (1.0 - F.col("at")) * F.col("mean") / (1.0 - F.col("mean"))
     open_rows = salted_join(ranked.where("at is not null"), means, "source", "mean", "left_over").withColumn("position", F.least(odds / (1.0 + odds), F.lit(1.0 - 2.0**-53)))
-    open_rows = rank_in_order(checkpoint(open_rows), "source", ["at", "doc_id", "size"], F.col("size"), "position")
+    open_rows = rank_in_order(checkpoint(open_rows), "source", ["at", "doc_id", "size", *kept[6:]], F.col("size"), "position")
     extra = (F.col("before") + F.col("size") / 2.0 <= F.col("left_over")).cast("long")
-    both = open_rows.withColumn("copies", F.col("certain") + extra).select("doc_id", "source", "size", "source_size", "target", "copies")
-    rest = ranked.where("at is null").withColumn("copies", F.col("certain")).select("doc_id", "source", "size", "source_size", "target", "copies")
+    both = open_rows.withColumn("copies", F.col("certain") + extra).select(*kept)
+    rest = ranked.where("at is null").withColumn("copies", F.col("certain")).select(*kept)
     return both.unionByName(rest).withColumn("taken", F.col("copies") * F.col("size"))
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as ``mix`` takes each of them.
+
+    The rows are written with their places, by which they get their numbers of copies; so rows
+    that share an id, or have none, are taken one by one.
+    """
+    row, copies, nth, placed = (fresh(n, docs) for n in ("_row", "_copies", "_nth", "_placed"))
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    taken = mix(rows, row_col=row, **options).where("copies > 0").select(F.col("row").alias(placed), F.col("copies").cast("int").alias(copies))
+    joined = rows.join(taken, rows[row] == taken[placed])
+    return joined.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
+
+
 def op10_source_mix(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, table, written
 from .components import components
 from .line_dedup import _bitmap, _marked
 
@@ -36,6 +36,8 @@ GENERATOR = 0b110001110101
 CROWD = 64
 
 
+#: Most bytes of shingle sets, and most sets, of a block of candidates.
+BLOCK_BYTES, BLOCK_SETS = 1 << 23, 2048
 #: Bands and rows of the MinHash keys: a pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^30 < 7e-6.
 BANDS, ROWS = 30, 5
 _draws = np.random.default_rng(20).integers(0, 1 << 64, (2, BANDS * ROWS + ROWS), np.uint64)
@@ -212,33 +214,35 @@ def _set_id(members: np.ndarray) -> int:
 
 
 def _sketched(docs: DataFrame, shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, fp, sid, keys``: with the fingerprint, the hash of the set of shingles and its band keys; null without words."""
+    """``doc_id, fp, sid, n, keys``: with the fingerprint, the hash of the set of shingles, its size and its band keys; null without words."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sids, keys = [], [], []
+            fps, sids, sizes, keys = [], [], [], []
             for t in batch.column(1):
                 h = shingle_hashes(t.as_py(), shingle, seed)
                 members = np.unique(h)
                 fps.append(_majority(h))
                 sids.append(_set_id(members) if len(h) else None)
+                sizes.append(len(members))
                 keys.append(band_keys(members).view(np.int64) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "sid", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "sid", "n", "keys"])
 
-    return rows.mapInArrow(hashed, "doc_id long, fp long, sid long, keys array<bigint>")
+    return rows.mapInArrow(hashed, "doc_id long, fp long, sid long, n long, keys array<bigint>")
 
 
-def similar_trees(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+def similar_trees(sets: list[np.ndarray], similarity: float, classes: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs of positions that connect all sets whose Jaccard similarity reaches ``similarity``, each such a pair itself.
 
     A set is compared with all others at once. Of two sets that are not connected at least one is not in the largest
-    class, so those of the largest class need no turn.
+    class, so those of the largest class need no turn. ``classes`` numbers what is connected already, if any is.
     """
     sizes = np.array([len(x) for x in sets])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    classes, used, links = np.arange(len(sets)), np.zeros(len(sets), bool), []
+    classes = np.arange(len(sets)) if classes is None else classes.copy()
+    used, links = np.zeros(len(sets), bool), []
     while True:
         largest = np.bincount(classes).argmax()
         rest = np.flatnonzero(~used & (classes != largest))
@@ -261,14 +265,16 @@ def similar_links(docs: DataFrame, sketches: DataFrame, similarity: float, shing
 
     Sets that share a band key are candidates. Keys are linked as stars, which are linear in
     the rows; classes of candidates then get their sets of shingles, and the exact similarity decides.
-    Only sets of candidates are shuffled, each once.
+    Only sets of candidates are shuffled. A large class is dealt into blocks of bounded size, see ``_linked_in_blocks``.
     """
-    sets = checkpoint(sketches.where("doc_id is not null and sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
+    sets = checkpoint(sketches.where("doc_id is not null and sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     bands = sets.select("sid", F.explode("keys").alias("key"))
     stars = bands.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"), "lo")
     met = components(bands.join(stars, F.col("key") == F.col("k")).where("sid <> lo").select(F.col("sid").alias("a"), F.col("lo").alias("b")))
-    known = sets.select("sid", "rep")
-    found = checkpoint(met.join(known, met["node"] == known["sid"]).select("sid", F.col("component").alias("cluster"), "rep"))
+    known = sets.select("sid", "rep", "n")
+    found = checkpoint(met.join(known, met["node"] == known["sid"]).select("sid", F.col("component").alias("cluster"), "rep", "n"))
+    sizes = _sizes(found, "blocks")
+    found = checkpoint(found.join(sizes, found["cluster"] == sizes["_cluster"]).drop("_cluster").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks"))))
     wanted = _bitmap(found, "rep")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
 
@@ -279,15 +285,56 @@ def similar_links(docs: DataFrame, sketches: DataFrame, similarity: float, shing
             members = [np.unique(shingle_hashes(t, shingle, seed)) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_set_id(m) for m in members], pa.int64()), pa.array([m.tobytes() for m in members], pa.binary())], names=["doc_id", "id", "members"])
 
+    read = rows.mapInArrow(again, "doc_id long, id long, members binary")
+    once = read.dropDuplicates(["id", "doc_id"])
+    joined = once.join(found, (once["id"] == found["sid"]) & (once["doc_id"] == found["rep"])).select("cluster", "sid", "n", "blocks", "block", "members")
+    return _linked_in_blocks(written(joined), similarity)
+
+
+def _sizes(rows: DataFrame, blocks: str) -> DataFrame:
+    """``_cluster`` and how many blocks its sets need."""
+    need = F.greatest(F.sum("n") * 8 / BLOCK_BYTES, F.count(F.lit(1)) / BLOCK_SETS)
+    return rows.groupBy(F.col("cluster").alias("_cluster")).agg(F.ceil(need).alias(blocks))
+
+
+def _linked_in_blocks(sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges ``a, b`` that connect all similar sets of each cluster: ``cluster, sid, n, blocks, block, members``.
+
+    The sets of a cluster are dealt into ``blocks``, and one set of it, the pivot, goes to all of them, which connects
+    what a large group of near copies has. Sets that are then outside of the largest class of their cluster
+    meet all its blocks, in blocks of their own. So a task holds two blocks at most, and every pair of sets that
+    are not connected yet is compared.
+    """
+
     def linked(group: pa.Table) -> pa.Table:
-        unique = dict(zip(group.column("sid").to_pylist(), group.column("members").to_pylist()))
+        unique = dict(zip(group.column("sid").to_pylist(), zip(group.column("members").to_pylist(), group.column("class").to_pylist())))
         ids = list(unique)
-        pairs = similar_trees([np.frombuffer(m, "<u8") for m in unique.values()], similarity)
+        classes = np.unique([c for _, c in unique.values()], return_inverse=True)[1]
+        pairs = similar_trees([np.frombuffer(m, "<u8") for m, _ in unique.values()], similarity, classes)
         return pa.table({"a": pa.array([ids[i] for i, _ in pairs], pa.int64()), "b": pa.array([ids[j] for _, j in pairs], pa.int64())})
 
-    read = rows.mapInArrow(again, "doc_id long, id long, members binary")
-    joined = read.join(found, (read["id"] == found["sid"]) & (read["doc_id"] == found["rep"])).select("cluster", "sid", "members")
-    return joined.groupBy("cluster").applyInArrow(linked, "a long, b long")
+    rows = sets.withColumn("class", F.col("sid"))
+    many = rows.where("blocks > 1")
+    pivots = many.groupBy("cluster").agg(F.min("sid").alias("pivot")).select("pivot")
+    sent = many.join(pivots, many["sid"] == pivots["pivot"], "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    first = checkpoint(rows.unionByName(sent).groupBy("cluster", "block").applyInArrow(linked, "a long, b long"))
+    if pivots.isEmpty():
+        return first
+    large = many.drop("class", "members")
+    inside = first.join(large.select(F.col("sid").alias("_sid")), F.col("a") == F.col("_sid"), "left_semi")
+    classes = components(inside)
+    large = checkpoint(large.join(classes, large["sid"] == classes["node"], "left").select("cluster", "sid", "n", "blocks", "block", F.coalesce("component", "sid").alias("class")))
+    counts = large.groupBy(F.col("cluster").alias("_c"), "class").agg(F.count(F.lit(1)).alias("size"))
+    largest = counts.groupBy("_c").agg(F.max(F.struct("size", "class")).alias("top")).select("_c", F.col("top.class").alias("top"))
+    rest = checkpoint(large.join(largest, F.col("cluster") == F.col("_c")).where("class <> top").drop("_c", "top"))
+    if rest.isEmpty():
+        return first
+    own = checkpoint(_sizes(rest, "own_blocks"))
+    asked = rest.join(own, rest["cluster"] == own["_cluster"]).withColumn("own", F.pmod(F.xxhash64("sid"), F.col("own_blocks"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    stored = large.join(own, large["cluster"] == own["_cluster"]).withColumn("own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own_blocks") - 1)))
+    tasks = asked.select("cluster", "sid", "class", "own", "block").unionByName(stored.select("cluster", "sid", "class", "own", "block"))
+    second = tasks.join(sets.select(F.col("sid").alias("_sid"), "members"), F.col("sid") == F.col("_sid")).drop("_sid")
+    return first.unionByName(second.groupBy("cluster", "own", "block").applyInArrow(linked, "a long, b long"))
 
 
 def near_duplicates(

@@ -438,9 +438,12 @@ def test_pipeline_stages(spark, odd):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, DATA)
+        assert stage(spark, docs.limit(0), DATA).count() == 0
         if name != "packing":
             assert out.columns == docs.columns
             assert stage(spark, odd, DATA).columns == odd.columns
+        else:
+            assert stage(spark, odd, DATA).count() >= odd.count()
         before, docs = docs, out.cache()
         ids, kept = (sorted(r.doc_id for r in df.collect()) for df in (before, docs))
         if name == "toxicity":
@@ -465,13 +468,21 @@ def test_pipeline_stages(spark, odd):
         elif name == "source_mix":
             want = {r.doc_id: r.copies for r in mixing.mix(before).collect()}
             assert collections.Counter(kept) == collections.Counter({i: c for i, c in want.items() if c})
+            # Rows without an id are taken one by one: as many words as with ids, to within a document of each source.
+            nameless = corpus_pipeline.source_mix(spark, before.withColumn("doc_id", F.lit(None).cast("long")), DATA)
+            words = lambda df: {r.source: r.t for r in df.groupBy("source").agg(F.sum(mixing.words_in(F.col("text"))).alias("t")).collect()}
+            most, a, b = before.agg(F.max(mixing.words_in(F.col("text")))).first()[0], words(docs), words(nameless)
+            assert all(abs(a.get(k, 0) - b.get(k, 0)) <= 2 * most for k in a | b)
     assert docs.count() > 0
 
 
-def test_near_dedup_reaches_a_jaccard_similarity(spark):
-    """Copies with some words changed go; classes are those of all pairs, by sets of five words."""
+@pytest.mark.parametrize("block_sets", [2048, 2])
+def test_near_dedup_reaches_a_jaccard_similarity(spark, monkeypatch, block_sets):
+    """Copies with some words changed go; classes are those of all pairs, by sets of five words, in blocks of any size."""
     import corpus_pipeline
 
+    monkeypatch.setattr(simhash, "BLOCK_SETS", block_sets)
+
     rnd = random.Random(11)
     word = lambda: f"w{rnd.randrange(5000)}"
     texts, parent = {}, {}
