@@ -16,7 +16,7 @@ from .common import checkpoint, table
 
 END_ID = 2
 #: Entries after which a Python worker forgets the words it has not met since it last did; this bounds memory only.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 # Chunks of these characters are in NFC, and lower-casing them is a map of single characters.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
@@ -80,7 +80,7 @@ class ChunkTokenizer:
         known = {c: ids for c in chunks if (ids := self.older.get(c)) is not None}
         self.chunks |= known
         chunks = chunks.difference(known)
-        if len(self.parts) > CACHE_ENTRIES:
+        if len(self.parts) > CACHE_ENTRIES // 2:
             self.parts.clear()
         odd = []
         for chunk in chunks:

@@ -77,7 +77,7 @@ class ToxicityModel:
     def hits(self, word: str) -> tuple[int, ...]:
         found = self.met.get(word)
         if found is None:
-            if len(self.met) > 300_000:
+            if len(self.met) > 150_000:
                 self.met.clear()
             found = self.met[word] = tuple(h for h in word_hashes(word) if h in self.weights)
         return found
