@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ from .common import crc_rest, removed, table, written
 HOT_ENTRIES = 1 << 20
 #: Places of the table in which a task finds them: 16 MB.
 PLACES = 1 << 22
-#: Bits of the filters that tell which keys matter: 8 MB.
-FILTER_BITS = 1 << 26
+#: Most bits of the filters that tell which keys matter: 64 MB.
+FILTER_BITS = 1 << 29
 #: From which bits of a key its two places in a filter are taken.
 FILTER_SHIFTS = (0, 26)
 #: A pair or triple of words counts if it is met so often.
@@ -162,10 +163,11 @@ _hasher = Hasher()
 
 
 def bitmap(ids: DataFrame, column: str) -> np.ndarray:
-    """FILTER_BITS bits, two of them set for each id of a column: the size does not depend on their number."""
-    at = F.explode(F.array(*(F.pmod(F.shiftright(column, by), F.lit(FILTER_BITS)) + 1 for by in FILTER_SHIFTS)))
+    """A bitmap with two bits set for each id of a column: 16 bits or more for each, from 128 KB up to 64 MB."""
+    size = min(FILTER_BITS, 1 << max(20, (16 * ids.count()).bit_length()))
+    at = F.explode(F.array(*(F.pmod(F.shiftright(column, by), F.lit(size)) + 1 for by in FILTER_SHIFTS)))
     rows = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    bits = np.zeros(size // 8, np.uint8)
     for r in rows:
         bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return bits
@@ -174,7 +176,7 @@ def bitmap(ids: DataFrame, column: str) -> np.ndarray:
 def marked(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     found = np.ones(len(ids), np.uint8)
     for by in FILTER_SHIFTS:
-        at = (ids >> np.uint64(by) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+        at = (ids >> np.uint64(by) & np.uint64(8 * len(bits) - 1)).astype(np.int64)
         found &= bits[at >> 3] >> (at & 7).astype(np.uint8)
     return found > 0
 
@@ -264,8 +266,8 @@ def count_words_and_pairs(texts: DataFrame, buckets: int, held: int = 2_000_000)
     return texts.mapInArrow(run, DEALT).groupBy("share").applyInArrow(add, "key long, n long")
 
 
-def count_triples(texts: DataFrame, bits: np.ndarray, buckets: int, part: int = 0, parts: int = 1, held: int = 1_500_000) -> DataFrame:
-    """``key, context, other, n, pair`` of what the filter ``bits`` of recurring pairs lets through, if it recurs.
+def count_triples(texts: DataFrame, sent: Broadcast, buckets: int, part: int = 0, parts: int = 1, held: int = 1_500_000) -> DataFrame:
+    """``key, context, other, n, pair`` of what the broadcast filter of recurring pairs lets through, if it recurs.
 
     Of the keys only every ``parts``-th is counted, those that leave a rest of ``part``.
 
@@ -273,7 +275,6 @@ def count_triples(texts: DataFrame, bits: np.ndarray, buckets: int, part: int =
     pair as ``context`` and the pair of the last two words as ``other``; both pairs recur, as they must if
     the three words do. ``other`` follows from the key and the context, so it does not travel.
     """
-    sent = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
@@ -345,8 +346,9 @@ def train(docs: DataFrame, usable: Column, text_col: str = "text", symbol_gain:
     pairs = counted.where("n > 0")
     n_tokens, n_words = (int(x or 0) for x in words.agg(F.sum("m"), F.count(F.lit(1))).first())
     root_p = (F.col("m") + 1) / F.lit(float(n_tokens + n_words + 1))
-    bits = bitmap(pairs, "key")
-    sliced = [written(count_triples(texts, bits, buckets, i, TRIPLE_PARTS)) for i in range(TRIPLE_PARTS)]
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(pairs, "key"))
+    sliced = [written(count_triples(texts, sent, buckets, i, TRIPLE_PARTS)) for i in range(TRIPLE_PARTS)]
+    sent.destroy()
     longer = reduce(DataFrame.unionByName, sliced)
 
     first = longer.where("pair").select("key", "context", "other", "n")
@@ -453,7 +455,9 @@ def score(docs: DataFrame, model: DataFrame, n_tokens: int, n_words: int, id_col
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     of_part = F.pmod(F.xxhash64("doc_id"), F.lit(SCORE_PARTS))
-    return reduce(DataFrame.unionByName, [written(_scored_part(texts.where(of_part == i), run, model, unknown)) for i in range(SCORE_PARTS)])
+    scored = [written(_scored_part(texts.where(of_part == i), run, model, unknown)) for i in range(SCORE_PARTS)]
+    sent.destroy()
+    return reduce(DataFrame.unionByName, scored)
 
 
 def _scored_part(texts: DataFrame, run, model: DataFrame, unknown: float) -> DataFrame:
