@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, table
 
-#: Runs of key characters of length 16 and more with a digit in the first 64.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+#: Runs of key characters of length 16 and more with a digit; a run is looked through once, from its start.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 #: At most so many labelled findings are used to fit the forest.
 MAX_TRAINING_ROWS = 20_000
 

@@ -404,6 +404,9 @@ def test_secrets(spark, odd, empty):
     assert all(texts[r.doc_id][r.start : r.end] == r.token for r in got)
     verdict = {r.doc_id: r.secret for r in got}
     assert all(verdict[i] for i in range(60)) and not any(verdict[100 + i] for i in range(60)) and verdict[300]
+    late = [(1, "key=" + "abcdefghij" * 9 + "7 x"), (1, "key=" + "abcdefghij" * 9 + "7 x"), (None, None), (2, "a" * 300_000 + " " + "b1" * 150_000)]
+    found = secrets.candidates(spark.createDataFrame(late, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start, r.end) for r in found) == [(1, 4, 95), (1, 4, 95), (2, 300_001, 600_001)]
     assert secrets.find_secrets(odd).count() == 0 and secrets.find_secrets(empty).count() == 0
 
 
