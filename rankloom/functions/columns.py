@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 #: Legal words that a company key drops (v1, lower case) and suffixes (v2, upper case).
-LEGAL_WORDS = ("inc", "incorporated", "corp", "corporation", "co", "company", "companies", "ltd", "limited", "llc", "lp", "plc", "group", "holdings", "holding", "the")
+LEGAL_WORDS = ("inc", "incorporated", "corp", "corporation", "co", "company", "companies", "cos", "group", "holdings", "holding", "plc", "llc", "ltd", "limited", "the")
 SUFFIXES = ("INC", "INCORPORATED", "CORP", "CORPORATION", "CO", "COMPANY", "LTD", "LLC", "LP", "PLC", "GROUP", "HOLDINGS")
 #: Latin letters with marks, and what they fold to.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"

@@ -34,9 +34,9 @@ def weighted_variance_parts(est: DataFrame, cov: DataFrame, weights: DataFrame,
     """The same with normalised entity weights (``entity_id, weight``); no row for an item with a weight that is missing or not positive."""
     ok = est.join(weights, "entity_id", "left")
     total = ok.groupBy(*keys).agg(F.sum("weight").alias("tw"), F.count_if(F.coalesce(F.col("weight") <= 0, F.lit(True))).alias("bad"), F.count(F.lit(1)).alias("J")).where("bad = 0").drop("bad")
-    rows = ok.join(F.broadcast(total), list(keys)).withColumn("w", F.col("weight") / F.col("tw"))
+    rows = ok.join(total, list(keys)).withColumn("w", F.col("weight") / F.col("tw"))
     mean = rows.groupBy(*keys).agg(F.sum(F.col("w") * F.col("estimate")).alias("mu"))
-    rows = rows.join(F.broadcast(mean), list(keys)).withColumn("b", F.col("estimate") - F.col("mu"))
+    rows = rows.join(mean, list(keys)).withColumn("b", F.col("estimate") - F.col("mu"))
     bi, bj = (rows.select(*keys, F.col("entity_id").alias(f"entity_{s}"), F.col("b").alias(f"b_{s}"), F.col("w").alias(f"w_{s}")) for s in "ij")
     j = cov.join(bi, [*keys, "entity_i"]).join(bj, [*keys, "entity_j"])
     diagonal = F.col("entity_i") == F.col("entity_j")
@@ -67,7 +67,7 @@ def item_covariances(est: DataFrame, infl: DataFrame, pairs: DataFrame) -> DataF
     ones; noise sums the products of influences of the same rater at the same entity. Null with fewer than two entities.
     """
     centred = est.join(est.groupBy("item").agg(F.avg("estimate").alias("mu")), "item").select("item", "entity_id", (F.col("estimate") - F.col("mu")).alias("b"))
-    p = F.broadcast(pairs)
+    p = pairs
     l, r = (centred.select(F.col("item").alias(s), "entity_id", F.col("b").alias(f"b_{s}")) for s in ("lhs", "rhs"))
     cov = l.join(p, "lhs").join(r, ["rhs", "entity_id"]).groupBy("lhs", "rhs").agg(F.count(F.lit(1)).alias("J"), F.avg(F.col("b_lhs") * F.col("b_rhs")).alias("covariance"))
     a, b = (infl.select(F.col("item").alias(s), "resp_id", "entity_id", F.col("s").alias(f"s_{s}")) for s in ("lhs", "rhs"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .aggregates import raters_with_more, without_repeating_raters
 from .graph import largest_set
 from .joins import rater_pairs
+from .tables import checkpointed
 from .windows import ranks_within
 
 
@@ -24,9 +25,11 @@ def prepared(ratings: DataFrame) -> DataFrame:
     The answer count is not tested again after later drops.
     """
     rows = raters_with_more(ratings.where("value between 1 and 5"), ["item", "resp_id"])
-    rows = without_repeating_raters(rows, ["item", "resp_id"], "entity_id")
-    edges = rater_pairs(rows, ["item", "resp_id"], "entity_id").select("item", "i", "j").distinct()
-    rows = rows.join(F.broadcast(largest_set(edges)), ["item", "entity_id"], "left_semi")
+    rows = checkpointed(without_repeating_raters(rows, ["item", "resp_id"], "entity_id"))
+    # A star from a rater's smallest entity connects the same entities as all pairs do.
+    star = rows.withColumn("i", F.min("entity_id").over(W.partitionBy("item", "resp_id"))).where("i <> entity_id")
+    edges = star.select("item", "i", F.col("entity_id").alias("j")).distinct()
+    rows = rows.join(largest_set(edges), ["item", "entity_id"], "left_semi")
     return ranks_within(rows, ["item", "resp_id"], "value")
 
 
@@ -51,7 +54,7 @@ def borda_scores(rows: DataFrame, reference: Sequence[int] = ()) -> DataFrame:
     n = rows.where(~F.col("entity_id").isin(*reference)).groupBy("item").agg(F.count_distinct("entity_id").cast("double").alias("N"))
     inner = 1.0 / (2 * F.col("N")) + (F.col("N") - 1) / F.col("N") * F.col("b") / F.col("others")
     score = F.when(F.col("entity_id").isin(*reference) | (F.col("others") < 1), F.col("full")).otherwise(inner)
-    return won.join(F.broadcast(n), "item").select("item", "resp_id", "entity_id", score.alias("score"))
+    return won.join(n, "item").select("item", "resp_id", "entity_id", score.alias("score"))
 
 
 def estimates(scores: DataFrame) -> DataFrame:
@@ -106,8 +109,8 @@ def with_uncentred(est: DataFrame) -> DataFrame:
 
 def within_set(est: DataFrame, cov: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Estimates and covariance of a set of entities, recentred inside it; other columns are carried over as they are."""
-    e = est.join(F.broadcast(entities), "entity_id", "left_semi")
-    c = cov.join(F.broadcast(entities.withColumnRenamed("entity_id", "entity_i")), "entity_i", "left_semi").join(F.broadcast(entities.withColumnRenamed("entity_id", "entity_j")), "entity_j", "left_semi")
+    e = est.join(entities, "entity_id", "left_semi")
+    c = cov.join(entities.withColumnRenamed("entity_id", "entity_i"), "entity_i", "left_semi").join(entities.withColumnRenamed("entity_id", "entity_j"), "entity_j", "left_semi")
     return recentred_estimates(e), recentred_covariance(c)
 
 
@@ -121,7 +124,7 @@ def combined_influences(first: DataFrame, second: DataFrame, item: str) -> DataF
     """Influences of the combination: both sides with weight one half, told apart by ``stack``."""
     common = first.select("entity_id").distinct().intersect(second.select("entity_id").distinct())
     both = first.withColumn("stack", F.lit(1)).unionByName(second.withColumn("stack", F.lit(2)))
-    return both.join(F.broadcast(common), "entity_id", "left_semi").select(F.lit(item).alias("item"), "resp_id", "stack", "entity_id", (F.col("s") / 2).alias("s"))
+    return both.join(common, "entity_id", "left_semi").select(F.lit(item).alias("item"), "resp_id", "stack", "entity_id", (F.col("s") / 2).alias("s"))
 
 
 def group_weights(groups: DataFrame, weight: str | None = None) -> DataFrame:
@@ -145,14 +148,14 @@ def group_deviations(est: DataFrame, weights: DataFrame) -> DataFrame:
 def group_covariance(cov: DataFrame, weights: DataFrame) -> DataFrame:
     """``item, grp_i, grp_j, rcov`` of group means: sum of a_i a_j rcov_ij."""
     wi, wj = (weights.select(F.col("entity_id").alias(f"entity_{s}"), F.col("grp").alias(f"grp_{s}"), F.col("a").alias(f"a_{s}")) for s in "ij")
-    j = cov.join(F.broadcast(wi), "entity_i").join(F.broadcast(wj), "entity_j")
+    j = cov.join(wi, "entity_i").join(wj, "entity_j")
     return j.groupBy("item", "grp_i", "grp_j").agg(F.sum(F.col("a_i") * F.col("a_j") * F.col("rcov")).alias("rcov"))
 
 
 def deviation_covariance(cov: DataFrame, weights: DataFrame) -> DataFrame:
     """Covariance of deviations from group means: rcov minus both mixed terms plus the group term."""
     wi, wj = (weights.select(F.col("entity_id").alias(f"entity_{s}"), F.col("grp").alias(f"grp_{s}"), F.col("a").alias(f"a_{s}")) for s in "ij")
-    j = cov.join(F.broadcast(wi), "entity_i").join(F.broadcast(wj), "entity_j")
+    j = cov.join(wi, "entity_i").join(wj, "entity_j")
     col = F.sum(F.col("a_j") * F.col("rcov")).over(W.partitionBy("item", "entity_i", "grp_j"))
     row = F.sum(F.col("a_i") * F.col("rcov")).over(W.partitionBy("item", "entity_j", "grp_i"))
     both = F.sum(F.col("a_i") * F.col("a_j") * F.col("rcov")).over(W.partitionBy("item", "grp_i", "grp_j"))
@@ -178,4 +181,4 @@ def shrunken(est: DataFrame, grid: Sequence[float], floor: float = 1e-8) -> Data
     sums = sums.withColumn("v", F.greatest(F.col("yz") / F.col("zz"), F.lit(0.0))).withColumn("loss", F.col("yy") - 2 * F.col("v") * F.col("yz") + F.col("v") * F.col("v") * F.col("zz"))
     best = sums.groupBy("item").agg(F.min(F.struct(F.round("loss", 9).alias("l"), "psi", "v")).alias("b")).select("item", "b.psi", "b.v")
     share = F.col("v") / (F.col("v") + F.exp(2 * (1 - F.col("psi")) * F.col("ls")))
-    return rows.join(F.broadcast(best), "item").select("item", "entity_id", "estimate", "se", (F.col("fit") + F.when(F.col("v") > 0, share).otherwise(0.0) * F.col("r")).alias("eb"))
+    return rows.join(best, "item").select("item", "entity_id", "estimate", "se", (F.col("fit") + F.when(F.col("v") > 0, share).otherwise(0.0) * F.col("r")).alias("eb"))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .quality import require_empty, repeated_keys
+from .tables import checkpointed
 
 
 def checked_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", one_to_one: bool = False) -> DataFrame:
@@ -53,10 +54,11 @@ def cascade_match(facts: DataFrame, fact_id: str, fact_keys: Column, dim: DataFr
 def cascade_one_to_one(facts: DataFrame, fact_id: str, fact_keys: Column, dim: DataFrame, dim_id: str, dim_keys: Column, tiers: int = 7) -> DataFrame:
     """The same, but a dimension row serves one fact: within a tier the least fact id takes it.
 
-    One step per tier; each works on the facts and dimension rows still free.
+    One step per tier; each works on the facts and dimension rows still free, which are checkpointed, so
+    that the plan does not grow with the tiers.
     """
     rows = facts.select(F.col(fact_id).alias("f"), F.inline(fact_keys)).where("key is not null")
-    usable = unique_tier_keys(dim, dim_id, dim_keys)
+    rows, usable = checkpointed(rows), checkpointed(unique_tier_keys(dim, dim_id, dim_keys))
     done = None
     for t in range(1, tiers + 1):
         f, u = rows.where(F.col("tier") == t), usable.where(F.col("tier") == t)
@@ -64,7 +66,7 @@ def cascade_one_to_one(facts: DataFrame, fact_id: str, fact_keys: Column, dim: D
             f = f.join(done, "f", "left_anti")
             u = u.join(done.select("id"), "id", "left_anti")
         got = f.select("f", "key").join(u.select("key", "id"), "key").groupBy("id").agg(F.min("f").alias("f")).select("f", "id", F.lit(t).alias("tier"))
-        done = got if done is None else done.unionByName(got)
+        done = checkpointed(got if done is None else done.unionByName(got))
     return done.select(F.col("f").alias(fact_id), "tier", "id")
 
 
@@ -115,7 +117,7 @@ def with_both_variances(cov: DataFrame, var: DataFrame, keys: Sequence[str], val
     out = cov
     for side, s in (("lhs", 1), ("rhs", 2)):
         v = var.select(*keys, F.col("item").alias(side), *[F.col(c).alias(f"{c}{s}") for c in values])
-        out = out.join(F.broadcast(v), [*keys, side], "left")
+        out = out.join(v, [*keys, side], "left")
     return out
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .tables import numbered
 from rankloom.functions import columns as C
 
 
@@ -35,9 +35,9 @@ def without_statuses(df: DataFrame, status: str, excluded: Sequence[str]) -> Dat
 
 
 def surrogate_ids(df: DataFrame, key: str, out: str) -> DataFrame:
-    """Dense ids by the sorted distinct keys: the dimension is ranked, and joined back."""
+    """Dense ids by the sorted distinct keys: the dimension is numbered by ranges, and joined back."""
     dim = df.select(key).where(F.col(key).isNotNull()).distinct()
-    ranked = dim.withColumn(out, F.row_number().over(W.orderBy(key)))
+    ranked = numbered(dim, [key], out).withColumn(out, (F.col(out) + 1).cast("int"))
     return df.join(ranked, key, "left")
 
 

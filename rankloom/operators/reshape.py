@@ -29,7 +29,7 @@ def spread(df: DataFrame, keys: Sequence[str], name: str, values: Mapping[str, C
 
 def complete(df: DataFrame, left: DataFrame, right: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
     """All combinations of two small dimensions, with 0 where the count is missing."""
-    return left.crossJoin(F.broadcast(right)).join(df, list(keys), "left").withColumn(count, F.coalesce(count, F.lit(0)))
+    return left.crossJoin(right).join(df, list(keys), "left").withColumn(count, F.coalesce(count, F.lit(0)))
 
 
 def expand_ranges(df: DataFrame, ranges: str, out: str) -> DataFrame:

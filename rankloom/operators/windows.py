@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .tables import numbered
+
 
 def ranks_within(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank") -> DataFrame:
     """Dense rank, smallest value first."""
@@ -63,6 +65,6 @@ def inconstant_keys(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
 def permuted_ids(df: DataFrame, entity: str, seed: int, out: str) -> DataFrame:
     """A seeded random permutation of a dimension's ids."""
     ids = df.select(entity).distinct()
-    a = ids.withColumn("_n", F.row_number().over(W.orderBy(entity)))
-    b = ids.select(F.col(entity).alias(out)).withColumn("_n", F.row_number().over(W.orderBy(F.xxhash64(out, F.lit(seed)), out)))
+    a = numbered(ids, [entity], "_n")
+    b = numbered(ids.select(F.col(entity).alias(out)).withColumn("_h", F.xxhash64(out, F.lit(seed))), ["_h", out], "_n").drop("_h")
     return a.join(b, "_n").drop("_n")

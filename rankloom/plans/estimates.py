@@ -10,6 +10,7 @@ from rankloom.operators import estimates as E
 from rankloom.operators import graph as G
 from rankloom.operators.aggregates import raters_with_more
 from rankloom.operators.joins import rater_pairs
+from rankloom.operators.tables import checkpointed
 from rankloom.operators.windows import top_and_bottom
 from rankloom.sources import fixtures as X
 from rankloom.sources.fixtures import with_
@@ -35,8 +36,8 @@ def scores(s, d):
 
 
 def fitted(s, d):
-    sc = scores(s, d)
-    return E.estimates(sc), E.robust_covariance(E.influences(sc))
+    sc = checkpointed(scores(s, d))
+    return E.estimates(sc), checkpointed(E.robust_covariance(E.influences(sc)))
 
 
 def recentred(s, d):
@@ -162,10 +163,25 @@ def _(s, d):
     return E.deviation_covariance(fitted(s, d)[1], E.group_weights(X.entities(s, d)))
 
 
-@query("st_13_shrunken")
+GRID = [g / 20 for g in range(-20, 41)]
+
+
+def shrunken_sql(src: str, tag: str) -> str:
+    """``eb_<tag>``: item, entity_id, eb of a relation with item, entity_id, estimate, se."""
+    t = [f"{tag}{i}" for i in range(1, 6)]
+    line = "CASE WHEN ll - n * mx * mx > 1e-12 THEN (le - n * mx * my) / (ll - n * mx * mx) ELSE 0 END"
+    return f"""{t[0]} AS (SELECT *, ln(greatest(se, 1e-8)) AS ls FROM {src} WHERE NOT isnan(estimate) AND se > 0),
+{t[1]} AS (SELECT *, count(*) OVER w AS n, avg(ls) OVER w AS mx, avg(estimate) OVER w AS my, sum(ls * ls) OVER w AS ll, sum(ls * estimate) OVER w AS le FROM {t[0]} WINDOW w AS (PARTITION BY item)),
+{t[2]} AS (SELECT *, estimate - fit AS r, power(estimate - fit, 2) - se * se AS y FROM (SELECT *, my + {line} * (ls - mx) AS fit FROM {t[1]} WHERE n >= 2)),
+{t[3]} AS (SELECT *, greatest(yz / zz, 0) AS v FROM (SELECT item, psi, sum(y * exp(2 * psi * ls)) AS yz, sum(exp(4 * psi * ls)) AS zz, sum(y * y) AS yy FROM {t[2]}, (SELECT unnest(range(-20, 41)) / 20.0::DOUBLE AS psi) GROUP BY 1, 2)),
+{t[4]} AS (SELECT item, psi, v, row_number() OVER (PARTITION BY item ORDER BY round(yy - 2 * v * yz + v * v * zz, 9), psi, v) AS k FROM {t[3]}),
+eb_{tag} AS (SELECT item, entity_id, fit + CASE WHEN v > 0 THEN v / (v + exp(2 * (1 - psi) * ls)) ELSE 0 END * r AS eb FROM {t[2]} JOIN {t[4]} USING (item) WHERE k = 1)"""
+
+
+@query("st_13_shrunken", with_("vi", f", {REC}, ez AS (SELECT item, entity_id, est_c.estimate, est.se FROM est_c JOIN est USING (item, entity_id)), {shrunken_sql('ez', 'e')} SELECT item, entity_id, round(eb, 4) AS eb FROM eb_e"))
 def _(s, d):
     est = E.recentred_estimates(fitted(s, d)[0])
-    return E.shrunken(est, [g / 20 for g in range(-20, 41)]).select("item", "entity_id", F.round("eb", 4).alias("eb"))
+    return E.shrunken(est, GRID).select("item", "entity_id", F.round("eb", 4).alias("eb"))
 
 
 VP = "vp AS (SELECT item, sum(CAST(entity_i = entity_j AS INTEGER)) AS J, sum(CASE WHEN entity_i = entity_j THEN a.estimate * a.estimate END) AS bb, sum(CASE WHEN entity_i = entity_j THEN rcov END) AS tr, sum(a.estimate * b.estimate * rcov) AS bcb, sum(rcov * rcov) AS cc FROM cov_c JOIN est_c a USING (item) JOIN est_c b USING (item) WHERE a.entity_id = entity_i AND b.entity_id = entity_j GROUP BY item), vr2 AS (SELECT item, J, bb / J AS variance, tr / J AS noise, (bb - tr) / J AS signal_raw, (4 * bcb - 2 * cc) / (J * J) AS v_hat FROM vp)"
@@ -213,8 +229,8 @@ def pair_rows(s):
 
 @query("st_18_item_covariance", with_("vi", f", {INF}, {IC} SELECT lhs, rhs, J, N1, N2, Ncommon, covariance, noise / J AS noise FROM ic, nz, nn"), d="covariance noise", i="J N1 N2 Ncommon")
 def _(s, d):
-    sc = scores(s, d)
-    return D.item_covariances(E.estimates(sc), E.influences(sc), pair_rows(s))
+    sc = checkpointed(scores(s, d))
+    return D.item_covariances(checkpointed(E.estimates(sc)), checkpointed(E.influences(sc)), pair_rows(s))
 
 
 BORDA = "bo AS (SELECT a.item, a.resp_id, a.entity_id, avg(CASE WHEN a.value < b.value THEN 1.0 WHEN a.value = b.value THEN 0.5 ELSE 0.0 END) AS score FROM p a JOIN p b ON a.item = b.item AND a.resp_id = b.resp_id AND a.entity_id <> b.entity_id GROUP BY 1, 2, 3), be AS (SELECT item, entity_id, count(*) AS n, avg(score) AS estimate FROM bo GROUP BY 1, 2)"
@@ -239,8 +255,8 @@ CORR = f"{REC}, {VP}, {IC}, sv AS (SELECT *, {C.positive_part_sql('signal_raw',
 def _correlated(s, d):
     from rankloom.operators.joins import with_both_variances
 
-    sc = scores(s, d)
-    est, infl = E.estimates(sc), E.influences(sc)
+    sc = checkpointed(scores(s, d))
+    est, infl = checkpointed(E.estimates(sc)), checkpointed(E.influences(sc))
     var = D.variance_parts(E.recentred_estimates(est), E.recentred_covariance(E.robust_covariance(infl)))
     cov = D.item_covariances(est, infl, pair_rows(s)).withColumn("one", F.lit(1))
     return D.correlations(with_both_variances(cov, var.withColumn("one", F.lit(1)), ["one"], ["variance", "signal"]))
@@ -262,20 +278,26 @@ def _(s, d):
     return cov(E.group_means(est, w), "grp", "between").unionByName(cov(E.group_deviations(est, w), "entity_id", "within"))
 
 
-@query("st_22_noise_matrix", with_("vi", f", {REC}, {VP}, {IC} SELECT item AS v1, item AS v2, noise FROM vr2 UNION ALL SELECT 'a', 'b', noise / J FROM ic, nz UNION ALL SELECT 'b', 'a', noise / J FROM ic, nz"), d="noise")
+KATZ = f"{WV}, {IC}, kz AS (SELECT item, coalesce(CASE WHEN variance - signal > 0 THEN variance - signal END, noise) AS noise FROM m3)"
+
+
+def sheets(s, d):
+    """The weighted variance sheet, and the covariance sheet of both items."""
+    sc = checkpointed(scores(s, d))
+    est, infl = E.estimates(sc), checkpointed(E.influences(sc))
+    w = X.entities(s, d).where("weight is not null").select("entity_id", "weight")
+    inside = E.within_set(est, E.robust_covariance(infl), w.select("entity_id"))
+    return D.weighted_variance_parts(*inside, w), D.item_covariances(est, infl, pair_rows(s))
+
+
+@query("st_22_noise_matrix", with_("vi entities", f", {KATZ} SELECT item AS v1, item AS v2, noise FROM kz UNION ALL SELECT 'a', 'b', nz.noise / J FROM ic, nz UNION ALL SELECT 'b', 'a', nz.noise / J FROM ic, nz"), d="noise")
 def _(s, d):
-    sc = scores(s, d)
-    est, infl = E.estimates(sc), E.influences(sc)
-    var = D.variance_parts(E.recentred_estimates(est), E.recentred_covariance(E.robust_covariance(infl))).withColumn("katz_noise", F.lit(None).cast("double"))
-    return D.noise_matrix(var, D.item_covariances(est, infl, pair_rows(s)))
+    return D.noise_matrix(*sheets(s, d))
 
 
-@query("st_23_exact_controls", with_("vi", f", {REC}, {VP}, {IC}, v AS (SELECT unnest(['a', 'b', 'size']) AS v) SELECT item AS v1, item AS v2, noise FROM vr2 UNION ALL SELECT 'a', 'b', noise / J FROM ic, nz UNION ALL SELECT 'b', 'a', noise / J FROM ic, nz UNION ALL SELECT x.v, y.v, 0 FROM v x, v y WHERE x.v = 'size' OR y.v = 'size'"), d="noise")
+@query("st_23_exact_controls", with_("vi entities", f", {KATZ}, v AS (SELECT unnest(['a', 'b', 'size']) AS v) SELECT item AS v1, item AS v2, noise FROM kz UNION ALL SELECT 'a', 'b', nz.noise / J FROM ic, nz UNION ALL SELECT 'b', 'a', nz.noise / J FROM ic, nz UNION ALL SELECT x.v, y.v, 0 FROM v x, v y WHERE x.v = 'size' OR y.v = 'size'"), d="noise")
 def _(s, d):
-    sc = scores(s, d)
-    est, infl = E.estimates(sc), E.influences(sc)
-    var = D.variance_parts(E.recentred_estimates(est), E.recentred_covariance(E.robust_covariance(infl))).withColumn("katz_noise", F.lit(None).cast("double"))
-    return D.noise_matrix(var, D.item_covariances(est, infl, pair_rows(s)), ("size",))
+    return D.noise_matrix(*sheets(s, d), ("size",))
 
 
 @query("ag_29_average_se", with_("vi", f", {COV} SELECT item, sqrt(sum(rcov)) / count(DISTINCT entity_i) AS se FROM cov GROUP BY 1"), d="se")

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankloom.functions import columns as C
 from rankloom.operators import compare as K
+from rankloom.operators import denoise as D
 from rankloom.operators import estimates as E
-from rankloom.operators.windows import permuted_ids
+from rankloom.operators.tables import checkpointed
+from rankloom.operators.windows import permuted_ids, ranks_within
 from rankloom.sources import fixtures as X
 from rankloom.sources.fixtures import with_
 
-from .estimates import recentred
+from .estimates import GRID, REC, SC, VP, WT, P, fitted, prep, recentred, shrunken_sql
 from .registry import query
 
 
@@ -31,6 +34,54 @@ def _(s, d):
     return out.select("item", "J", *[F.round(c, 4).alias(c) for c in ("wald", "wald_p", "cmd", "cmd_p", "a", "b")])
 
 
+# Nine pairs of subsamples, by two methods for two items: name, first and second subsample.
+PAIRS = [
+    ("arm", "arm = 'contact'", "arm = 'conduct'"), ("framing", "framing = 'pos'", "framing = 'neg'"), ("rich", "rich = 1", "rich = 0"), ("odd", "odd = 1", "odd = 0"), ("auto", "auto = 1", "auto = 0"),
+    ("contact", "arm = 'contact' AND framing = 'pos'", "arm = 'contact' AND framing = 'neg'"), ("conduct", "arm = 'conduct' AND framing = 'pos'", "arm = 'conduct' AND framing = 'neg'"),
+    ("pos", "framing = 'pos' AND rich = 1", "framing = 'pos' AND rich = 0"), ("neg", "framing = 'neg' AND rich = 1", "framing = 'neg' AND rich = 0"),
+]
+SIDES = ", ".join(f"struct_pack(cell := '{n}', side := {k}, inside := coalesce({c}, FALSE))" for n, *both in PAIRS for k, c in enumerate(both, 1))
+CELLS36 = f"""{P}, pz AS (SELECT p.*, rich, odd, auto FROM p JOIN raters USING (resp_id)),
+mt AS (SELECT 'OLS' AS method, item, resp_id, entity_id, 6.0 - value AS score FROM p UNION ALL SELECT 'Borda', a.item, a.resp_id, a.entity_id, avg(CASE WHEN a.value < b.value THEN 1.0 WHEN a.value = b.value THEN 0.5 ELSE 0.0 END) FROM p a JOIN p b ON a.item = b.item AND a.resp_id = b.resp_id AND a.entity_id <> b.entity_id GROUP BY 2, 3, 4),
+sd AS (SELECT DISTINCT item, resp_id, unnest([{SIDES}]) AS c FROM pz),
+sc AS (SELECT c.cell || ':' || method || ':' || mt.item || ':' || c.side AS item, mt.resp_id, entity_id, score FROM mt JOIN sd ON mt.item = sd.item AND mt.resp_id = sd.resp_id WHERE c.inside)"""
+
+
+def cell_sides(s, d):
+    """Scores of the 36 cells, ``item`` being pair, method, item and side; their estimates and covariances."""
+    rows = prep(s, d)
+    borda = E.borda_scores(ranks_within(rows, ["item", "resp_id"], "value"))
+    both = E.mean_scores(rows).withColumn("method", F.lit("OLS")).unionByName(borda.withColumn("method", F.lit("Borda")))
+    who = rows.select("item", "resp_id", "arm", "framing").distinct().join(X.raters(s, d), "resp_id")
+    sides = F.array(*[F.struct(F.lit(n).alias("cell"), F.lit(k).alias("side"), F.coalesce(F.expr(c), F.lit(False)).alias("inside")) for n, *two in PAIRS for k, c in enumerate(two, 1)])
+    who = who.select("item", "resp_id", F.explode(F.filter(sides, lambda x: x["inside"])).alias("c"))
+    sc = both.join(who, ["item", "resp_id"]).select(F.concat_ws(":", "c.cell", "method", "item", "c.side").alias("item"), "resp_id", "entity_id", "score")
+    sc = checkpointed(sc)
+    return E.estimates(sc), checkpointed(E.robust_covariance(E.influences(sc)))
+
+
+def side(df, k):
+    return df.where(F.col("item").endswith(f":{k}")).withColumn("item", F.expr("substring(item, 1, length(item) - 2)"))
+
+
+@query("st_38_39_cells")
+def _(s, d):
+    """Both tests in all cells, on recentred estimates."""
+    est, cov = cell_sides(s, d)
+    est = checkpointed(est)
+    out = K.vector_tests(side(est, 1), side(est, 2), side(cov, 1), side(cov, 2))
+    return out.select("item", "J", *[F.round(c, 4).alias(c) for c in ("wald", "wald_p", "cmd", "cmd_p", "a", "b")])
+
+
+@query("st_40_cells", with_("vi raters", f", {CELLS36}{REC[len(SC):]}, {VP}, sg AS (SELECT item, {C.positive_part_sql('signal_raw', 'sqrt(greatest(v_hat, 0))')} AS signal FROM vr2), k AS (SELECT left(x.item, length(x.item) - 2) AS item, avg(x.estimate * y.estimate) - avg(x.estimate) * avg(y.estimate) AS c FROM est x JOIN est y ON left(x.item, length(x.item) - 2) = left(y.item, length(y.item) - 2) AND right(x.item, 1) = '1' AND right(y.item, 1) = '2' AND x.entity_id = y.entity_id GROUP BY 1) SELECT k.item, CASE WHEN a.signal > 0 AND b.signal > 0 THEN c / sqrt(a.signal * b.signal) END AS corr FROM k JOIN sg a ON a.item = k.item || ':1' JOIN sg b ON b.item = k.item || ':2'"), d="corr")
+def _(s, d):
+    """Signal correlation of all cells, with the signal variances of both sides."""
+    est, cov = cell_sides(s, d)
+    est = checkpointed(est)
+    signal = checkpointed(D.variance_parts(E.recentred_estimates(est), E.recentred_covariance(cov)).select("item", "signal"))
+    return K.signal_correlation(side(est, 1), side(est, 2), ["item"], side(signal, 1), side(signal, 2))
+
+
 ARMS = "m AS (SELECT arm, entity_id, avg(6.0 - value) AS e FROM vr GROUP BY 1, 2), c AS (SELECT arm, entity_id, e - avg(e) OVER (PARTITION BY arm) AS e FROM m)"
 
 
@@ -99,6 +150,11 @@ def _(s, d):
     return K.difference_se(X.valid(X.ratings(s, d)), ["arm"])
 
 
+@query("st_46_win_difference_se", with_("vr", ", w AS (SELECT a.arm, a.resp_id, a.entity_id AS i, b.entity_id AS j, CASE WHEN a.value < b.value THEN 1.0 WHEN a.value = b.value THEN 0.5 ELSE 0.0 END AS w FROM vr a JOIN vr b ON a.resp_id = b.resp_id AND a.entity_id <> b.entity_id AND b.entity_id NOT IN (1, 2)), o AS (SELECT x.arm, x.i, x.resp_id, sum(abs(x.w - y.w)) AS far, CAST(count(*) - count(DISTINCT x.j) AS DOUBLE) AS met FROM w x JOIN w y ON x.arm = y.arm AND x.i = y.i AND x.j = y.j GROUP BY 1, 2, 3), tt AS (SELECT arm, i, resp_id, sum(CAST(w = 0.5 AS DOUBLE)) AS ties, CAST(count(*) AS DOUBLE) AS wins FROM w GROUP BY 1, 2, 3), st AS (SELECT arm, i, sum(far) / 2 AS af, sum(met) / 2 AS pairs, sum(ties) AS at, sum(wins) AS aw, CASE WHEN sum(met) > 0 THEN sum(far) / sum(met) END AS amad, sum(ties) / sum(wins) AS tie FROM o JOIN tt USING (arm, i, resp_id) GROUP BY 1, 2), h AS (SELECT arm, count(amad) AS J, avg(amad) AS mean, count(tie) AS J_tie, avg(tie) AS mean_tie FROM st GROUP BY 1), pr AS (SELECT arm, resp_id, sum(CASE WHEN amad IS NOT NULL THEN (far - amad * met) / pairs ELSE 0 END) AS t, sum((ties - tie * wins) / aw) AS u FROM o JOIN tt USING (arm, i, resp_id) JOIN st USING (arm, i) GROUP BY 1, 2), m AS (SELECT arm, sum(t) AS s1, sum(t * t) AS s2, sum(u) AS u1, sum(u * u) AS u2 FROM pr GROUP BY 1), r AS (SELECT arm, count(DISTINCT resp_id) AS R FROM vr GROUP BY 1) SELECT arm, J, mean, sqrt(greatest((s2 - s1 * s1 / R) * R / (R - 1), 0)) / J AS se, J_tie, mean_tie, sqrt(greatest((u2 - u1 * u1 / R) * R / (R - 1), 0)) / J_tie AS se_tie FROM h JOIN m USING (arm) JOIN r USING (arm)"), d="mean se mean_tie se_tie", i="J J_tie")
+def _(s, d):
+    return K.win_difference_se(X.valid(X.ratings(s, d)), ["arm"], (1, 2))
+
+
 @query("st_47_framing_cells", with_("ratings", "SELECT resp_id, entity_id, arm || '_' || framing AS cell FROM ratings"))
 def _(s, d):
     r = X.ratings(s, d)
@@ -107,19 +163,46 @@ def _(s, d):
     return K.framing_cells(wide, names).select("resp_id", "entity_id", "cell")
 
 
-@query("st_48_group_shrunken")
+# Group means and deviations from them, with standard errors; those of 1e-6 and less are rounding of an exact 0.
+PARTS = f"{REC}, {WT}, gm AS (SELECT item, grp AS entity_id, sum(a * estimate) AS estimate FROM est_c JOIN g USING (entity_id) GROUP BY 1, 2), gv AS (SELECT item, x.grp AS entity_id, sum(x.a * y.a * rcov) AS v FROM cov_c JOIN g x ON x.entity_id = entity_i JOIN g y ON y.entity_id = entity_j WHERE x.grp = y.grp GROUP BY 1, 2), gs AS (SELECT item, entity_id, estimate, sqrt(greatest(round(v, 12), 0)) AS se FROM gm JOIN gv USING (item, entity_id)), dx AS (SELECT item, entity_i AS entity_id, sum(y.a * rcov) AS c FROM cov_c JOIN g x ON x.entity_id = entity_i JOIN g y ON y.entity_id = entity_j WHERE x.grp = y.grp GROUP BY 1, 2), ds AS (SELECT e.item, e.entity_id, e.estimate - gm.estimate AS estimate, sqrt(greatest(round(cov_c.rcov - 2 * c + gv.v, 12), 0)) AS se FROM est_c e JOIN g USING (entity_id) JOIN gm ON gm.item = e.item AND gm.entity_id = grp JOIN gv ON gv.item = e.item AND gv.entity_id = grp JOIN dx ON dx.item = e.item AND dx.entity_id = e.entity_id JOIN cov_c ON cov_c.item = e.item AND entity_i = e.entity_id AND entity_j = e.entity_id)"
+
+
+@query("st_48_group_shrunken", with_("vi entities", f", {PARTS}, {shrunken_sql('gs', 'g')} SELECT item, entity_id AS grp, round(eb, 4) AS eb FROM eb_g"))
 def _(s, d):
     est, cov = recentred(s, d)
+    return E.shrunken(_group_level(est, cov, E.group_weights(X.entities(s, d))), GRID).select("item", F.col("entity_id").alias("grp"), F.round("eb", 4).alias("eb"))
+
+
+def _root(v):
+    return F.sqrt(F.greatest(F.round(v, 12), F.lit(0.0))).alias("se")
+
+
+def _group_level(est, cov, w):
+    se = E.group_covariance(cov, w).where("grp_i = grp_j").select("item", F.col("grp_i").alias("entity_id"), _root("rcov"))
+    return E.group_means(est, w).withColumnRenamed("grp", "entity_id").join(se, ["item", "entity_id"])
+
+
+@query("st_48_shrunken_parts", with_("vi entities", f", {PARTS}, {shrunken_sql('gs', 'g')}, {shrunken_sql('ds', 'd')}, mu AS (SELECT item, avg(estimate) AS mu FROM est GROUP BY 1) SELECT est.item, est.entity_id, round(eb_g.eb, 4) AS between_part, round(coalesce(eb_d.eb, 0), 4) AS within_part, round(mu + eb_g.eb + coalesce(eb_d.eb, 0), 4) AS shrunken FROM est JOIN mu USING (item) JOIN g USING (entity_id) JOIN eb_g ON eb_g.item = est.item AND eb_g.entity_id = grp LEFT JOIN eb_d ON eb_d.item = est.item AND eb_d.entity_id = est.entity_id"))
+def _(s, d):
+    """Shrunken group means and deviations, put together again with the overall mean."""
+    raw, plain = fitted(s, d)
+    raw = checkpointed(raw)
+    est, cov = checkpointed(E.recentred_estimates(raw)), checkpointed(E.recentred_covariance(plain))
     w = E.group_weights(X.entities(s, d))
-    m = E.group_means(est, w)
-    se = E.group_covariance(cov, w).where("grp_i = grp_j").select("item", F.col("grp_i").alias("grp"), F.sqrt("rcov").alias("se"))
-    return E.shrunken(m.join(se, ["item", "grp"]).withColumnRenamed("grp", "entity_id"), [g / 20 for g in range(-20, 41)]).select("item", F.col("entity_id").alias("grp"), F.round("eb", 4).alias("eb"))
+    diagonal = E.deviation_covariance(cov, w).where("entity_i = entity_j").select("item", F.col("entity_i").alias("entity_id"), _root("rcov"))
+    inner = E.group_deviations(est, w).select("item", "entity_id", "estimate").join(diagonal, ["item", "entity_id"])
+    between = E.shrunken(_group_level(est, cov, w), GRID).select("item", F.col("entity_id").alias("grp"), F.col("eb").alias("g"))
+    within = E.shrunken(inner, GRID).select("item", "entity_id", F.col("eb").alias("w"))
+    mu = raw.groupBy("item").agg(F.avg("estimate").alias("mu"))
+    j = raw.select("item", "entity_id").join(mu, "item").join(w.select("entity_id", "grp"), "entity_id").join(between, ["item", "grp"]).join(within, ["item", "entity_id"], "left")
+    inside = F.coalesce("w", F.lit(0.0))
+    return j.select("item", "entity_id", F.round("g", 4).alias("between_part"), F.round(inside, 4).alias("within_part"), F.round(F.col("mu") + F.col("g") + inside, 4).alias("shrunken"))
 
 
 PUB = "a AS (SELECT entity_id, avg(value) AS e1, sqrt(var_samp(value) / count(*)) AS s1 FROM vi WHERE item = 'a' GROUP BY 1), b AS (SELECT entity_id, avg(value) AS e2, sqrt(var_samp(value) / count(*)) AS s2 FROM vi WHERE item = 'b' GROUP BY 1)"
 
 
-@query("st_51_against_published", with_("vi", f", {PUB} SELECT entity_id, e1 - e2 AS difference, e2 - 1.96 * s2 AS low, e2 + 1.96 * s2 AS high, e1 BETWEEN e2 - 1.96 * s2 AND e2 + 1.96 * s2 AS inside FROM a JOIN b USING (entity_id)"), d="difference low high")
+@query("st_51_against_published", with_("vi", f", {PUB} SELECT entity_id, e1 - e2 AS difference, e2 - 1.96 * s2 AS low, e2 + 1.96 * s2 AS high, e1 BETWEEN e2 - 1.96 * s2 AND e2 + 1.96 * s2 AS inside, CASE WHEN abs(e1) > 1.96 * s1 THEN sign(e1) ELSE 0 END = CASE WHEN abs(e2) > 1.96 * s2 THEN sign(e2) ELSE 0 END AS same_significance FROM a JOIN b USING (entity_id)"), d="difference low high")
 def _(s, d):
     m = X.valid(X.items(s, d)).groupBy("item", "entity_id").agg(F.avg("value").alias("estimate"), F.sqrt(F.var_samp("value") / F.count(F.lit(1))).alias("se"))
-    return K.against_published(m.where("item = 'a'"), m.where("item = 'b'"), "entity_id").drop("same_significance")
+    return K.against_published(m.where("item = 'a'"), m.where("item = 'b'"), "entity_id")
