@@ -67,15 +67,21 @@ def influences(scores: DataFrame) -> DataFrame:
     return scores.withColumn("s", (F.col("score") - F.avg("score").over(w)) / F.count("score").over(w)).drop("score")
 
 
-def robust_covariance(infl: DataFrame) -> DataFrame:
-    """Sum over raters of s_i s_j, for i <= j once, mirrored, and 0 for pairs without a common rater."""
+def observed_covariance(infl: DataFrame) -> DataFrame:
+    """Sum over raters of s_i s_j, for i <= j once, mirrored; pairs without a common rater have no row."""
     a = infl.select("item", "resp_id", F.col("entity_id").alias("entity_i"), F.col("s").alias("si"))
     b = infl.select("item", "resp_id", F.col("entity_id").alias("entity_j"), F.col("s").alias("sj"))
     half = a.join(b, ["item", "resp_id"]).where("entity_i <= entity_j").groupBy("item", "entity_i", "entity_j").agg(F.sum(F.col("si") * F.col("sj")).alias("rcov"))
-    mirrored = half.unionByName(half.where("entity_i < entity_j").select("item", F.col("entity_j").alias("entity_i"), F.col("entity_i").alias("entity_j"), "rcov"))
+    both = F.array(F.struct("entity_i", "entity_j"), F.struct(F.col("entity_j").alias("entity_i"), F.col("entity_i").alias("entity_j")))
+    ends = F.when(F.col("entity_i") == F.col("entity_j"), F.slice(both, 1, 1)).otherwise(both)
+    return half.select("item", F.explode(ends).alias("e"), "rcov").select("item", "e.*", "rcov")
+
+
+def robust_covariance(infl: DataFrame) -> DataFrame:
+    """The same as a full matrix, with 0 for pairs without a common rater."""
     ids = infl.select("item", F.col("entity_id").alias("entity_i")).distinct()
     grid = ids.join(ids.withColumnRenamed("entity_i", "entity_j"), "item")
-    return grid.join(mirrored, ["item", "entity_i", "entity_j"], "left").withColumn("rcov", F.coalesce("rcov", F.lit(0.0)))
+    return grid.join(observed_covariance(infl), ["item", "entity_i", "entity_j"], "left").withColumn("rcov", F.coalesce("rcov", F.lit(0.0)))
 
 
 def naive_covariance(est: DataFrame) -> DataFrame:

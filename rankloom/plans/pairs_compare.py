@@ -23,7 +23,7 @@ def halves(s, d):
     out = []
     for arm in ("contact", "conduct"):
         sc = E.mean_scores(rows.where(F.col("arm") == arm))
-        out.append((sc, E.estimates(sc), E.robust_covariance(E.influences(sc))))
+        out.append((sc, E.estimates(sc), E.observed_covariance(E.influences(sc))))
     return out
 
 
@@ -57,7 +57,7 @@ def cell_sides(s, d):
     who = who.select("item", "resp_id", F.explode(F.filter(sides, lambda x: x["inside"])).alias("c"))
     sc = both.join(who, ["item", "resp_id"]).select(F.concat_ws(":", "c.cell", "method", "item", "c.side").alias("item"), "resp_id", "entity_id", "score")
     sc = checkpointed(sc)
-    return E.estimates(sc), checkpointed(E.robust_covariance(E.influences(sc)))
+    return E.estimates(sc), checkpointed(E.observed_covariance(E.influences(sc)))
 
 
 def side(df, k):
@@ -78,7 +78,9 @@ def _(s, d):
     """Signal correlation of all cells, with the signal variances of both sides."""
     est, cov = cell_sides(s, d)
     est = checkpointed(est)
-    signal = checkpointed(D.variance_parts(E.recentred_estimates(est), E.recentred_covariance(cov)).select("item", "signal"))
+    ids = est.select("item", F.col("entity_id").alias("entity_i"))
+    full = ids.join(ids.withColumnRenamed("entity_i", "entity_j"), "item").join(cov, ["item", "entity_i", "entity_j"], "left").withColumn("rcov", F.coalesce("rcov", F.lit(0.0)))
+    signal = checkpointed(D.variance_parts(E.recentred_estimates(est), E.recentred_covariance(full)).select("item", "signal"))
     return K.signal_correlation(side(est, 1), side(est, 2), ["item"], side(signal, 1), side(signal, 2))
 
 
@@ -98,18 +100,9 @@ REPLICATES = 499
 
 @query("st_41_bootstrap")
 def _(s, d):
-    (sa, ea, _), (sb, eb, _) = halves(s, d)
-    boots = [K.bootstrap_means(sc, K.bootstrap_weights(sc.select("resp_id").distinct(), REPLICATES, seed)) for sc, seed in ((sa, 123), (sb, 42))]
-
-    def distance(a, b, keys):
-        j = a.select(*keys, "entity_id", F.col("estimate").alias("x")).join(b.select(*keys, "entity_id", F.col("estimate").alias("y")), [*keys, "entity_id"])
-        return j.groupBy(*keys).agg(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y"))).alias("stat"))
-
-    observed = distance(ea, eb, ["item"])
-    # The null: replicates are recentred at the observed difference.
-    gap = ea.select("item", "entity_id", F.col("estimate").alias("x")).join(eb.select("item", "entity_id", F.col("estimate").alias("y")), ["item", "entity_id"]).select("item", "entity_id", (F.col("x") - F.col("y")).alias("gap"))
-    centred = boots[0].join(gap, ["item", "entity_id"]).withColumn("estimate", F.col("estimate") - F.col("gap")).drop("gap")
-    return K.bootstrap_p_values(observed, distance(centred, boots[1], ["rep", "item"]), ["item"], "stat")
+    (sa, _, _), (sb, _, _) = halves(s, d)
+    out = K.bootstrap_tests(checkpointed(sa), checkpointed(sb), REPLICATES)
+    return out.select(*[F.round(c, 4).alias(c) for c in ("wald", "wald_p", "cmd", "cmd_p")], "reps")
 
 
 @query("st_42_raw_correlation", with_("vr", f", {ARMS} SELECT corr(x.e, y.e) AS corr, count(*) AS n FROM c x JOIN c y ON x.arm = 'contact' AND y.arm = 'conduct' AND x.entity_id = y.entity_id"), d="corr", i="n")
@@ -132,6 +125,14 @@ def _(s, d):
     return K.uniformity(line.select(F.col("l_returnflag").alias("g"), p.alias("p")), ["g"], "p")
 
 
+@query("st_43_calibration")
+def _(s, d):
+    """Random halves of all raters: how far the p-values of both tests are from uniform."""
+    p = K.calibration(checkpointed(E.mean_scores(X.valid(X.ratings(s, d)).withColumn("item", F.lit("a")))))
+    long = p.unpivot("split", ["wald_p", "cmd_p"], "test", "p").where("p is not null")
+    return K.uniformity(long, ["test"], "p").select("test", *[F.round(c, 4).alias(c) for c in ("ks", "at_5", "at_10")])
+
+
 CELL = "SELECT {c}, count(*) AS pairs FROM vr a JOIN vr b ON a.arm = b.arm AND a.entity_id = b.entity_id AND a.resp_id < b.resp_id GROUP BY 1, 2"
 
 
