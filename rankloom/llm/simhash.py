@@ -37,7 +37,7 @@ CROWD = 64
 
 
 #: Most bytes of shingle sets, and most sets, of a block of candidates.
-BLOCK_BYTES, BLOCK_SETS = 1 << 23, 2048
+BLOCK_BYTES, BLOCK_SETS = 1 << 21, 512
 #: Bands and rows of the MinHash keys: a pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^30 < 7e-6.
 BANDS, ROWS = 30, 5
 _draws = np.random.default_rng(20).integers(0, 1 << 64, (2, BANDS * ROWS + ROWS), np.uint64)

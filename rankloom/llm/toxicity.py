@@ -71,21 +71,26 @@ class ToxicityModel:
 
     weights: dict[int, float]
     bias: float
-    #: Features with a weight by word, of words met so far; it is forgotten when it gets long.
+    #: Features with a weight by word, of words met lately and of those met before; the latter are forgotten when the former get many.
     met: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False, compare=False)
+    older: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False, compare=False)
 
-    def hits(self, word: str) -> tuple[int, ...]:
-        found = self.met.get(word)
+    def learn(self, word: str) -> tuple[int, ...]:
+        found = self.older.get(word)
         if found is None:
-            if len(self.met) > 150_000:
-                self.met.clear()
-            found = self.met[word] = tuple(h for h in word_hashes(word) if h in self.weights)
+            found = tuple(h for h in word_hashes(word) if h in self.weights)
+        if len(self.met) > 100_000:
+            self.older, self.met = self.met, {}
+        self.met[word] = found
         return found
 
     def score(self, text: str) -> float:
         present: set[int] = set()
-        for word in words_of(text):
-            if hit := self.hits(word):
+        words = words_of(text)
+        for word, hit in zip(words, list(map(self.met.get, words))):
+            if hit is None:
+                hit = self.learn(word)
+            if hit:
                 present.update(hit)
         z = self.bias + math.fsum(self.weights[h] for h in present)
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, z))))
@@ -133,7 +138,7 @@ def fit(
 ) -> ToxicityModel:
     """Fit on a bounded sample of labelled rows.
 
-    Features are words and letter runs, present or not. Spark counts them by label and
+    Features are words and letter runs, present or not, hashed to 2^HASH_BITS places. Spark counts them by label and
     keeps those of the strongest association, identity terms always. The loss is the mean
     log loss, plus ``ridge`` times the squared weights, plus ``counterfactual`` times the
     mean squared change of the log odds when the identity terms of a labelled text are
@@ -206,7 +211,11 @@ def _descend(rows: pa.Table, width: int, bias: float, ridge: float, counterfactu
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score`` of every whole text; null and empty texts get the model's base rate."""
+    """``doc_id, score`` of every whole text.
+
+    Null and empty texts get the model's base rate. Rows that repeat get the same score each, a null id stays null, other
+    columns are ignored, whatever their names, and an empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
@@ -234,7 +243,11 @@ def non_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, id_
 
 
 def op5_toxicity(spark, sf_dir):
-    """Labels are learnt only from rows whose crc32 of the id leaves a rest modulo 5."""
+    """Labels are learnt only from rows whose crc32 of the id leaves a rest modulo 5.
+
+    One row for each row of ``documents``, null ids and repeats included; an empty table gives none. Without labels of both kinds
+    the score is their smoothed share.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = crc_rest(F.col("doc_id"), 5) == 0
     model = fit(docs, labels, ~held_out)

@@ -274,6 +274,34 @@ def test_toxicity(spark, odd, empty):
     assert 0 < toxicity.fit(docs, known.limit(0)).score("") < 1
 
 
+def test_toxicity_descent_ends_where_the_loss_is_least():
+    """Loss and gradient by plain loops: at the end of the descent no small step lowers the loss."""
+    import pyarrow as pa
+
+    rnd = random.Random(3)
+    f = [sorted(rnd.sample(range(6), rnd.randint(1, 4))) for _ in range(40)]
+    y = [int((0 in x) != (rnd.random() < 0.2)) for x in f]
+    g = [sorted({5 - j if j in (1, 4) else j for j in x}) if {1, 4} & set(x) else None for x in f]
+    rows = pa.table({"id": list(range(40)), "label": y, "f": f, "g": g})
+    ridge, force = 1e-2, 0.7
+    w, b = toxicity._descend(rows, 6, 0.0, ridge, force, 3000)
+
+    def loss(w, b):
+        n, ones = len(y), sum(y)
+        weight = [math.sqrt((n - ones) / ones) if v else 1.0 for v in y]
+        total = sum(weight)
+        z = [b + sum(w[j] for j in x) for x in f]
+        fit = sum(c * n / total * (math.log1p(math.exp(-v)) if t else math.log1p(math.exp(v))) for c, v, t in zip(weight, z, y)) / n
+        gaps = [sum(w[j] for j in set(a) - set(o)) - sum(w[j] for j in set(o) - set(a)) for a, o in zip(f, g) if o is not None]
+        return fit + ridge * sum(v * v for v in w) + force * sum(v * v for v in gaps) / len(gaps)
+
+    w, least = [float(v) for v in w], loss(w, b)
+    for k in range(6):
+        for step in (-0.02, 0.02):
+            assert loss([v + step * (j == k) for j, v in enumerate(w)], b) > least - 1e-6
+    assert loss(w, b + 0.02) > least - 1e-6 and loss(w, b - 0.02) > least - 1e-6
+
+
 def test_suffix_tree(spark, odd, empty):
     rnd = random.Random(5)
     texts = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 40))) + " New York City is big" for _ in range(60)]
@@ -479,7 +507,7 @@ def test_pipeline_stages(spark, odd):
     assert docs.count() > 0
 
 
-@pytest.mark.parametrize("block_sets", [2048, 2])
+@pytest.mark.parametrize("block_sets", [512, 2])
 def test_near_dedup_reaches_a_jaccard_similarity(spark, monkeypatch, block_sets):
     """Copies with some words changed go; classes are those of all pairs, by sets of five words, in blocks of any size."""
     import corpus_pipeline
