@@ -5,22 +5,28 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the session's shared checkpoint folder and reads it back, which cuts its lineage.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder, that in ``spark.checkpoint.dir``.
 
-    The folder is the one in ``spark.checkpoint.dir``. A session on one machine that names none gets a temporary folder; on a cluster that is an error.
+    A session on one machine that names none gets a temporary folder; on a cluster that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rankloom-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared checkpoint folder and reads it back, which cuts its lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

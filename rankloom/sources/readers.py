@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -11,19 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rankloom.operators.tables import checkpoint_folder
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the session's shared checkpoint folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rankloom-"))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def read_survey(spark: SparkSession, path: str, sample: str, schema: str) -> DataFrame:
     """Questionnaire export: quoted multi-line CSV, of which only answers (status ``IP Address``) are kept, tagged with the sample.
 
-    Leading description rows have another status, so they go by value and not by place.
+    Leading description rows have another status, so they go by value and not by place. Answers hold line feeds, so a file is read by
+    one task: export large surveys in several files.
     """
     rows = spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"')
     return rows.where(F.col("Status") == "IP Address").withColumn("sample", F.lit(sample))
