@@ -17,12 +17,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's shared checkpoint folder.
 
-    It is the one in ``spark.checkpoint.dir``. Only where a session names none, as in
-    tests on one machine, a temporary folder is set.
+    It is the one in ``spark.checkpoint.dir``. A session on one machine that names none, as in
+    tests, gets a temporary folder; on a cluster that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rankloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rankloom-"))
     return sc.getCheckpointDir()
 
 
