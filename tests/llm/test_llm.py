@@ -553,6 +553,53 @@ def test_short_lines_that_repeat(spark):
     assert line_dedup.line_classes(docs).count() == 9
 
 
+def test_suffix_tree_training_by_brute_force(spark):
+    """Contexts, their probabilities and all scores, recomputed from plain counts."""
+    rnd = random.Random(12)
+    phrases = ["new york city is big", "new york times says", "the city of york", "a b a b a c"]
+    texts = {i: " ".join(rnd.choice(phrases) if rnd.random() < 0.5 else rnd.choice("abcdefghij") for _ in range(rnd.randint(1, 25))) for i in range(80)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model, n_tokens, n_words = suffix_tree_lm.train(docs, F.col("doc_id") % 4 != 0)
+    grams = [collections.Counter() for _ in range(4)]
+    for i, t in texts.items():
+        tokens = [*t.split(), None]
+        for size in (1, 2, 3):
+            if i % 4:
+                grams[size].update(tuple(tokens[k : k + size]) for k in range(len(tokens) - size + 1))
+    n, v = sum(grams[1].values()), len(grams[1])
+    assert (n_tokens, n_words) == (n, v)
+    states: dict = {}
+
+    def p(context, symbol):
+        if not context:
+            return (grams[1][(symbol,)] + 1) / (n + v + 1)
+        if context not in states:
+            return p(context[1:], symbol)
+        listed, rest = states[context]
+        return listed[symbol] if symbol in listed else p(context[1:], symbol) * rest
+
+    for size in (1, 2):  # shorter contexts first: a state is judged against its suffix
+        found = {}
+        for context in {g[:-1] for g in grams[size + 1]}:
+            total = grams[size][context]
+            listed = {g[-1]: (c - 0.5) / (total + 1) for g, c in grams[size + 1].items() if g[:-1] == context and c >= 2}
+            listed = {x: q for x, q in listed.items() if grams[size + 1][(*context, x)] * math.log(q / p(context[1:], x)) >= suffix_tree_lm.SYMBOL_GAIN}
+            others = total - sum(grams[size + 1][(*context, x)] for x in listed)
+            ps, qs = sum(listed.values()), sum(p(context[1:], x) for x in listed)
+            if listed and ps < 1 and qs < 1:
+                rest = (1 - ps) / (1 - qs)
+                gain = sum(grams[size + 1][(*context, x)] * math.log(q / p(context[1:], x)) for x, q in listed.items()) + others * math.log(rest)
+                if gain >= suffix_tree_lm.STATE_GAIN:
+                    found[context] = (listed, rest)
+        states |= found
+    assert any(len(c) == 2 for c in states) and any(len(c) == 1 for c in states)
+    assert model.where("not word").count() == sum(1 + len(listed) for listed, _ in states.values())
+    for r in suffix_tree_lm.score(docs, model, n_tokens, n_words).collect():
+        tokens = [*texts[r.doc_id].split(), None]
+        want = sum(math.log10(p(tuple(tokens[max(0, k - 2) : k]), x)) for k, x in enumerate(tokens))
+        assert r.score == pytest.approx(want)
+
+
 def test_pairs_met_twice_are_listed(spark):
     rnd = random.Random(8)
     texts = [" ".join(rnd.choice("abcdefgh") for _ in range(40)) for _ in range(50)] + ["zebra quark a b", "c zebra quark"]
