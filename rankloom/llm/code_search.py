@@ -26,7 +26,11 @@ def masks(weight: int) -> np.ndarray:
 
 
 def sign_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``id, code``: bit j is set if component j is above 0; as little-endian segments. Null vectors have no code and drop out."""
+    """``id, code``: bit j is set if component j is above 0; as little-endian segments.
+
+    Null vectors have no code and drop out; a null component is not above 0; an empty vector is one segment without a bit. Repeated rows
+    and null ids stay; other columns are ignored, whatever their names.
+    """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,16 +104,18 @@ def top_k(codes: DataFrame, queries: Column, k: int = 10, block_rows: int = BLOC
     spread by their ids.
 
     A row is not its own neighbour, and rows with its id are not either. Rows with a null
-    id are left out. All codes must have one length. With fewer than k other rows, all are
+    id are left out. Codes of different lengths are not compared. A repeated row counts once; an id with several codes is
+    searched by each of them and can be found by each. With fewer than k other rows, all are
     returned. No rows give no result.
     """
-    rows = checkpoint(codes.where("id is not null and code is not null"))
+    rows = checkpoint(codes.select("id", "code").where("id is not null and code is not null").distinct())
     wanted = rows.where(queries)
     n, q = rows.count(), wanted.count()
     blocks, chunks = max(1, -(-n // block_rows)), max(1, -(-q // chunk_queries))
     deal = F.xxhash64("id", F.lit(3))
-    left = wanted.select("id", "code", F.pmod(deal, F.lit(chunks)).cast("long").alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    right = rows.select("id", "code", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"), F.pmod(deal, F.lit(blocks)).cast("long").alias("block"))
+    size = F.octet_length("code").alias("size")
+    left = wanted.select("id", "code", size, F.pmod(deal, F.lit(chunks)).cast("long").alias("chunk"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    right = rows.select("id", "code", size, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"), F.pmod(deal, F.lit(blocks)).cast("long").alias("block"))
     schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.int64())])
 
     def search(asked: pa.Table, stored: pa.Table) -> pa.Table:
@@ -124,7 +130,10 @@ def top_k(codes: DataFrame, queries: Column, k: int = 10, block_rows: int = BLOC
                 out[2] += far.tolist()
         return pa.table([pa.array(c, pa.int64()) for c in out], schema=schema)
 
-    found = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInArrow(search, "query_id long, id long, distance long")
+    # A stated number of partitions: few bytes are much work here, so small partitions must not be put together.
+    keys = ("chunk", "block", "size")
+    left, right = (df.repartition(blocks * chunks, *keys) for df in (left, right))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, id long, distance long")
     # At most k rows of each block come in; a repeated query row must not repeat its answers.
     lists = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct("distance", "id"))), 1, k).alias("best"))
     return lists.select("query_id", F.posexplode("best").alias("i", "b")).select("query_id", (F.col("i") + 1).cast("long").alias("rank"), F.col("b.id").alias("id"), F.col("b.distance").alias("distance"))

@@ -454,6 +454,12 @@ def test_code_search(spark):
             want = sorted((int((bits[q] ^ bits[j]).sum()), j) for j in range(400) if j != q)[:10]
             assert [(d, j) for _, d, j in sorted(found)] == want
     assert code_search.top_k(codes.limit(0), F.col("id") % 2 == 0).count() == 0
+    schema = "vec_id long, embedding array<double>, code string, block long, size string, chunk int"
+    odd = [(i, v, "c", 1, "s", 2) for i, v in ((1, [1.0, -1.0]), (1, [1.0, -1.0]), (2, [1.0, None]), (3, []), (4, None), (None, [1.0, 1.0]), (5, [1.0] * 40), (6, [-1.0] * 40))]
+    codes = code_search.sign_codes(spark.createDataFrame(odd, schema))
+    assert codes.count() == 7
+    got = sorted((r.query_id, r.rank, r.id, r.distance) for r in code_search.top_k(codes, F.lit(True), 2, 3, 2).collect())
+    assert got == [(1, 1, 2, 0), (1, 2, 3, 1), (2, 1, 1, 0), (2, 2, 3, 1), (3, 1, 1, 1), (3, 2, 2, 1), (5, 1, 6, 40), (6, 1, 5, 40)]
 
 
 def test_contract_columns(spark):
