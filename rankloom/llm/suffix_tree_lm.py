@@ -17,7 +17,7 @@ is one join and a sum.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -159,7 +159,10 @@ class Hasher:
             low = high
 
 
-_hasher = Hasher()
+@lru_cache(maxsize=1)
+def hasher() -> Hasher:
+    """One per Python process. Its tables are made where they are used: as a value, they would travel with each task's function."""
+    return Hasher()
 
 
 def bitmap(ids: DataFrame, column: str) -> np.ndarray:
@@ -247,7 +250,7 @@ def count_words_and_pairs(texts: DataFrame, buckets: int, held: int = 2_000_000)
             found, size = [[], []], 0
 
         for batch in batches:
-            for _, t, sizes in _hasher.of_column(batch.column(0)):
+            for _, t, sizes in hasher().of_column(batch.column(0)):
                 within = np.ones(len(t), bool)
                 within[np.cumsum(sizes) - 1] = False
                 found[0].append(t)
@@ -291,7 +294,7 @@ def count_triples(texts: DataFrame, sent: Broadcast, buckets: int, part: int = 0
             found, size = [[], []], 0
 
         for batch in batches:
-            for _, t, sizes in _hasher.of_column(batch.column(0)):
+            for _, t, sizes in hasher().of_column(batch.column(0)):
                 pairs = pair_key(t[:-1], t[1:])
                 hit = marked(bits, pairs)
                 hit[np.cumsum(sizes)[:-1] - 1] = False
@@ -417,7 +420,7 @@ def score(docs: DataFrame, model: DataFrame, n_tokens: int, n_words: int, id_col
             return (known_keys[at] == keys) & (at < len(h["key"])), at
 
         for batch in batches:
-            for low, t, sizes in _hasher.of_column(batch.column(1)):
+            for low, t, sizes in hasher().of_column(batch.column(1)):
                 who = np.repeat(np.arange(len(sizes)), sizes)
                 place = np.arange(len(t)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 pairs = np.zeros(len(t), np.uint64)
