@@ -184,11 +184,13 @@ def fit(
 def _descend(rows: pa.Table, width: int, bias: float, ridge: float, counterfactual: float, steps: int) -> tuple[np.ndarray, float]:
     """Full-batch Adam steps on the sparse sample."""
     y = rows.column("label").to_numpy().astype(float)
-    lists = rows.column("f").to_pylist()
-    at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    col = np.array([j for x in lists for j in x], np.int64)
+    # The lists stay in Arrow's flat form: as Python lists they would take many times the room.
+    lists, others = (rows.column(c).combine_chunks() for c in "fg")
+    starts = lists.offsets.to_numpy()
+    at = np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(starts))
+    col = lists.values.to_numpy()[starts[0] : starts[-1]]
     # Differences between a text and its swap: +1 and -1 entries.
-    pairs = [(set(a), set(b)) for a, b in zip(lists, rows.column("g").to_pylist()) if b is not None]
+    pairs = [(set(lists[k].as_py()), set(others[k].as_py())) for k in np.flatnonzero(others.is_valid()).tolist()]
     diffs = [(k, j, s) for k, (a, b) in enumerate(pairs) for s, js in ((1.0, a - b), (-1.0, b - a)) for j in js]
     d_at, d_col, d_sign = (np.array([d[i] for d in diffs], t) for i, t in ((0, np.int64), (1, np.int64), (2, float)))
     n, m = len(y), max(1, len(pairs))

@@ -282,7 +282,8 @@ def test_toxicity_descent_ends_where_the_loss_is_least():
     f = [sorted(rnd.sample(range(6), rnd.randint(1, 4))) for _ in range(40)]
     y = [int((0 in x) != (rnd.random() < 0.2)) for x in f]
     g = [sorted({5 - j if j in (1, 4) else j for j in x}) if {1, 4} & set(x) else None for x in f]
-    rows = pa.table({"id": list(range(40)), "label": y, "f": f, "g": g})
+    kind = pa.list_(pa.int32())
+    rows = pa.table({"id": list(range(40)), "label": y, "f": pa.array(f, kind), "g": pa.array(g, kind)})
     ridge, force = 1e-2, 0.7
     w, b = toxicity._descend(rows, 6, 0.0, ridge, force, 3000)
 
