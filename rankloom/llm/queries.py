@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .code_search import OP8_SQL, op8_code_search
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .filter_audit import OP13_SQL, op13_filter_audit
 from .line_dedup import op6_line_dedup
 from .mixing import OP10_SQL, op10_source_mix
 from .packing import op2_pack
@@ -26,6 +27,7 @@ def queries():
         "op8_code_search": op8_code_search,
         "op9_pii": op9_pii,
         "op10_source_mix": op10_source_mix,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -34,4 +36,5 @@ def oracle_sql():
         "op4_exact_dedup": OP4_SQL,
         "op8_code_search": OP8_SQL,
         "op10_source_mix": OP10_SQL,
+        "op13_filter_audit": OP13_SQL,
     }
