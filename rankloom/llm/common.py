@@ -111,3 +111,19 @@ def salted_join(df: DataFrame, stats: DataFrame, key: str, *values: str, salts:
     left = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     on = left[key].eqNullSafe(right["_k"]) & (left["_salt"] == right["_s"])
     return left.join(right, on, "left").drop("_k", "_s", "_salt")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, place: str, n: int, hot: int = 1_000) -> DataFrame:
+    """Left join of ``rows`` with one row of ``groups`` per ``key``; ``groups`` has the group's ``size`` among the ``n`` rows.
+
+    Groups with at least 1 / ``hot`` of the rows, at most ``hot`` of them, are broadcast. Their rows get a key of their own for
+    the join with the others, from ``place``, which tells rows apart, so they do not meet.
+    """
+    values = [c for c in groups.columns if c != key]
+    groups = checkpoint(groups)
+    large = groups.where(F.col("size") * hot >= n).select(F.col(key).alias("_h"), *(F.col(c).alias(f"_h_{c}") for c in values))
+    small = groups.where(F.col("size") * hot < n).select(F.col(key).alias("_s"), *values)
+    joined = rows.join(F.broadcast(large), rows[key] == F.col("_h"), "left")
+    spread = F.when(F.col("_h").isNotNull() | F.col(key).isNull(), F.concat(F.lit("-"), F.col(place).cast("string"))).otherwise(F.col(key).cast("string"))
+    joined = joined.withColumn("_key", spread).join(small, F.col("_key") == F.col("_s").cast("string"), "left")
+    return joined.select(*rows.columns, *(F.coalesce(f"_h_{c}", c).alias(c) for c in values))

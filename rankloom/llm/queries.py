@@ -13,6 +13,7 @@ from .secrets import op7_secrets
 from .simhash import op1_simhash
 from .suffix_tree_lm import op3_suffix_tree_lm
 from .toxicity import op5_toxicity
+from .warc import OP12_SQL, op12_warc
 
 
 def queries():
@@ -27,6 +28,7 @@ def queries():
         "op8_code_search": op8_code_search,
         "op9_pii": op9_pii,
         "op10_source_mix": op10_source_mix,
+        "op12_warc": op12_warc,
         "op13_filter_audit": op13_filter_audit,
     }
 
@@ -36,5 +38,6 @@ def oracle_sql():
         "op4_exact_dedup": OP4_SQL,
         "op8_code_search": OP8_SQL,
         "op10_source_mix": OP10_SQL,
+        "op12_warc": OP12_SQL,
         "op13_filter_audit": OP13_SQL,
     }
