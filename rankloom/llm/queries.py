@@ -8,6 +8,7 @@ from .filter_audit import OP13_SQL, op13_filter_audit
 from .line_dedup import op6_line_dedup
 from .mixing import OP10_SQL, op10_source_mix
 from .packing import op2_pack
+from .phrases import OP11_SQL, op11_phrases
 from .pii import op9_pii
 from .secrets import op7_secrets
 from .simhash import op1_simhash
@@ -28,6 +29,7 @@ def queries():
         "op8_code_search": op8_code_search,
         "op9_pii": op9_pii,
         "op10_source_mix": op10_source_mix,
+        "op11_phrases": op11_phrases,
         "op12_warc": op12_warc,
         "op13_filter_audit": op13_filter_audit,
     }
@@ -38,6 +40,7 @@ def oracle_sql():
         "op4_exact_dedup": OP4_SQL,
         "op8_code_search": OP8_SQL,
         "op10_source_mix": OP10_SQL,
+        "op11_phrases": OP11_SQL,
         "op12_warc": OP12_SQL,
         "op13_filter_audit": OP13_SQL,
     }
