@@ -75,15 +75,15 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` of whole texts; null and blank texts have fingerprint 0."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    """``doc_id, th, fp`` of whole texts, ``th`` a hash of the text as it is; null and blank texts have fingerprint 0."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], names=["doc_id", "th", "fp"])
 
-    return rows.mapInArrow(hashed, "doc_id long, fp long")
+    return rows.mapInArrow(hashed, "doc_id long, th long, fp long")
 
 
 @lru_cache(maxsize=1)
@@ -214,8 +214,8 @@ def _set_id(members: np.ndarray) -> int:
 
 
 def _sketched(docs: DataFrame, shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, fp, sid, n, keys``: with the fingerprint, the hash of the set of shingles, its size and its band keys; null without words."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    """``doc_id, th, fp, sid, n, keys``: with the fingerprint, the hash of the set of shingles, its size and its band keys; null without words."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,9 +227,9 @@ def _sketched(docs: DataFrame, shingle: int, seed: int, id_col: str, text_col: s
                 sids.append(_set_id(members) if len(h) else None)
                 sizes.append(len(members))
                 keys.append(band_keys(members).view(np.int64) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "sid", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "th", "fp", "sid", "n", "keys"])
 
-    return rows.mapInArrow(hashed, "doc_id long, fp long, sid long, n long, keys array<bigint>")
+    return rows.mapInArrow(hashed, "doc_id long, th long, fp long, sid long, n long, keys array<bigint>")
 
 
 def similar_trees(sets: list[np.ndarray], similarity: float, classes: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -340,7 +340,7 @@ def _linked_in_blocks(sets: DataFrame, similarity: float) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, threshold: int = 2, shingle: int = 3, seed: int = 42, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None
 ) -> DataFrame:
-    """One row per document: ``doc_id, fp, component_id`` (the smallest id of its class).
+    """One row per document: ``doc_id, fp, component_id`` (the smallest id of its class) and ``th``, a hash of its text.
 
     Documents are read once. From then on only distinct fingerprints travel, each with the
     smallest id that has it, so copies cost nothing; at the end the documents get
@@ -356,28 +356,32 @@ def near_duplicates(
         raise ValueError("the bands are made for a similarity of 0.8 or more")
     hashed = checkpoint(fingerprints(docs, shingle, seed, id_col, text_col) if similarity is None else _sketched(docs, shingle, seed, id_col, text_col))
     reps = checkpoint(hashed.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    links = fingerprint_links(reps.where("rep is not null").select("fp"), threshold, crowd)
-    a = reps.select(F.col("fp").alias("a"), F.col("rep").alias("ra"))
-    b = reps.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
-    edges = links.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    edges = fingerprint_links(reps.where("rep is not null").select("fp"), threshold, crowd).select("a", "b")
     if similarity is not None:
-        # A set stands for the least document of its fingerprints: the same set with other repeats has another one.
-        nodes = checkpoint(hashed.where("sid is not null").select("sid", F.col("fp").alias("_fp")).distinct().join(reps.where("rep is not null"), F.col("_fp") == reps["fp"]).select("sid", "rep"))
-        of = nodes.groupBy("sid").agg(F.min("rep").alias("least"))
-        same = nodes.join(of.withColumnRenamed("sid", "s"), F.col("sid") == F.col("s")).where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+        # A set stands for the least of its fingerprints: the same set with other repeats has another one.
+        nodes = checkpoint(hashed.where("sid is not null").select("sid", "fp").distinct().join(reps.where("rep is not null"), "fp", "left_semi"))
+        of = nodes.groupBy("sid").agg(F.min("fp").alias("least"))
+        same = nodes.join(of.withColumnRenamed("sid", "s"), F.col("sid") == F.col("s")).where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
         near = checkpoint(similar_links(docs, hashed, similarity, shingle, seed, id_col, text_col))
         sa, sb = (of.select(F.col("sid").alias(f"_{c}"), F.col("least").alias(f"r{c}")) for c in "ab")
         near = near.join(sa, F.col("a") == F.col("_a")).join(sb, F.col("b") == F.col("_b")).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         edges = edges.unionByName(same).unionByName(near)
     found = components(edges)
-    named = reps.join(found, reps["rep"] == found["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
-    return hashed.join(named, hashed["fp"] == named["_fp"], "left").select("doc_id", "fp", "component_id")
+    linked = reps.join(found, reps["fp"] == found["node"]).select("fp", "component", "rep")
+    least = linked.groupBy(F.col("component").alias("_c")).agg(F.min("rep").alias("component_id"))
+    named = reps.join(linked.join(least, F.col("component") == F.col("_c")).select(F.col("fp").alias("_fp"), "component_id"), F.col("fp") == F.col("_fp"), "left")
+    named = named.select(F.col("fp").alias("_fp"), F.coalesce("component_id", "rep").alias("component_id"))
+    return hashed.join(named, hashed["fp"] == named["_fp"], "left").select("doc_id", "fp", "component_id", "th")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their class; rows with null ids stay."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """The rows of ``docs`` with the smallest id of their class; rows with null ids stay.
+
+    Where rows with several texts share an id, each of them goes or stays by the class of its own text.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("doc_id <> component_id")
+    gone = found.select(F.col("doc_id").alias("_gone"), F.col("th").alias("_th"))
+    return docs.join(gone, (docs[id_col] == gone["_gone"]) & (F.xxhash64(docs[text_col]) == gone["_th"]), "left_anti")
 
 
 def op1_simhash(spark, sf_dir):

@@ -99,7 +99,8 @@ class ToxicityModel:
 def training_sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str, label_col: str, max_rows: int) -> DataFrame:
     """``text, label`` of at most ``max_rows`` labelled documents, those with the least hash of their id.
 
-    The ids of the sample are few enough by construction to be broadcast, so texts are not shuffled.
+    The ids of the sample are few enough by construction to be broadcast, so texts are not shuffled, unless rows
+    repeat an id of the sample: then its least text stands for it.
     """
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & usable).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("label"))
     n = rows.count()
@@ -107,20 +108,33 @@ def training_sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col:
     if n > max_rows:  # a little more than is needed by a threshold, then exactly, so that few rows are sorted
         rows = rows.where(F.pmod(at, F.lit(1 << 30)) < int(min(1.0, 1.2 * max_rows / n + 1e-3) * (1 << 30)))
     chosen = rows.orderBy(at, "_id", "label").limit(max_rows).groupBy("_id").agg(F.max("label").alias("label"))
-    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "_id").select("_id", "text", "label")
-
-
-def _rows_of_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: list[list] = [[], [], [], []]
-        for key, text, label in zip(*(c.to_pylist() for c in batch.columns)):
-            words = words_of(text)
-            other = swapped(words)
-            for col, value in zip(out, (key, label, features(words), features(other) if other is not None else None)):
-                col.append(value)
-        types = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["id", "label", "f", "g"])
+    chosen = checkpoint(chosen)
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
+    if texts.groupBy("_id").count().where("count > 1").isEmpty():
+        return texts.select("_id", "text", "label")
+    return texts.groupBy("_id", "label").agg(F.min("text").alias("text")).select("_id", "text", "label")
+
+
+def _rows_of_features(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    types = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+    for whole in batches:
+        for low in range(0, whole.num_rows, rows):
+            batch, lists, others = whole.slice(low, rows), [], []
+            for text in batch.column(1):
+                words = words_of(text.as_py())
+                other = swapped(words)
+                lists.append(np.array(features(words), np.int32))
+                others.append(np.array(features(other), np.int32) if other is not None else None)
+            columns = (batch.column(0), batch.column(2), lists, others)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, list) else c.cast(t) for c, t in zip(columns, types)], names=["id", "label", "f", "g"])
+
+
+def _placed(lists: pa.ListArray, place: np.ndarray) -> pa.ListArray:
+    """The lists with each number's ``place``, without numbers that have none."""
+    offsets = lists.offsets.to_numpy()
+    found = place[lists.values.to_numpy()[offsets[0] : offsets[-1]]]
+    upto = np.append(0, np.cumsum(found >= 0))[offsets - offsets[0]]
+    return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(found[found >= 0], pa.int32()), mask=lists.is_null())
 
 
 def fit(
@@ -169,11 +183,8 @@ def fit(
 
     def narrowed(batches):
         for batch in batches:
-            out = []
-            for column in (batch.column(2), batch.column(3)):
-                lists = [None if x is None else (lambda a: a[a >= 0])(known.value[np.array(x, np.int64)]) for x in column.to_pylist()]
-                out.append(pa.array(lists, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *out], names=["id", "label", "f", "g"])
+            lists = [_placed(batch.column(c), known.value) for c in (2, 3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["id", "label", "f", "g"])
 
     rows = sparse.mapInArrow(narrowed, "id long, label int, f array<int>, g array<int>").orderBy("id", "label").toArrow()
     known.unpersist()

@@ -274,6 +274,35 @@ def test_toxicity(spark, odd, empty):
     assert 0 < toxicity.fit(docs, known.limit(0)).score("") < 1
 
 
+def test_toxicity_sample_is_bounded_by_rows(spark):
+    rows = [(1, f"text {k:04d}") for k in range(3000)] + [(i, f"other {i}") for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, toxic int")
+    sample = toxicity.training_sample(docs, labels, F.lit(True), "doc_id", "text", "toxic", 10).collect()
+    assert len(sample) == 10 and len({r["_id"] for r in sample}) == 10
+    everyone = toxicity.training_sample(docs, labels, F.lit(True), "doc_id", "text", "toxic", 100).collect()
+    assert sorted((r["_id"], r.text) for r in everyone) == [(1, "text 0000"), *((i, f"other {i}") for i in range(2, 40))]
+
+
+def test_placed_lists():
+    import pyarrow as pa
+
+    lists = [[3, 1], None, [], [0, 2, 3]]
+    place = np.array([-1, 5, -1, 7], np.int32)
+    want = [[7, 5], None, [], [7]]
+    whole = pa.array(lists, pa.list_(pa.int32()))
+    assert toxicity._placed(whole, place).to_pylist() == want
+    assert toxicity._placed(whole.slice(1, 3), place).to_pylist() == want[1:]
+
+
+def test_keep_one_goes_by_text_where_ids_repeat(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen fourteen"
+    docs = spark.createDataFrame([(1, a), (5, a), (5, b), (None, b), (6, b), (6, None), (7, "")], "doc_id long, text string")
+    for options in ({}, {"shingle": 5, "similarity": 0.8}):
+        left = sorted(map(tuple, simhash.keep_one(docs, **options).collect()), key=str)
+        assert left == sorted([(1, a), (5, b), (None, b), (6, None)], key=str)
+
+
 def test_toxicity_descent_ends_where_the_loss_is_least():
     """Loss and gradient by plain loops: at the end of the descent no small step lowers the loss."""
     import pyarrow as pa
