@@ -23,8 +23,8 @@ from .common import checkpoint, table
 
 #: The filters, in the order of their bits.
 FILTERS = "ABCDE"
-#: Characters of text in one range of prefixes, and so in one trie.
-RANGE_CHARS = 1 << 24
+#: Characters of text in one range of prefixes, and so in one trie; more where that would make too many ranges.
+RANGE_CHARS, MAX_RANGES = 1 << 22, 1 << 20
 #: Lengths of prefixes; one that is shared by more than a range's characters is replaced by longer ones.
 PREFIX_CHARS = (4, 16, 64, 512, 4096, 1 << 15, 1 << 18, 1 << 24, (1 << 31) - 1)
 #: Rows whose duplicate flag is known before the shuffle travel without text, in so many shares of their own.
@@ -85,7 +85,7 @@ def mask_of(text: str) -> int:
 
 
 def range_cuts(docs: DataFrame, text_col: str = "text", range_chars: int = RANGE_CHARS) -> list[str]:
-    """Ascending prefixes that cut all texts into ranges of about ``range_chars`` characters, copies of one text aside.
+    """Ascending prefixes that cut all texts into ranges of about ``range_chars`` characters, copies of one text aside, and into MAX_RANGES of them at most.
 
     Characters are summed by short prefixes; those of more than ``range_chars``, of which there are at most total / range_chars, are summed again
     by longer ones, unless one text has them all. As many cuts reach the driver. The table is read again for each
@@ -95,6 +95,8 @@ def range_cuts(docs: DataFrame, text_col: str = "text", range_chars: int = RANGE
     for size in PREFIX_CHARS:
         whole = F.xxhash64("t")
         sums = checkpoint(rows.groupBy(F.substring("t", 1, size).alias("p")).agg(F.sum("n").alias("chars"), (F.min(whole) < F.max(whole)).alias("several")))
+        if leaves is None:
+            range_chars = max(range_chars, (sums.agg(F.sum("chars")).first()[0] or 0) // MAX_RANGES)
         heavy = (F.col("chars") > range_chars) & F.col("several")
         light = sums.where(~heavy).select("p", "chars")
         leaves = light if leaves is None else leaves.unionByName(light)

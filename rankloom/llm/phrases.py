@@ -291,12 +291,20 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         removed(keyed)
         return out
 
-    def settled(phrases: DataFrame, known: DataFrame, least: DataFrame | None) -> DataFrame:
-        """The surviving ones of new candidates, with their scores; those that can't reach the ``least`` score are left out."""
-        hopeful = _scored(phrases, known, words)
-        if least is not None:
-            hopeful = hopeful.join(least, "lang", "left").where("least is null or score >= least").drop("least")
-        hopeful = written(hopeful)
+    def least_of(survivors: DataFrame | None) -> DataFrame | None:
+        """``lang, least``: the last of the wanted scores so far, where there are so many."""
+        if survivors is None:
+            return None
+        nth = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score")))
+        return written(survivors.select("lang", "score", nth.alias("nth")).where(F.col("nth") <= top).where(F.col("nth") == top).select("lang", F.col("score").alias("least")))
+
+    def open_still(rows: DataFrame, bound: str, survivors: DataFrame | None) -> DataFrame:
+        """The rows whose bound reaches the last of the wanted scores so far."""
+        least = least_of(survivors)
+        return rows if least is None else rows.join(least, "lang", "left").where(F.col("least").isNull() | (F.col(bound) >= F.col("least"))).drop("least")
+
+    def checked(hopeful: DataFrame, known: DataFrame) -> DataFrame:
+        """The surviving ones of candidates, with their scores."""
         rests = [F.array(*(F.col(KEYS[i]) if i < LONGEST else F.lit(0).cast("long") for i in range(k, k + 4))) for k in range(LONGEST - 2)]
         # All parts of three words or four that are not known by growth, and the phrase itself if it may be part of a longer one.
         wanted = hopeful.select(F.explode(F.array(F.when(F.col("w5") == 0, rests[0]), *(F.when(F.col(KEYS[k + 2]) != 0, rests[k]) for k in range(1, LONGEST - 2)))).alias("p")).where("p is not null")
@@ -305,20 +313,28 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         inside = found.where("(least0 = most0 and least0 <> 0) or (least1 = most1 and least1 <> 0)").select(*KEYS[:4], F.lit(0).cast("long").alias("w5"))
         return written(full.join(inside, KEYS, "left_anti"))
 
+    def settled(phrases: DataFrame, known: DataFrame, survivors: DataFrame | None) -> DataFrame | None:
+        """Adds to the survivors those of new candidates, the most hopeful ones first, until the others can't reach the wanted scores."""
+        hopeful, size = written(_scored(phrases, known, words)), 2 * top
+        while True:
+            hopeful = written(open_still(hopeful, "score", survivors).withColumn("nth", F.rank().over(W.partitionBy("lang").orderBy(F.desc("score")))))
+            if hopeful.isEmpty():
+                return survivors
+            found = checked(hopeful.where(F.col("nth") <= size), known)
+            survivors = found if survivors is None else survivors.unionByName(found)
+            hopeful, size = hopeful.where(F.col("nth") > size).drop("nth"), 2 * size
+
     known = _padded(words.select(F.col("id").alias("w1"), F.col("f").alias("a")), 1).unionByName(_padded(counted, 2))
     survivors = settled(_padded(counted, 2), known, None)
+    if survivors is None:  # no frequent pair
+        return docs.sparkSession.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
+    middle = written(pairs.groupBy("lang").agg(F.percentile_approx("bound", 1 - WAVE_SHARE).alias("middle")))
     for wave in range(WAVES):
-        nth = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score")))
-        least = survivors.select("lang", "score", nth.alias("nth")).where(F.col("nth") <= top).where(F.col("nth") == top).select("lang", F.col("score").alias("least"))
-        least = written(least)
-        frontier = pairs.join(least, "lang", "left").where("least is null or bound >= least").drop("least")
-        if wave == 0:
-            middle = written(pairs.groupBy("lang").agg(F.percentile_approx("bound", 1 - WAVE_SHARE).alias("middle")))
-        frontier = frontier.join(middle, "lang").where("bound >= middle" if wave == 0 else "bound < middle")
+        frontier = open_still(pairs, "bound", survivors).join(middle, "lang").where("bound >= middle" if wave == 0 else "bound < middle")
         grown = _grown(texts, written(frontier.select("w1", "w2", "key")), seed, enough, good_pairs, runs)
         if grown is not None:
             known = known.unionByName(grown)
-            survivors = survivors.unionByName(settled(grown, known, least))
+            survivors = settled(grown, known, survivors)
     return _ranked(survivors, words, top)
 
 
@@ -373,7 +389,8 @@ def op11_phrases(spark, sf_dir):
 OP11_SQL = r"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece FROM documents
+-
+]')) AS piece FROM documents
 ), w AS (
   SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM p
 ), n AS (
