@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, checkpoint_dir, join_groups, table, written
+from .exact_dedup import _with_shared
 
 #: Bytes of a block in one record; what is longer goes on in continuation records.
 SEGMENT_BYTES = 1 << 15
@@ -94,14 +95,21 @@ def segments(fields: list[tuple[str, object]], block: bytes, name, size: int = S
 
 
 def chosen(pages: DataFrame, min_bytes: int, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """``place, page_id, url, payload, first, first_url``: of pages with one payload of at least ``min_bytes`` bytes, ``first`` is the place of the one with the largest id, which is null for that page and for pages alone."""
+    """``place, page_id, url, payload, sha1, first, first_url``: of pages with one payload of at least ``min_bytes`` bytes, ``first`` is the place of the one with the largest id.
+
+    It is null, and the payload there, for that page and for pages alone. A bitmap of the payloads that several pages have tells
+    which rows to look at; only these meet by payload, without it, and only their payloads are shuffled, by place, to drop those of revisits.
+    """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = written(rows.withColumn("place", F.monotonically_increasing_id()).withColumn("key", F.sha2("payload", 256)))
+    rows = written(rows.withColumn("place", F.monotonically_increasing_id()).withColumns({"key": F.sha2("payload", 256), "sha1": F.sha1("payload"), "counts": F.octet_length("payload") >= min_bytes}))
     best = F.max(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", (-F.col("place")).alias("back"), "url")).alias("best")
-    groups = rows.where(F.octet_length("payload") >= min_bytes).groupBy("key").agg(best, F.count(F.lit(1)).alias("size")).where("size > 1")
+    groups = rows.where("counts").groupBy("key").agg(best, F.count(F.lit(1)).alias("size")).where("size > 1")
     groups = groups.select("key", "size", (-F.col("best.back")).alias("first"), F.col("best.url").alias("first_url"))
-    joined = join_groups(rows, groups, "key", "place", rows.count())
-    return joined.withColumn("first", F.when(F.col("first") != F.col("place"), F.col("first"))).select("place", "page_id", "url", "payload", "first", "first_url")
+    flagged = _with_shared(rows, "shared", ["key"], F.col("counts"))
+    looked_at = flagged.where("shared").select("place", "page_id", "url", "key", "sha1")
+    revisits = checkpoint(join_groups(looked_at, groups, "key", "place", rows.count()).where("first <> place").select("place", "page_id", "url", F.lit(None).cast("binary").alias("payload"), "sha1", "first", "first_url"))
+    alone = flagged.where("not shared").unionByName(flagged.where("shared").join(revisits.select("place"), "place", "left_anti"))
+    return alone.select("place", "page_id", "url", "payload", "sha1").unionByName(revisits, allowMissingColumns=True)
 
 
 def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, date: str = "2000-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
@@ -122,9 +130,9 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: i
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[bytes] = []
-            for place, page, url, payload, first, first_url in zip(*(c.to_pylist() for c in batch.columns)):
+            for place, page, url, payload, sha1, first, first_url in zip(*(c.to_pylist() for c in batch.columns)):
                 kind = "response" if first is None else "revisit"
-                fields = [("WARC-Type", kind), ("WARC-Date", date), ("WARC-Target-URI", uri(url)), ("WARC-Page-ID", page), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("Content-Type", "application/http; msgtype=response")]
+                fields = [("WARC-Type", kind), ("WARC-Date", date), ("WARC-Target-URI", uri(url)), ("WARC-Page-ID", page), ("WARC-Payload-Digest", f"sha1:{base64.b32encode(bytes.fromhex(sha1)).decode()}"), ("Content-Type", "application/http; msgtype=response")]
                 if first is not None:
                     fields += [("WARC-Profile", IDENTICAL), ("WARC-Refers-To", name(first)), ("WARC-Refers-To-Target-URI", uri(first_url))]
                 block = HTTP_HEAD if first is not None else HTTP_HEAD + chunked(payload)
