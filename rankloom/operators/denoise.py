@@ -9,42 +9,61 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.columns import positive_part
 
+from .estimates import centring
+
+
+def _paired(cov: DataFrame, rows: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Observed pairs with columns of ``rows`` (by entity) for both of their entities, as ``<name>_i`` and ``<name>_j``."""
+    for s in "ij":
+        cov = cov.join(rows.select(*keys, F.col("entity_id").alias(f"entity_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in names)), [*keys, f"entity_{s}"])
+    return cov
+
 
 def variance_parts(est: DataFrame, cov: DataFrame, keys: Sequence[str] = ("item",)) -> DataFrame:
-    """``J, variance, noise, signal_raw, v_hat, signal`` from recentred estimates and covariance.
+    """``J, variance, noise, signal_raw, v_hat, signal`` from recentred estimates and the observed pairs of their covariance.
 
-    signal_raw = (sum b^2 - trace) / J; v_hat = (4 b'Cb - 2 sum C^2) / J^2; signal is the positive-part correction.
+    signal_raw = (sum b^2 - trace) / J; v_hat = (4 b'Cb - 2 sum C^2) / J^2, with C the double-centred
+    covariance; signal is the positive-part correction. C itself is not built: with row means r and total mean t of the observed pairs V,
+    trace = tr V - J t, b'Cb = b'Vb - 2 (b'r) sum b + t (sum b)^2 and sum C^2 = sum V^2 - 2 J sum r^2 + J^2 t^2.
     """
-    bi, bj = (est.select(*keys, F.col("entity_id").alias(f"entity_{s}"), F.col("estimate").alias(f"b_{s}")) for s in "ij")
-    j = cov.join(bi, [*keys, "entity_i"]).join(bj, [*keys, "entity_j"])
-    diagonal = F.col("entity_i") == F.col("entity_j")
-    m = j.groupBy(*keys).agg(
-        F.sum(diagonal.cast("int")).alias("J"),
-        F.sum(F.when(diagonal, F.col("b_i") * F.col("b_i"))).alias("bb"),
-        F.sum(F.when(diagonal, F.col("rcov"))).alias("trace"),
-        F.sum(F.col("b_i") * F.col("b_j") * F.col("rcov")).alias("bcb"),
-        F.sum(F.col("rcov") * F.col("rcov")).alias("cc"),
-    )
-    n = F.col("J")
-    m = m.select(*keys, n, (F.col("bb") / n).alias("variance"), (F.col("trace") / n).alias("noise"), ((F.col("bb") - F.col("trace")) / n).alias("signal_raw"), ((4 * F.col("bcb") - 2 * F.col("cc")) / (n * n)).alias("v_hat"))
+    rows = centring(cov, keys).join(est.select(*keys, "entity_id", F.col("estimate").alias("b")), [*keys, "entity_id"])
+    b, r = F.col("b"), F.col("row_mean")
+    sums = {"J": F.count(F.lit(1)), "bb": F.sum(b * b), "sb": F.sum(b), "br": F.sum(b * r), "rr": F.sum(r * r), "tr": F.sum("diagonal"), "t": F.first("total")}
+    head = rows.groupBy(*keys).agg(*(c.alias(n) for n, c in sums.items()))
+    pairs = _paired(cov, rows, keys, ["b"])
+    m = pairs.groupBy(*keys).agg(F.sum(F.col("b_i") * F.col("b_j") * F.col("rcov")).alias("bvb"), F.sum(F.col("rcov") * F.col("rcov")).alias("vv"))
+    m = m.join(head, list(keys))
+    n, t = F.col("J"), F.col("t")
+    trace = F.col("tr") - n * t
+    bcb = F.col("bvb") - 2 * F.col("br") * F.col("sb") + t * F.col("sb") * F.col("sb")
+    cc = F.col("vv") - 2 * n * F.col("rr") + n * n * t * t
+    m = m.select(*keys, n, (F.col("bb") / n).alias("variance"), (trace / n).alias("noise"), ((F.col("bb") - trace) / n).alias("signal_raw"), ((4 * bcb - 2 * cc) / (n * n)).alias("v_hat"))
     return m.withColumn("signal", positive_part(F.col("signal_raw"), F.sqrt(F.greatest(F.col("v_hat"), F.lit(0.0)))))
 
 
 def weighted_variance_parts(est: DataFrame, cov: DataFrame, weights: DataFrame, keys: Sequence[str] = ("item",)) -> DataFrame:
-    """The same with normalised entity weights (``entity_id, weight``); no row for an item with a weight that is missing or not positive."""
+    """The same with normalised entity weights (``entity_id, weight``); no row for an item with a weight that is missing or not positive.
+
+    From the observed pairs V as well: with u = w b and q = sum w, the sum of w_i w_j C_ij^2 is that of w_i w_j (V_ij^2 - 2 V_ij (r_i + r_j - t))
+    over the observed pairs plus 2 q sum w r^2 + 2 (sum w r)^2 + q^2 t^2 - 4 t q sum w r.
+    """
     ok = est.join(weights, "entity_id", "left")
-    total = ok.groupBy(*keys).agg(F.sum("weight").alias("tw"), F.count_if(F.coalesce(F.col("weight") <= 0, F.lit(True))).alias("bad"), F.count(F.lit(1)).alias("J")).where("bad = 0").drop("bad")
+    total = ok.groupBy(*keys).agg(F.sum("weight").alias("tw"), F.count_if(F.coalesce(F.col("weight") <= 0, F.lit(True))).alias("bad")).where("bad = 0").drop("bad")
     rows = ok.join(total, list(keys)).withColumn("w", F.col("weight") / F.col("tw"))
     mean = rows.groupBy(*keys).agg(F.sum(F.col("w") * F.col("estimate")).alias("mu"))
-    rows = rows.join(mean, list(keys)).withColumn("b", F.col("estimate") - F.col("mu"))
-    bi, bj = (rows.select(*keys, F.col("entity_id").alias(f"entity_{s}"), F.col("b").alias(f"b_{s}"), F.col("w").alias(f"w_{s}")) for s in "ij")
-    j = cov.join(bi, [*keys, "entity_i"]).join(bj, [*keys, "entity_j"])
-    diagonal = F.col("entity_i") == F.col("entity_j")
-    m = j.groupBy(*keys).agg(
-        F.sum(F.when(diagonal, F.col("w_i") * F.col("b_i") * F.col("b_i"))).alias("variance"),
-        F.sum(F.when(diagonal, F.col("w_i") * F.col("rcov"))).alias("noise"),
-        (4 * F.sum(F.col("w_i") * F.col("b_i") * F.col("rcov") * F.col("w_j") * F.col("b_j")) - 2 * F.sum(F.col("w_i") * F.col("w_j") * F.col("rcov") * F.col("rcov"))).alias("v_hat"),
-    )
+    rows = rows.join(mean, list(keys)).select(*keys, "entity_id", "w", (F.col("estimate") - F.col("mu")).alias("b"))
+    rows = rows.join(centring(cov, keys), [*keys, "entity_id"]).withColumn("r", F.col("row_mean"))
+    w, b, r, t = (F.col(c) for c in ("w", "b", "r", "total"))
+    sums = {"q": F.sum(w), "variance": F.sum(w * b * b), "u": F.sum(w * b), "ur": F.sum(w * b * r), "wr": F.sum(w * r), "wrr": F.sum(w * r * r), "noise": F.sum(w * (F.col("diagonal") - 2 * r + t)), "t": F.first("total")}
+    head = rows.groupBy(*keys).agg(*(c.alias(n) for n, c in sums.items()))
+    ww, v = F.col("w_i") * F.col("w_j"), F.col("rcov")
+    pairs = _paired(cov, rows, keys, ["w", "b", "r", "total"])
+    m = pairs.groupBy(*keys).agg(F.sum(ww * F.col("b_i") * F.col("b_j") * v).alias("uvu"), F.sum(ww * (v * v - 2 * v * (F.col("r_i") + F.col("r_j") - F.col("total_i")))).alias("vv"))
+    m = m.join(head, list(keys))
+    q, u, wr, t = (F.col(c) for c in ("q", "u", "wr", "t"))
+    ucu = F.col("uvu") - 2 * F.col("ur") * u + t * u * u
+    cc = F.col("vv") + 2 * q * F.col("wrr") + 2 * wr * wr + q * q * t * t - 4 * t * q * wr
+    m = m.select(*keys, "variance", "noise", (4 * ucu - 2 * cc).alias("v_hat"))
     m = m.withColumn("signal", positive_part(F.col("variance") - F.col("noise"), F.sqrt(F.greatest(F.col("v_hat"), F.lit(0.0)))))
     rest = F.col("variance") - F.col("signal")
     return m.withColumn("katz_noise", F.when(rest > 0, rest))

@@ -89,13 +89,32 @@ def naive_covariance(est: DataFrame) -> DataFrame:
 
 
 def recentred_estimates(est: DataFrame, keys: Sequence[str] = ("item",), value: str = "estimate") -> DataFrame:
-    return est.withColumn(value, F.col(value) - F.avg(value).over(W.partitionBy(*keys)))
+    means = est.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.avg(value).alias("_mean"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return est.join(means, same).withColumn(value, F.col(value) - F.col("_mean")).drop("_mean", *(f"_{k}" for k in keys))
+
+
+def centring(cov: DataFrame, keys: Sequence[str] = ("item",), value: str = "rcov") -> DataFrame:
+    """What double centring takes off a covariance: ``entity_id, row_mean, diagonal, J, total`` for each entity.
+
+    The centred matrix is the observed pairs, with 0 for all others, less both row means, plus the ``total`` mean. So it is held by
+    the observed pairs and one row for each entity, and what is summed over it follows from sums over these. Each entity has its diagonal among the pairs.
+    """
+    own = F.when(F.col("entity_i") == F.col("entity_j"), F.col(value))
+    rows = cov.groupBy(*keys, F.col("entity_i").alias("entity_id")).agg(F.sum(value).alias("row_sum"), F.sum(own).alias("diagonal"))
+    head = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("J"), (F.sum("row_sum") / (F.count(F.lit(1)) * F.count(F.lit(1)))).alias("total"))
+    return rows.join(head, list(keys)).select(*keys, "entity_id", (F.col("row_sum") / F.col("J")).alias("row_mean"), "diagonal", "J", "total")
 
 
 def recentred_covariance(cov: DataFrame, keys: Sequence[str] = ("item",), value: str = "rcov") -> DataFrame:
-    """Double centring: entry minus row mean minus column mean plus total mean."""
-    mean = {k: F.avg(value).over(W.partitionBy(*keys, *extra)) for k, extra in (("r", ["entity_i"]), ("c", ["entity_j"]), ("t", []))}
-    return cov.withColumn("_v", F.col(value) - mean["r"] - mean["c"] + mean["t"]).drop(value).withColumnRenamed("_v", value)
+    """Double centring written out: entry minus row mean minus column mean plus total mean, one row for each pair of entities.
+
+    An export: what is computed from it takes the observed pairs and ``centring``.
+    """
+    i, j = (centring(cov, keys, value).select(*keys, F.col("entity_id").alias(f"entity_{s}"), F.col("row_mean").alias(f"_{s}"), *(["total"] if s == "i" else [])) for s in "ij")
+    seen = cov.select(*keys, "entity_i", "entity_j", F.col(value).alias("_v"))
+    full = i.join(j, list(keys)).join(seen, [*keys, "entity_i", "entity_j"], "left")
+    return full.select(*keys, "entity_i", "entity_j", (F.coalesce("_v", F.lit(0.0)) - F.col("_i") - F.col("_j") + F.col("total")).alias(value))
 
 
 def recentred_naive_se(est: DataFrame, keys: Sequence[str] = ("item",)) -> DataFrame:
@@ -114,10 +133,10 @@ def with_uncentred(est: DataFrame) -> DataFrame:
 
 
 def within_set(est: DataFrame, cov: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Estimates and covariance of a set of entities, recentred inside it; other columns are carried over as they are."""
+    """Estimates of a set of entities, recentred inside it, and the observed pairs of it, which ``centring`` recentres; other columns are carried over as they are."""
     e = est.join(entities, "entity_id", "left_semi")
     c = cov.join(entities.withColumnRenamed("entity_id", "entity_i"), "entity_i", "left_semi").join(entities.withColumnRenamed("entity_id", "entity_j"), "entity_j", "left_semi")
-    return recentred_estimates(e), recentred_covariance(c)
+    return recentred_estimates(e), c
 
 
 def combined(first: DataFrame, second: DataFrame, item: str) -> DataFrame:
@@ -151,21 +170,51 @@ def group_deviations(est: DataFrame, weights: DataFrame) -> DataFrame:
     return est.join(weights, "entity_id").withColumn("estimate", F.col("estimate") - F.sum(F.col("a") * F.col("estimate")).over(w)).drop("a")
 
 
-def group_covariance(cov: DataFrame, weights: DataFrame) -> DataFrame:
-    """``item, grp_i, grp_j, rcov`` of group means: sum of a_i a_j rcov_ij."""
+def _both_weights(cov: DataFrame, weights: DataFrame) -> DataFrame:
     wi, wj = (weights.select(F.col("entity_id").alias(f"entity_{s}"), F.col("grp").alias(f"grp_{s}"), F.col("a").alias(f"a_{s}")) for s in "ij")
-    j = cov.join(wi, "entity_i").join(wj, "entity_j")
-    return j.groupBy("item", "grp_i", "grp_j").agg(F.sum(F.col("a_i") * F.col("a_j") * F.col("rcov")).alias("rcov"))
+    return cov.join(wi, "entity_i").join(wj, "entity_j")
+
+
+def group_covariance(cov: DataFrame, weights: DataFrame) -> DataFrame:
+    """``item, grp_i, grp_j, rcov`` of group means: sum of a_i a_j rcov_ij over the observed pairs."""
+    return _both_weights(cov, weights).groupBy("item", "grp_i", "grp_j").agg(F.sum(F.col("a_i") * F.col("a_j") * F.col("rcov")).alias("rcov"))
+
+
+def recentred_group_variances(cov: DataFrame, weights: DataFrame) -> DataFrame:
+    """``item, grp, v``: variances of the group means of recentred estimates, from the observed pairs."""
+    own = group_covariance(cov, weights).where("grp_i = grp_j")
+    means = centring(cov).join(weights, "entity_id").groupBy("item", "grp").agg(F.sum(F.col("a") * F.col("row_mean")).alias("m"), F.first("total").alias("total"))
+    return means.join(own.select("item", F.col("grp_i").alias("grp"), "rcov"), ["item", "grp"]).select("item", "grp", (F.col("rcov") - 2 * F.col("m") + F.col("total")).alias("v"))
+
+
+def _group_terms(cov: DataFrame, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Weighted sums of observed pairs over the groups of one side, ``item, entity_i, grp_j, part``, and of both, ``item, grp_i, grp_j, both``."""
+    j = _both_weights(cov, weights)
+    one = j.groupBy("item", "entity_i", "grp_j").agg(F.sum(F.col("a_j") * F.col("rcov")).alias("part"))
+    return one, group_covariance(cov, weights).withColumnRenamed("rcov", "both")
+
+
+def deviation_variances(cov: DataFrame, weights: DataFrame) -> DataFrame:
+    """``item, entity_id, v``: variances of deviations from group means, from the observed pairs; recentring does not change them."""
+    one, both = _group_terms(cov, weights)
+    own = one.join(weights.select(F.col("entity_id").alias("entity_i"), F.col("grp").alias("grp_j")), ["entity_i", "grp_j"])
+    diagonal = cov.where("entity_i = entity_j").select("item", "entity_i", "rcov")
+    found = own.join(diagonal, ["item", "entity_i"]).join(both.where("grp_i = grp_j").drop("grp_i"), ["item", "grp_j"])
+    return found.select("item", F.col("entity_i").alias("entity_id"), (F.col("rcov") - 2 * F.col("part") + F.col("both")).alias("v"))
 
 
 def deviation_covariance(cov: DataFrame, weights: DataFrame) -> DataFrame:
-    """Covariance of deviations from group means: rcov minus both mixed terms plus the group term."""
-    wi, wj = (weights.select(F.col("entity_id").alias(f"entity_{s}"), F.col("grp").alias(f"grp_{s}"), F.col("a").alias(f"a_{s}")) for s in "ij")
-    j = cov.join(wi, "entity_i").join(wj, "entity_j")
-    col = F.sum(F.col("a_j") * F.col("rcov")).over(W.partitionBy("item", "entity_i", "grp_j"))
-    row = F.sum(F.col("a_i") * F.col("rcov")).over(W.partitionBy("item", "entity_j", "grp_i"))
-    both = F.sum(F.col("a_i") * F.col("a_j") * F.col("rcov")).over(W.partitionBy("item", "grp_i", "grp_j"))
-    return j.select("item", "entity_i", "entity_j", (F.col("rcov") - row - col + both).alias("rcov"))
+    """Covariance of deviations from group means: rcov minus both mixed terms plus the group term, one row for each pair of entities with a group.
+
+    An export; variances alone come from ``deviation_variances``.
+    """
+    one, both = _group_terms(cov, weights)
+    ids = cov.where("entity_i = entity_j").select("item", F.col("entity_i").alias("entity_id")).join(weights.select("entity_id", "grp"), "entity_id")
+    i, j = (ids.select("item", F.col("entity_id").alias(f"entity_{s}"), F.col("grp").alias(f"grp_{s}")) for s in "ij")
+    other = one.select("item", F.col("entity_i").alias("entity_j"), F.col("grp_j").alias("grp_i"), F.col("part").alias("other"))
+    full = i.join(j, "item").join(cov, ["item", "entity_i", "entity_j"], "left").join(one, ["item", "entity_i", "grp_j"], "left").join(other, ["item", "entity_j", "grp_i"], "left").join(both, ["item", "grp_i", "grp_j"], "left")
+    value = [F.coalesce(c, F.lit(0.0)) for c in ("rcov", "part", "other", "both")]
+    return full.select("item", "entity_i", "entity_j", (value[0] - value[1] - value[2] + value[3]).alias("rcov"))
 
 
 def shrunken(est: DataFrame, grid: Sequence[float], floor: float = 1e-8) -> DataFrame:

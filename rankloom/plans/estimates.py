@@ -36,13 +36,15 @@ def scores(s, d):
 
 
 def fitted(s, d):
+    """Estimates, and the observed pairs of their covariance."""
     sc = checkpointed(scores(s, d))
-    return E.estimates(sc), checkpointed(E.robust_covariance(E.influences(sc)))
+    return E.estimates(sc), checkpointed(E.observed_covariance(E.influences(sc)))
 
 
 def recentred(s, d):
+    """Recentred estimates, with the observed pairs that ``centring`` recentres."""
     est, cov = fitted(s, d)
-    return E.recentred_estimates(est), E.recentred_covariance(cov)
+    return E.recentred_estimates(est), cov
 
 
 @query("entry_worst_rated", with_("vr entities", f"""
@@ -95,7 +97,7 @@ def _(s, d):
 
 @query("st_6_robust_covariance", with_("vi", f", {COV} SELECT * FROM cov"), d="rcov")
 def _(s, d):
-    return fitted(s, d)[1]
+    return E.robust_covariance(E.influences(scores(s, d)))
 
 
 @query("st_7_naive_covariance", with_("vi", f", {EST} SELECT item, entity_id AS entity_i, entity_id AS entity_j, se * se AS cov FROM est"), d="cov")
@@ -105,7 +107,7 @@ def _(s, d):
 
 @query("st_8_recentred", with_("vi", f", {REC} SELECT * FROM cov_c"), d="rcov")
 def _(s, d):
-    return recentred(s, d)[1]
+    return E.recentred_covariance(fitted(s, d)[1])
 
 
 @query("st_8_naive_se", with_("vi", f", {EST}, j AS (SELECT item, count(*) AS j, CASE WHEN count(se) = count(*) THEN sum(se * se) END AS t FROM est GROUP BY 1) SELECT item, entity_id, sqrt(se * se * (1 - 2.0 / j) + t / (j * j)) AS se FROM est JOIN j USING (item)"), d="se")
@@ -121,7 +123,7 @@ def _(s, d):
 @query("st_10_within_set", with_("vi external", f", {COV}, k AS (SELECT entity_id FROM external WHERE disc IS NOT NULL), c AS (SELECT * FROM cov WHERE entity_i IN (SELECT * FROM k) AND entity_j IN (SELECT * FROM k)) SELECT item, entity_i, entity_j, rcov - avg(rcov) OVER (PARTITION BY item, entity_i) - avg(rcov) OVER (PARTITION BY item, entity_j) + avg(rcov) OVER (PARTITION BY item) AS rcov FROM c"), d="rcov")
 def _(s, d):
     est, cov = fitted(s, d)
-    return E.within_set(est, cov, X.external(s, d).where("disc is not null").select("entity_id"))[1]
+    return E.recentred_covariance(E.within_set(est, cov, X.external(s, d).where("disc is not null").select("entity_id"))[1])
 
 
 @query("st_11_combined", with_("vi", f", {INF}, st AS (SELECT resp_id, item, entity_id, s / 2 AS s FROM inf WHERE entity_id IN (SELECT entity_id FROM inf WHERE item = 'a') AND entity_id IN (SELECT entity_id FROM inf WHERE item = 'b')) SELECT x.entity_id AS entity_i, y.entity_id AS entity_j, sum(x.s * y.s) AS rcov FROM st x JOIN st y ON x.resp_id = y.resp_id AND x.item = y.item GROUP BY 1, 2"), d="rcov")
@@ -257,7 +259,7 @@ def _correlated(s, d):
 
     sc = checkpointed(scores(s, d))
     est, infl = checkpointed(E.estimates(sc)), checkpointed(E.influences(sc))
-    var = D.variance_parts(E.recentred_estimates(est), E.recentred_covariance(E.robust_covariance(infl)))
+    var = D.variance_parts(E.recentred_estimates(est), checkpointed(E.observed_covariance(infl)))
     cov = D.item_covariances(est, infl, pair_rows(s)).withColumn("one", F.lit(1))
     return D.correlations(with_both_variances(cov, var.withColumn("one", F.lit(1)), ["one"], ["variance", "signal"]))
 
@@ -286,7 +288,7 @@ def sheets(s, d):
     sc = checkpointed(scores(s, d))
     est, infl = E.estimates(sc), checkpointed(E.influences(sc))
     w = X.entities(s, d).where("weight is not null").select("entity_id", "weight")
-    inside = E.within_set(est, E.robust_covariance(infl), w.select("entity_id"))
+    inside = E.within_set(est, checkpointed(E.observed_covariance(infl)), w.select("entity_id"))
     return D.weighted_variance_parts(*inside, w), D.item_covariances(est, infl, pair_rows(s))
 
 

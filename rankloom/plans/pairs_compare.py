@@ -78,9 +78,7 @@ def _(s, d):
     """Signal correlation of all cells, with the signal variances of both sides."""
     est, cov = cell_sides(s, d)
     est = checkpointed(est)
-    ids = est.select("item", F.col("entity_id").alias("entity_i"))
-    full = ids.join(ids.withColumnRenamed("entity_i", "entity_j"), "item").join(cov, ["item", "entity_i", "entity_j"], "left").withColumn("rcov", F.coalesce("rcov", F.lit(0.0)))
-    signal = checkpointed(D.variance_parts(E.recentred_estimates(est), E.recentred_covariance(full)).select("item", "signal"))
+    signal = checkpointed(D.variance_parts(E.recentred_estimates(est), cov).select("item", "signal"))
     return K.signal_correlation(side(est, 1), side(est, 2), ["item"], side(signal, 1), side(signal, 2))
 
 
@@ -179,18 +177,18 @@ def _root(v):
 
 
 def _group_level(est, cov, w):
-    se = E.group_covariance(cov, w).where("grp_i = grp_j").select("item", F.col("grp_i").alias("entity_id"), _root("rcov"))
+    se = E.recentred_group_variances(cov, w).select("item", F.col("grp").alias("entity_id"), _root("v"))
     return E.group_means(est, w).withColumnRenamed("grp", "entity_id").join(se, ["item", "entity_id"])
 
 
 @query("st_48_shrunken_parts", with_("vi entities", f", {PARTS}, {shrunken_sql('gs', 'g')}, {shrunken_sql('ds', 'd')}, mu AS (SELECT item, avg(estimate) AS mu FROM est GROUP BY 1) SELECT est.item, est.entity_id, round(eb_g.eb, 4) AS between_part, round(coalesce(eb_d.eb, 0), 4) AS within_part, round(mu + eb_g.eb + coalesce(eb_d.eb, 0), 4) AS shrunken FROM est JOIN mu USING (item) JOIN g USING (entity_id) JOIN eb_g ON eb_g.item = est.item AND eb_g.entity_id = grp LEFT JOIN eb_d ON eb_d.item = est.item AND eb_d.entity_id = est.entity_id"))
 def _(s, d):
     """Shrunken group means and deviations, put together again with the overall mean."""
-    raw, plain = fitted(s, d)
+    raw, cov = fitted(s, d)
     raw = checkpointed(raw)
-    est, cov = checkpointed(E.recentred_estimates(raw)), checkpointed(E.recentred_covariance(plain))
+    est = checkpointed(E.recentred_estimates(raw))
     w = E.group_weights(X.entities(s, d))
-    diagonal = E.deviation_covariance(cov, w).where("entity_i = entity_j").select("item", F.col("entity_i").alias("entity_id"), _root("rcov"))
+    diagonal = E.deviation_variances(cov, w).select("item", "entity_id", _root("v"))
     inner = E.group_deviations(est, w).select("item", "entity_id", "estimate").join(diagonal, ["item", "entity_id"])
     between = E.shrunken(_group_level(est, cov, w), GRID).select("item", F.col("entity_id").alias("grp"), F.col("eb").alias("g"))
     within = E.shrunken(inner, GRID).select("item", "entity_id", F.col("eb").alias("w"))

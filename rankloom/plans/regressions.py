@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rankloom.operators import denoise as D
 from rankloom.operators import estimates as E
 from rankloom.operators import regress as R
+from rankloom.operators import wages as G
 from rankloom.operators.tables import checkpointed
 from rankloom.operators.windows import ranks_within
 from rankloom.sources import fixtures as X
@@ -56,7 +57,7 @@ def measured(s, d, keep=None):
     w = X.external(s, d).join(X.entities(s, d), "entity_id").where("disc is not null and weight > 0")
     w = (w if keep is None else w.join(keep, "entity_id", "left_semi")).select("entity_id", "weight", (F.col("disc") * 100).alias("y"), "grp")
     est, w = checkpointed(E.estimates(sc)), checkpointed(w)
-    inside = [checkpointed(x) for x in E.within_set(est, E.robust_covariance(E.influences(sc)), w.select("entity_id"))]
+    inside = [checkpointed(x) for x in E.within_set(est, E.observed_covariance(E.influences(sc)), w.select("entity_id"))]
     noise = D.weighted_variance_parts(*inside, w.select("entity_id", "weight")).select("item", F.coalesce("katz_noise", "noise").alias("noise"))
     return checkpointed(est.select("item", "entity_id", F.col("estimate").alias("x")).join(w, "entity_id").join(noise, "item").withColumnRenamed("weight", "w"))
 
@@ -221,18 +222,35 @@ WAGE = "SELECT l_returnflag AS grp, l_linestatus = 'O' AS demo, ln(l_extendedpri
 @query("st_36_gap_and_level", f"WITH r AS ({WAGE}), m AS (SELECT grp, demo, sum(w * y) / sum(w) AS mean, sum(w) AS tw FROM r GROUP BY 1, 2), c AS (SELECT r.grp, r.demo, any_value(mean) AS mean, sum(power(w * (y - mean) / tw, 2)) * (SELECT count(*) / (count(*) - (SELECT count(*) FROM m)) FROM r) AS v FROM r JOIN m ON r.grp = m.grp AND r.demo = m.demo GROUP BY 1, 2) SELECT 'level ' || grp AS name, mean AS b, sqrt(v) AS se FROM c WHERE NOT demo UNION ALL SELECT 'gap ' || x.grp, x.mean - y.mean, sqrt(x.v + y.v) FROM c x JOIN c y ON x.grp = y.grp AND x.demo AND NOT y.demo", d="b se")
 def _(s, d):
     """Level and gap of each group from one regression with interactions and probability weights, as sums of its coefficients."""
-    rows = table(s, d, "lineitem").select(F.col("l_returnflag").alias("grp"), (F.col("l_linestatus") == "O").cast("double").alias("demo"), F.ln(F.col("l_extendedprice") / F.col("l_quantity")).alias("lnw"), F.col("l_quantity").cast("double").alias("w"))
-    seen = {(r["grp"], r["demo"]) for r in rows.select("grp", "demo").distinct().collect()}  # few groups
-    groups = sorted({g for g, _ in seen})
-    base = groups[0]
-    rows = rows.withColumn("one", F.lit(1.0)).withColumns({f"g_{g}": (F.col("grp") == g).cast("double") for g in groups[1:]})
-    both = [g for g in groups if {(g, 0.0), (g, 1.0)} <= seen]
-    rows = rows.withColumns({f"d_{g}": F.col("demo") * (F.col("grp") == g).cast("double") for g in both})
-    level = {g: {"one": 1.0} | ({} if g == base else {f"g_{g}": 1.0}) for g in groups if (g, 0.0) in seen}
-    only = [g for g in groups if (g, 0.0) not in seen and g != base]
-    xs = ["one", *[f"g_{g}" for g in groups[1:]], *[f"d_{g}" for g in both]]
-    sums = {f"level {g}": c for g, c in level.items() if g not in only} | {f"gap {g}": {f"d_{g}": 1.0} for g in both}
-    return R.weighted_least_squares(rows, "lnw", xs, "w", sums).where(F.col("name").rlike("^(level|gap) "))
+    rows = table(s, d, "lineitem").select(F.col("l_returnflag").alias("grp"), (F.col("l_linestatus") == "O").cast("int").alias("demo"), F.ln(F.col("l_extendedprice") / F.col("l_quantity")).alias("lnw"), F.col("l_quantity").cast("double").alias("w"))
+    out = G.gaps_and_levels(rows, "lnw", "w", "demo", "grp", "0", "1")
+    each = F.array(*[F.struct(F.concat(F.lit(f"{c} "), "industry").alias("name"), F.col(c).alias("b"), F.col(f"{c}_se").alias("se")) for c in ("level", "gap")])
+    return out.select(F.inline(each)).where("b is not null")
+
+
+def microdata(s, d):
+    """Lines as workers: log price, weight, a demographic, an industry (nation of the supplier), year, another demographic, education, and an age."""
+    line = table(s, d, "lineitem").join(table(s, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return line.select(
+        F.ln(F.col("l_extendedprice") / F.col("l_quantity")).alias("lnw"), F.col("l_quantity").cast("double").alias("w"), (F.col("l_partkey") % 2).cast("int").alias("demo"), F.col("s_nationkey").alias("industry"),
+        F.year("l_shipdate").alias("year"), (F.col("l_returnflag") == "R").cast("int").alias("other"), F.col("l_linenumber").alias("education"), (F.col("l_quantity") + 15).cast("double").alias("age"),
+    )
+
+
+@query("st_36_full_gaps")
+def _(s, d):
+    """Gaps and levels by industry, adjusted for year, a quartic of age, the other demographic and education: about 70 columns."""
+    out = G.gaps_and_levels(microdata(s, d), "lnw", "w", "demo", "industry", "0", "1", ["year", "other", "education"], {"age": 4})
+    return out.select("industry", *[F.round(c, 6).alias(c) for c in ("gap", "gap_se", "level", "level_se")])
+
+
+SATURATED = "SELECT CAST(s_nationkey AS VARCHAR) AS grp, l_partkey % 2 = 1 AS demo, ln(l_extendedprice / l_quantity) AS y, l_quantity AS w FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"
+
+
+@query("st_36_saturated_gaps", f"WITH r AS ({SATURATED}), m AS (SELECT grp, demo, sum(w * y) / sum(w) AS mean, sum(w) AS tw FROM r GROUP BY 1, 2), c AS (SELECT r.grp, r.demo, any_value(mean) AS mean, sum(power(w * (y - mean) / tw, 2)) * (SELECT count(*) / (count(*) - (SELECT count(*) FROM m)) FROM r) AS v FROM r JOIN m ON r.grp = m.grp AND r.demo = m.demo GROUP BY 1, 2) SELECT coalesce(x.grp, y.grp) AS industry, x.mean - y.mean AS gap, sqrt(x.v + y.v) AS gap_se, y.mean AS level, sqrt(y.v) AS level_se FROM (SELECT * FROM c WHERE demo) x FULL JOIN (SELECT * FROM c WHERE NOT demo) y ON x.grp = y.grp", d="gap gap_se level level_se")
+def _(s, d):
+    """The same by industry without further controls, where cell means give the answer."""
+    return G.gaps_and_levels(microdata(s, d), "lnw", "w", "demo", "industry", "0", "1")
 
 
 LPM = ", j AS (SELECT resp_id, CAST(value = -1 AS DOUBLE) AS y, balance / 1000 AS x FROM ratings JOIN raters USING (resp_id)), f AS (SELECT regr_intercept(y, x) AS a, regr_slope(y, x) AS b, count(*) AS n FROM j)"

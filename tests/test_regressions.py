@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.operators import compare as K
+from rankloom.operators import denoise as D
 from rankloom.operators import estimates as E
 from rankloom.operators import regress as R
 from rankloom.operators.tables import numbered
@@ -136,3 +137,74 @@ def test_observed_covariance_fills_to_the_full_one(spark):
     assert seen == {(1, 1): 0.25, (1, 2): -0.5, (2, 1): -0.5, (2, 2): 1.0, (3, 3): 4.0}
     full = {(r.entity_i, r.entity_j): r.rcov for r in E.robust_covariance(infl).collect()}
     assert full == {(i, j): seen.get((i, j), 0.0) for i in (1, 2, 3) for j in (1, 2, 3)}
+
+
+def test_variances_of_a_centred_covariance_without_its_cells(spark):
+    """From observed pairs alone: the same as with the full double-centred matrix, plain, weighted, and for groups."""
+    rng = np.random.default_rng(5)
+    n = 12
+    s = rng.normal(size=(9, n)) * (rng.random((9, n)) < 0.3)
+    s[0] += 0.1  # each entity has a diagonal
+    v = s.T @ s
+    v[np.abs(v) < 1e-12] = 0
+    b, w, grp = rng.normal(size=n), rng.random(n) + 0.1, np.arange(n) % 3
+    cov = spark.createDataFrame([("x", i, j, float(v[i, j])) for i in range(n) for j in range(n) if v[i, j]], "item string, entity_i long, entity_j long, rcov double")
+    est = E.recentred_estimates(spark.createDataFrame([("x", i, float(b[i])) for i in range(n)], "item string, entity_id long, estimate double"))
+    weights = spark.createDataFrame([(i, float(w[i])) for i in range(n)], "entity_id long, weight double")
+    c = np.eye(n) - 1 / n
+    m, bc = c @ v @ c, c @ b
+    got = D.variance_parts(est, cov).first()
+    assert np.allclose([got.variance, got.noise, got.v_hat], [bc @ bc / n, np.trace(m) / n, (4 * bc @ m @ bc - 2 * (m * m).sum()) / n**2])
+    q = w / w.sum()
+    bw = bc - q @ bc
+    u = q * bw
+    got = D.weighted_variance_parts(est, cov, weights).first()
+    assert np.allclose([got.variance, got.noise, got.v_hat], [q @ bw**2, q @ np.diag(m), 4 * u @ m @ u - 2 * (np.outer(q, q) * m * m).sum()])
+    groups = spark.createDataFrame([(i, int(grp[i])) for i in range(n)], "entity_id long, grp long")
+    a = E.group_weights(groups)
+    mean = np.array([(grp == g) / (grp == g).sum() for g in range(3)])
+    found = {r.grp: r.v for r in E.recentred_group_variances(cov, a).collect()}
+    assert np.allclose([found[g] for g in range(3)], np.diag(mean @ m @ mean.T))
+    dev = np.eye(n) - mean[grp]
+    found = {r.entity_id: r.v for r in E.deviation_variances(cov, a).collect()}
+    assert np.allclose([found[i] for i in range(n)], np.diag(dev @ m @ dev.T))
+    full = {(r.entity_i, r.entity_j): r.rcov for r in E.deviation_covariance(cov, a).collect()}
+    assert np.allclose([[full[i, j] for j in range(n)] for i in range(n)], dev @ m @ dev.T)
+
+
+def test_wage_gaps_are_those_of_the_dense_design(spark):
+    """Against the whole design in numpy: interactions, a year, a quartic of age, an empty cell, nulls and rows without weight."""
+    from rankloom.operators import wages
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(400):
+        ind, demo, year, age = rng.choice(["a", "b", "c", "d"]), int(rng.integers(2)), int(rng.integers(2000, 2003)), float(rng.integers(20, 60))
+        if ind == "d":
+            demo = 0  # an industry without the other group
+        rows.append((float(rng.normal() + 0.3 * demo + age / 50), float(rng.uniform(0.5, 2)), demo, ind, year, age))
+    odd = [(None, 1.0, 1, "a", 2000, 30.0), (9.0, 0.0, 1, "a", 2000, 30.0), (9.0, 1.0, None, "a", 2000, 30.0)]
+    df = spark.createDataFrame(rows + odd, "y double, w double, demo int, ind string, year int, age double")
+    got = {r.industry: r for r in wages.gaps_and_levels(df, "y", "w", "demo", "ind", "0", "1", ["year"], {"age": 4}).collect()}
+    y, w = (np.array([r[i] for r in rows]) for i in (0, 1))
+    names = ["a", "b", "c", "d"]
+    cols = [np.ones(len(rows))] + [np.array([float(r[3] == x) for r in rows]) for x in names[1:]] + [np.array([float(r[2]) for r in rows])]
+    cols += [np.array([float(r[2] and r[3] == x) for r in rows]) for x in names[1:3]] + [np.array([float(r[4] == t) for r in rows]) for t in (2001, 2002)]
+    cols += [np.array([r[5] for r in rows]) ** p / 60.0**p for p in range(1, 5)]
+    x = np.stack(cols, 1)
+    bread = np.linalg.inv(x.T @ (w[:, None] * x))
+    beta = bread @ x.T @ (w * y)
+    e = y - x @ beta
+    v = bread @ (x * ((w * e) ** 2)[:, None]).T @ x @ bread * len(y) / (len(y) - x.shape[1])
+    for k, name in enumerate(names):
+        level, gap = np.zeros(len(beta)), np.zeros(len(beta))
+        level[0] = gap[4] = 1
+        if k:
+            level[k] = 1
+        if k in (1, 2):
+            gap[4 + k] = 1
+        assert np.allclose([got[name].level, got[name].level_se], [level @ beta, np.sqrt(level @ v @ level)], rtol=1e-5)
+        if name == "d":
+            assert got[name].gap is None and got[name].gap_se is None
+        else:
+            assert np.allclose([got[name].gap, got[name].gap_se], [gap @ beta, np.sqrt(gap @ v @ gap)], rtol=1e-5)
