@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom.functions import columns as C
+from rankloom.operators import bootstrap as B
 from rankloom.operators import compare as K
 from rankloom.operators import denoise as D
 from rankloom.operators import estimates as E
@@ -47,16 +48,20 @@ sd AS (SELECT DISTINCT item, resp_id, unnest([{SIDES}]) AS c FROM pz),
 sc AS (SELECT c.cell || ':' || method || ':' || mt.item || ':' || c.side AS item, mt.resp_id, entity_id, score FROM mt JOIN sd ON mt.item = sd.item AND mt.resp_id = sd.resp_id WHERE c.inside)"""
 
 
-def cell_sides(s, d):
-    """Scores of the 36 cells, ``item`` being pair, method, item and side; their estimates and covariances."""
+def cell_scores(s, d):
+    """Scores of the 36 cells: ``cell`` (pair, method and item), ``side, sample, resp_id, entity_id, score``; the methods and items of a pair share its samples."""
     rows = prep(s, d)
     borda = E.borda_scores(ranks_within(rows, ["item", "resp_id"], "value"))
     both = E.mean_scores(rows).withColumn("method", F.lit("OLS")).unionByName(borda.withColumn("method", F.lit("Borda")))
     who = rows.select("item", "resp_id", "arm", "framing").distinct().join(X.raters(s, d), "resp_id")
     sides = F.array(*[F.struct(F.lit(n).alias("cell"), F.lit(k).alias("side"), F.coalesce(F.expr(c), F.lit(False)).alias("inside")) for n, *two in PAIRS for k, c in enumerate(two, 1)])
     who = who.select("item", "resp_id", F.explode(F.filter(sides, lambda x: x["inside"])).alias("c"))
-    sc = both.join(who, ["item", "resp_id"]).select(F.concat_ws(":", "c.cell", "method", "item", "c.side").alias("item"), "resp_id", "entity_id", "score")
-    sc = checkpointed(sc)
+    return both.join(who, ["item", "resp_id"]).select(F.concat_ws(":", "c.cell", "method", "item").alias("cell"), F.col("c.side").alias("side"), F.concat_ws(":", "c.cell", "c.side").alias("sample"), "resp_id", "entity_id", "score")
+
+
+def cell_sides(s, d):
+    """Estimates and covariances of the 36 cells, ``item`` being cell and side."""
+    sc = checkpointed(cell_scores(s, d).select(F.concat_ws(":", "cell", "side").alias("item"), "resp_id", "entity_id", "score"))
     return E.estimates(sc), checkpointed(E.observed_covariance(E.influences(sc)))
 
 
@@ -103,6 +108,13 @@ def _(s, d):
     return out.select(*[F.round(c, 4).alias(c) for c in ("wald", "wald_p", "cmd", "cmd_p")], "reps")
 
 
+@query("st_41_cells")
+def _(s, d):
+    """Bootstrap p-values of both tests in all 36 cells."""
+    out = B.bootstrap_cells(cell_scores(s, d), REPLICATES)
+    return out.select("cell", "J", *[F.round(c, 4).alias(c) for c in ("wald", "wald_p", "cmd", "cmd_p")], "reps")
+
+
 @query("st_42_raw_correlation", with_("vr", f", {ARMS} SELECT corr(x.e, y.e) AS corr, count(*) AS n FROM c x JOIN c y ON x.arm = 'contact' AND y.arm = 'conduct' AND x.entity_id = y.entity_id"), d="corr", i="n")
 def _(s, d):
     (_, ea, _), (_, eb, _) = halves(s, d)
@@ -131,6 +143,15 @@ def _(s, d):
     return K.uniformity(long, ["test"], "p").select("test", *[F.round(c, 4).alias(c) for c in ("ks", "at_5", "at_10")])
 
 
+@query("st_43_bootstrap_calibration")
+def _(s, d):
+    """Random halves of all raters, 100 times: how far the bootstrap p-values of both tests, of 99 replicates each, are from uniform."""
+    halves = B.random_halves(X.valid(X.ratings(s, d)).select("resp_id", "entity_id", (6.0 - F.col("value")).alias("score")), 100)
+    p = checkpointed(B.bootstrap_cells(halves, 99).select("cell", "wald_p", "cmd_p"))
+    long = p.unpivot("cell", ["wald_p", "cmd_p"], "test", "p").where("p is not null")
+    return K.uniformity(long, ["test"], "p").select("test", *[F.round(c, 4).alias(c) for c in ("ks", "at_5", "at_10")])
+
+
 CELL = "SELECT {c}, count(*) AS pairs FROM vr a JOIN vr b ON a.arm = b.arm AND a.entity_id = b.entity_id AND a.resp_id < b.resp_id GROUP BY 1, 2"
 
 
