@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import denoise as D
 from rankloom.operators import estimates as E
+from rankloom.operators import positivity as P
 from rankloom.operators import regress as R
 from rankloom.operators import wages as G
 from rankloom.operators.tables import checkpointed
@@ -304,16 +305,49 @@ def _(s, d):
     return R.eiv(noisy(s, d).join(low, "entity_id", "left_semi"), ["item"], "y", "x", "w", "noise").select("item", "b", "se", "n")
 
 
+def noisy_regressors(s, d):
+    """Entities with their estimates of item a by both methods and of item b (``xa, xb, xc``), two outcomes, weight, and noise: ``raw_<i><j>`` as measured, ``one_<i>`` after the correction of each by itself."""
+    rows = prep(s, d)
+    borda = E.borda_scores(ranks_within(rows.where("item = 'a'"), ["item", "resp_id"], "value")).withColumn("item", F.lit("c"))
+    sc = checkpointed(E.mean_scores(rows).unionByName(borda))
+    w = checkpointed(X.external(s, d).join(X.entities(s, d), "entity_id").where("disc is not null and weight > 0").select("entity_id", "weight", "grp", (F.col("disc") * 100).alias("y")))
+    est, infl = checkpointed(E.estimates(sc)), checkpointed(E.influences(sc))
+    inside = [checkpointed(x) for x in E.within_set(est, E.observed_covariance(infl), w.select("entity_id"))]
+    var = D.weighted_variance_parts(*inside, w.select("entity_id", "weight"))
+    pairs = s.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("lhs"), F.lit(j).alias("rhs")) for i, j in ("ab", "ac", "bc")])))
+    own = w.select("entity_id")
+    cov = D.item_covariances(est.join(own, "entity_id", "left_semi"), infl.join(own, "entity_id", "left_semi"), pairs)
+    pick = lambda df, cond, c: F.max(F.when(cond, F.col(c)))
+    noise = var.agg(*[pick(var, F.col("item") == i, c).alias(f"{n}_{i}") for i in "abc" for n, c in (("raw", "noise"), ("katz", "katz_noise"))])
+    between = cov.agg(*[pick(cov, (F.col("lhs") == i) & (F.col("rhs") == j), "noise").alias(f"raw_{i}{j}") for i, j in ("ab", "ac", "bc")])
+    noise = noise.select(*[F.col(f"raw_{i}").alias(f"raw_{i}{i}") for i in "abc"], *[F.coalesce(f"katz_{i}", f"raw_{i}").alias(f"one_{i}") for i in "abc"])
+    wide = est.groupBy("entity_id").agg(*[pick(est, F.col("item") == i, "estimate").alias(f"x{i}") for i in "abc"]).dropna()
+    dt = wide.join(w, "entity_id").crossJoin(F.broadcast(noise)).crossJoin(F.broadcast(between))  # one row of noise each
+    outcomes = F.array(F.struct(F.lit("y").alias("lhs"), F.col("y").alias("v")), F.struct(F.lit("lw").alias("lhs"), F.ln("weight").alias("v")))
+    return checkpointed(dt.select("*", F.inline(outcomes)))
+
+
+def joint(dt, items: str):
+    """Regressions of both outcomes on the estimates ``items``, after the joint correction of their noise."""
+    xs = [f"x{i}" for i in items]
+    raw = {(f"x{i}", f"x{j}"): f"raw_{min(i, j)}{max(i, j)}" for i in items for j in items if i <= j}
+    alone = {(a, b): f"one_{a[1]}" if a == b else c for (a, b), c in raw.items()}
+    rows, noise = P.joint_noise(dt.withColumn("spec", F.concat_ws(" ~ ", "lhs", F.lit(" + ".join(items)))), ["spec"], xs, "weight", raw, alone)
+    rows = checkpointed(rows)
+    fit = R.eiv_many(rows, ["spec"], "v", xs, "weight", noise)
+    how = rows.groupBy(F.col("spec").alias("_spec")).agg(F.first("corrected").alias("corrected"), F.first("accepted").alias("accepted"), F.first("draws").alias("draws"))
+    return fit.join(how, F.col("spec") == F.col("_spec")).select("spec", "name", *[F.round(c, 6).alias(c) for c in ("b", "se")], "n", "ok", "corrected", "accepted", "draws")
+
+
 @query("st_28_positive_signal")
 def _(s, d):
-    """Noise matrix of both items after the positivity correction, and the regression that uses it."""
-    from rankloom.operators import positivity as P
+    """Regressions of two outcomes on both items, with the noise of the items corrected together."""
+    return joint(noisy_regressors(s, d), "ab")
 
-    from .estimates import recentred
 
-    est, cov = recentred(s, d)
-    signal, vech, total = P.item_moments(est, cov, ["a", "b"])
-    noise, accepted = P.positive_signal(s, signal, vech, total)
-    dt = data(s, d).groupBy("entity_id").agg(F.max(F.when(F.col("item") == "a", F.col("x"))).alias("a"), F.max(F.when(F.col("item") == "b", F.col("x"))).alias("b"), F.max("y").alias("y"), F.max("w").alias("w")).dropna()
-    fit = R.eiv_many(dt.withColumn("spec", F.lit("ab")), ["spec"], "y", ["a", "b"], "w", {("a", "a"): float(noise[0, 0]), ("a", "b"): float(noise[0, 1]), ("b", "b"): float(noise[1, 1])})
-    return fit.select("spec", "name", F.round("b", 4).alias("b"), F.lit(accepted).alias("accepted"))
+@query("st_28_all_specifications")
+def _(s, d):
+    """The same for all sets of two and three of the noisy regressors, one row for each specification and regressor."""
+    dt = noisy_regressors(s, d)
+    sets = [joint(dt, items) for items in ("ab", "ac", "bc", "abc")]
+    return sets[0].unionByName(sets[1]).unionByName(sets[2]).unionByName(sets[3])

