@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.columns import positive_part
 
-from .estimates import centring
+from .estimates import centring, deviation_variances, group_deviations, group_means
 
 
 def _paired(cov: DataFrame, rows: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -37,10 +37,85 @@ def variance_parts(est: DataFrame, cov: DataFrame, keys: Sequence[str] = ("item"
     trace = F.col("tr") - n * t
     bcb = F.col("bvb") - 2 * F.col("br") * F.col("sb") + t * F.col("sb") * F.col("sb")
     cc = F.col("vv") - 2 * n * F.col("rr") + n * n * t * t
+    return _signal_parts(m, keys, trace, bcb, cc)
+
+
+def _signal_parts(m: DataFrame, keys: Sequence[str], trace: Column, bcb: Column, cc: Column) -> DataFrame:
+    """The columns of ``variance_parts`` from ``J, bb`` and sums over the covariance."""
+    n = F.col("J")
     m = m.select(*keys, n, (F.col("bb") / n).alias("variance"), (trace / n).alias("noise"), ((F.col("bb") - trace) / n).alias("signal_raw"), ((4 * bcb - 2 * cc) / (n * n)).alias("v_hat"))
     return m.withColumn("signal", positive_part(F.col("signal_raw"), F.sqrt(F.greatest(F.col("v_hat"), F.lit(0.0)))))
 
 
+def deviation_variance_parts(dev: DataFrame, cov: DataFrame, weights: DataFrame) -> DataFrame:
+    """The same for deviations from group means (``item, entity_id, grp, estimate``), from the observed pairs of the covariance of the estimates.
+
+    Deviations have the covariance X - R - K + M in each block of two groups, with R and K the weighted means of its rows and columns and M that of
+    both. Its trace is that of ``deviation_variances``; b' of it b is u' cov u with u_j = b_j less a_j times the sum of b over the group; and its sum of squares follows from
+    the block's sizes, sums and sums of squares of row means, and from the products of row means with row sums. Estimates are centred once more.
+    """
+    centred = dev.join(dev.groupBy("item").agg(F.avg("estimate").alias("_m")), "item").select("item", "entity_id", "grp", (F.col("estimate") - F.col("_m")).alias("b"))
+    sums = centred.groupBy("item", "grp").agg(F.sum("b").alias("gb"), F.count(F.lit(1)).alias("size"))
+    rows = centred.join(sums, ["item", "grp"]).join(weights.select("entity_id", "a"), "entity_id").withColumn("u", F.col("b") - F.col("a") * F.col("gb"))
+    head = rows.groupBy("item").agg(F.count(F.lit(1)).alias("J"), F.sum(F.col("b") * F.col("b")).alias("bb"))
+    trace = deviation_variances(cov, weights).groupBy("item").agg(F.sum("v").alias("trace"))
+    v = F.col("rcov")
+    pairs = _paired(cov, rows, ["item"], ["u", "a", "grp"])
+    whole = pairs.groupBy("item").agg(F.sum(F.col("u_i") * F.col("u_j") * v).alias("bcb"), F.sum(v * v).alias("vv"))
+    one = pairs.groupBy("item", "entity_i", F.col("grp_i").alias("g"), F.col("grp_j").alias("h")).agg(F.first("a_i").alias("a"), F.sum(F.col("a_j") * v).alias("r"), F.sum(v).alias("x"))
+    r = F.col("r")
+    block = one.groupBy("item", "g", "h").agg(F.sum(F.col("a") * r).alias("m"), F.sum(r).alias("sr"), F.sum(r * r).alias("rr"), F.sum(r * F.col("x")).alias("rx"), F.sum("x").alias("sx"))
+    other = block.select("item", F.col("g").alias("h"), F.col("h").alias("g"), F.col("sr").alias("sk"))
+    n = [sums.select("item", F.col("grp").alias(k), F.col("size").alias(f"n{k}")) for k in "gh"]
+    block = block.join(other, ["item", "g", "h"]).join(n[0], ["item", "g"]).join(n[1], ["item", "h"])
+    m, ng, nh = F.col("m"), F.col("ng"), F.col("nh")
+    # Row and column terms of a block are each other's in the mirrored block, so those of rows count twice.
+    inner = 2 * nh * F.col("rr") - 4 * F.col("rx") + ng * nh * m * m + 2 * m * F.col("sx") + 2 * F.col("sr") * F.col("sk") - 4 * m * nh * F.col("sr")
+    blocks = block.groupBy("item").agg(F.sum(inner).alias("inner"))
+    out = head.join(trace, "item").join(whole, "item").join(blocks, "item")
+    return _signal_parts(out, ["item"], F.col("trace"), F.col("bcb"), F.col("vv") + F.col("inner"))
+
+
+def group_influences(infl: DataFrame, weights: DataFrame) -> DataFrame:
+    """Influences of group means: ``item, resp_id, grp, s``, the weighted sum of a rater's influences in the group."""
+    return infl.join(weights, "entity_id").groupBy("item", "resp_id", "grp").agg(F.sum(F.col("a") * F.col("s")).alias("s"))
+
+
+def between_covariances(est: DataFrame, infl: DataFrame, weights: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``item_covariances`` of group means."""
+    return item_covariances(group_means(est, weights).withColumnRenamed("grp", "entity_id"), group_influences(infl, weights).withColumnRenamed("grp", "entity_id"), pairs)
+
+
+def within_covariances(est: DataFrame, infl: DataFrame, weights: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``item_covariances`` of deviations from group means.
+
+    A rater of one entity moves the deviations of its whole group, so the influences would fill the groups. The noise is summed without them: over the common entities K of a
+    group, the products of s_j - m and t_j - l come to sum s t - l sum s - m sum t + K m l, with m and l the rater's influences on both group means.
+    """
+    dev = group_deviations(est, weights)
+    out = item_covariances(dev.select("item", "entity_id", "estimate"), infl, pairs).drop("noise")
+    own = infl.join(weights, "entity_id")
+    entities = est.join(weights, "entity_id").select("item", "entity_id", "grp")
+    common = pairs.join(entities.withColumnRenamed("item", "lhs"), "lhs").join(entities.select(F.col("item").alias("rhs"), "entity_id"), ["rhs", "entity_id"])
+    sizes = common.groupBy("lhs", "rhs", "grp").agg(F.count(F.lit(1)).alias("K"))
+    mean = group_influences(infl, weights)
+    by = ["lhs", "rhs", "resp_id", "grp"]
+    terms = pairs
+    for side, m, total in (("lhs", "m", "s1"), ("rhs", "l", "s2")):
+        means = mean.select(F.col("item").alias(side), "resp_id", "grp", F.col("s").alias(m))
+        terms = terms.join(means, [side] if side == "lhs" else ["rhs", "resp_id", "grp"])
+        inside = own.withColumnRenamed("item", side).join(common.select("lhs", "rhs", "entity_id"), [side, "entity_id"]).groupBy(*by).agg(F.sum("s").alias(total))
+        terms = terms.select(*(F.col(c).alias(c) for c in terms.columns)).join(inside, by, "left")
+    both = own.select(F.col("item").alias("lhs"), "resp_id", "entity_id", "grp", F.col("s").alias("x")).join(common.select("lhs", "rhs", "entity_id"), ["lhs", "entity_id"])
+    both = both.join(own.select(F.col("item").alias("rhs"), "resp_id", "entity_id", F.col("s").alias("y")), ["rhs", "resp_id", "entity_id"])
+    both = both.groupBy(*by).agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    terms = terms.join(both, by, "left").join(sizes, ["lhs", "rhs", "grp"])
+    value = zero("xy") - F.col("l") * zero("s1") - F.col("m") * zero("s2") + F.col("K") * F.col("m") * F.col("l")
+    noise = terms.groupBy("lhs", "rhs").agg(F.sum(value).alias("noise"))
+    return out.join(noise, ["lhs", "rhs"], "left").withColumn("noise", F.when(F.col("J") >= 2, zero("noise") / F.col("J")))
+
+
 def weighted_variance_parts(est: DataFrame, cov: DataFrame, weights: DataFrame, keys: Sequence[str] = ("item",)) -> DataFrame:
     """The same with normalised entity weights (``entity_id, weight``); no row for an item with a weight that is missing or not positive.
 

@@ -280,6 +280,49 @@ def _(s, d):
     return cov(E.group_means(est, w), "grp", "between").unionByName(cov(E.group_deviations(est, w), "entity_id", "within"))
 
 
+# Both parts with entity weights: the dense influences and covariances of group means (im) and of deviations from them (dm).
+GW = "gw AS (SELECT entity_id, grp, weight / sum(weight) OVER (PARTITION BY grp) AS a FROM entities WHERE weight IS NOT NULL)"
+MAPPED = f"""{INF}, {GW}, im AS (SELECT item, grp AS entity_id, sum(a * estimate) AS e FROM est JOIN gw USING (entity_id) GROUP BY 1, 2), dm AS (SELECT item, entity_id, estimate - sum(a * estimate) OVER (PARTITION BY item, grp) AS e FROM est JOIN gw USING (entity_id)),
+ims AS (SELECT item, resp_id, grp AS entity_id, sum(a * s) AS s FROM inf JOIN gw USING (entity_id) GROUP BY 1, 2, 3), dms AS (SELECT ims.item, ims.resp_id, gw.entity_id, coalesce(inf.s, 0) - ims.s AS s FROM ims JOIN gw ON gw.grp = ims.entity_id LEFT JOIN inf ON inf.item = ims.item AND inf.resp_id = ims.resp_id AND inf.entity_id = gw.entity_id),
+pe AS (SELECT 'between' AS part, item, entity_id, e - avg(e) OVER (PARTITION BY item) AS b FROM im UNION ALL SELECT 'within', item, entity_id, e - avg(e) OVER (PARTITION BY item) FROM dm), ps AS (SELECT 'between' AS part, * FROM ims UNION ALL SELECT 'within', * FROM dms),
+pc0 AS (SELECT x.part, x.item, x.entity_id AS i, y.entity_id AS j, coalesce(v, 0) AS v FROM pe x JOIN pe y ON x.part = y.part AND x.item = y.item LEFT JOIN (SELECT x.part, x.item, x.entity_id AS i, y.entity_id AS j, sum(x.s * y.s) AS v FROM ps x JOIN ps y ON x.part = y.part AND x.item = y.item AND x.resp_id = y.resp_id GROUP BY ALL) z ON z.part = x.part AND z.item = x.item AND z.i = x.entity_id AND z.j = y.entity_id),
+pc AS (SELECT part, item, i, j, CASE WHEN part = 'between' THEN v - avg(v) OVER (PARTITION BY part, item, i) - avg(v) OVER (PARTITION BY part, item, j) + avg(v) OVER (PARTITION BY part, item) ELSE v END AS v FROM pc0),
+pm AS (SELECT c.part, c.item, sum(CAST(i = j AS INTEGER)) AS J, sum(CASE WHEN i = j THEN x.b * x.b END) AS bb, sum(CASE WHEN i = j THEN v END) AS tr, sum(x.b * y.b * v) AS bcb, sum(v * v) AS cc FROM pc c JOIN pe x ON x.part = c.part AND x.item = c.item AND x.entity_id = i JOIN pe y ON y.part = c.part AND y.item = c.item AND y.entity_id = j GROUP BY ALL),
+pv AS (SELECT part, item, J, bb / J AS variance, tr / J AS noise, (bb - tr) / J AS signal_raw, (4 * bcb - 2 * cc) / (J * J) AS v_hat FROM pm), pg AS (SELECT *, {C.positive_part_sql('signal_raw', 'sqrt(greatest(v_hat, 0))')} AS signal FROM pv),
+pk AS (SELECT x.part, count(*) AS J, avg(x.b * y.b) AS covariance FROM pe x JOIN pe y ON x.part = y.part AND x.entity_id = y.entity_id AND x.item = 'a' AND y.item = 'b' GROUP BY 1), pn AS (SELECT x.part, sum(x.s * y.s) AS noise FROM ps x JOIN ps y ON x.part = y.part AND x.resp_id = y.resp_id AND x.entity_id = y.entity_id AND x.item = 'a' AND y.item = 'b' GROUP BY 1)"""
+
+
+def mapped_parts(s, d):
+    """Variance and covariance sheets of weighted group means and of deviations from them, ``part`` telling which."""
+    sc = checkpointed(scores(s, d))
+    w = checkpointed(E.group_weights(X.entities(s, d).where("weight is not null"), "weight"))
+    est, infl = checkpointed(E.estimates(sc)), checkpointed(E.influences(sc))
+    cov = checkpointed(E.observed_covariance(infl))
+    groups = E.group_covariance(cov, w).withColumnsRenamed({"grp_i": "entity_i", "grp_j": "entity_j"})
+    between = D.variance_parts(E.recentred_estimates(E.group_means(est, w).withColumnRenamed("grp", "entity_id")), groups)
+    within = D.deviation_variance_parts(E.group_deviations(est, w), cov, w)
+    named = lambda df, p: df.withColumn("part", F.lit(p))
+    variances = named(between, "between").unionByName(named(within, "within"))
+    covariances = named(D.between_covariances(est, infl, w, pair_rows(s)), "between").unionByName(named(D.within_covariances(est, infl, w, pair_rows(s)), "within"))
+    return checkpointed(variances), checkpointed(covariances)
+
+
+@query("st_21_variances", with_("vi entities", f", {MAPPED} SELECT part, item, J, variance, noise, signal_raw, v_hat, signal FROM pg"), d="variance noise signal_raw v_hat signal", i="J")
+def _(s, d):
+    """Variance, noise and signal of weighted group means and deviations, with influences and covariance mapped alike."""
+    return mapped_parts(s, d)[0]
+
+
+@query("st_21_correlations", with_("vi entities", f", {MAPPED} SELECT part, lhs, rhs, J, covariance, noise, corr, corr_den, corr_c FROM (SELECT k.part, 'a' AS lhs, 'b' AS rhs, k.J, covariance, n.noise / k.J AS noise, covariance / sqrt(x.variance * y.variance) AS corr, CASE WHEN x.signal > 0 AND y.signal > 0 THEN covariance / sqrt(x.signal * y.signal) END AS corr_den, CASE WHEN x.signal > 0 AND y.signal > 0 THEN (covariance - n.noise / k.J) / sqrt(x.signal * y.signal) END AS corr_c FROM pk k JOIN pn n USING (part) JOIN pg x ON x.part = k.part AND x.item = 'a' JOIN pg y ON y.part = k.part AND y.item = 'b')"), d="covariance noise corr corr_den corr_c", i="J")
+def _(s, d):
+    """Covariance of both items between and within groups, its noise, and the correlations."""
+    from rankloom.operators.joins import with_both_variances
+
+    variances, covariances = mapped_parts(s, d)
+    out = D.correlations(with_both_variances(covariances, variances, ["part"], ["variance", "signal"]))
+    return out.select("part", "lhs", "rhs", "J", "covariance", "noise", "corr", "corr_den", "corr_c")
+
+
 KATZ = f"{WV}, {IC}, kz AS (SELECT item, coalesce(CASE WHEN variance - signal > 0 THEN variance - signal END, noise) AS noise FROM m3)"
 
 
