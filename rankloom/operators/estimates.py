@@ -217,23 +217,31 @@ def deviation_covariance(cov: DataFrame, weights: DataFrame) -> DataFrame:
     return full.select("item", "entity_i", "entity_j", (value[0] - value[1] - value[2] + value[3]).alias("rcov"))
 
 
-def shrunken(est: DataFrame, grid: Sequence[float], floor: float = 1e-8) -> DataFrame:
+def shrunken(est: DataFrame, grid: Sequence[float], floor: float = 1e-8, finer: int = 20) -> DataFrame:
     """Two-step shrinkage of ``item, entity_id, estimate, se``: adds ``eb``.
 
     A line of the estimate on ln s is fitted per item; its squared residuals less s^2 follow
-    v s^(2 psi). For a fixed psi the best v has a closed form, so psi is picked from a
-    grid by least squares, all items and grid points in one aggregate. A v of 0 or less shrinks to the line.
+    v s^(2 psi). For a fixed psi the best v has a closed form, so psi is picked by least squares, first from a
+    grid with even steps, then from one of ``finer`` steps on both sides of each item's best point that fill the steps next to it: psi is within a step / (2 ``finer``) of the
+    local minimum. Each pass is one aggregate over all items and points. A v of 0 or less shrinks to the line.
     """
     rows = est.where(F.col("estimate").isNotNull() & ~F.isnan("estimate") & (F.col("se") > 0)).withColumn("ls", F.ln(F.greatest("se", F.lit(floor))))
-    w = W.partitionBy("item")
-    n, mx, my = F.count(F.lit(1)).over(w), F.avg("ls").over(w), F.avg("estimate").over(w)
-    sxx = F.sum(F.col("ls") * F.col("ls")).over(w) - n * mx * mx
-    sxy = F.sum(F.col("ls") * F.col("estimate")).over(w) - n * mx * my
-    rows = rows.where("true").withColumn("_n", n).withColumn("fit", my + F.when(sxx > 1e-12, sxy / sxx).otherwise(0.0) * (F.col("ls") - mx)).where("_n >= 2")
+    sums = rows.groupBy("item").agg(F.count(F.lit(1)).alias("_n"), F.avg("ls").alias("_mx"), F.avg("estimate").alias("_my"), F.sum(F.col("ls") * F.col("ls")).alias("_xx"), F.sum(F.col("ls") * F.col("estimate")).alias("_xy"))
+    sxx, sxy = (F.col(f"_x{k}") - F.col("_n") * F.col("_mx") * F.col(f"_m{k}") for k in "xy")
+    line = sums.where("_n >= 2").select("item", "_mx", "_my", F.when(sxx > 1e-12, sxy / sxx).otherwise(0.0).alias("_slope"))
+    rows = rows.join(line, "item").withColumn("fit", F.col("_my") + F.col("_slope") * (F.col("ls") - F.col("_mx"))).drop("_mx", "_my", "_slope")
     rows = rows.withColumn("r", F.col("estimate") - F.col("fit")).withColumn("y", F.col("r") * F.col("r") - F.col("se") * F.col("se"))
-    cells = rows.withColumn("psi", F.explode(F.array(*[F.lit(float(g)) for g in grid]))).withColumn("z", F.exp(2 * F.col("psi") * F.col("ls")))
-    sums = cells.groupBy("item", "psi").agg(F.sum(F.col("y") * F.col("z")).alias("yz"), F.sum(F.col("z") * F.col("z")).alias("zz"), F.sum(F.col("y") * F.col("y")).alias("yy"))
-    sums = sums.withColumn("v", F.greatest(F.col("yz") / F.col("zz"), F.lit(0.0))).withColumn("loss", F.col("yy") - 2 * F.col("v") * F.col("yz") + F.col("v") * F.col("v") * F.col("zz"))
-    best = sums.groupBy("item").agg(F.min(F.struct(F.round("loss", 9).alias("l"), "psi", "v")).alias("b")).select("item", "b.psi", "b.v")
+
+    def best(points: DataFrame, digits: int) -> DataFrame:
+        """``item, psi, v`` of the point with the least loss."""
+        cells = points.withColumn("z", F.exp(2 * F.col("psi") * F.col("ls")))
+        m = cells.groupBy("item", "psi").agg(F.sum(F.col("y") * F.col("z")).alias("yz"), F.sum(F.col("z") * F.col("z")).alias("zz"), F.sum(F.col("y") * F.col("y")).alias("yy"))
+        m = m.withColumn("v", F.greatest(F.col("yz") / F.col("zz"), F.lit(0.0))).withColumn("loss", F.col("yy") - 2 * F.col("v") * F.col("yz") + F.col("v") * F.col("v") * F.col("zz"))
+        return m.groupBy("item").agg(F.min(F.struct(F.round("loss", digits).alias("l"), "psi", "v")).alias("b")).select("item", "b.psi", "b.v")
+
+    rough = best(rows.withColumn("psi", F.explode(F.array(*[F.lit(float(g)) for g in grid]))), 9).select("item", F.col("psi").alias("psi0"))
+    step = (grid[-1] - grid[0]) / (len(grid) - 1) / finer
+    around = F.explode(F.transform(F.sequence(F.lit(-finer), F.lit(finer)), lambda k: F.col("psi0") + k * F.lit(step)))
+    fine = best(rows.join(rough, "item").withColumn("psi", around), 13)
     share = F.col("v") / (F.col("v") + F.exp(2 * (1 - F.col("psi")) * F.col("ls")))
-    return rows.join(best, "item").select("item", "entity_id", "estimate", "se", (F.col("fit") + F.when(F.col("v") > 0, share).otherwise(0.0) * F.col("r")).alias("eb"))
+    return rows.join(fine, "item").select("item", "entity_id", "estimate", "se", (F.col("fit") + F.when(F.col("v") > 0, share).otherwise(0.0) * F.col("r")).alias("eb"))

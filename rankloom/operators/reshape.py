@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.columns import range_codes
 
+from .quality import require_empty
+
 
 def slots_to_long(df: DataFrame, keys: Sequence[str], stubs: Sequence[str], slots: Sequence[int] = range(1, 6)) -> DataFrame:
     """One row per slot from columns ``stub_slot`` of several stubs at once, in one pass."""
@@ -45,3 +47,16 @@ def result_grid(grid: DataFrame, results: DataFrame, keys: Sequence[str], cell:
     """Looks up estimate and standard error for each cell of a specification grid; a missing cell stays null."""
     found = results.select(*keys, (F.col("estimate") * scale).alias("estimate"), (F.col("se") * scale).alias("se"))
     return grid.join(found, list(keys), "left").select(cell, *keys, "estimate", "se")
+
+
+def result_table(spec: DataFrame, results: DataFrame, keys: Sequence[str], columns: Sequence[str], scale: float = 1.0) -> DataFrame:
+    """Results placed in a table: ``panel, row, line`` and a column for each of ``columns``.
+
+    ``spec`` says by ``panel, row, column`` where the result with its ``keys`` goes. Each row has a line of estimates and one of standard errors; a
+    cell without a result stays null, as does a row without any. A place that several results claim is an error.
+    """
+    require_empty(spec.groupBy("panel", "row", "column").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "a place has several results")
+    found = result_grid(spec.select("panel", "row", "column", *keys).withColumn("_cell", F.struct("panel", "row", "column")), results, keys, "_cell", scale)
+    lines = F.array(*[F.struct(F.lit(n).alias("line"), F.col(n).alias("value")) for n in ("estimate", "se")])
+    long = found.select("_cell.*", F.inline(lines))
+    return long.groupBy("panel", "row", "line").agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in columns])

@@ -149,12 +149,14 @@ def _(s, d):
 
 @query("sc_9_batches", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
 def _(s, d):
-    e = table(s, d, "events").select("user_id", "event_id", F.pmod("user_id", F.lit(4)).alias("batch"), F.col("event_id").alias("order"))
+    """A pull in five batches that stops after some batches and is resumed: batches that are finished are not read again."""
+    e = table(s, d, "events").select("user_id", "event_id", F.pmod("event_id", F.lit(5)).cast("string").alias("part"))
+    names = [str(k) for k in range(5)]
     store = S.BatchStore(s, S.scratch(s, "batches"), ["user_id"])
-    store.write(e.where("batch < 2"))
-    missing = store.missing(e.select("user_id").distinct())
-    store.write(e.join(missing, "user_id", "left_semi"))
-    return store.latest("order").select("user_id", "event_id")
+    read = lambda name: e.where(F.col("part") == name).drop("part")
+    store.pull(names[:2], read)
+    store.pull(names, read)
+    return store.latest("event_id").select("user_id", "event_id")
 
 
 @query("sc_10_csv_sink", "SELECT n_nationkey, n_name FROM nation")

@@ -169,15 +169,19 @@ GRID = [g / 20 for g in range(-20, 41)]
 
 
 def shrunken_sql(src: str, tag: str) -> str:
-    """``eb_<tag>``: item, entity_id, eb of a relation with item, entity_id, estimate, se."""
-    t = [f"{tag}{i}" for i in range(1, 6)]
+    """``eb_<tag>``: item, entity_id, eb of a relation with item, entity_id, estimate, se; psi from two passes over grids."""
+    t = [f"{tag}{i}" for i in range(1, 8)]
     line = "CASE WHEN ll - n * mx * mx > 1e-12 THEN (le - n * mx * my) / (ll - n * mx * mx) ELSE 0 END"
+    sums = "sum(y * exp(2 * psi * ls)) AS yz, sum(exp(4 * psi * ls)) AS zz, sum(y * y) AS yy"
+    best = "row_number() OVER (PARTITION BY item ORDER BY round(yy - 2 * v * yz + v * v * zz, {d}), psi, v) AS k"
     return f"""{t[0]} AS (SELECT *, ln(greatest(se, 1e-8)) AS ls FROM {src} WHERE NOT isnan(estimate) AND se > 0),
 {t[1]} AS (SELECT *, count(*) OVER w AS n, avg(ls) OVER w AS mx, avg(estimate) OVER w AS my, sum(ls * ls) OVER w AS ll, sum(ls * estimate) OVER w AS le FROM {t[0]} WINDOW w AS (PARTITION BY item)),
 {t[2]} AS (SELECT *, estimate - fit AS r, power(estimate - fit, 2) - se * se AS y FROM (SELECT *, my + {line} * (ls - mx) AS fit FROM {t[1]} WHERE n >= 2)),
-{t[3]} AS (SELECT *, greatest(yz / zz, 0) AS v FROM (SELECT item, psi, sum(y * exp(2 * psi * ls)) AS yz, sum(exp(4 * psi * ls)) AS zz, sum(y * y) AS yy FROM {t[2]}, (SELECT unnest(range(-20, 41)) / 20.0::DOUBLE AS psi) GROUP BY 1, 2)),
-{t[4]} AS (SELECT item, psi, v, row_number() OVER (PARTITION BY item ORDER BY round(yy - 2 * v * yz + v * v * zz, 9), psi, v) AS k FROM {t[3]}),
-eb_{tag} AS (SELECT item, entity_id, fit + CASE WHEN v > 0 THEN v / (v + exp(2 * (1 - psi) * ls)) ELSE 0 END * r AS eb FROM {t[2]} JOIN {t[4]} USING (item) WHERE k = 1)"""
+{t[3]} AS (SELECT *, greatest(yz / zz, 0) AS v FROM (SELECT item, psi, {sums} FROM {t[2]}, (SELECT unnest(range(-20, 41)) / 20.0::DOUBLE AS psi) GROUP BY 1, 2)),
+{t[4]} AS (SELECT item, psi AS psi0, {best.format(d=9)} FROM {t[3]}),
+{t[5]} AS (SELECT *, greatest(yz / zz, 0) AS v FROM (SELECT item, psi, {sums} FROM {t[2]} JOIN (SELECT item, psi0 + unnest(range(-20, 21)) * 0.0025::DOUBLE AS psi FROM {t[4]} WHERE k = 1) USING (item) GROUP BY 1, 2)),
+{t[6]} AS (SELECT item, psi, v, {best.format(d=13)} FROM {t[5]}),
+eb_{tag} AS (SELECT item, entity_id, fit + CASE WHEN v > 0 THEN v / (v + exp(2 * (1 - psi) * ls)) ELSE 0 END * r AS eb FROM {t[2]} JOIN {t[6]} USING (item) WHERE k = 1)"""
 
 
 @query("st_13_shrunken", with_("vi", f", {REC}, ez AS (SELECT item, entity_id, est_c.estimate, est.se FROM est_c JOIN est USING (item, entity_id)), {shrunken_sql('ez', 'e')} SELECT item, entity_id, round(eb, 4) AS eb FROM eb_e"))

@@ -69,11 +69,29 @@ def _(s, d):
     return S.spread(m, ["l_suppkey"], "l_returnflag", {"": F.col("m")}, ["A", "R"]).select("l_suppkey", F.col("A").alias("a"), F.col("R").alias("r"), (F.col("R") - F.col("A")).alias("gap"))
 
 
-@query("rs_9_result_grid", with_("vi", ", m AS (SELECT item AS lhs, entity_id AS rhs, 100 * avg(value) AS estimate, 100 * sqrt(var_samp(value) / count(*)) AS se FROM vi GROUP BY 1, 2) SELECT g.cell, g.lhs, g.rhs, m.estimate, m.se FROM (SELECT i || ':' || e AS cell, i AS lhs, CAST(e AS BIGINT) AS rhs FROM (SELECT unnest(['a', 'b', 'c']) AS i) CROSS JOIN (SELECT unnest(range(0, 30)) AS e)) g LEFT JOIN m USING (lhs, rhs)"), d="estimate se")
+CELL_MEANS = "m AS (SELECT item AS lhs, entity_id AS rhs, 100 * avg(value) AS estimate, 100 * sqrt(var_samp(value) / count(*)) AS se FROM vi GROUP BY 1, 2)"
+
+
+def cell_means(s, d):
+    return X.valid(X.items(s, d)).groupBy(F.col("item").alias("lhs"), F.col("entity_id").alias("rhs")).agg(F.avg("value").alias("estimate"), F.sqrt(F.var_samp("value") / F.count(F.lit(1))).alias("se"))
+
+
+def items_by_entities(s, d):
+    """A specification for each entity and each of three items, of which the last has no results."""
+    return X.entities(s, d).select(F.explode(F.array(*map(F.lit, "abc"))).alias("lhs"), F.col("entity_id").alias("rhs"), "grp", "name")
+
+
+@query("rs_9_result_grid", with_("vi entities", f", {CELL_MEANS} SELECT g.lhs || ':' || g.rhs AS cell, g.lhs, g.rhs, m.estimate, m.se FROM (SELECT unnest(['a', 'b', 'c']) AS lhs, entity_id AS rhs FROM entities) g LEFT JOIN m USING (lhs, rhs)"), d="estimate se")
+def _(s, d):
+    grid = items_by_entities(s, d).select(F.concat_ws(":", "lhs", F.col("rhs").cast("string")).alias("cell"), "lhs", "rhs")
+    return S.result_grid(grid, cell_means(s, d), ["lhs", "rhs"], "cell", 100.0)
+
+
+@query("rs_9_wide_table", with_("vi entities", f", {CELL_MEANS}, w AS (SELECT grp AS panel, name AS \"row\", m.lhs AS c, m.estimate, m.se FROM entities LEFT JOIN m ON m.rhs = entity_id) SELECT panel, \"row\", line, max(CASE WHEN c = 'a' THEN CASE WHEN line = 'estimate' THEN estimate ELSE se END END) AS a, max(CASE WHEN c = 'b' THEN CASE WHEN line = 'estimate' THEN estimate ELSE se END END) AS b, CAST(NULL AS DOUBLE) AS c FROM w, (SELECT unnest(['estimate', 'se']) AS line) GROUP BY ALL"), d="a b c")
 def _(s, d):
-    m = X.valid(X.items(s, d)).groupBy(F.col("item").alias("lhs"), F.col("entity_id").alias("rhs")).agg(F.avg("value").alias("estimate"), F.sqrt(F.var_samp("value") / F.count(F.lit(1))).alias("se"))
-    grid = s.range(30).select(F.explode(F.array(*map(F.lit, "abc"))).alias("lhs"), F.col("id").alias("rhs")).select(F.concat_ws(":", "lhs", F.col("rhs").cast("string")).alias("cell"), "lhs", "rhs")
-    return S.result_grid(grid, m, ["lhs", "rhs"], "cell", 100.0)
+    """The same as a table: a panel for each group, a line of estimates and one of standard errors for each entity, a column for each item."""
+    spec = items_by_entities(s, d).select(F.col("grp").alias("panel"), F.col("name").alias("row"), F.col("lhs").alias("column"), "lhs", "rhs")
+    return S.result_table(spec, cell_means(s, d), ["lhs", "rhs"], list("abc"), 100.0)
 
 
 @query("rs_10_appendix", with_("items vi entities", """, m AS (SELECT entity_id, item, avg(6.0 - value) AS est, sqrt(var_samp(value) / count(*)) AS se FROM vi GROUP BY 1, 2), k AS (SELECT entity_id, count(*) AS shown, avg(CAST(value = -1 AS DOUBLE)) AS dk FROM items WHERE item = 'a' GROUP BY 1)
@@ -157,10 +175,12 @@ def _(s, d):
     return J.cascade_one_to_one(dirty(s, d), "p_partkey", keys, names_dim(s, d), "id", keys)
 
 
-@query("jn_10_alternative_fields", "SELECT c_custkey, coalesce(a.s_suppkey, b.s_suppkey) AS s_suppkey, CASE WHEN a.s_suppkey IS NOT NULL THEN 'first' WHEN b.s_suppkey IS NOT NULL THEN 'second' END AS field FROM customer LEFT JOIN supplier a ON a.s_suppkey = c_custkey AND a.s_suppkey < 100 LEFT JOIN supplier b ON b.s_suppkey + 100 = c_custkey AND b.s_suppkey < 100 WHERE c_custkey < 300")
+@query("jn_10_alternative_fields", "SELECT c_custkey, coalesce(a.s_suppkey, b.s_suppkey) AS s_suppkey, CASE WHEN a.s_suppkey IS NOT NULL THEN 'first' WHEN b.s_suppkey IS NOT NULL THEN 'second' END AS field FROM customer LEFT JOIN supplier a ON 3 * a.s_suppkey = c_custkey LEFT JOIN supplier b ON CASE WHEN b.s_suppkey % 2 = 0 THEN 3 * b.s_suppkey ELSE 3 * b.s_suppkey + 1 END = c_custkey")
 def _(s, d):
-    dim = table(s, d, "supplier").where("s_suppkey < 100").select("s_suppkey", F.col("s_suppkey").alias("first"), (F.col("s_suppkey") + 100).alias("second"))
-    return J.alternative_match(table(s, d, "customer").where("c_custkey < 300").select("c_custkey"), "c_custkey", dim, "s_suppkey", ["first", "second"])
+    """Suppliers under two fields, which even ones have the same key in: the first field counts."""
+    key = 3 * F.col("s_suppkey")
+    dim = table(s, d, "supplier").select("s_suppkey", key.alias("first"), F.when(F.col("s_suppkey") % 2 == 0, key).otherwise(key + 1).alias("second"))
+    return J.alternative_match(table(s, d, "customer").select("c_custkey"), "c_custkey", dim, "s_suppkey", ["first", "second"])
 
 
 @query("jn_11_match_flag", "SELECT c_custkey, o.k IS NOT NULL AS matched FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 200000) o ON c_custkey = o.k")

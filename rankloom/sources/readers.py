@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -53,24 +54,92 @@ class SheetStore:
         """Replaces one run of a sheet."""
         df.write.mode("overwrite").parquet(f"{self.root}/{self.file_name(name)}/run={run}")
 
+    def sheets(self) -> list[str]:
+        """Names of the sheets that are there, in order."""
+        if not exists(self.spark, self.root):
+            return []
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).listStatus(place)
+        return sorted(f.getPath().getName() for f in files if f.isDirectory() and not f.getPath().getName().startswith(("_", ".")))
+
     def read(self, name: str) -> DataFrame:
         """All runs of a sheet; fails if there is none."""
         return self.spark.read.parquet(f"{self.root}/{self.file_name(name)}")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, in any file system that Spark knows."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+
 class BatchStore:
-    """A pull in batches of keys that can be resumed: finished batches are kept, and the last row per key counts."""
+    """A pull in batches of keys that can be resumed: finished batches are kept, and the last row per key counts.
+
+    Rows lie in ``data/batch=<name>``, and each attempt at a batch leaves one row in ``manifest``: when it began, whether it finished, its rows or its error. A batch counts once it is in
+    the manifest as finished; what a lost or failed attempt has written is replaced by the next one.
+    """
+
+    ATTEMPT = "batch string, attempt int, began timestamp, finished boolean, rows long, error string"
 
     def __init__(self, spark: SparkSession, root: str, keys: Sequence[str]):
         self.spark, self.root, self.keys = spark, root, list(keys)
-
-    def write(self, df: DataFrame) -> None:
-        """Writes the batches in ``df`` (column ``batch``), each replacing its own earlier version."""
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.root)
+        self.data, self.log = f"{root}/data", f"{root}/manifest"
+
+    def manifest(self) -> DataFrame:
+        """All attempts so far; none before the first start."""
+        if exists(self.spark, self.log):
+            return self.spark.read.schema(self.ATTEMPT).parquet(self.log)
+        return self.spark.createDataFrame([], self.ATTEMPT)
+
+    def finished(self) -> set[str]:
+        return {r["batch"] for r in self.manifest().where("finished").select("batch").distinct().collect()}
+
+    def pull(self, batches: Sequence[str], read: Callable[[str], DataFrame], attempts: int = 3) -> list[str]:
+        """Reads and writes the batches that are not finished, each up to ``attempts`` times in this call; returns those pulled now.
+
+        A batch that fails does not keep the others from being pulled; the last error is raised at the end.
+        """
+        done, tried = self.finished(), {r["batch"]: r["n"] for r in self.manifest().groupBy("batch").agg(F.max("attempt").alias("n")).collect()}
+        pulled, failure = [], None
+        for batch in (b for b in batches if b not in done):
+            for _ in range(attempts):
+                tried[batch] = tried.get(batch, 0) + 1
+                began = datetime.datetime.now(datetime.UTC)
+                try:
+                    read(batch).write.mode("overwrite").parquet(f"{self.data}/batch={batch}")
+                    rows = self.spark.read.parquet(f"{self.data}/batch={batch}").count()
+                except Exception as error:  # whatever the source raises: the attempt is noted and tried again
+                    failure = error
+                    self._note(batch, tried[batch], began, False, None, str(error)[:1000])
+                else:
+                    self._note(batch, tried[batch], began, True, rows, None)
+                    pulled.append(batch)
+                    break
+        missing = set(batches) - done - set(pulled)
+        if missing:
+            raise RuntimeError(f"batches without a finished attempt: {sorted(missing)}") from failure
+        return pulled
+
+    def _note(self, batch: str, attempt: int, began: datetime.datetime, finished: bool, rows: int | None, error: str | None) -> None:
+        self.spark.createDataFrame([(batch, attempt, began, finished, rows, error)], self.ATTEMPT).coalesce(1).write.mode("append").parquet(self.log)
+
+    def rows(self) -> DataFrame | None:
+        """Rows of all finished batches."""
+        done = sorted(self.finished())
+        if not done:
+            return None
+        return self.spark.read.option("basePath", self.data).parquet(*[f"{self.data}/batch={b}" for b in done]).withColumn("batch", F.col("batch").cast("string"))
 
     def missing(self, wanted: DataFrame) -> DataFrame:
-        return wanted.join(self.spark.read.parquet(self.root).select(*self.keys).distinct(), self.keys, "left_anti")
+        """Wanted keys that no finished batch has: all of them before the first start."""
+        rows = self.rows()
+        return wanted if rows is None else wanted.join(rows.select(*self.keys).distinct(), self.keys, "left_anti")
 
     def latest(self, order: str) -> DataFrame:
+        """The last row of each key over all finished batches."""
+        rows = self.rows()
+        if rows is None:
+            raise FileNotFoundError(f"no finished batch in {self.root}")
         w = W.partitionBy(*self.keys).orderBy(F.col(order).desc())
-        return self.spark.read.parquet(self.root).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+        return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
