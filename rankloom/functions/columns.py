@@ -1,20 +1,61 @@
-"""Column builders: recodes, text keys, bins and tail functions. All stay inside Catalyst unless stated."""
+"""Column builders: recodes, text keys, bins and tail functions. All stay inside Catalyst."""
 
 from __future__ import annotations
 
+import math
+import unicodedata
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-#: Legal words that a company key drops (v1, lower case) and suffixes (v2, upper case).
+#: Legal words that a company key drops (v1, lower case) and descriptors that end a name (v2, upper case).
 LEGAL_WORDS = ("inc", "incorporated", "corp", "corporation", "co", "company", "companies", "cos", "group", "holdings", "holding", "plc", "llc", "ltd", "limited", "the")
-SUFFIXES = ("INC", "INCORPORATED", "CORP", "CORPORATION", "CO", "COMPANY", "LTD", "LLC", "LP", "PLC", "GROUP", "HOLDINGS")
-#: Latin letters with marks, and what they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
+SUFFIXES = (
+    "INC", "INCORPORATED", "CO", "COMPANY", "CORP", "CORPORATION", "LLC", "LTD", "PLC", "HOLDINGS", "HOLDING", "GROUP", "COS", "THE", "INTERNATIONAL", "WORLDWIDE",
+    "GLOBAL", "SERVICES", "SERVICE", "TECHNOLOGIES", "TECHNOLOGY", "SOLUTIONS", "SYSTEMS", "SYSTEM", "COMMUNICATIONS", "COMMUNICATION", "NETWORKS", "NETWORK", "RETAIL", "ENTERPRISES", "ENTERPRISE", "COM",
+)
+#: Company keys that stand for other ones.
+COMPANY_ALIASES = {
+    "adp": "automatic data processing",
+    "carrier": "carrier global",
+    "costco": "costco wholesale",
+    "disney": "walt disney",
+    "dowdupont": "dow",
+    "dr pepper snapple": "keurig dr pepper",
+    "estee lauder": "estee lauder",
+    "general electric": "ge aerospace",
+    "ibm": "international business machines",
+    "icahn enterprises": "icahn enterprises lp",
+    "jpmorgan chase": "jpmorgan chase and",
+    "laboratory of america": "labcorp",
+    "merck": "merck and",
+    "otis": "otis worldwide",
+    "sears": "sears roebuck and",
+    "synnex": "td synnex",
+    "united continental": "united airlines",
+    "ups": "united parcel service",
+    "verizon": "verizon communications",
+    "victoria s secret": "victoria s secret and",
+    "wells fargo": "wells fargo and",
+    "xpo logistics": "xpo",
+}
+
+
+def _foldings() -> tuple[dict[str, str], dict[str, str]]:
+    """What characters outside ASCII leave in it once they are decomposed: those that leave one character, up to U+FFFF, and those that leave several, up to U+1EFF."""
+    one, several = {}, {}
+    for code in range(0x80, 0x10000):
+        if not 0xD800 <= code <= 0xDFFF:
+            plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+            if len(plain) == 1:
+                one[chr(code)] = plain
+            elif plain and code <= 0x1EFF:
+                several[chr(code)] = plain
+    return one, several
+
+
+FOLDED, FOLDED_TO_SEVERAL = _foldings()
 
 
 # ---- recodes
@@ -77,7 +118,20 @@ def code_band(c: Column, bands: Sequence[tuple[int, int, int]], otherwise: Colum
 
 # ---- text
 def fold_accents(c: Column) -> Column:
-    return F.translate(F.lower(c), ACCENTED, FOLDED)
+    """Lower-case ASCII of a text: characters are decomposed, and what is not ASCII then is dropped."""
+    out = F.translate(c, "".join(FOLDED), "".join(FOLDED.values()))
+    for mark, plain in FOLDED_TO_SEVERAL.items():
+        out = F.replace(out, F.lit(mark), F.lit(plain))
+    return F.lower(F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(out, r"[^\x00-\x7F]", "")).otherwise(c))
+
+
+def fold_accents_sql(c: str) -> str:
+    """The same as SQL text."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    out = f"translate({c}, {quoted(''.join(FOLDED))}, {quoted(''.join(FOLDED.values()))})"
+    for mark, plain in FOLDED_TO_SEVERAL.items():
+        out = f"replace({out}, {quoted(mark)}, {quoted(plain)})"
+    return f"lower(regexp_replace({out}, '[^\\x00-\\x7F]', '', 'g'))"
 
 
 def company_key(c: Column, aliases: Mapping[str, str] | None = None) -> Column:
@@ -179,20 +233,91 @@ def positive_part_sql(estimate: str, se: str) -> str:
     return f"CASE WHEN {se} > 0 AND {z} > -6 THEN {estimate} + {se} * {normal_pdf_sql(z)} / ({normal_cdf_sql(z)}) END"
 
 
-@F.pandas_udf(DoubleType())
-def chi_square_tail(x: pd.Series, df: pd.Series) -> pd.Series:
-    """P(X > x) of a chi-square variable: series below the mean, continued fraction above."""
-    from .tails import gamma_tail
+#: Coefficients of Lanczos' approximation of the gamma function, for g = 7.
+LANCZOS = (
+    0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059,
+    12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7,
+)
 
-    return pd.Series([gamma_tail(k / 2.0, v / 2.0) for v, k in zip(x, df)])
 
+def log_gamma(x: Column) -> Column:
+    """ln of the gamma function for x > 0."""
+    parts = F.lit(LANCZOS[0])
+    for i, c in enumerate(LANCZOS[1:]):
+        parts = parts + F.lit(c) / (x + i)
+    t = x + 6.5
+    return 0.5 * math.log(2 * math.pi) + (x - 0.5) * F.ln(t) - t + F.ln(parts)
 
-@F.pandas_udf(DoubleType())
-def student_tail(t: pd.Series, df: pd.Series) -> pd.Series:
-    """Two-sided P(|T| > |t|) of a Student variable."""
-    from .tails import beta_share
 
-    return pd.Series([beta_share(k / 2.0, 0.5, k / (k + v * v)) if k > 0 else None for v, k in zip(t, df)])
+def _steps(least: int, factor: float, size: Column) -> Column:
+    """1, 2, ... up to what a series or fraction needs whose terms die off within some roots of ``size``."""
+    return F.sequence(F.lit(1), F.ceil(least + factor * F.sqrt(size)).cast("int"))
+
+
+def _away(v: Column) -> Column:
+    return F.when(F.abs(v) < 1e-300, 1e-300).otherwise(v)
+
+
+def gamma_tail(a: Column, x: Column) -> Column:
+    """Upper regularised incomplete gamma function Q(a, x): a series below a + 1, a continued fraction above, both as folds; null for a <= 0 or no number."""
+    scale = F.exp(a * F.ln(x) - x - log_gamma(a))
+    first = F.struct((1.0 / a).alias("term"), (1.0 / a).alias("sum"))
+
+    def add(s, n):
+        term = s["term"] * x / (a + n)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    series = F.aggregate(_steps(30, 9.0, a), first, add, lambda s: s["sum"])
+    begin = _away(x + 1.0 - a)
+    start = F.struct(F.lit(1e300).alias("c"), (1.0 / begin).alias("d"), (1.0 / begin).alias("h"))
+
+    def go_on(s, i):
+        top, b = -i * (i - a), x + 1.0 - a + 2 * i
+        d = 1.0 / _away(top * s["d"] + b)
+        c = _away(b + top / s["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * c * d).alias("h"))
+
+    fraction = F.aggregate(_steps(40, 12.0, a), start, go_on, lambda s: s["h"])
+    known = (a > 0) & ~F.isnan(a) & ~F.isnan(x)
+    return F.when(known & (x <= 0), 1.0).when(known & (x < a + 1.0), 1.0 - scale * series).when(known, scale * fraction)
+
+
+def _beta_part(a: Column, b: Column, x: Column) -> Column:
+    """Regularised incomplete beta function for x up to (a + 1) / (a + b + 2)."""
+    scale = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.ln(x) + b * F.ln(1.0 - x)) / a
+    begin = _away(1.0 - (a + b) * x / (a + 1.0))
+    start = F.struct(F.lit(1.0).alias("c"), (1.0 / begin).alias("d"), (1.0 / begin).alias("h"))
+
+    def once(s, top):
+        d, c = 1.0 / _away(1.0 + top * s["d"]), _away(1.0 + top / s["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * c * d).alias("h"))
+
+    # Even and odd steps in turn: step k is number 2 m or 2 m + 1.
+    def go_on(s, k):
+        m = F.floor(k / 2).cast("double")
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return once(s, F.when(k % 2 == 0, even).otherwise(odd))
+
+    steps = F.transform(_steps(40, 12.0, F.greatest(a, b)), lambda k: k + 1)
+    return scale * F.aggregate(steps, start, go_on, lambda s: s["h"])
+
+
+def beta_share(a: Column, b: Column, x: Column) -> Column:
+    """Regularised incomplete beta function I_x(a, b); null where a or b is not positive or something is no number."""
+    known = (a > 0) & (b > 0) & ~F.isnan(a) & ~F.isnan(b) & ~F.isnan(x)
+    inner = F.when(x > (a + 1.0) / (a + b + 2.0), 1.0 - _beta_part(b, a, 1.0 - x)).otherwise(_beta_part(a, b, x))
+    return F.when(known & (x <= 0), 0.0).when(known & (x >= 1), 1.0).when(known, inner)
+
+
+def chi_square_tail(x: Column, df: Column) -> Column:
+    """P(X > x) of a chi-square variable."""
+    return gamma_tail(df / 2.0, x / 2.0)
+
+
+def student_tail(t: Column, df: Column) -> Column:
+    """Two-sided P(|T| > |t|) of a Student variable."""
+    return beta_share(df / 2.0, F.lit(0.5), df / (df + t * t))
 
 
 def p_text(p: Column, digits: int = 3) -> Column:

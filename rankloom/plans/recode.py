@@ -186,14 +186,10 @@ def dirty(s, d):
     return table(s, d, "part").select("p_partkey", F.concat("p_name", ends).alias("name"))
 
 
-def _folded_sql(c: str) -> str:
-    return f"translate(lower({c}), '{C.ACCENTED}', '{C.FOLDED}')"
-
-
 KEY_SQL = "array_to_string(list_filter(string_split(trim(regexp_replace(replace({f}, '&', ' and '), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w NOT IN ({w})), ' ')"
 
 
-@query("fn_1_company_key", f"SELECT p_partkey, {KEY_SQL.format(f=_folded_sql('name'), w=', '.join(repr(w) for w in C.LEGAL_WORDS))} AS key FROM ({DIRTY_SQL})")
+@query("fn_1_company_key", f"SELECT p_partkey, {KEY_SQL.format(f=C.fold_accents_sql('name'), w=', '.join(repr(w) for w in C.LEGAL_WORDS))} AS key FROM ({DIRTY_SQL})")
 def _(s, d):
     return dirty(s, d).select("p_partkey", C.company_key(F.col("name")).alias("key"))
 
@@ -247,10 +243,17 @@ def _(s, d):
     return table(s, d, "lineitem").withColumn("z", (F.col("l_quantity") - 25) / 8.0).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", C.normal_pdf(z).alias("pdf"), C.normal_cdf(z).alias("cdf"))
 
 
-@query("fn_9_tails", d="chi t")
+# Closed forms: a sum for an even number of degrees of the chi-square, and sums of powers of a cosine for whole numbers of degrees of the Student variable.
+_PRODUCT = "coalesce(list_product(list_transform(range(1, j + 1), lambda i: {f})), 1.0)"
+CHI_SQL = f"exp(-q / 2) * list_sum(list_transform(range(0, CAST(k AS BIGINT)), lambda j: power(q / 2, j) / {_PRODUCT.format(f='CAST(i AS DOUBLE)')}))"
+EVEN_SQL = f"sin(a) * list_sum(list_transform(range(0, CAST(df // 2 AS BIGINT)), lambda j: power(cos(a), 2 * j) * {_PRODUCT.format(f='(2 * i - 1) / (2.0 * i)')}))"
+ODD_SQL = f"2 / pi() * (a + coalesce(sin(a) * list_sum(list_transform(range(0, CAST((df - 1) // 2 AS BIGINT)), lambda j: power(cos(a), 2 * j + 1) * {_PRODUCT.format(f='2 * i / (2.0 * i + 1)')})), 0))"
+
+
+@query("fn_9_tails", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {CHI_SQL} AS chi, 1 - CASE WHEN df % 2 = 0 THEN {EVEN_SQL} ELSE {ODD_SQL} END AS t FROM (SELECT *, CAST(l_quantity AS DOUBLE) AS q, l_linenumber AS k, l_linenumber + 1 AS df, atan(l_quantity / 20 / sqrt(l_linenumber + 1)) AS a FROM lineitem)", d="chi t")
 def _(s, d):
-    q = F.col("l_quantity").cast("double")
-    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", C.chi_square_tail(q, F.col("l_linenumber") + 1.0).alias("chi"), C.student_tail(q / 20, F.col("l_linenumber") + 1.0).alias("t"))
+    q, k = F.col("l_quantity").cast("double"), F.col("l_linenumber")
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", C.chi_square_tail(q, 2.0 * k).alias("chi"), C.student_tail(q / 20, k + 1.0).alias("t"))
 
 
 @query("fn_10_p_text", "SELECT p_partkey, CASE WHEN p < 0.001 THEN '<0.001' ELSE printf('%.3f', p) END AS p FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) * p_size * p_size / 131072 - 0.001 AS p FROM part)")
