@@ -254,30 +254,24 @@ def _steps(least: int, factor: float, size: Column) -> Column:
     return F.sequence(F.lit(1), F.ceil(least + factor * F.sqrt(size)).cast("int"))
 
 
-def _away(v: Column) -> Column:
-    return F.when(F.abs(v) < 1e-300, 1e-300).otherwise(v)
+def _fraction(first: Column, steps: Column) -> Column:
+    """1 / (first + t1 / (b1 + t2 / (b2 + ...))) over ``steps`` of t and b: a fold over the last two convergents, scaled so that the last denominator is 1."""
+    start = F.struct(F.lit(0.0).alias("older"), (1.0 / first).alias("below"), (1.0 / first).alias("last"))
+
+    def go_on(s, e):
+        bottom = e["b"] + e["t"] * s["below"]
+        return F.struct((s["last"] / bottom).alias("older"), (1.0 / bottom).alias("below"), ((e["b"] * s["last"] + e["t"] * s["older"]) / bottom).alias("last"))
+
+    return F.aggregate(steps, start, go_on, lambda s: s["last"])
 
 
 def gamma_tail(a: Column, x: Column) -> Column:
     """Upper regularised incomplete gamma function Q(a, x): a series below a + 1, a continued fraction above, both as folds; null for a <= 0 or no number."""
     scale = F.exp(a * F.ln(x) - x - log_gamma(a))
     first = F.struct((1.0 / a).alias("term"), (1.0 / a).alias("sum"))
-
-    def add(s, n):
-        term = s["term"] * x / (a + n)
-        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
-
-    series = F.aggregate(_steps(30, 9.0, a), first, add, lambda s: s["sum"])
-    begin = _away(x + 1.0 - a)
-    start = F.struct(F.lit(1e300).alias("c"), (1.0 / begin).alias("d"), (1.0 / begin).alias("h"))
-
-    def go_on(s, i):
-        top, b = -i * (i - a), x + 1.0 - a + 2 * i
-        d = 1.0 / _away(top * s["d"] + b)
-        c = _away(b + top / s["c"])
-        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * c * d).alias("h"))
-
-    fraction = F.aggregate(_steps(40, 12.0, a), start, go_on, lambda s: s["h"])
+    ratios = F.transform(_steps(30, 9.0, a), lambda n: x / (a + n))
+    series = F.aggregate(ratios, first, lambda s, r: F.struct((s["term"] * r).alias("term"), (s["sum"] + s["term"] * r).alias("sum")), lambda s: s["sum"])
+    fraction = _fraction(x + 1.0 - a, F.transform(_steps(40, 12.0, a), lambda i: F.struct((-i * (i - a)).alias("t"), (x + 1.0 - a + 2 * i).alias("b"))))
     known = (a > 0) & ~F.isnan(a) & ~F.isnan(x)
     return F.when(known & (x <= 0), 1.0).when(known & (x < a + 1.0), 1.0 - scale * series).when(known, scale * fraction)
 
@@ -285,22 +279,14 @@ def gamma_tail(a: Column, x: Column) -> Column:
 def _beta_part(a: Column, b: Column, x: Column) -> Column:
     """Regularised incomplete beta function for x up to (a + 1) / (a + b + 2)."""
     scale = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.ln(x) + b * F.ln(1.0 - x)) / a
-    begin = _away(1.0 - (a + b) * x / (a + 1.0))
-    start = F.struct(F.lit(1.0).alias("c"), (1.0 / begin).alias("d"), (1.0 / begin).alias("h"))
-
-    def once(s, top):
-        d, c = 1.0 / _away(1.0 + top * s["d"]), _away(1.0 + top / s["c"])
-        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * c * d).alias("h"))
 
-    # Even and odd steps in turn: step k is number 2 m or 2 m + 1.
-    def go_on(s, k):
+    def top(k):
         m = F.floor(k / 2).cast("double")
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        return once(s, F.when(k % 2 == 0, even).otherwise(odd))
+        return F.struct(F.when(k % 2 == 0, even).otherwise(odd).alias("t"), F.lit(1.0).alias("b"))
 
-    steps = F.transform(_steps(40, 12.0, F.greatest(a, b)), lambda k: k + 1)
-    return scale * F.aggregate(steps, start, go_on, lambda s: s["h"])
+    return scale * _fraction(F.lit(1.0), F.transform(_steps(40, 12.0, F.greatest(a, b)), top))
 
 
 def beta_share(a: Column, b: Column, x: Column) -> Column:
