@@ -9,6 +9,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checkpoint, table
@@ -33,30 +34,34 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``doc_id, start, end, token``, what stands ``left`` and ``right`` (48 characters each), and the share of the token that is ``covered`` by words of its text.
 
     Offsets count code points, ends are exclusive. Texts without a digit are passed over,
-    as a candidate needs one; all others are read whole.
+    as a candidate needs one; all others are read whole, once. What leaves a text is a narrow row for each candidate and for each
+    word that both its candidates and what lies between them have, so a text with very many candidates is no more than many rows:
+    their offsets are running sums, and their words are looked up by a join.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9]"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("place")).where(F.col("text").rlike("[0-9]"))
     rows = rows.withColumn("tokens", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).where(F.size("tokens") > 0)
     # What lies between the matches; lengths of both, summed up, give the offsets.
-    rows = rows.withColumn("gaps", F.split("text", CANDIDATE, -1))
-    # The dictionary of a text: its words outside of candidates.
-    rows = rows.withColumn("words", F.array_distinct(F.split(F.lower(F.array_join("gaps", " ")), "[^a-z]+")))
-    rows = rows.select("doc_id", "gaps", "tokens", "words", F.posexplode("tokens").alias("i", "token"))
-    zero = F.lit(0)
-    before = F.aggregate(F.slice("gaps", F.lit(1), F.col("i") + 1), zero, lambda acc, x: acc + F.length(x)) + F.aggregate(F.slice("tokens", F.lit(1), F.col("i")), zero, lambda acc, x: acc + F.length(x))
-    left = F.element_at("gaps", F.col("i") + 1)
-    right = F.element_at("gaps", F.col("i") + 2)
-    runs = F.filter(F.split(F.lower("token"), "[^a-z]+"), lambda w: F.length(w) >= 3)
-    covered = F.aggregate(runs, zero, lambda acc, w: acc + F.when(F.array_contains(F.col("words"), w) & ~w.isin(*SECRET_WORDS), F.length(w)).otherwise(0))
-    return rows.select(
-        "doc_id",
-        before.alias("start"),
-        (before + F.length("token")).alias("end"),
-        "token",
-        F.substring(left, F.greatest(F.length(left) - 47, F.lit(1)), F.lit(48)).alias("left"),
-        F.substring(right, 1, 48).alias("right"),
-        (covered / F.length("token")).alias("covered"),
-    )
+    rows = rows.withColumn("gaps", F.split("text", CANDIDATE, -1)).drop("text")
+    # The dictionary of a text: its words outside of candidates, of which those matter that a candidate has.
+    words = lambda c: F.split(F.lower(F.array_join(c, " ")), "[^a-z]+")
+    rows = rows.withColumn("shared", F.filter(F.array_intersect(words("tokens"), words("gaps")), lambda w: (F.length(w) >= 3) & ~w.isin(*SECRET_WORDS)))
+    none = F.lit(None).cast("string")
+
+    def narrow(token: Column, i: Column) -> Column:
+        before, after = F.get("gaps", i), F.get("gaps", i + 1)
+        left = F.substring(before, F.greatest(F.length(before) - 47, F.lit(1)), F.lit(48))
+        return F.struct(i.alias("i"), token.alias("token"), left.alias("left"), F.substring(after, F.lit(1), F.lit(48)).alias("right"), F.length(before).alias("gap"))
+
+    known = F.transform("shared", lambda w: F.struct(F.lit(-1).alias("i"), w.alias("token"), none.alias("left"), none.alias("right"), F.lit(0).alias("gap")))
+    parts = checkpoint(rows.select("doc_id", "place", F.inline(F.concat(F.transform("tokens", narrow), known))))
+    found = parts.where("i >= 0")
+    upto = W.partitionBy("place").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    ends = F.sum(F.col("gap") + F.length("token")).over(upto).cast("int")
+    runs = found.select("place", "i", F.explode(F.split(F.lower("token"), "[^a-z]+")).alias("w")).where(F.length("w") >= 3)
+    dictionary = parts.where("i < 0").select("place", F.col("token").alias("w"))
+    covered = runs.join(dictionary, ["place", "w"]).groupBy("place", "i").agg(F.sum(F.length("w")).alias("n"))
+    rows = found.withColumn("end", ends).join(covered, ["place", "i"], "left")
+    return rows.select("doc_id", (F.col("end") - F.length("token")).alias("start"), "end", "token", "left", "right", (F.coalesce("n", F.lit(0)) / F.length("token")).alias("covered"))
 
 
 def _share(token: Column, pattern: str) -> Column:
