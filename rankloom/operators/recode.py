@@ -95,23 +95,38 @@ def overridden(df: DataFrame, manual: DataFrame, key: str, column: str) -> DataF
 
 
 #: Cleaning variants of labour microdata: what happens to rows with an allocated wage.
-CLEANING = ("baseline", "corrected", "ignore")
+CLEANING = ("baseline", "corrected", "ignore", "reported", "shares_only")
 
 
 def microdata_universe(df: DataFrame, variant: str = "baseline", age: tuple[int, int] = (20, 60), hours: int = 35) -> DataFrame:
-    """Private full-time workers in an age range with positive earnings below the top code.
+    """Private full-time workers in an age range with positive earnings below the top code; adds ``lnwage``.
 
     The baseline keeps rows whose allocation flag is not 0, the corrected variant
-    those whose flag is 0, ``ignore`` both. Adds ``lnwage``.
+    those whose flag is 0, ``ignore`` both. ``reported`` takes the hourly wage that was reported (``hourly``, positive) where that was not allocated
+    (``hourly_allocated`` 0), whatever the earnings are. ``shares_only`` has the wages of the corrected variant, see ``share_universe``.
     """
-    rows = df.where(F.col("private") & (F.col("hours") >= hours) & F.col("age").between(*age) & (F.col("earn") > 0) & (F.col("earn") < F.col("topcode")))
+    if variant not in CLEANING:
+        raise ValueError(f"no variant {variant}")
+    rows = _workers(df, age, hours)
+    if variant == "reported":
+        return rows.where((F.col("hourly_allocated") == 0) & (F.col("hourly") > 0)).withColumn("lnwage", F.ln("hourly"))
+    rows = rows.where((F.col("earn") > 0) & (F.col("earn") < F.col("topcode")))
     if variant == "baseline":
         rows = rows.where("allocated <> 0")
-    elif variant == "corrected":
+    elif variant in ("corrected", "shares_only"):
         rows = rows.where("allocated = 0")
     return rows.withColumn("lnwage", F.ln(F.col("earn") / F.col("hours")))
 
 
+def share_universe(df: DataFrame, variant: str = "baseline", age: tuple[int, int] = (20, 60), hours: int = 35) -> DataFrame:
+    """Rows that shares of workers are taken of: all workers of the universe for ``shares_only``, those with a wage otherwise."""
+    return _workers(df, age, hours) if variant == "shares_only" else microdata_universe(df, variant, age, hours)
+
+
+def _workers(df: DataFrame, age: tuple[int, int], hours: int) -> DataFrame:
+    return df.where(F.col("private") & (F.col("hours") >= hours) & F.col("age").between(*age))
+
+
 def measured_entities(df: DataFrame, entity: str, measure: str) -> DataFrame:
     """Distinct entities with an external measure."""
     return df.where(F.col(measure).isNotNull()).select(entity).distinct()

@@ -112,17 +112,19 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", C.code_band(F.col("p_size"), ((1, 12, 1), (13, 30, 2)), F.lit(3)).alias("band"))
 
 
-MICRO_SQL = "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_returnflag <> 'R' AS private, l_quantity AS hours, 15 + l_partkey % 50 AS age, l_extendedprice AS earn, 90000.0 AS topcode, l_linenumber % 2 AS allocated FROM lineitem"
+MICRO_SQL = "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_returnflag <> 'R' AS private, l_quantity AS hours, 15 + l_partkey % 50 AS age, l_extendedprice AS earn, 90000.0 AS topcode, l_linenumber % 2 AS allocated, l_extendedprice * (1 - l_discount) / l_quantity AS hourly, l_suppkey % 3 AS hourly_allocated, l_orderkey % 4 = 0 AS college FROM lineitem"
 
 
 def micro(s, d):
     return table(s, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", (F.col("l_returnflag") != "R").alias("private"), F.col("l_quantity").alias("hours"), (15 + F.col("l_partkey") % 50).alias("age"),
         F.col("l_extendedprice").alias("earn"), F.lit(90000.0).alias("topcode"), (F.col("l_linenumber") % 2).alias("allocated"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount")) / F.col("l_quantity")).alias("hourly"), (F.col("l_suppkey") % 3).alias("hourly_allocated"), (F.col("l_orderkey") % 4 == 0).alias("college"),
     )
 
 
-_UNIVERSE = "private AND hours >= 35 AND age BETWEEN 20 AND 60 AND earn > 0 AND earn < topcode"
+_WORKERS = "private AND hours >= 35 AND age BETWEEN 20 AND 60"
+_UNIVERSE = f"{_WORKERS} AND earn > 0 AND earn < topcode"
 
 
 @query("pr_18_universe", f"SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, ln(earn / hours) AS lnwage FROM ({MICRO_SQL}) WHERE {_UNIVERSE} AND allocated <> 0", d="lnwage")
@@ -130,13 +132,17 @@ def _(s, d):
     return R.microdata_universe(micro(s, d)).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "lnwage")
 
 
-@query("pr_19_variants", f"""SELECT 'baseline' AS variant, count(*) AS n, avg(ln(earn / hours)) AS mean FROM ({MICRO_SQL}) WHERE {_UNIVERSE} AND allocated <> 0
-UNION ALL SELECT 'corrected', count(*), avg(ln(earn / hours)) FROM ({MICRO_SQL}) WHERE {_UNIVERSE} AND allocated = 0
-UNION ALL SELECT 'ignore', count(*), avg(ln(earn / hours)) FROM ({MICRO_SQL}) WHERE {_UNIVERSE}""", d="mean", i="n")
+_VARIANTS = {"baseline": (f"{_UNIVERSE} AND allocated <> 0", "earn / hours"), "corrected": (f"{_UNIVERSE} AND allocated = 0", "earn / hours"), "ignore": (_UNIVERSE, "earn / hours"), "reported": (f"{_WORKERS} AND hourly_allocated = 0 AND hourly > 0", "hourly"), "shares_only": (f"{_UNIVERSE} AND allocated = 0", "earn / hours")}
+
+
+@query("pr_19_variants", " UNION ALL ".join(f"SELECT '{v}' AS variant, (SELECT count(*) FROM ({MICRO_SQL}) WHERE {c}) AS n, (SELECT avg(ln({w})) FROM ({MICRO_SQL}) WHERE {c}) AS mean, (SELECT avg(CAST(college AS DOUBLE)) FROM ({MICRO_SQL}) WHERE {_WORKERS if v == 'shares_only' else c}) AS share" for v, (c, w) in _VARIANTS.items()), d="mean share", i="n")
 def _(s, d):
+    """All cleaning variants: number of wages, their mean, and the share of one education among the rows that shares are taken of."""
     out = None
     for v in R.CLEANING:
-        part = R.microdata_universe(micro(s, d), v).agg(F.count(F.lit(1)).alias("n"), F.avg("lnwage").alias("mean")).select(F.lit(v).alias("variant"), "n", "mean")
+        wages = R.microdata_universe(micro(s, d), v).agg(F.count(F.lit(1)).alias("n"), F.avg("lnwage").alias("mean"))
+        share = R.share_universe(micro(s, d), v).agg(F.avg(F.col("college").cast("double")).alias("share"))
+        part = wages.crossJoin(F.broadcast(share)).select(F.lit(v).alias("variant"), "n", "mean", "share")  # one row each
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -14,7 +14,7 @@ from rankloom.operators.windows import ranks_within
 from rankloom.sources import fixtures as X
 from rankloom.sources.fixtures import table, with_
 
-from .estimates import COV, SC, WV, prep
+from .estimates import COV, GW, MAPPED, SC, WV, prep
 from .registry import query
 
 # Entity data: y = external measure, x = mean rating turned, w = weight, grp = group; item is the specification.
@@ -141,6 +141,83 @@ def _(s, d):
     return R.eiv(bt, ["item"], "y", "x", "w", "noise").select("item", "b", "se", "n")
 
 
+# Within and between suites: deviations from weighted group means, and these means, with the noise that their own variance sheets measure.
+SUITE_PARTS = MAPPED.replace(SC, BOTH).replace(GW, "gw AS (SELECT entity_id, grp, weight / sum(weight) OVER (PARTITION BY grp) AS a, weight, disc * 100 AS y FROM entities JOIN external USING (entity_id) WHERE disc IS NOT NULL AND weight > 0)")
+SUITE_ROWS = f"""{SUITE_PARTS}, pr AS (SELECT 'within ' || item AS item, entity_id, e AS x, y - sum(a * y) OVER (PARTITION BY item, grp) AS y, weight AS w FROM dm JOIN gw USING (entity_id) UNION ALL SELECT 'between ' || im.item, im.entity_id, any_value(im.e), sum(a * y), sum(weight) FROM im JOIN gw ON gw.grp = im.entity_id GROUP BY im.item, im.entity_id),
+nz AS (SELECT part || ' ' || item AS item, coalesce(CASE WHEN variance - signal > 0 THEN variance - signal END, noise) AS noise FROM pg), dz AS (SELECT pr.*, noise FROM pr JOIN nz USING (item))"""
+
+
+def suite_rows(s, d):
+    """``part, method, entity_id, y, w`` with both items' estimates ``xa, xb`` and their noise ``naa, nbb, nab``: deviations of entities (within) and group means (between)."""
+    rows = prep(s, d)
+    borda = E.borda_scores(ranks_within(rows, ["item", "resp_id"], "value"))
+    sc = checkpointed(E.mean_scores(rows).withColumn("item", F.concat(F.lit("OLS "), "item")).unionByName(borda.withColumn("item", F.concat(F.lit("Borda "), "item"))))
+    own = checkpointed(X.external(s, d).join(X.entities(s, d), "entity_id").where("disc is not null and weight > 0").select("entity_id", "grp", "weight", (F.col("disc") * 100).alias("y")))
+    w = checkpointed(E.group_weights(own.select("entity_id", "grp", "weight"), "weight"))
+    est, infl = checkpointed(E.estimates(sc)), checkpointed(E.influences(sc))
+    cov = checkpointed(E.observed_covariance(infl))
+    dev, mean = E.group_deviations(est, w), E.group_means(est, w).withColumnRenamed("grp", "entity_id")
+    groups = E.group_covariance(cov, w).withColumnsRenamed({"grp_i": "entity_i", "grp_j": "entity_j"})
+    pairs = s.range(1).select(F.inline(F.array(*[F.struct(F.lit(f"{m} a").alias("lhs"), F.lit(f"{m} b").alias("rhs")) for m in ("OLS", "Borda")])))
+    yd = own.join(w.select("entity_id", "a"), "entity_id")
+    ym = yd.groupBy("grp").agg(F.sum(F.col("a") * F.col("y")).alias("my"), F.sum("weight").alias("mw"))
+    outcome = {"within": yd.join(ym, "grp").select("entity_id", (F.col("y") - F.col("my")).alias("y"), F.col("weight").alias("w")), "between": ym.select(F.col("grp").cast("long").alias("entity_id"), F.col("my").alias("y"), F.col("mw").alias("w"))}
+    sheets = {"within": (dev, D.deviation_variance_parts(dev, cov, w), D.within_covariances(est, infl, w, pairs)), "between": (mean, D.variance_parts(E.recentred_estimates(mean), groups), D.between_covariances(est, infl, w, pairs))}
+    out = None
+    for part, (x, var, both) in sheets.items():
+        x = x.select(F.split_part("item", F.lit(" "), F.lit(1)).alias("method"), F.split_part("item", F.lit(" "), F.lit(2)).alias("i"), F.col("entity_id").cast("long").alias("entity_id"), "estimate")
+        wide = x.groupBy("method", "entity_id").agg(*[F.max(F.when(F.col("i") == i, F.col("estimate"))).alias(f"x{i}") for i in "ab"])
+        rest = F.col("variance") - F.col("signal")
+        noise = var.select(F.split_part("item", F.lit(" "), F.lit(1)).alias("method"), F.split_part("item", F.lit(" "), F.lit(2)).alias("i"), F.coalesce(F.when(rest > 0, rest), F.col("noise")).alias("noise"))
+        noise = noise.groupBy("method").agg(*[F.max(F.when(F.col("i") == i, F.col("noise"))).alias(f"n{i}{i}") for i in "ab"])
+        nab = both.select(F.split_part("lhs", F.lit(" "), F.lit(1)).alias("method"), F.col("noise").alias("nab"))
+        rows = wide.join(outcome[part], "entity_id").join(noise, "method").join(nab, "method").select(F.lit(part).alias("part"), "method", "entity_id", "xa", "xb", "y", "w", "naa", "nbb", "nab")
+        out = rows if out is None else out.unionByName(rows)
+    return checkpointed(out)
+
+
+@query("st_30_measured_suites", with_(SRC, f", {SUITE_ROWS}, {eiv_sql('dz', 'noise')} SELECT item AS spec, max(b) AS b, sqrt(sum(i * i)) AS se, max(n) AS n, max(ok) AS ok, max(noise) AS noise FROM a4 GROUP BY item"), d="b se noise", i="n")
+def _(s, d):
+    """Within and between groups, by both methods for both items, on measured noise."""
+    rows = suite_rows(s, d)
+    each = F.inline(F.array(*[F.struct(F.concat_ws(" ", "part", "method", F.lit(i)).alias("spec"), F.col(f"x{i}").alias("x"), F.col(f"n{i}{i}").alias("noise")) for i in "ab"]))
+    long = checkpointed(rows.select("y", "w", each))
+    return R.eiv(long, ["spec"], "y", "x", "w", "noise").join(long.groupBy("spec").agg(F.max("noise").alias("noise")), "spec")
+
+
+@query("st_30_measured_suites_with_control")
+def _(s, d):
+    """The same with the other item beside it, whose noise and common noise count as well; ``eiv_many`` is tested in numpy."""
+    rows = suite_rows(s, d).withColumn("spec", F.concat_ws(" ", "part", "method"))
+    out = R.eiv_many(rows, ["spec"], "y", ["xa", "xb"], "w", {("xa", "xa"): "naa", ("xb", "xb"): "nbb", ("xa", "xb"): "nab"})
+    return out.select("spec", "name", *[F.round(c, 6).alias(c) for c in ("b", "se")], "n", "ok")
+
+
+SHARES = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS {n}" for n, c in (("a", "l_returnflag = 'A'"), ("r", "l_returnflag = 'R'"), ("o", "l_linestatus = 'O'")))
+
+
+def workforce(s, d, key):
+    """Three shares of each company's, or each group's, lines."""
+    line = table(s, d, "lineitem").join(X.entities(s, d).select("entity_id", "grp"), F.col("l_suppkey") == F.col("entity_id"))
+    flags = {"a": F.col("l_returnflag") == "A", "r": F.col("l_returnflag") == "R", "o": F.col("l_linestatus") == "O"}
+    return line.groupBy(key).agg(*[F.avg(f.cast("double")).alias(n) for n, f in flags.items()])
+
+
+@query("st_31_measured_outcomes", with_(SRC, f", {measured_sql()}, sh AS (SELECT l_suppkey AS entity_id, {SHARES} FROM lineitem GROUP BY 1), d2 AS (SELECT dm.item || ' ' || u.name AS item, dm.entity_id, x, CASE u.name WHEN 'a' THEN sh.a WHEN 'r' THEN sh.r ELSE sh.o END AS y, w, grp, noise FROM dm JOIN sh USING (entity_id), (SELECT unnest(['a', 'r', 'o']) AS name) u), {eiv_sql('d2', 'noise')} SELECT item AS spec, max(b) AS b, sqrt(sum(i * i)) AS se, max(n) AS n, max(ok) AS ok FROM a4 GROUP BY 1"), d="b se", i="n")
+def _(s, d):
+    """Workforce measures of the companies as outcomes, by both methods for both items, on measured noise."""
+    rows = measured(s, d).drop("y").join(workforce(s, d, "entity_id"), "entity_id")
+    each = F.inline(F.array(*[F.struct(F.concat_ws(" ", "item", F.lit(o)).alias("spec"), F.col(o).alias("y")) for o in "aro"]))
+    return R.eiv(rows.select("x", "w", "noise", each), ["spec"], "y", "x", "w", "noise")
+
+
+@query("st_31_group_shares", with_(SRC, f", {measured_sql()}, sh AS (SELECT grp, {SHARES} FROM lineitem JOIN entities ON l_suppkey = entity_id GROUP BY 1), d2 AS (SELECT dm.item, dm.entity_id, x, sh.a AS y, w, dm.grp, noise FROM dm JOIN sh ON sh.grp = dm.grp), {eiv_sql('d2', 'noise')}, c AS (SELECT item, grp, sum(i) AS i, max(b) AS b, max(n) AS n, max(ok) AS ok FROM a4 GROUP BY 1, 2) SELECT item, max(b) AS b, CASE WHEN count(*) > 1 THEN sqrt(sum(i * i) * count(*) / (count(*) - 1)) END AS se, max(n) AS n, max(ok) AS ok FROM c GROUP BY 1"), d="b se", i="n")
+def _(s, d):
+    """A share of the finer group as the outcome of its companies, standard errors clustered by group."""
+    rows = measured(s, d).drop("y").join(workforce(s, d, "grp").select(F.col("grp").alias("_grp"), F.col("a").alias("y")), F.col("grp") == F.col("_grp"))
+    return R.eiv(rows, ["item"], "y", "x", "w", "noise", cluster="grp")
+
+
 @query("st_31_share_outcome", with_(SRC, f", {DATA}, sh AS (SELECT l_suppkey AS entity_id, avg(CAST(l_returnflag = 'A' AS DOUBLE)) AS y FROM lineitem GROUP BY 1), d2 AS (SELECT item, entity_id, x, sh.y, w, grp FROM dt JOIN sh USING (entity_id)), {eiv_sql('d2', '0.001')} SELECT item, max(b) AS b, sqrt(sum(i * i)) AS se, max(n) AS n FROM a4 GROUP BY 1"), d="b se", i="n")
 def _(s, d):
     shares = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("entity_id")).agg(F.avg((F.col("l_returnflag") == "A").cast("double")).alias("y"))
