@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .tables import running_sum
+
 
 def entity_means(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """``n, mean, rss, var, se``: unbiased variance and naive standard error are null for one rating."""
@@ -108,9 +110,9 @@ def histogram(df: DataFrame, value: str, width: float) -> DataFrame:
 def frequency_table(df: DataFrame, value: str) -> DataFrame:
     """``value, n, percent, cumulative``."""
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    everything, upto = W.partitionBy(), W.orderBy(F.col(value).asc_nulls_last())
-    total = F.sum("n").over(everything)
-    return counts.select(value, "n", (100.0 * F.col("n") / total).alias("percent"), (100.0 * F.sum("n").over(upto) / total).alias("cumulative"))
+    summed = running_sum(counts, [F.col(value).asc_nulls_last()], "n", "_upto")
+    rows = summed.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_all"))))  # one row
+    return rows.select(value, "n", (100.0 * F.col("n") / F.col("_all")).alias("percent"), (100.0 * F.col("_upto") / F.col("_all")).alias("cumulative"))
 
 
 def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

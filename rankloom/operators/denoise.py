@@ -192,13 +192,13 @@ def correlations(cov: DataFrame) -> DataFrame:
 
 
 def noise_matrix(variances: DataFrame, covariances: DataFrame, controls: Sequence[str] = ()) -> DataFrame:
-    """``v1, v2, noise``: Katz noise on the diagonal, raw noise off it, both ways; zeros for exactly measured ``controls``."""
-    diagonal = variances.select(F.col("item").alias("v1"), F.col("item").alias("v2"), F.coalesce("katz_noise", "noise").alias("noise"))
-    off = covariances.select(F.col("lhs").alias("v1"), F.col("rhs").alias("v2"), "noise")
-    out = diagonal.unionByName(off).unionByName(off.select(F.col("v2").alias("v1"), F.col("v1").alias("v2"), "noise"))
+    """``v1, v2, noise, raw``: Katz noise on the diagonal, raw noise off it, both ways, and raw noise everywhere beside it; zeros for exactly measured ``controls``."""
+    diagonal = variances.select(F.col("item").alias("v1"), F.col("item").alias("v2"), F.coalesce("katz_noise", "noise").alias("noise"), F.col("noise").alias("raw"))
+    off = covariances.select(F.col("lhs").alias("v1"), F.col("rhs").alias("v2"), "noise", F.col("noise").alias("raw"))
+    out = diagonal.unionByName(off).unionByName(off.select(F.col("v2").alias("v1"), F.col("v1").alias("v2"), "noise", "raw"))
     if not controls:
         return out
     names = out.select(F.col("v1").alias("v")).distinct()
     zero = names.unionByName(out.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, controls))).alias("v")))
     grid = zero.withColumnRenamed("v", "v1").join(zero.withColumnRenamed("v", "v2"), F.col("v1").isin(*controls) | F.col("v2").isin(*controls))
-    return out.unionByName(grid.withColumn("noise", F.lit(0.0)))
+    return out.unionByName(grid.withColumns({"noise": F.lit(0.0), "raw": F.lit(0.0)}))

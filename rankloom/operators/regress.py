@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import checkpointed
+
 
 def _with(rows: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``rows`` with the columns of ``stats``, one row per ``keys``; null keys match."""
@@ -25,14 +27,16 @@ def _with(rows: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
 def partialled(df: DataFrame, spec: Sequence[str], y: str, xs: Sequence[str], w: str, fe: str | None = None) -> DataFrame:
     """Adds ``_N, wt, yt`` and ``xt0, xt1, ...``: weights scaled to sum to the number of rows, ``_N``, y and xs less their weighted (group) means.
 
-    Rows without y, an x, or a positive weight are left out.
+    Rows without y, an x, or a positive weight are left out. They are written once, so what they come from is not computed again for each of their sums.
     """
-    rows = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (y, *xs)]) & (F.col(w) > 0))
+    rows = checkpointed(df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (y, *xs)]) & (F.col(w) > 0)))
     names = {"y": y} | {f"x{i}": x for i, x in enumerate(xs)}
     by = [*spec, fe] if fe else list(spec)
-    means = rows.groupBy(*by).agg(*[(F.sum(F.col(w) * F.col(c)) / F.sum(w)).alias(f"_m{n}") for n, c in names.items()])
-    rows = _with(rows, means, by)
-    rows = _with(rows, rows.groupBy(*spec).agg(F.count(F.lit(1)).alias("_N"), F.sum(w).alias("_w")), spec)
+    stats = rows.groupBy(*by).agg(*[(F.sum(F.col(w) * F.col(c)) / F.sum(w)).alias(f"_m{n}") for n, c in names.items()], F.count(F.lit(1)).alias("_N"), F.sum(w).alias("_w"))
+    if fe:  # sums over the groups, which are few
+        whole = stats.groupBy(*spec).agg(F.sum("_N").alias("_N"), F.sum("_w").alias("_w"))
+        stats = _with(stats.drop("_N", "_w"), whole, spec)
+    rows = _with(rows, stats, by)
     less = {"yt": F.col(y) - F.col("_my")} | {f"xt{i}": F.col(x) - F.col(f"_mx{i}") for i, x in enumerate(xs)}
     return rows.withColumns({"wt": F.col(w) * F.col("_N") / F.col("_w")} | less).drop("_w", *[f"_m{n}" for n in names])
 

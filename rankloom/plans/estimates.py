@@ -327,7 +327,7 @@ def _(s, d):
     return out.select("part", "lhs", "rhs", "J", "covariance", "noise", "corr", "corr_den", "corr_c")
 
 
-KATZ = f"{WV}, {IC}, kz AS (SELECT item, coalesce(CASE WHEN variance - signal > 0 THEN variance - signal END, noise) AS noise FROM m3)"
+KATZ = f"{WV}, {IC}, kz AS (SELECT item, coalesce(CASE WHEN variance - signal > 0 THEN variance - signal END, noise) AS noise, noise AS raw FROM m3)"
 
 
 def sheets(s, d):
@@ -339,12 +339,12 @@ def sheets(s, d):
     return D.weighted_variance_parts(*inside, w), D.item_covariances(est, infl, pair_rows(s))
 
 
-@query("st_22_noise_matrix", with_("vi entities", f", {KATZ} SELECT item AS v1, item AS v2, noise FROM kz UNION ALL SELECT 'a', 'b', nz.noise / J FROM ic, nz UNION ALL SELECT 'b', 'a', nz.noise / J FROM ic, nz"), d="noise")
+@query("st_22_noise_matrix", with_("vi entities", f", {KATZ} SELECT item AS v1, item AS v2, noise, raw FROM kz UNION ALL SELECT 'a', 'b', nz.noise / J, nz.noise / J FROM ic, nz UNION ALL SELECT 'b', 'a', nz.noise / J, nz.noise / J FROM ic, nz"), d="noise raw")
 def _(s, d):
     return D.noise_matrix(*sheets(s, d))
 
 
-@query("st_23_exact_controls", with_("vi entities", f", {KATZ}, v AS (SELECT unnest(['a', 'b', 'size']) AS v) SELECT item AS v1, item AS v2, noise FROM kz UNION ALL SELECT 'a', 'b', nz.noise / J FROM ic, nz UNION ALL SELECT 'b', 'a', nz.noise / J FROM ic, nz UNION ALL SELECT x.v, y.v, 0 FROM v x, v y WHERE x.v = 'size' OR y.v = 'size'"), d="noise")
+@query("st_23_exact_controls", with_("vi entities", f", {KATZ}, v AS (SELECT unnest(['a', 'b', 'size']) AS v) SELECT item AS v1, item AS v2, noise, raw FROM kz UNION ALL SELECT 'a', 'b', nz.noise / J, nz.noise / J FROM ic, nz UNION ALL SELECT 'b', 'a', nz.noise / J, nz.noise / J FROM ic, nz UNION ALL SELECT x.v, y.v, 0, 0 FROM v x, v y WHERE x.v = 'size' OR y.v = 'size'"), d="noise raw")
 def _(s, d):
     return D.noise_matrix(*sheets(s, d), ("size",))
 

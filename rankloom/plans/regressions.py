@@ -211,6 +211,14 @@ def _(s, d):
     return R.eiv(rows.select("x", "w", "noise", each), ["spec"], "y", "x", "w", "noise")
 
 
+@query("st_29_all_specifications", with_(SRC, f", {measured_sql()}, sh AS (SELECT l_suppkey AS entity_id, {SHARES} FROM lineitem GROUP BY 1), sp AS (SELECT dm.item || ':' || u.name || ':' || f.name AS spec, dm.entity_id, x, CASE u.name WHEN 'y' THEN dm.y WHEN 'lw' THEN ln(w) WHEN 'a' THEN sh.a WHEN 'r' THEN sh.r ELSE sh.o END AS y, w, CASE WHEN f.name = 'effects' THEN grp ELSE -1 END AS fx, noise FROM dm JOIN sh USING (entity_id), (SELECT unnest(['y', 'lw', 'a', 'r', 'o']) AS name) u, (SELECT unnest(['none', 'effects']) AS name) f), {eiv_sql('sp', 'noise', 'fx', 'spec')} SELECT spec, max(b) AS b, sqrt(sum(i * i)) AS se, max(n) AS n FROM a4 WHERE ok GROUP BY 1"), d="b se", i="n")
+def _(s, d):
+    """Five outcomes on both items by both methods, with and without group effects, as one grouped job: 40 cells, of which failed ones yield no row."""
+    rows = measured(s, d).join(workforce(s, d, "entity_id"), "entity_id").withColumn("lw", F.ln("w"))
+    specs = F.inline(F.array(*[F.struct(F.concat_ws(":", "item", F.lit(o), F.lit(f)).alias("spec"), F.col(o).alias("v"), (F.col("grp") if f == "effects" else F.lit(-1)).alias("fx")) for o in ("y", "lw", "a", "r", "o") for f in ("none", "effects")]))
+    return R.eiv(rows.select("x", "w", "noise", specs), ["spec"], "v", "x", "w", "noise", fe="fx").where("ok").drop("ok")
+
+
 @query("st_31_group_shares", with_(SRC, f", {measured_sql()}, sh AS (SELECT grp, {SHARES} FROM lineitem JOIN entities ON l_suppkey = entity_id GROUP BY 1), d2 AS (SELECT dm.item, dm.entity_id, x, sh.a AS y, w, dm.grp, noise FROM dm JOIN sh ON sh.grp = dm.grp), {eiv_sql('d2', 'noise')}, c AS (SELECT item, grp, sum(i) AS i, max(b) AS b, max(n) AS n, max(ok) AS ok FROM a4 GROUP BY 1, 2) SELECT item, max(b) AS b, CASE WHEN count(*) > 1 THEN sqrt(sum(i * i) * count(*) / (count(*) - 1)) END AS se, max(n) AS n, max(ok) AS ok FROM c GROUP BY 1"), d="b se", i="n")
 def _(s, d):
     """A share of the finer group as the outcome of its companies, standard errors clustered by group."""

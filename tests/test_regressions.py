@@ -208,3 +208,29 @@ def test_wage_gaps_are_those_of_the_dense_design(spark):
             assert got[name].gap is None and got[name].gap_se is None
         else:
             assert np.allclose([got[name].gap, got[name].gap_se], [gap @ beta, np.sqrt(gap @ v @ gap)], rtol=1e-5)
+
+
+def test_running_sums_and_frequencies(spark):
+    from rankloom.operators.aggregates import frequency_table
+    from rankloom.operators.tables import running_sum
+
+    df = spark.range(500).select((F.col("id") * 7919 % 1009).alias("k"), (F.col("id") % 5).alias("v")).repartition(5)
+    got = [(r.k, r.v, r.s) for r in running_sum(df, ["k"], "v", "s").orderBy("k").collect()]
+    total = 0
+    for _, v, s in got:
+        total += v
+        assert s == total
+    table = frequency_table(spark.createDataFrame([(None,), (2,), (1,), (2,)], "x int"), "x").collect()
+    assert {r.x: (r.n, r.percent, r.cumulative) for r in table} == {1: (1, 25.0, 25.0), 2: (2, 50.0, 75.0), None: (1, 25.0, 100.0)}
+    assert frequency_table(spark.createDataFrame([], "x int"), "x").count() == 0
+
+
+def test_uniformity_is_the_distance_of_sorted_values(spark):
+    rng = np.random.default_rng(1)
+    values = {"a": rng.random(50).round(1), "b": rng.random(7)}
+    df = spark.createDataFrame([(k, float(p)) for k, v in values.items() for p in v], "g string, p double")
+    for r in K.uniformity(df, ["g"], "p").collect():
+        p = np.sort(values[r.g])
+        n = len(p)
+        assert r.ks == pytest.approx(max(np.max(np.arange(1, n + 1) / n - p), np.max(p - np.arange(n) / n)))
+        assert (r.at_5, r.at_10) == pytest.approx((np.mean(p <= 0.05), np.mean(p <= 0.1)))
