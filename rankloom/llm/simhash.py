@@ -189,7 +189,7 @@ def fingerprint_links(fps: DataFrame, threshold: int = 2, crowd: int = CROWD) ->
         bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
         points = full.select("fp", F.explode(F.concat(F.array("fp"), bits)).alias("point"))
         stars = points.groupBy("point").agg(F.collect_set("fp").alias("fps")).where("size(fps) > 1")
-        hub = stars.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
+        hub = _thinned(stars.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")))
     elif threshold == 1:  # neighbours directly: b is a with one bit turned
         bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
         turned = full.select(F.col("fp").alias("a"), F.explode(bits).alias("b"))
@@ -199,6 +199,16 @@ def fingerprint_links(fps: DataFrame, threshold: int = 2, crowd: int = CROWD) ->
     return pairs.unionByName(hub).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _thinned(links: DataFrame) -> DataFrame:
+    """Fewer edges ``a, b`` that connect the same: each ``b`` keeps its least ``a``, and its other ones are linked to that.
+
+    Members of a large group of near copies share most of their points' least members, so what
+    links these is few different edges.
+    """
+    own = links.groupBy("b").agg(F.min("a").alias("m"), F.collect_set("a").alias("all"))
+    return own.select(F.col("m").alias("a"), F.explode(F.concat("all", F.array("b"))).alias("b")).distinct()
+
+
 def band_keys(members: np.ndarray) -> np.ndarray:
     """One key for each band of the MinHash values of a set of hashes."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
