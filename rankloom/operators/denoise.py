@@ -12,6 +12,11 @@ from rankloom.functions.columns import positive_part
 from .estimates import centring, deviation_variances, group_deviations, group_means
 
 
+def _root(v: Column) -> Column:
+    """Root of a variance; what is below 1e-15 is what rounding leaves of 0."""
+    return F.sqrt(F.greatest(F.round(v, 15), F.lit(0.0)))
+
+
 def _paired(cov: DataFrame, rows: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Observed pairs with columns of ``rows`` (by entity) for both of their entities, as ``<name>_i`` and ``<name>_j``."""
     for s in "ij":
@@ -44,7 +49,7 @@ def _signal_parts(m: DataFrame, keys: Sequence[str], trace: Column, bcb: Column,
     """The columns of ``variance_parts`` from ``J, bb`` and sums over the covariance."""
     n = F.col("J")
     m = m.select(*keys, n, (F.col("bb") / n).alias("variance"), (trace / n).alias("noise"), ((F.col("bb") - trace) / n).alias("signal_raw"), ((4 * bcb - 2 * cc) / (n * n)).alias("v_hat"))
-    return m.withColumn("signal", positive_part(F.col("signal_raw"), F.sqrt(F.greatest(F.col("v_hat"), F.lit(0.0)))))
+    return m.withColumn("signal", positive_part(F.col("signal_raw"), _root(F.col("v_hat"))))
 
 
 def deviation_variance_parts(dev: DataFrame, cov: DataFrame, weights: DataFrame) -> DataFrame:
@@ -139,7 +144,7 @@ def weighted_variance_parts(est: DataFrame, cov: DataFrame, weights: DataFrame,
     ucu = F.col("uvu") - 2 * F.col("ur") * u + t * u * u
     cc = F.col("vv") + 2 * q * F.col("wrr") + 2 * wr * wr + q * q * t * t - 4 * t * q * wr
     m = m.select(*keys, "variance", "noise", (4 * ucu - 2 * cc).alias("v_hat"))
-    m = m.withColumn("signal", positive_part(F.col("variance") - F.col("noise"), F.sqrt(F.greatest(F.col("v_hat"), F.lit(0.0)))))
+    m = m.withColumn("signal", positive_part(F.col("variance") - F.col("noise"), _root(F.col("v_hat"))))
     rest = F.col("variance") - F.col("signal")
     return m.withColumn("katz_noise", F.when(rest > 0, rest))
 
