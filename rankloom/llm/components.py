@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 
-#: Rows of a partition of the edge list.
-PART_ROWS = 50_000
+#: Rows of a partition of the edge list, and least number of its partitions: one task would hold what it sorts for all the partitions that it takes together.
+PART_ROWS, LEAST_PARTS = 50_000, 12
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = checkpoint(pairs)
-    parts = 1 + 2 * pairs.count() // PART_ROWS
+    parts = max(LEAST_PARTS, 1 + 2 * pairs.count() // PART_ROWS)
 
     def kept(df: DataFrame) -> DataFrame:
         return checkpoint(df.coalesce(parts))
