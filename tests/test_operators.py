@@ -103,3 +103,12 @@ def test_replicates_and_draws_are_those_of_the_reference(spark):
 
     assert [r.reps for r in registry.queries()["st_41_bootstrap"](spark, "/root/testdata/sf0.001").collect()] == [499]
     assert (positivity.BATCH, positivity.QUOTA, positivity.DRAWS) == (10_000, 5_000, 50_000)
+
+
+def test_permuted_ids_are_a_permutation(spark):
+    from rankloom.operators.windows import permuted_ids
+
+    df = spark.range(200).select((F.col("id") * 3).alias("k"), F.lit("x").alias("v")).unionByName(spark.range(5).select((F.col("id") * 3).alias("k"), F.lit("y").alias("v")))
+    first, again, other = ({r.k: r.p for r in permuted_ids(x, "k", seed, "p").collect()} for x, seed in ((df, 1), (df.repartition(7), 1), (df, 2)))
+    assert set(first) == set(first.values()) == {3 * k for k in range(200)}
+    assert first == again != other and sum(k == p for k, p in first.items()) < 20
