@@ -157,7 +157,7 @@ def _(s, d):
 
 @query("st_12_group_covariance", with_("vi entities", f", {COV}, {WT} SELECT item, x.grp AS grp_i, y.grp AS grp_j, sum(x.a * y.a * rcov) AS rcov FROM cov JOIN g x ON x.entity_id = entity_i JOIN g y ON y.entity_id = entity_j GROUP BY 1, 2, 3"), d="rcov")
 def _(s, d):
-    return E.group_covariance(fitted(s, d)[1], E.group_weights(X.entities(s, d)))
+    return E.full_group_covariance(fitted(s, d)[1], E.group_weights(X.entities(s, d)))
 
 
 @query("st_12_deviation_covariance", with_("vi entities", f", {COV}, {WT}, c AS (SELECT cov.*, x.grp AS gi, y.grp AS gj, x.a AS ai, y.a AS aj FROM cov JOIN g x ON x.entity_id = entity_i JOIN g y ON y.entity_id = entity_j) SELECT item, entity_i, entity_j, rcov - sum(ai * rcov) OVER (PARTITION BY item, entity_j, gi) - sum(aj * rcov) OVER (PARTITION BY item, entity_i, gj) + sum(ai * aj * rcov) OVER (PARTITION BY item, gi, gj) AS rcov FROM c"), d="rcov")

@@ -112,3 +112,10 @@ def test_permuted_ids_are_a_permutation(spark):
     first, again, other = ({r.k: r.p for r in permuted_ids(x, "k", seed, "p").collect()} for x, seed in ((df, 1), (df.repartition(7), 1), (df, 2)))
     assert set(first) == set(first.values()) == {3 * k for k in range(200)}
     assert first == again != other and sum(k == p for k, p in first.items()) < 20
+
+
+def test_groups_without_a_common_rater_have_covariance_zero(spark):
+    cov = spark.createDataFrame([("a", 1, 1, 0.5), ("a", 2, 2, 0.25), ("a", 1, 3, 0.1), ("a", 3, 1, 0.1), ("a", 3, 3, 0.2), ("b", 1, 1, 1.0)], "item string, entity_i long, entity_j long, rcov double")
+    weights = spark.createDataFrame([(1, 7, 1.0), (2, 8, 1.0), (3, None, 1.0), (4, 9, 1.0)], "entity_id long, grp int, a double")
+    got = {(r.item, r.grp_i, r.grp_j): r.rcov for r in E.full_group_covariance(cov, weights).collect()}
+    assert got == {("a", 7, 7): 0.5, ("a", 7, 8): 0.0, ("a", 8, 7): 0.0, ("a", 8, 8): 0.25, ("a", 7, None): 0.1, ("a", None, 7): 0.1, ("a", None, None): 0.2, ("a", 8, None): 0.0, ("a", None, 8): 0.0, ("b", 7, 7): 1.0}
