@@ -58,8 +58,8 @@ def measured(s, d, keep=None):
     w = X.external(s, d).join(X.entities(s, d), "entity_id").where("disc is not null and weight > 0")
     w = (w if keep is None else w.join(keep, "entity_id", "left_semi")).select("entity_id", "weight", (F.col("disc") * 100).alias("y"), "grp")
     est, w = checkpointed(E.estimates(sc)), checkpointed(w)
-    inside = [checkpointed(x) for x in E.within_set(est, E.observed_covariance(E.influences(sc)), w.select("entity_id"))]
-    noise = D.weighted_variance_parts(*inside, w.select("entity_id", "weight")).select("item", F.coalesce("katz_noise", "noise").alias("noise"))
+    inside = [checkpointed(x) for x in E.inside(est, E.influences(sc), w.select("entity_id"))]
+    noise = D.weighted_variance_parts_of_influences(*inside, w.select("entity_id", "weight")).select("item", F.coalesce("katz_noise", "noise").alias("noise"))
     return checkpointed(est.select("item", "entity_id", F.col("estimate").alias("x")).join(w, "entity_id").join(noise, "item").withColumnRenamed("weight", "w"))
 
 
@@ -155,14 +155,13 @@ def suite_rows(s, d):
     own = checkpointed(X.external(s, d).join(X.entities(s, d), "entity_id").where("disc is not null and weight > 0").select("entity_id", "grp", "weight", (F.col("disc") * 100).alias("y")))
     w = checkpointed(E.group_weights(own.select("entity_id", "grp", "weight"), "weight"))
     est, infl = checkpointed(E.estimates(sc)), checkpointed(E.influences(sc))
-    cov = checkpointed(E.observed_covariance(infl))
     dev, mean = E.group_deviations(est, w), E.group_means(est, w).withColumnRenamed("grp", "entity_id")
-    groups = E.group_covariance(cov, w).withColumnsRenamed({"grp_i": "entity_i", "grp_j": "entity_j"})
+    groups = D.group_influences(infl, w).withColumnRenamed("grp", "entity_id")
     pairs = s.range(1).select(F.inline(F.array(*[F.struct(F.lit(f"{m} a").alias("lhs"), F.lit(f"{m} b").alias("rhs")) for m in ("OLS", "Borda")])))
     yd = own.join(w.select("entity_id", "a"), "entity_id")
     ym = yd.groupBy("grp").agg(F.sum(F.col("a") * F.col("y")).alias("my"), F.sum("weight").alias("mw"))
     outcome = {"within": yd.join(ym, "grp").select("entity_id", (F.col("y") - F.col("my")).alias("y"), F.col("weight").alias("w")), "between": ym.select(F.col("grp").cast("long").alias("entity_id"), F.col("my").alias("y"), F.col("mw").alias("w"))}
-    sheets = {"within": (dev, D.deviation_variance_parts(dev, cov, w), D.within_covariances(est, infl, w, pairs)), "between": (mean, D.variance_parts(E.recentred_estimates(mean), groups), D.between_covariances(est, infl, w, pairs))}
+    sheets = {"within": (dev, D.deviation_variance_parts_of_influences(dev, infl, w), D.within_covariances(est, infl, w, pairs)), "between": (mean, D.variance_parts_of_influences(E.recentred_estimates(mean), groups), D.between_covariances(est, infl, w, pairs))}
     out = None
     for part, (x, var, both) in sheets.items():
         x = x.select(F.split_part("item", F.lit(" "), F.lit(1)).alias("method"), F.split_part("item", F.lit(" "), F.lit(2)).alias("i"), F.col("entity_id").cast("long").alias("entity_id"), "estimate")
@@ -397,8 +396,8 @@ def noisy_regressors(s, d):
     sc = checkpointed(E.mean_scores(rows).unionByName(borda))
     w = checkpointed(X.external(s, d).join(X.entities(s, d), "entity_id").where("disc is not null and weight > 0").select("entity_id", "weight", "grp", (F.col("disc") * 100).alias("y")))
     est, infl = checkpointed(E.estimates(sc)), checkpointed(E.influences(sc))
-    inside = [checkpointed(x) for x in E.within_set(est, E.observed_covariance(infl), w.select("entity_id"))]
-    var = D.weighted_variance_parts(*inside, w.select("entity_id", "weight"))
+    inside = [checkpointed(x) for x in E.inside(est, infl, w.select("entity_id"))]
+    var = D.weighted_variance_parts_of_influences(*inside, w.select("entity_id", "weight"))
     pairs = s.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("lhs"), F.lit(j).alias("rhs")) for i, j in ("ab", "ac", "bc")])))
     own = w.select("entity_id")
     cov = D.item_covariances(est.join(own, "entity_id", "left_semi"), infl.join(own, "entity_id", "left_semi"), pairs)

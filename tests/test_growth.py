@@ -16,3 +16,53 @@ def test_the_identity_is_checked_on_observed_pairs(spark, monkeypatch):
 
     monkeypatch.setattr(E, "robust_covariance", full)
     assert {(r.item, r.holds) for r in registry.queries()["qa_6_identity"](spark, DATA).collect()} == {("a", True), ("b", True)}
+
+
+@pytest.fixture(scope="module")
+def sparse(spark):
+    """Influences of nine raters on twelve entities in three groups, with a rater who has an entity twice, and the dense matrix."""
+    rng = np.random.default_rng(5)
+    s = rng.normal(size=(9, 12)) * (rng.random((9, 12)) < 0.3)
+    s[0] += 0.1
+    rows = [("x", r, i, float(s[r, i])) for r in range(9) for i in range(12) if s[r, i]]
+    rows = [("x", 0, 0, rows[0][3] - 0.5), ("x", 0, 0, 0.5), *rows[1:]]
+    est = spark.createDataFrame([("x", i, float(b)) for i, b in enumerate(rng.normal(size=12))], "item string, entity_id long, estimate double")
+    weights = spark.createDataFrame([(i, float(w)) for i, w in enumerate(rng.random(12) + 0.1)], "entity_id long, weight double")
+    groups = spark.createDataFrame([(i, i % 3, float(w)) for i, w in enumerate(rng.random(12) + 0.1)], "entity_id long, grp long, weight double")
+    return s.T @ s, spark.createDataFrame(rows, "item string, resp_id long, entity_id long, s double"), est, weights, E.group_weights(groups, "weight")
+
+
+def test_variance_sheets_of_influences_are_those_of_their_covariance(sparse, spark):
+    from rankloom.operators import denoise as D
+
+    v, infl, est, weights, a = sparse
+    cov = spark.createDataFrame([("x", i, j, float(v[i, j])) for i in range(12) for j in range(12) if v[i, j]], "item string, entity_i long, entity_j long, rcov double")
+    assert E.squared_pairs(infl).first().vv == pytest.approx((v * v).sum())
+    centred, dev = E.recentred_estimates(est), E.group_deviations(est, a)
+    for new, old in (
+        (D.variance_parts_of_influences(centred, infl), D.variance_parts(centred, cov)),
+        (D.weighted_variance_parts_of_influences(centred, infl, weights), D.weighted_variance_parts(centred, cov, weights)),
+        (D.deviation_variance_parts_of_influences(dev, infl, a), D.deviation_variance_parts(dev, cov, a)),
+    ):
+        assert new.columns == old.columns
+        got, want = ([np.nan if x is None else x for x in df.drop("item").first()] for df in (new, old))
+        assert np.allclose(got, want, equal_nan=True)
+
+
+@pytest.mark.parametrize("name", ["st_17_variance_table", "st_21_variances", "st_24_measured_noise", "st_30_measured_suites", "st_40_cells", "ag_29_average_se", "qa_8_recomputed"])
+def test_variance_sheets_keep_no_pairs(spark, monkeypatch, name):
+    def pairs(infl):
+        raise AssertionError("all observed pairs")
+
+    monkeypatch.setattr(E, "observed_covariance", pairs)
+    assert registry.queries()[name](spark, DATA).collect()
+
+
+def test_both_items_are_found_in_one_pass(spark):
+    from rankloom.sources import fixtures as X
+
+    both = X.items(spark, DATA)
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("lineitem") <= 1
+    for item in "ab":
+        one = X.ratings(spark, DATA, item)
+        assert both.where(F.col("item") == item).select(*one.columns).exceptAll(one).count() == 0 == one.exceptAll(both.where(F.col("item") == item).select(*one.columns)).count()
