@@ -66,3 +66,19 @@ def test_both_items_are_found_in_one_pass(spark):
     for item in "ab":
         one = X.ratings(spark, DATA, item)
         assert both.where(F.col("item") == item).select(*one.columns).exceptAll(one).count() == 0 == one.exceptAll(both.where(F.col("item") == item).select(*one.columns)).count()
+
+
+def test_full_matrices_are_written_in_blocks(sparse, spark, monkeypatch):
+    v, infl, est, weights, a = sparse
+    monkeypatch.setattr(E, "BLOCK_ENTITIES", 5)
+    def dense(df):
+        seen = {(r.entity_i, r.entity_j): r.rcov for r in df.collect()}
+        return np.array([[seen[i, j] for j in range(12)] for i in range(12)])
+
+    for df, want in ((E.robust_covariance(infl), v), (E.recentred_covariance(E.observed_covariance(infl)), (np.eye(12) - 1 / 12) @ v @ (np.eye(12) - 1 / 12))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("FlatMapGroupsInArrow") == 1 and plan.index("FlatMapGroupsInArrow") < plan.index("Join")
+        assert df.count() == 144 and np.allclose(dense(df), want)
+    share = {r.entity_id: (r.grp, r.a) for r in a.collect()}
+    mean = np.array([[share[j][1] * (share[i][0] == share[j][0]) for j in range(12)] for i in range(12)])
+    assert np.allclose(dense(E.deviation_covariance(E.observed_covariance(infl), a)), (np.eye(12) - mean) @ v @ (np.eye(12) - mean).T)
