@@ -82,3 +82,22 @@ def test_full_matrices_are_written_in_blocks(sparse, spark, monkeypatch):
     share = {r.entity_id: (r.grp, r.a) for r in a.collect()}
     mean = np.array([[share[j][1] * (share[i][0] == share[j][0]) for j in range(12)] for i in range(12)])
     assert np.allclose(dense(E.deviation_covariance(E.observed_covariance(infl), a)), (np.eye(12) - mean) @ v @ (np.eye(12) - mean).T)
+
+
+def test_percentiles_are_exact_and_held_by_no_task(spark):
+    from rankloom.operators.aggregates import pair_correlations, percentiles
+
+    rng = np.random.default_rng(3)
+    values = {"a": rng.integers(0, 50, 300) / 4, "b": np.array([7.0]), "c": rng.random(101)}
+    rows = [(k, float(v)) for k, x in values.items() for v in x] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    points = {"low": 0.0, "q1": 0.25, "p95": 0.95, "high": 1.0}
+    got = {r.g: list(r)[1:] for r in percentiles(df, ["g"], "v", points).collect()}
+    assert set(got) == set(values) and all(np.allclose(got[k], np.quantile(x, list(points.values()))) for k, x in values.items())
+    pairs = pair_correlations(df.select("v", (F.col("v") * 2).alias("w")), [("v", "w")])
+    assert "percentile(" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tails_are_taken_once_for_equal_arguments(spark):
+    df = registry.queries()["fn_9_tails"](spark, DATA)
+    assert "Join" in df._jdf.queryExecution().optimizedPlan().toString() and df.count() == spark.read.parquet(f"{DATA}/lineitem.parquet").count()
