@@ -52,9 +52,7 @@ def measured_sql(keep: str = "TRUE") -> str:
 def measured(s, d, keep=None):
     """``item`` (method and item), ``entity_id, x, y, w, grp, noise``; with ``keep``, of those entities, and with their noise."""
     rows = prep(s, d)
-    borda = E.borda_scores(ranks_within(rows, ["item", "resp_id"], "value"))
-    sc = E.mean_scores(rows).withColumn("item", F.concat(F.lit("OLS "), "item")).unionByName(borda.withColumn("item", F.concat(F.lit("Borda "), "item")))
-    sc = checkpointed(sc)
+    sc = checkpointed(E.both_scores(ranks_within(rows, ["item", "resp_id"], "value")).select(F.concat_ws(" ", "method", "item").alias("item"), "resp_id", "entity_id", "score"))
     w = X.external(s, d).join(X.entities(s, d), "entity_id").where("disc is not null and weight > 0")
     w = (w if keep is None else w.join(keep, "entity_id", "left_semi")).select("entity_id", "weight", (F.col("disc") * 100).alias("y"), "grp")
     est, w = checkpointed(E.estimates(sc)), checkpointed(w)
@@ -150,8 +148,7 @@ nz AS (SELECT part || ' ' || item AS item, coalesce(CASE WHEN variance - signal
 def suite_rows(s, d):
     """``part, method, entity_id, y, w`` with both items' estimates ``xa, xb`` and their noise ``naa, nbb, nab``: deviations of entities (within) and group means (between)."""
     rows = prep(s, d)
-    borda = E.borda_scores(ranks_within(rows, ["item", "resp_id"], "value"))
-    sc = checkpointed(E.mean_scores(rows).withColumn("item", F.concat(F.lit("OLS "), "item")).unionByName(borda.withColumn("item", F.concat(F.lit("Borda "), "item"))))
+    sc = checkpointed(E.both_scores(ranks_within(rows, ["item", "resp_id"], "value")).select(F.concat_ws(" ", "method", "item").alias("item"), "resp_id", "entity_id", "score"))
     own = checkpointed(X.external(s, d).join(X.entities(s, d), "entity_id").where("disc is not null and weight > 0").select("entity_id", "grp", "weight", (F.col("disc") * 100).alias("y")))
     w = checkpointed(E.group_weights(own.select("entity_id", "grp", "weight"), "weight"))
     est, infl = checkpointed(E.estimates(sc)), checkpointed(E.influences(sc))
@@ -392,8 +389,8 @@ def _(s, d):
 def noisy_regressors(s, d):
     """Entities with their estimates of item a by both methods and of item b (``xa, xb, xc``), two outcomes, weight, and noise: ``raw_<i><j>`` as measured, ``one_<i>`` after the correction of each by itself."""
     rows = prep(s, d)
-    borda = E.borda_scores(ranks_within(rows.where("item = 'a'"), ["item", "resp_id"], "value")).withColumn("item", F.lit("c"))
-    sc = checkpointed(E.mean_scores(rows).unionByName(borda))
+    both = E.both_scores(ranks_within(rows, ["item", "resp_id"], "value")).where("method = 'OLS' or item = 'a'")
+    sc = checkpointed(both.select(F.when(F.col("method") == "OLS", F.col("item")).otherwise("c").alias("item"), "resp_id", "entity_id", "score"))
     w = checkpointed(X.external(s, d).join(X.entities(s, d), "entity_id").where("disc is not null and weight > 0").select("entity_id", "weight", "grp", (F.col("disc") * 100).alias("y")))
     est, infl = checkpointed(E.estimates(sc)), checkpointed(E.influences(sc))
     inside = [checkpointed(x) for x in E.inside(est, infl, w.select("entity_id"))]

@@ -101,3 +101,24 @@ def test_percentiles_are_exact_and_held_by_no_task(spark):
 def test_tails_are_taken_once_for_equal_arguments(spark):
     df = registry.queries()["fn_9_tails"](spark, DATA)
     assert "Join" in df._jdf.queryExecution().optimizedPlan().toString() and df.count() == spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+
+
+def test_raters_are_not_joined_with_themselves(spark):
+    from rankloom.operators import windows
+
+    rows = spark.createDataFrame([("x", r, e, (r * e) % 5 + 1) for r in range(6) for e in range(r + 1)] + [("x", 5, 2, 4)], "item string, resp_id long, entity_id long, value int")
+    ranked = windows.ranks_within(rows, ["item", "resp_id"], "value")
+    found = E.both_scores(ranked)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in E.squared_pairs(E.influences(E.mean_scores(rows)))._jdf.queryExecution().optimizedPlan().toString()
+    data = [r.asDict() for r in ranked.collect()]
+    want = {}
+    for x in data:
+        want.setdefault(("OLS", x["resp_id"], x["entity_id"]), []).append(6.0 - x["value"])
+        for y in data:
+            if y["resp_id"] == x["resp_id"] and y["entity_id"] != x["entity_id"]:
+                want.setdefault(("Borda", x["resp_id"], x["entity_id"]), []).append(1.0 if x["rank"] < y["rank"] else 0.5 if x["rank"] == y["rank"] else 0.0)
+    got = {}
+    for r in found.collect():
+        got.setdefault((r.method, r.resp_id, r.entity_id), []).append(r.score)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) if k[0] == "OLS" else [pytest.approx(sum(v) / len(v))] for k, v in want.items()}
