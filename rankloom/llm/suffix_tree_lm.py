@@ -43,8 +43,8 @@ MIN_COUNT = 2
 SYMBOL_GAIN, STATE_GAIN = 4.0, 10.0
 #: Sets the key of a context's state apart from the key of the context.
 STATE_MARK = 0x1B87359351ED270B
-#: Texts are scored, and triples counted, in so many parts, one after the other, each of which clears its shuffle files: this bounds disk alone.
-SCORE_PARTS, TRIPLE_PARTS = 4, 2
+#: Texts are scored, triples counted, and contexts of two words tested in so many parts, one after the other, each of which clears its shuffle files: this bounds disk alone.
+SCORE_PARTS, TRIPLE_PARTS, CONTEXT_PARTS = 4, 2, 3
 #: Bytes of text that are handled at a time, and the length from which a word is hashed by itself.
 SLICE = 1 << 20
 #: Fixed odd numbers of the key of a pair, and what undoes them.
@@ -326,11 +326,14 @@ def states(followed: DataFrame, totals: DataFrame, symbol_gain: float, state_gai
     parent's probability of the listed symbols, and the log of ``rest`` for the other occurrences.
     """
     rows = followed.join(totals, "context").withColumn("p", (F.col("n") - 0.5) / (F.col("total") + 1.0))
-    rows = rows.withColumn("gain", F.col("n") * F.log(F.col("p") / F.col("parent_p"))).where(F.col("gain") >= symbol_gain)
+    # Few symbols are listed. They are written, so that the joins above are not made for the sums and again for the rows, and their shuffle files go.
+    rows = written(rows.withColumn("gain", F.col("n") * F.log(F.col("p") / F.col("parent_p"))).where(F.col("gain") >= symbol_gain))
     sums = rows.groupBy("context").agg(F.sum("p").alias("ps"), F.sum("parent_p").alias("qs"), F.sum("gain").alias("gains"), (F.first("total") - F.sum("n")).alias("others"))
     sums = sums.where("ps < 1 and qs < 1").withColumn("rest", (1.0 - F.col("ps")) / (1.0 - F.col("qs")))
     kept = sums.where(F.col("gains") + F.col("others") * F.log("rest") >= state_gain)
-    return written(rows.drop("gain").join(kept.select("context", "rest"), "context"))
+    found = written(rows.drop("gain").join(kept.select("context", "rest"), "context"))
+    removed(rows)
+    return found
 
 
 def train(docs: DataFrame, usable: Column, text_col: str = "text", symbol_gain: float = SYMBOL_GAIN, state_gain: float = STATE_GAIN) -> tuple[DataFrame, int, int]:
@@ -361,9 +364,15 @@ def train(docs: DataFrame, usable: Column, text_col: str = "text", symbol_gain:
     # What the parent of a two-word context says: listed below its last word's state, or the root's share times that state's factor.
     factors = one.select("context", "rest").distinct()
     parents = first.join(factors, "context", "left").join(one.select("key", "p"), "key", "left")
-    parents = parents.select(F.col("key").alias("other"), F.coalesce("p", F.col("root_p") * F.coalesce("rest", F.lit(1.0))).alias("parent_p"))
-    second = longer.where("not pair").join(parents, "other").select("context", "key", "n", "parent_p")
-    two = states(second, pairs.select(F.col("key").alias("context"), F.col("n").alias("total")), symbol_gain, state_gain)
+    parents = written(parents.select(F.col("key").alias("other"), F.coalesce("p", F.col("root_p") * F.coalesce("rest", F.lit(1.0))).alias("parent_p")))
+    removed(first)
+    totals = pairs.select(F.col("key").alias("context"), F.col("n").alias("total"))
+    of_part = F.pmod(F.xxhash64("context"), F.lit(CONTEXT_PARTS))
+    tested = []
+    for i in range(CONTEXT_PARTS):
+        second = longer.where(~F.col("pair") & (of_part == i)).join(parents, "other").select("context", "key", "n", "parent_p")
+        tested.append(states(second, totals.where(of_part == i), symbol_gain, state_gain))
+    two = reduce(DataFrame.unionByName, tested)
 
     model = words.select("key", F.log10(root_p).alias("term"), F.col("m").alias("seen"), F.lit(True).alias("word"))
     for level in (one, two):
@@ -371,7 +380,7 @@ def train(docs: DataFrame, usable: Column, text_col: str = "text", symbol_gain:
         model = model.unionByName(state.select(F.col("context").bitwiseXOR(F.lit(STATE_MARK)).alias("key"), F.log10("rest").alias("term"), F.col("total").alias("seen"), F.lit(False).alias("word")))
         model = model.unionByName(level.select("key", (F.log10(F.col("p") / F.col("parent_p")) - F.log10("rest")).alias("term"), F.col("n").alias("seen"), F.lit(False).alias("word")))
     model = written(model)
-    removed(counted, *sliced, first, one, two)
+    removed(counted, *sliced, parents, one, *tested)
     return model, n_tokens, n_words
 
 
