@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 #: Blank characters of the query contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows go to Python in batches of about so many bytes: 10,000 texts at a time, Spark's default, are held several times over by a task and its worker.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 21)}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -29,10 +33,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def set_to(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session that hold inside a ``with`` block."""
+    before = {k: spark.conf.get(k) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, which cuts its lineage."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with set_to(df.sparkSession, BATCHES):
+        return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -41,13 +59,9 @@ def written(df: DataFrame) -> DataFrame:
     Shuffle files of what went into it are of no more use, so Spark is asked to remove them right after the write.
     """
     spark = df.sparkSession
-    path, setting = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "true")
-    try:
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    with set_to(spark, BATCHES | {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(setting, before)
     return spark.read.parquet(path)
 
 

@@ -45,8 +45,10 @@ SYMBOL_GAIN, STATE_GAIN = 4.0, 10.0
 STATE_MARK = 0x1B87359351ED270B
 #: Texts are scored, triples counted, and contexts of two words tested in so many parts, one after the other, each of which clears its shuffle files: this bounds disk alone.
 SCORE_PARTS, TRIPLE_PARTS, CONTEXT_PARTS = 4, 2, 3
-#: Bytes of text that are handled at a time, and the length from which a word is hashed by itself.
-SLICE = 1 << 20
+#: Bytes of text that ``phrases`` handles at a time, and those that are handled here, where a token takes more room.
+SLICE, TEXT_SLICE = 1 << 20, 1 << 18
+#: Bytes whose words are hashed at a time, and the length from which a word is hashed by itself.
+WINDOW = 1 << 17
 #: Fixed odd numbers of the key of a pair, and what undoes them.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9)
 INVERSES = tuple(pow(f, -1, 1 << 64) for f in FACTORS)
@@ -98,7 +100,7 @@ class Hasher:
         self.of_byte[65:91] = self.of_byte[97:123]
         base = int(rng.integers(0, 1 << 63)) * 2 + 1
         with np.errstate(over="ignore"):
-            self.up, self.down = (np.cumprod(np.append(np.uint64(1), np.full(2 * SLICE, x, np.uint64))) for x in (base, pow(base, -1, 1 << 64)))
+            self.up, self.down = (np.cumprod(np.append(np.uint64(1), np.full(WINDOW, x, np.uint64))) for x in (base, pow(base, -1, 1 << 64)))
         self.end = np.uint64(rng.integers(0, 1 << 64, dtype=np.uint64))
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -106,8 +108,8 @@ class Hasher:
         out, low = np.empty(len(starts), np.uint64), 0
         while low < len(starts):
             first = starts[low]
-            high = low + int(np.searchsorted(ends[low:], first + SLICE, "right"))
-            if high == low:  # one word of over SLICE bytes
+            high = low + int(np.searchsorted(ends[low:], first + WINDOW, "right"))
+            if high == low:  # one word of over WINDOW bytes
                 out[low] = xxhash.xxh64_intdigest(data[first : ends[low]].tobytes().lower(), 7)
                 low += 1
                 continue
@@ -144,7 +146,7 @@ class Hasher:
         return self.of_bytes(data, np.array([0, len(data)]))[0]
 
     def of_column(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Parts of a column, each of about SLICE bytes or one longer text: number of the first row, tokens, tokens of each row."""
+        """Parts of a column, each of about TEXT_SLICE bytes or one longer text: number of the first row, tokens, tokens of each row."""
         texts = texts.cast(pa.large_string()).fill_null("")
         _, offsets, data = texts.buffers()
         if not len(texts):
@@ -153,7 +155,7 @@ class Hasher:
         data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
         low = 0
         while low < len(texts):
-            high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + SLICE, "right")) - 1)
+            high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + TEXT_SLICE, "right")) - 1)
             part = data[offsets[low] : offsets[high]]
             yield low, *self.of_bytes(part, offsets[low : high + 1] - offsets[low])
             low = high
@@ -200,6 +202,11 @@ def _numbers(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Places at which a new number starts."""
+    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+
+
 DEALT = "share long, keys binary, counts binary, contexts binary"
 
 
@@ -225,7 +232,7 @@ def added_up(shares: pa.Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray
     keys = np.concatenate([np.cumsum(_numbers(k, np.uint64), dtype=np.uint64) for k in cols["keys"]])
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    first = _firsts(keys)
     n = np.add.reduceat(np.concatenate([_numbers(c, np.uint32) for c in cols["counts"]]).astype(np.int64)[order], first)
     contexts = np.concatenate([_numbers(c, np.uint64) for c in cols["contexts"]])
     return shares.column("share")[0].as_py() & 1, keys[first], n, contexts[order[first]] if len(contexts) else None
@@ -243,11 +250,17 @@ def count_words_and_pairs(texts: DataFrame, buckets: int, held: int = 2_000_000)
         size = 0
 
         def out():
-            nonlocal found, size
+            nonlocal size
             for kind in (0, 1):
-                if found[kind]:
-                    yield from dealt(buckets, kind, *np.unique(np.concatenate(found[kind]), return_counts=True))
-            found, size = [[], []], 0
+                parts, found[kind] = found[kind], []
+                if parts:
+                    keys = np.concatenate(parts)
+                    parts.clear()
+                    keys.sort()
+                    first = _firsts(keys)
+                    yield from dealt(buckets, kind, keys[first], np.diff(first, append=len(keys)))
+                    del keys, first
+            size = 0
 
         for batch in batches:
             for _, t, sizes in hasher().of_column(batch.column(0)):
@@ -285,13 +298,21 @@ def count_triples(texts: DataFrame, sent: Broadcast, buckets: int, part: int = 0
         size = 0
 
         def out():
-            nonlocal found, size
+            nonlocal size
             for kind in (0, 1):
-                if found[kind]:
-                    k, c = (np.concatenate([f[i] for f in found[kind]]) for i in range(2))
-                    key, first, n = np.unique(k, return_index=True, return_counts=True)
-                    yield from dealt(buckets, kind, key, n, c[first])
-            found, size = [[], []], 0
+                parts, found[kind] = found[kind], []
+                if parts:
+                    k, c = (np.concatenate([f[i] for f in parts]) for i in range(2))
+                    parts.clear()
+                    order = np.argsort(k)
+                    k = k[order]
+                    first = _firsts(k)
+                    n, c = np.diff(first, append=len(k)), c[order[first]]
+                    k = k[first]
+                    del order, first
+                    yield from dealt(buckets, kind, k, n, c)
+                    del k, n, c
+            size = 0
 
         for batch in batches:
             for _, t, sizes in hasher().of_column(batch.column(0)):
