@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, table, written
 from .components import components
-from .line_dedup import _bitmap, _marked
+from .line_dedup import _bitmap
 
 BLOCK, PARITY, RADIUS = 23, 11, 3
 #: Generator polynomial of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -290,7 +290,7 @@ def similar_links(docs: DataFrame, sketches: DataFrame, similarity: float, shing
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = pa.array(_marked(wanted.value, batch.column(0).to_numpy(zero_copy_only=False)))
+            hit = pa.array(wanted.marked(batch.column(0).to_numpy(zero_copy_only=False)))
             part = batch.filter(hit)
             members = [np.unique(shingle_hashes(t, shingle, seed)) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_set_id(m) for m in members], pa.int64()), pa.array([m.tobytes() for m in members], pa.binary())], names=["doc_id", "id", "members"])
